@@ -1,0 +1,37 @@
+"""Connected components over an edge table, by repeated contraction in Spark joins."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from palimpsest.llm import common
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """The component of every node that has an edge: (node, root), root being some node of the component.
+
+    edges: (u, v) of type long. Each round every node takes the neighbour of least priority (a hash that changes
+    by round), edges move to what their ends took, and edges within one node go; the nodes of a component become
+    fewer by a constant factor a round until one is left. Neighbour minima are combined before the shuffle, and
+    every round's table is written to the shared folder. Self loops and nulls are ignored; no edges give no rows.
+    """
+    now = common.stage(edges.filter("u is not null and v is not null and u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "cc-edges")
+    taken: list[DataFrame] = []
+    while not now.isEmpty():
+        rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(len(taken))).alias("h"), F.col(c).alias("id"))  # noqa: B023, E731
+        ends = now.select(F.col("u").alias("node"), rank("v").alias("r")).unionByName(now.select(F.col("v").alias("node"), rank("u").alias("r")))
+        step = common.stage(
+            ends.groupBy("node").agg(F.min("r").alias("r")).select("node", F.least(F.col("r"), rank("node"))["id"].alias("took")),
+            "cc-step",
+        )
+        taken.append(step)
+        moved = now.join(step.withColumnRenamed("node", "u").withColumnRenamed("took", "a"), "u").join(step.withColumnRenamed("node", "v").withColumnRenamed("took", "b"), "v")
+        now = common.stage(moved.filter("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "cc-edges")
+    if not taken:
+        return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    # what a node took, was in turn a node of the next round, unless its edges were gone by then
+    root = taken[-1].select("node", F.col("took").alias("root"))
+    for step in reversed(taken[:-1]):
+        root = common.stage(step.join(root.withColumnRenamed("node", "took"), "took", "left").select("node", F.coalesce("root", "took").alias("root")), "cc-roots")
+    return root
