@@ -158,8 +158,7 @@ class Index:
         line, bounds = np.concatenate(lines), np.array([*offset, at])
         best: dict[tuple[int, int], tuple] = {}
         for c in self.classes:
-            for a, item in self._pairs(c, line):
-                d = int(np.searchsorted(bounds, a[0], "right")) - 1
+            for d, a, item in self._pairs(c, line, bounds):
                 w = self.items[item][1]
                 spare = self.allowed(len(w))
                 lo, hi = max(bounds[d], a[0] - spare), min(bounds[d + 1] - pad, a[1] + len(w) + spare)
@@ -169,8 +168,8 @@ class Index:
                     best[key] = min(best.get(key, row), row)
         return [(i, self.items[item][0], edits, len(self.items[item][1]), s, e) for (i, item), (edits, s, e) in sorted(best.items())]
 
-    def _pairs(self, c: SizeClass, line: np.ndarray) -> Iterator[tuple[tuple[int, int], int]]:
-        """((first, last) start, item) of neighbouring windows that share a key with the item."""
+    def _pairs(self, c: SizeClass, line: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, tuple[int, int], int]]:
+        """(text, (first, last) start, item) of neighbouring windows of a text that share a key with the item."""
         wide = c.most + self.allowed(c.most)
         known = c.known[np.maximum(line, 0)] & (line > 0)
         reach = np.minimum(np.arange(len(line)) + wide, len(line))
@@ -180,20 +179,22 @@ class Index:
             total = np.r_[0, np.cumsum(c.rare[np.maximum(line, 0)] & (line > 0))]
             ok &= total[reach] - total[:-1] >= c.need_rare
         starts = np.flatnonzero(ok)
-        hits = []
+        hits = set()
         for i in range(0, len(starts), AT_ONCE):
             part = starts[i : i + AT_ONCE]
             for keys in self.embed(c, line, part):
                 a, z = np.searchsorted(c.keys, keys, "left"), np.searchsorted(c.keys, keys, "right")
                 for k in np.flatnonzero(z > a):
-                    hits += [(int(o), int(part[k])) for o in c.owners[a[k] : z[k]]]
-        first = last = None
-        for o, s in [*sorted(set(hits)), (None, None)]:
-            if first is not None and (o != first[0] or s - last > wide):
-                yield (first[1], last), first[0]
-                first = None
-            if o is not None:
-                first, last = first or (o, s), s
+                    d = int(np.searchsorted(bounds, part[k], "right")) - 1
+                    hits.update((d, int(o), int(part[k])) for o in c.owners[a[k] : z[k]])
+        run: tuple[int, int, int, int] | None = None
+        for d, o, s in sorted(hits):
+            if run and (run[:2] != (d, o) or s - run[3] > wide):
+                yield run[0], run[2:], run[1]
+                run = None
+            run = (d, o, run[2] if run else s, s)
+        if run:
+            yield run[0], run[2:], run[1]
 
 
 def find(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, walks: int = WALKS, tables: int = TABLES, places: int = PLACES, least_words: int = LEAST_WORDS, block: int = BLOCK) -> DataFrame:
