@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import byte_bpe, common, decontaminate, exact_dedup, simhash, token_counts, token_files
+from palimpsest.llm import byte_bpe, common, decontaminate, exact_dedup, language, lm_scoring, secrets, simhash, token_counts, token_files, toxicity
 
 WORD_TOKENIZER = "word_bpe_49k.json"
 BYTE_RANKS = "byte_bpe_50k.tiktoken"
@@ -23,11 +23,29 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, public_tokenizers.path(WORD_TOKENIZER)).drop("text")
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = common.documents(spark, sf_dir), common.text_bucket("doc_id", 3) == 1
+    found = language.predict(docs.select("doc_id", "text"), language.fit(docs.filter(~held_out)))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = common.documents(spark, sf_dir), common.text_bucket("doc_id", 5) == 0
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.fit(docs.filter(~held_out), labels.filter(~held_out))
+    return toxicity.score(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(common.documents(spark, sf_dir))
     return found.select("doc_id", simhash.hex_print("fp").alias("fingerprint"), "component_id")
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir).select("doc_id", "text")
+    return secrets.scan(docs, secrets.fit(docs)).drop("text")
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = common.new_path(spark, "token-files")
     token_files.write(common.documents(spark, sf_dir), out, public_tokenizers.path(WORD_TOKENIZER), END_ID)
@@ -39,6 +57,10 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(docs, public_tokenizers.path(BYTE_RANKS), public_tokenizers.PATTERN).drop("text")
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(common.documents(spark, sf_dir), common.text_bucket("doc_id", 10) == 0)
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -46,9 +68,13 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_token_counts": op2_token_counts,
+    "op3_language": op3_language,
+    "op4_toxicity": op4_toxicity,
     "op5_simhash": op5_simhash,
+    "op6_secrets": op6_secrets,
     "op7_token_files": op7_token_files,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_decontaminate": op10_decontaminate,
 }
 
