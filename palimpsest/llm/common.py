@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Largest table, in bytes by row count times row width, that an operator broadcasts.
-BROADCAST_BYTES = 64 << 20
+BROADCAST_BYTES = 32 << 20
 #: Salts over which the rows of one hot key are dealt.
 SALTS = 64
 
