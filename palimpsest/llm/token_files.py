@@ -22,15 +22,15 @@ _HEAD = struct.Struct("<4sBBIQQqQQ")
 _MAGIC = b"PLTK"
 
 
-def pack(doc_ids: list[int | None], ids: list[bytes], kind: np.dtype) -> bytes:
+def pack(doc_ids: list[int | None], ids: list[np.ndarray], kind: np.dtype) -> bytes:
     """One segment: header, boundaries and doc_ids in Elias-Fano form, then the concatenated ids."""
     none = sum(d is None for d in doc_ids)
     known = np.array(doc_ids[none:], np.int64)
     base = int(known[0]) if len(known) else 0
-    ends = elias_fano.encode(np.cumsum([0, *[len(x) // kind.itemsize for x in ids]]))
+    ends = elias_fano.encode(np.cumsum([0, *map(len, ids)]))
     names = elias_fano.encode((known - base).astype(np.uint64))
-    total = sum(map(len, ids)) // kind.itemsize
-    return b"".join([_HEAD.pack(_MAGIC, 1, kind.itemsize, none, len(ids), total, base, len(ends), len(names)), ends, names, *ids])
+    total = sum(map(len, ids))
+    return b"".join([_HEAD.pack(_MAGIC, 1, kind.itemsize, none, len(ids), total, base, len(ends), len(names)), ends, names, *[x.astype(kind, copy=False).tobytes() for x in ids]])
 
 
 class Segment:
@@ -66,7 +66,7 @@ def write(docs: DataFrame, out: str, tokenizer: str, end_id: int, segment: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use, shard = encoder(tokenizer), TaskContext.get().partitionId()
-        last = np.array([end_id], use.kind).tobytes()
+        last = np.array([end_id], use.kind)
         names, ids, held, number, start = [], [], 0, 0, 0
 
         def close() -> pa.RecordBatch:
@@ -76,13 +76,14 @@ def write(docs: DataFrame, out: str, tokenizer: str, end_id: int, segment: int =
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()], strict=True)], names=["shard", "segment", "start_in_shard", "n_docs", "n_ids", "blob"])
 
         for whole in batches:
-            for b in common.pieces(whole):
-                for d, x in zip(b.column("doc_id").to_pylist(), use.ids(common.strings(b)), strict=True):
-                    n = len(x) // use.kind.itemsize + 1
+            for b in common.pieces(whole, 2048):
+                line, sizes = use.ids(b.column("text"))
+                for d, x in zip(b.column("doc_id").to_pylist(), np.split(line, np.cumsum(sizes)[:-1]), strict=True):
+                    n = len(x) + 1
                     if names and held + n > segment:
                         yield close()
                     names.append(d)
-                    ids.append(x + last)
+                    ids.append(np.concatenate([x, last]))
                     held += n
         if names:
             yield close()

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import os
+from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Entries that a memo holds at most: bounds a worker's memory. What comes later is encoded without being kept.
-MEMO = 400_000
+#: Entries that the memos of parts and of words hold at most: bounds a worker's memory. What comes later is encoded
+#: without being kept.
+MEMO, WORDS = 400_000, 700_000
 #: Texts longer than HUGE code points are encoded in windows that overlap.
 HUGE, WINDOW, OVERLAP = 65_536, 32_768, 512
 
@@ -40,14 +44,15 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.kind.itemsize == 2 else "I"
         self.parts: dict[str, bytes] = {"": b""}
         self.words: dict[str, bytes] = {"": b""}
 
     def _encoded(self, words: set[str]) -> dict[str, bytes]:
         """Ids of words; those that the memo lacks come from the library in one call."""
         new = list(words - self.words.keys())
-        made = {w: np.array(e.ids, self.kind).tobytes() for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True)} if new else {}
-        if len(self.words) < MEMO:
+        made = {w: array(self.code, e.ids).tobytes() for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True)} if new else {}
+        if len(self.words) < WORDS:
             self.words.update(made)
         have = self.words
         return {w: made[w] if w in made else have[w] for w in words}
@@ -64,21 +69,32 @@ class Encoder:
             self.parts.update(made)
         return made
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Of each text its ids as bytes of self.kind."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        every = set().union(*split)
-        new = every - self.parts.keys()
-        if len(self.parts) >= MEMO and len(new) > len(every) // 2:  # another kind of text than the memo is full of
-            self.parts, self.words, new = {"": b""}, {"": b""}, every
-        made = self._learn(new)
-        known, out = self.parts.get, []
-        for s in split:
-            got = list(map(known, s))
-            if None in got:
-                got = [made[p] if x is None else x for p, x in zip(s, got, strict=True)]
-            out.append(b"".join(got))
-        return out
+    def _parts(self, texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """Ids of each different part, the part at each place of the texts, and where each text's places start."""
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = split.flatten().dictionary_encode()
+        every = coded.dictionary.to_pylist()
+        got = list(map(self.parts.get, every))
+        new = {p for p, x in zip(every, got, strict=True) if x is None}
+        if len(self.parts) >= MEMO and len(new) > len(every) * 3 // 4:  # another kind of text than the memo is full of
+            self.parts, self.words, new = {"": b""}, {"": b""}, set(every)
+        if new:
+            made = self._learn(new)
+            got = [made[p] if p in new else x for p, x in zip(every, got, strict=True)]
+        sizes = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+        return got, coded.indices.to_numpy(zero_copy_only=False), np.cumsum(sizes) - sizes
+
+    def ids(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and how many each text has."""
+        column = pa.array(texts, pa.string()) if isinstance(texts, list) else pc.fill_null(texts, "")
+        if not len(column):
+            return np.empty(0, self.kind), np.empty(0, np.int64)
+        got, place, begins = self._parts(column)
+        sizes = np.fromiter(map(len, got), np.int64, len(got)) // self.kind.itemsize
+        flat, first = np.frombuffer(b"".join(got), self.kind), np.cumsum(sizes) - sizes
+        each = sizes[place]
+        before = np.cumsum(each) - each
+        return flat[np.repeat(first[place] - before, each) + np.arange(each.sum())], np.add.reduceat(each, begins)
 
     def _starts(self, text: str, a: int, b: int) -> np.ndarray:
         """Where the tokens of text[a:b] start, as places in text."""
@@ -108,5 +124,5 @@ class Encoder:
             total, at = total + int((mine < stable).sum()), stable
 
     def counts(self, texts: list[str]) -> list[int]:
-        short = self.ids([t if len(t) <= HUGE else "" for t in texts])
-        return [len(x) // self.kind.itemsize if len(t) <= HUGE else self.count_huge(t) for t, x in zip(texts, short, strict=True)]
+        _, n = self.ids([t if len(t) <= HUGE else "" for t in texts])
+        return [k if len(t) <= HUGE else self.count_huge(t) for t, k in zip(texts, n.tolist(), strict=True)]
