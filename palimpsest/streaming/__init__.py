@@ -1 +1 @@
-
+"""Streams: sessions, lanes, calendar windows, idempotent sinks and ordered replay."""
