@@ -118,7 +118,7 @@ def src_15(spark: SparkSession, d: str) -> DataFrame:
     return lines.groupBy(F.col("l_orderkey").alias("episode")).agg(F.count(F.lit(1)).alias("turns"), F.array_join(F.transform(ordered, lambda x: x["l_partkey"].cast("string")), ",").alias("parts"))
 
 
-@query("SRC-16")
+@query("SRC-16", "SELECT conv_id, turn, role, length(text)::BIGINT AS size FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations) WHERE back <= 3")
 def src_16(spark: SparkSession, d: str) -> DataFrame:
     """Transcript lines (JSON objects) with the last turns of each session."""
     lines = table(spark, d, "conversations").select(F.to_json(F.struct("conv_id", "turn", "role", "text")).alias("value"))

@@ -397,6 +397,13 @@ def ret_26(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").join(done, "o_orderkey", "left_anti").groupBy("o_custkey").agg(N().alias("pending"))
 
 
+@query("RET-27", f"WITH {CLAIMS} SELECT CASE WHEN forgotten_at IS NOT NULL THEN 'forgotten' WHEN valid_until IS NOT NULL THEN 'closed' WHEN valid_horizon < TIMESTAMP '2000-01-01' THEN 'expired' ELSE 'run' END AS outcome, count(*) AS n FROM claims GROUP BY 1")
+def ret_27(spark: SparkSession, d: str) -> DataFrame:
+    """The intention stage: which intentions run and why others are skipped."""
+    why = F.when(F.col("forgotten_at").isNotNull(), "forgotten").when(F.col("valid_until").isNotNull(), "closed").when(F.col("valid_horizon") < F.to_timestamp(F.lit("2000-01-01")), "expired").otherwise("run")
+    return tables.claims(spark, d).groupBy(why.alias("outcome")).agg(N().alias("n"))
+
+
 @query("RET-28", f"WITH {_EVID}, {_RULES} SELECT id, rule FROM rules WHERE rule IN ('typed_admission', 'corroborated')")
 def ret_28(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.admit(_evidence(spark, d)).filter(F.col("rule").isin("typed_admission", "corroborated"))

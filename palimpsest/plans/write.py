@@ -209,6 +209,14 @@ def wr_25(spark: SparkSession, d: str) -> DataFrame:
     return m.withColumnRenamed("entity", "src").join(m.withColumnRenamed("entity", "dst"), "episode").filter("src < dst").groupBy("src", "dst").agg(N().alias("n"))
 
 
+@query("WR-26", "SELECT p_partkey AS id, vec_id IS NOT NULL AND p_partkey % 3 <> 0 AS fresh FROM part LEFT JOIN embeddings ON vec_id = p_partkey")
+def wr_26(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors attached to their nodes; those of touched nodes (here: every third) are stale."""
+    v = tables.vectors(spark, d).select("id", F.lit(True).alias("has"))
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("id")).join(v, "id", "left")
+    return p.select("id", (F.col("has").isNotNull() & (F.col("id") % 3 != 0)).alias("fresh"))
+
+
 @query("WR-27", "WITH t AS (SELECT conv_id, string_agg(substr(text, 1, 20), ' / ' ORDER BY turn) AS body, count(*) AS turns FROM conversations GROUP BY 1) SELECT conv_id, body, turns, sha256(conv_id::VARCHAR || chr(0) || body) AS id FROM t")
 def wr_27(spark: SparkSession, d: str) -> DataFrame:
     """Narratives with a deterministic text and a content-addressed id."""
