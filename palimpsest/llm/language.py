@@ -64,12 +64,16 @@ class Words:
 
 def code(texts: list[str]) -> Words:
     """Runs of letters of all texts, as symbols."""
+    if not texts:
+        return Words(*[np.empty(0, np.int64) for _ in range(5)])
     low = [t.lower() for t in texts]
     points = np.frombuffer(("\n".join(low) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
     table, kind = tables()
     base = np.minimum(points, (1 << 16) - 1)
     sym = table[base]
-    sym[points >= 1 << 16] = 27 + points[points >= 1 << 16] % 37
+    far = np.flatnonzero(points >= 1 << 16)
+    if len(far):
+        sym[far] = [27 + p % 37 if chr(p).isalpha() else 0 for p in points[far].tolist()]
     script = np.where(points >= 1 << 16, SCRIPTS.index("other"), kind[base])
     keep = sym.astype(bool)
     keep[1:] |= keep[:-1]

@@ -28,7 +28,7 @@ _BUILT: dict[str, np.ndarray] = {}
 
 
 def symbol_table() -> np.ndarray:
-    """Symbol of each code point of the basic plane; what lies beyond counts as letters."""
+    """Symbol of each code point of the basic plane."""
     global _TABLE
     if _TABLE is None:
         t = np.zeros(1 << 16, np.uint8)
@@ -52,11 +52,15 @@ class Coded:
 
 
 def code(texts: list[str]) -> Coded:
+    if not texts:
+        return Coded(np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64))
     texts = [t.lower() for t in texts]
     joined = "\n".join(texts) + "\n"
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     sym = symbol_table()[np.minimum(points, (1 << 16) - 1)]
-    sym[points >= 1 << 16] = 1 + points[points >= 1 << 16] % 30
+    far = np.flatnonzero(points >= 1 << 16)
+    if len(far):
+        sym[far] = [1 + p % 30 if chr(p).isalpha() else 0 for p in points[far].tolist()]
     keep = sym.astype(bool)
     keep[1:] |= keep[:-1]  # of each run of others only the first
     sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
@@ -123,6 +127,7 @@ class Model:
     toxic: np.ndarray
     ordinary: np.ndarray
     weights: np.ndarray  # of the features, the last one alone
+    prior: float = 0.5  # share of toxic labels: the score of a text without expressions
 
     def table(self) -> np.ndarray:
         """The process's table of log ratios: built once by each worker, from the counts."""
@@ -202,7 +207,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS,
     counted = sample.filter("learn").select("label", "text").mapInArrow(count, "gram int, toxic long, ordinary long").groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
     found = counted.toArrow()
     order = np.argsort(found.column("gram").to_numpy())
-    model = Model(common.new_name(), *(found.column(c).to_numpy()[order] for c in ("gram", "toxic", "ordinary")), np.zeros(FEATURES + 1))
+    model = Model(common.new_name(), *(found.column(c).to_numpy()[order] for c in ("gram", "toxic", "ordinary")), np.zeros(FEATURES + 1), n[1] / (n[0] + n[1]))
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kinds = [(f"f{i}", T.DoubleType()) for i in range(FEATURES)]
     seen = common.add_columns(sample.filter("not learn").select("label", "text"), kinds, lambda: lambda b: list(features(sent.value.table(), common.strings(b)).T)).drop("text").toArrow()
@@ -215,8 +220,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS,
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs with score (0 to 1) and predicted (1 if score is 0.5 or more); no shuffle.
 
-    Null and empty texts have features of zero and so the score of the regression's constant term. Other columns,
-    null keys and repeated rows pass through; input columns named score or predicted are replaced.
+    Null texts and texts without a letter or digit get the share of toxic labels. Other columns, null keys and repeated rows pass through; input columns named score or predicted are replaced.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -225,7 +229,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         table = m.table() if len(m.grams) else np.zeros(SYMBOLS**ORDER, np.float16)
 
         def each(batch):
-            p = 1 / (1 + np.exp(-np.clip(np.c_[features(table, common.strings(batch)), np.ones(batch.num_rows)] @ m.weights, -30, 30)))
+            x = features(table, common.strings(batch))
+            p = 1 / (1 + np.exp(-np.clip(np.c_[x, np.ones(len(x))] @ m.weights, -30, 30)))
+            p = np.where(x[:, 3] > 0, p, m.prior)
             return [p, pa.array((p >= 0.5).astype(np.int32))]
 
         return each
