@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from palimpsest.operators.staging import new_path, stage  # noqa: F401  (the operators stage their tables)
+
 #: Largest table, in bytes by row count times row width, that an operator broadcasts.
 BROADCAST_BYTES = 32 << 20
 #: Salts over which the rows of one hot key are dealt.
@@ -21,30 +22,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of this machine only where the session names none (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-llm-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def new_name() -> str:
     return uuid.uuid4().hex
 
 
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts the lineage and survives the loss of executors."""
-    spark, path = df.sparkSession, new_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_bucket(doc_id: str | Column, modulus: int) -> Column:
     """crc32 of doc_id as text, modulo; a null doc_id counts as empty text."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
