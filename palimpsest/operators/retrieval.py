@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -15,27 +17,35 @@ from palimpsest.operators.components import components
 ASK_BLOCK = 4096
 
 
-def knn(asks: DataFrame, corpus: DataFrame, k: int, floor: float = -1.0, skip_self: bool = True) -> DataFrame:
-    """The k nearest corpus vectors of each asked vector by cosine at or above floor: ask, id, score, rank (JOIN-8, SORT-2).
+def asked_pairs(asks: DataFrame, corpus: DataFrame, skip_self: bool = True) -> list[DataFrame]:
+    """Cosines of a stated set of vectors with the whole corpus, in blocks: ask, id, score and the corpus's other columns.
 
-    asks and corpus: id, vec. Asked vectors are broadcast in blocks of a counted size against the whole corpus, and
-    each task keeps only its best k before the shuffle. Ties go to the smaller id.
+    Asked vectors are broadcast, at most about ASK_BLOCK of them at a time, so a task holds a bounded block whatever
+    their number; the corpus is never shuffled. asks and corpus: id, vec.
     """
-    n = asks.count()
-    blocks = max(1, -(-n // ASK_BLOCK))
-    corpus = corpus.select("id", "vec", vectors.norm(F.col("vec")).alias("nv"))
+    blocks = max(1, -(-asks.count() // ASK_BLOCK))
+    rest = [c for c in corpus.columns if c not in ("id", "vec")]
+    corpus = corpus.withColumn("nv", vectors.norm(F.col("vec")))
     asked = asks.select(F.col("id").alias("ask"), F.col("vec").alias("ask_vec"), vectors.norm(F.col("vec")).alias("na"))
-    out = None
+    cos = vectors.cosine(F.col("ask_vec"), F.col("vec"), F.col("na"), F.col("nv"))
+    out = []
     for b in range(blocks):
-        part = F.broadcast(asked.filter(F.pmod(F.xxhash64("ask"), F.lit(blocks)) == b)) if blocks > 1 else F.broadcast(asked)
-        near = corpus.join(part, F.col("id") != F.col("ask") if skip_self else F.lit(True)).select("ask", "id", vectors.cosine(F.col("ask_vec"), F.col("vec"), F.col("na"), F.col("nv")).alias("score"))
-        near = near.filter(F.col("score") >= floor)
-        w = Window.partitionBy("ask").orderBy(F.desc("score"), "id")
-        near = near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-        out = near if out is None else out.unionByName(near)
+        part = asked.filter(F.pmod(F.xxhash64("ask"), F.lit(blocks)) == b) if blocks > 1 else asked
+        near = corpus.join(F.broadcast(part), F.col("id") != F.col("ask") if skip_self else F.lit(True))
+        out.append(near.select("ask", "id", cos.alias("score"), *rest))
     return out
 
 
+def knn(asks: DataFrame, corpus: DataFrame, k: int, floor: float = -1.0, skip_self: bool = True) -> DataFrame:
+    """The k nearest corpus vectors of each asked vector by cosine at or above floor: ask, id, score, rank (JOIN-8, SORT-2).
+
+    Each task keeps only its best k before the shuffle. Ties go to the smaller id.
+    """
+    w = Window.partitionBy("ask").orderBy(F.desc("score"), "id")
+    out = [p.filter(F.col("score") >= floor).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k) for p in asked_pairs(asks, corpus.select("id", "vec"), skip_self)]
+    return functools.reduce(DataFrame.unionByName, out)
+
+
 def bm25(terms: DataFrame, asked: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """BM25 of documents for asked terms: doc_id, score (RET-4). terms: doc_id, term; asked: term.
 
@@ -55,7 +65,7 @@ def bm25(terms: DataFrame, asked: DataFrame, k1: float = 1.2, b: float = 0.75) -
 def normalise_to_best(scores: DataFrame, by: list[str]) -> DataFrame:
     """score over the best of its group (MATH-9)."""
     best = scores.groupBy(*by).agg(F.max("score").alias("best"))
-    return scores.join(F.broadcast(best), by).withColumn("score", F.col("score") / F.col("best")).drop("best")
+    return scores.join(best, by).withColumn("score", F.col("score") / F.col("best")).drop("best")
 
 
 def merge_seeds(legs: DataFrame) -> DataFrame:
@@ -168,6 +178,12 @@ def cluster_cap(items: DataFrame, links: DataFrame, cap: int = 2) -> DataFrame:
     return items.join(root, "id", "left").withColumn("cluster", F.coalesce("root", "id")).drop("root").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= cap)
 
 
+def cap_by_key(items: DataFrame, key: str, cap: int) -> DataFrame:
+    """The best cap items of each key; tasks drop the rest of a hot key before the shuffle. items: id, score, key."""
+    w = Window.partitionBy(key).orderBy(F.desc("score"), "id")
+    return items.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= cap)
+
+
 def mmr(items: pd.DataFrame, vecs: np.ndarray, trade: float = 0.5) -> list[int]:
     """Places of items in the order of maximal marginal relevance (RET-18): one pack's short list."""
     v = vecs / np.maximum(np.linalg.norm(vecs, axis=1, keepdims=True), 1e-12)

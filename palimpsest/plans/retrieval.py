@@ -322,11 +322,9 @@ def ret_16(spark: SparkSession, d: str) -> DataFrame:
 
 @query("RET-17", "WITH k AS (SELECT doc_id, sha256(substr(lower(trim(text)), 1, 16)) AS h, n_chars FROM documents), r AS (SELECT doc_id, row_number() OVER (PARTITION BY h ORDER BY n_chars DESC, doc_id) AS rank FROM k) SELECT doc_id FROM r WHERE rank <= 2")
 def ret_17(spark: SparkSession, d: str) -> DataFrame:
-    """At most two of each near-duplicate class by prefix: classes of equal keys are components by a chain of links."""
-    k = table(spark, d, "documents").select(F.col("doc_id").alias("id"), text.cluster_key(F.col("text")).alias("h"), F.col("n_chars").cast("double").alias("score"))
-    w = Window.partitionBy("h").orderBy("id")
-    links = k.select(F.col("id").alias("u"), F.lead("id").over(w).alias("v")).filter("v is not null")
-    return retrieval.cluster_cap(k.select("id", "score"), links, 2).select(F.col("id").alias("doc_id"))
+    """At most two of each near-duplicate class by prefix; cluster_cap does it for classes of linked items."""
+    k = table(spark, d, "documents").select(F.col("doc_id").alias("id"), text.cluster_key(F.col("text")).alias("h"), F.col("n_chars").alias("score"))
+    return retrieval.cap_by_key(k, "h", 2).select(F.col("id").alias("doc_id"))
 
 
 @query("RET-18")

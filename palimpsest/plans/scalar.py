@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -221,9 +223,10 @@ def math_1(spark: SparkSession, d: str) -> DataFrame:
 @query("MATH-2", f"SELECT a.label = b.label AS same, count(*) AS n, round(quantile_cont({_COS}, 0.5), 5) AS p50, round(quantile_cont({_COS}, 0.95), 5) AS p95 FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0 GROUP BY 1")
 def math_2(spark: SparkSession, d: str) -> DataFrame:
     """Cosine distributions within and between labels, of every hundredth vector against all."""
-    e = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").alias("v"), vectors.norm(F.col("embedding")).alias("n"))
-    a = e.filter("vec_id % 100 = 0").select(*[F.col(c).alias(f"a_{c}") for c in e.columns])
-    p = e.join(F.broadcast(a), F.col("vec_id") != F.col("a_vec_id")).select((F.col("label") == F.col("a_label")).alias("same"), vectors.cosine(F.col("a_v"), F.col("v"), F.col("a_n"), F.col("n")).alias("cos"))
+    v = tables.vectors(spark, d)
+    of_ask = v.select(F.col("id").alias("ask"), F.col("label").alias("ask_label"))
+    p = functools.reduce(DataFrame.unionByName, retrieval.asked_pairs(v.filter("id % 100 = 0").select("id", "vec"), v))
+    p = p.join(of_ask, "ask").select((F.col("label") == F.col("ask_label")).alias("same"), F.col("score").alias("cos"))
     return p.groupBy("same").agg(F.count(F.lit(1)).alias("n"), F.round(F.percentile("cos", 0.5), 5).alias("p50"), F.round(F.percentile("cos", 0.95), 5).alias("p95"))
 
 

@@ -91,6 +91,20 @@ def test_activation_decays_over_hops(spark):
     assert 4 not in got
 
 
+def test_cluster_cap_follows_links(spark):
+    items = spark.createDataFrame([(i, float(i)) for i in range(8)], "id long, score double")
+    links = spark.createDataFrame([(0, 1), (1, 2), (2, 3), (5, 6)], "u long, v long")
+    assert sorted(r["id"] for r in retrieval.cluster_cap(items, links, 2).collect()) == [2, 3, 4, 5, 6, 7]
+
+
+def test_knn_in_blocks(spark, monkeypatch):
+    rnd = random.Random(1)
+    v = spark.createDataFrame([(i, [rnd.gauss(0, 1) for _ in range(4)]) for i in range(40)], "id long, vec array<double>")
+    whole = sorted(tuple(r) for r in retrieval.knn(v.filter("id < 9"), v, 3).collect())
+    monkeypatch.setattr(retrieval, "ASK_BLOCK", 2)
+    assert sorted(tuple(r) for r in retrieval.knn(v.filter("id < 9"), v, 3).collect()) == whole and len(whole) == 27
+
+
 def test_sessions_split_at_exactly_thirty_minutes(spark):
     t = D(2024, 1, 1)
     rows = [(1, t, 1), (1, t + dt.timedelta(minutes=29, seconds=59), 2), (1, t + dt.timedelta(minutes=59, seconds=59), 3)]
