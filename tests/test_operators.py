@@ -124,6 +124,18 @@ def test_append_is_idempotent(spark, tmp_path):
     assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "store")).select("key", "id").collect()) == [("a", 1), ("b", 2)]
 
 
+def test_staged_tables_can_be_cleared(spark):
+    import os
+
+    from palimpsest.operators import staging
+
+    df = staging.stage(spark.range(3), "test")
+    path = df.inputFiles()[0].removeprefix("file:").replace("//", "/")
+    assert os.path.exists(path)
+    staging.clear(spark)
+    assert not os.path.exists(path)
+
+
 def test_broken_documents_are_told(spark):
     docs = intake.parse(spark.createDataFrame([('{"turns":[{"role":"user","text":"hi"}],"session_id":"s"}',), ("nonsense",), (None,)], "value string"))
     assert sorted(r["broken"] for r in docs.collect()) == [False, True, True]
