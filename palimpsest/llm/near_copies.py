@@ -17,24 +17,26 @@ from palimpsest.operators.components import components
 
 #: Words of a shingle, least Jaccard similarity of shingle sets.
 WORDS, SIMILARITY = 5, 0.8
-#: Least hashes that name a document's shards: with similarity s two documents share none with (1 - s) ** SHARDS.
-SHARDS = 5
+#: Pairs of least hashes that name a document's shards: with similarity s two documents share none with
+#: (1 - s * s) ** SHARDS. A pair, since one shingle of a passage that many documents hold would make a large shard.
+SHARDS = 8
 #: Differing bits up to which a shard's tree gives a pair; at the least similarity about 10 of 64 differ.
 RADIUS = 20
 #: Documents that one tree, and one comparison, holds.
 TREE = 2048
-_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
+_MIX = np.random.default_rng(20).integers(0, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _sketch(text: str, words: int, shards: int) -> tuple[int, list[int]]:
     h = shingle_hashes(text, words)
     if not len(h):
         return 0, [0] * shards
-    keys = []
-    for i in range(shards):
+    least = []
+    for i in range(2 * shards):
         m = h * _MIX[i]
-        keys.append(int((m ^ (m >> np.uint64(32))).min().view(np.int64)))
-    return majority(h), keys
+        least.append((m ^ (m >> np.uint64(32))).min())
+    two = np.array(least, np.uint64).reshape(shards, 2)
+    return majority(h), (two[:, 0] * _MIX[-1] ^ two[:, 1]).view(np.int64).tolist()
 
 
 def sketches(docs: DataFrame, words: int, shards: int) -> DataFrame:
@@ -117,7 +119,7 @@ def similar(sets: list[np.ndarray], least: float) -> Union:
 def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, shards: int = SHARDS, radius: int = RADIUS, tree: int = TREE) -> DataFrame:
     """(doc_id, component_id) of documents that have a near copy: classes over links of at least the similarity.
 
-    A document is in the shards that its least shingle hashes name. A BK-tree over each shard's fingerprints gives
+    A document is in the shards that pairs of its least shingle hashes name. A BK-tree over each shard's fingerprints gives
     the documents with another one within the radius; only their shingle sets are gathered, and sets of a shard are
     compared exactly. Shards larger than tree are cut, and cuts compared two by two, so a task stays bounded and no
     pair is left out. Null texts count as empty; empty texts are copies of each other; rows with a null doc_id are
