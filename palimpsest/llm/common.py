@@ -33,7 +33,8 @@ def text_bucket(doc_id: str | Column, modulus: int) -> Column:
 
 
 def fits_broadcast(rows: int, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:
-    return rows * row_bytes <= limit
+    """Whether so many rows stay within the limit as a hashed relation, where a row takes 64 bytes at least."""
+    return rows * max(64, row_bytes) <= limit
 
 
 def small_side(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
