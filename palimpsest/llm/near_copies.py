@@ -28,7 +28,8 @@ _MIX = np.random.default_rng(20).integers(0, 1 << 63, 64, np.uint64) * np.uint64
 
 
 def _sketch(text: str, words: int, shards: int) -> tuple[int, list[int]]:
-    h = shingle_hashes(text, words)
+    """The fingerprint of a text's different shingles, as similarity counts none twice, and the names of its shards."""
+    h = np.unique(shingle_hashes(text, words))
     if not len(h):
         return 0, [0] * shards
     least = []

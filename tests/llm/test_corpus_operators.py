@@ -342,6 +342,20 @@ def test_near_copies(spark, texts, tree):
     assert got == brute_copies(more, 5, 0.8)
 
 
+def test_near_copies_with_repeated_lines(spark):
+    """A line said once in one copy and many times in the other adds nothing to the sets, so it may not part them."""
+    rnd = random.Random(3)
+    texts = {}
+    for i in range(20):
+        w, line = ([f"w{rnd.randrange(10**6)}" for _ in range(n)] for n in (200, 5))
+        texts[i] = " ".join([*w, *line])
+        texts[100 + i] = " ".join([*w, *line * 100])
+    want = brute_copies(texts, 5, 0.8)
+    assert len(want) == len(texts)
+    got = near_copies.near_copies(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(2))
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == want
+
+
 def test_near_copies_odd(odd, empty):
     kept = near_copies.keep_one(odd)
     assert kept.columns == odd.columns
