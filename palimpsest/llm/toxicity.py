@@ -165,12 +165,14 @@ def features(table: np.ndarray, texts: list[str]) -> np.ndarray:
     return out
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, counts: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+    """Weights of the features and the intercept; a row counts as so many rows, relative to the others."""
     x = np.c_[x, np.ones(len(x))]
+    counts = counts / counts.mean()
     w = np.zeros(x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + ridge * np.eye(len(w)), x.T @ (y - p) - ridge * w)
+        step = np.linalg.solve(x.T @ (x * (counts * p * (1 - p))[:, None]) + ridge * np.eye(len(w)), x.T @ (counts * (y - p)) - ridge * w)
         w += np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
             break
@@ -182,7 +184,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS,
 
     About max_per_class documents of each class are read, chosen by hash of doc_id with a share that the counts of
     the classes give; this bounds the model, whatever the corpus. Seven tenths of them give n-gram counts, the rest
-    the weights of a logistic regression on the features. The n-gram table goes to the driver: it has 2^25 kinds at
+    the weights of a logistic regression on the features, where each row counts for the rows of its class that it was
+    drawn from, so that scores keep the labels' own balance of classes whatever the share. The n-gram table goes to the driver: it has 2^25 kinds at
     most. Null labels and null texts are left out; without labels of both classes every score is 0.5.
     """
     named = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("label"))
@@ -213,7 +216,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS,
     seen = common.add_columns(sample.filter("not learn").select("label", "text"), kinds, lambda: lambda b: list(features(sent.value.table(), common.strings(b)).T)).drop("text").toArrow()
     y = seen.column("label").to_numpy().astype(float)
     if 0 < y.sum() < len(y):
-        model.weights = _logistic(np.stack([seen.column(f).to_numpy() for f, _ in kinds], 1), y)
+        stands_for = np.where(y == 1, max(1, n[1] / max_per_class), max(1, n[0] / max_per_class))
+        model.weights = _logistic(np.stack([seen.column(f).to_numpy() for f, _ in kinds], 1), y, stands_for)
     return model
 
 

@@ -216,6 +216,22 @@ def test_toxicity_odd(spark, odd, empty):
     assert {r["score"] for r in toxicity.score(odd, none).collect()} == {0.5}
 
 
+def test_toxicity_of_a_thinned_class(spark):
+    """A word that most toxic texts hold, but more ordinary ones: thinning the ordinary class may not turn its texts toxic."""
+    rnd = random.Random(4)
+    rows = []
+    for i in range(6000):
+        toxic = int(i % 10 == 0)
+        w = [rnd.choice(["river", "stone", "garden", "window", "morning", "paper"]) for _ in range(8)]
+        if rnd.random() < (0.8 if toxic else 0.15):
+            w[rnd.randrange(8)] = "zyxwvq"
+        rows.append((i, " ".join(w), toxic))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(4)
+    full, thin = ({r["doc_id"]: r for r in toxicity.score(docs.select("doc_id", "text"), toxicity.fit(docs.drop("toxic"), docs.drop("text"), max_per_class=m)).collect()} for m in (20_000, 600))
+    assert sum(full[i]["predicted"] == thin[i]["predicted"] for i in full) >= 0.97 * len(full)
+    assert abs(np.mean([r["score"] for r in thin.values()]) - 0.1) < 0.03
+
+
 def test_toxic_probabilities_add_up():
     c = toxicity.code(["abc abd", "xyz"])
     g, k = np.unique(c.grams, return_counts=True)
