@@ -17,10 +17,8 @@ from palimpsest.llm import common, ppm
 ADD = 0.1
 #: Text bytes of a block, about: what one task holds at a time.
 BLOCK_BYTES = 16 << 20
-#: A context is kept if it has this share of all bytes; this bounds the trie to its inverse for each length.
-LEAST_SHARE = 1 / 20_000
-
-_BUILT: dict[str, np.ndarray] = {}
+#: Bytes of the longest context.
+ORDER = 4
 
 
 def blocks(docs: DataFrame, held_out: Column, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -58,55 +56,112 @@ def _encoded(texts: list[str]) -> list[bytes]:
     return [t.encode("utf-8", "surrogatepass") for t in texts]
 
 
-def train_ppm(rows: DataFrame, least_share: float = LEAST_SHARE) -> ppm.Model:
-    """Byte contexts of all training rows, counted in Spark and pruned by their share.
+def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Runs of rows of one block."""
+    for whole in batches:
+        at = whole.column("block").to_numpy(zero_copy_only=False)
+        cuts = np.r_[0, np.flatnonzero(np.diff(at)) + 1, len(at)]
+        for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if a < z:
+                yield int(at[a]), whole.slice(a, z - a)
+
 
-    Each task hands on its own sums of four-byte grams; contexts below the share are dropped before anything goes
-    to the driver, so that the driver and every task get at most 1 / least_share contexts of each length.
+def block_grams(rows: DataFrame, order: int = ORDER) -> DataFrame:
+    """(block, gram, own): the different grams of each block's bytes and how often its training rows hold them.
+
+    A gram is a byte or end with the order bytes before it. A block's rows may be read by several tasks, so a gram may
+    have more than one row for a block.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, sums, held = [], [], 0
-        for whole in batches:
-            for b in common.pieces(whole):
-                code, found = pd.factorize(ppm.grams(_encoded(common.strings(b)))[0])
-                keys.append(found), sums.append(np.bincount(code, minlength=len(found)))
-                held += len(found)
-                if held > 1 << 20:
-                    keys, sums = _summed(keys, sums)
-                    held = len(keys[0])
-        if keys:
+        keys: list[np.ndarray] = []
+        sums: list[np.ndarray] = []
+        held, block = 0, None
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if not keys:
+                return
             (k,), (n,) = _summed(keys, sums)
+            keys.clear(), sums.clear()
+            line = np.argsort(k)
             for i in range(0, len(k), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(k[i : i + (1 << 16)].astype(np.int64)), pa.array(n[i : i + (1 << 16)].astype(np.int64))], names=["gram", "n"])
+                part = line[i : i + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block)), pa.array(k[part]), pa.array(n[part])], names=["block", "gram", "own"])
+
+        for at, run in _by_block(batches):
+            if at != block:
+                yield from close()
+                held, block = 0, at
+            for b in common.pieces(run):
+                g, begins = ppm.grams(_encoded(common.strings(b)), order)
+                learn = np.asarray(b.column("held_out").to_numpy(zero_copy_only=False), bool) == 0
+                code, found = pd.factorize(g)
+                keys.append(found), sums.append(np.bincount(code[np.repeat(learn, np.diff(np.r_[begins, len(g)]))], minlength=len(found)))
+                held += len(found)
+                if held > 1 << 20:
+                    keys[:], sums[:] = _summed(keys, sums)
+                    held = 0
+        yield from close()
+
+    return rows.select("text", "held_out", "block").mapInArrow(count, "block long, gram long, own long")
 
-    table = common.stage(rows.filter("not held_out").select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "lm-grams")
-    total = table.agg(F.sum("n")).first()[0] or 0
+
+def gram_costs(counted: DataFrame, order: int = ORDER) -> DataFrame:
+    """(gram, cost): log10 of the probability of each gram's last byte after the bytes before it. counted: (gram, n).
+
+    Every context that occurs counts, whatever its share; grams with n = 0 are only asked for. Escape is by method C,
+    with exclusion: the escaped mass goes to bytes that the context hasn't shown, in proportion to what the next
+    shorter context gives them. Whatever a context has shown its suffix has shown too, so all that is needed of the
+    shorter one is in its own rows, and each length is a join with the one before it.
+    """
+    levels = [counted]
+    for n in range(order, 0, -1):
+        levels.append(common.stage(levels[-1].groupBy(F.col("gram").bitwiseAND(F.lit((1 << 8 * n) - 1)).alias("gram")).agg(F.sum("n").alias("n")), "lm-suffixes"))
+    context = Window.partitionBy(F.shiftright("gram", 8))
+    p = None
+    for n, level in enumerate(reversed(levels)):
+        if p is None:
+            rows = level.withColumn("below", F.lit(1 / 256))
+        else:
+            suffix = F.col("gram").bitwiseAND(F.lit((1 << 8 * n) - 1))
+            rows = level.withColumn("suffix", suffix).join(p.select(F.col("gram").alias("suffix"), F.col("p").alias("below")), "suffix").drop("suffix")
+        shown = F.col("n") > 0
+        rows = rows.withColumns({"of": F.sum("n").over(context), "kinds": F.sum(shown.cast("int")).over(context), "mass": F.greatest(1 - F.sum(F.when(shown, F.col("below")).otherwise(0.0)).over(context), F.lit(1e-15))})
+        escape = F.when(F.col("kinds") < 256, F.col("kinds") / (F.col("of") + F.col("kinds"))).otherwise(0.0)
+        p = rows.select("gram", F.when(F.col("of") == 0, F.col("below")).when(shown, (1 - escape) * F.col("n") / F.col("of")).otherwise(escape * F.col("below") / F.col("mass")).alias("p"))
+    return p.select("gram", F.log10("p").alias("cost"))
+
+
+def train_ppm(rows: DataFrame) -> ppm.Model:
+    """The model of contexts up to ppm.ORDER bytes as one dense table, for corpora whose contexts a process can hold.
+
+    score() doesn't use it: there each block gets the costs of its own grams.
+    """
+    own = block_grams(rows.filter("not held_out").withColumn("block", F.lit(0).cast("long")), ppm.ORDER)
+    found = own.groupBy("gram").agg(F.sum("own").alias("n")).toArrow()
+    gram, count = (found.column(c).to_numpy().astype(np.int64) for c in ("gram", "n"))
     tables = []
     for n in range(ppm.ORDER + 1):
-        own = table.groupBy((F.col("gram") % (1 << 8 * (n + 1))).alias("gram")).agg(F.sum("n").alias("n")) if n < ppm.ORDER else table
-        context = F.shiftright("gram", 8)
-        kept = own.groupBy(context.alias("c")).agg(F.sum("n").alias("of")).filter(F.col("of") >= F.lit(least_share * total))
-        found = own.withColumn("c", context).join(F.broadcast(kept.select("c")), "c", "left_semi").select("gram", "n").toArrow()
-        tables.append((found.column("gram").to_numpy().astype(np.int64), found.column("n").to_numpy()))
+        kinds, at = np.unique(gram % (1 << 8 * (n + 1)), return_inverse=True)
+        tables.append((kinds, np.bincount(at, count, len(kinds)).astype(np.int64)))
     return ppm.build(common.new_name(), tables)
 
 
 def _summed(keys: list[np.ndarray], sums: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
     code, found = pd.factorize(np.concatenate(keys))
-    return [found], [np.bincount(code, np.concatenate(sums), len(found))]
+    return [found], [np.bincount(code, np.concatenate(sums), len(found)).astype(np.int64)]
 
 
-def score(docs: DataFrame, held_out: Column, block_bytes: int = BLOCK_BYTES, least_share: float = LEAST_SHARE) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, block_bytes: int = BLOCK_BYTES, order: int = ORDER) -> DataFrame:
     """Scores every document by models of those for which held_out is false.
 
     Output: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. Words are counted by block; a
     block sends one row for each of its words, the sums over all blocks come back only for words that another block
-    has too, and the block is scored with them, so no table of all words is ever in one place. Null and empty texts
+    has too, and the block is scored with them, so no table of all words is ever in one place. Bytes go the same way: a
+    block sends its different grams and gets back what each of them costs under the contexts of the whole corpus. Null and empty texts
     are an end alone; null doc_ids and repeated rows stay; an empty table gives no rows. Without training rows
     every count is zero and every byte equally likely.
     """
-    spark = docs.sparkSession
     rows = blocks(docs, held_out, block_bytes)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,19 +180,14 @@ def score(docs: DataFrame, held_out: Column, block_bytes: int = BLOCK_BYTES, lea
                 part = keep[0].slice(i, 1 << 16)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block)), part, pa.array(keep[1][i : i + (1 << 16)])], names=["block", "word", "own"])
 
-        for whole in batches:
-            at = whole.column("block").to_numpy(zero_copy_only=False)
-            cuts = np.r_[0, np.flatnonzero(np.diff(at)) + 1, len(at)]
-            for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                if a == z:
-                    continue
-                if at[a] != block:
-                    yield from close()
-                    block = int(at[a])
-                for b in common.pieces(whole.slice(a, z - a), 2048):
-                    w, place, ends = coded_words(b.column("text"))
-                    learn = ~np.asarray(b.column("held_out").to_numpy(zero_copy_only=False), bool)
-                    words.append(w), counts.append(np.bincount(place[np.repeat(learn, np.diff(np.r_[0, ends]))], minlength=len(w)))
+        for at, run in _by_block(batches):
+            if at != block:
+                yield from close()
+                block = at
+            for b in common.pieces(run, 2048):
+                w, place, ends = coded_words(b.column("text"))
+                learn = ~np.asarray(b.column("held_out").to_numpy(zero_copy_only=False), bool)
+                words.append(w), counts.append(np.bincount(place[np.repeat(learn, np.diff(np.r_[0, ends]))], minlength=len(w)))
         yield from close()
 
     # a block's rows may be read by several tasks, so a word may have more than one row for a block
@@ -153,21 +203,25 @@ def score(docs: DataFrame, held_out: Column, block_bytes: int = BLOCK_BYTES, lea
     train = (got["n"] or 0) + ends
     kinds = (got["v"] or 0) + (ends > 0)
     floor = np.log10(train + ADD * (kinds + 1))
-    sent = spark.sparkContext.broadcast(train_ppm(rows, least_share))
+    asked = common.stage(block_grams(rows, order), "lm-block-grams")
+    costs = gram_costs(common.stage(asked.groupBy("gram").agg(F.sum("own").alias("n")), "lm-grams"), order)
+    # one table of replies: a word with its sum, or a gram (word is null) with its cost
+    costly = asked.join(costs, "gram").select("block", F.lit(None).cast("string").alias("word"), F.col("gram").alias("n"), "cost")
+    answers = replies.select("block", "word", F.col("total").alias("n"), F.lit(None).cast("double").alias("cost")).unionByName(costly)
 
     def each(texts: pa.Table, sums: pa.Table) -> pa.Table:
-        model = sent.value
-        if model.name not in _BUILT:
-            _BUILT.clear()
-            _BUILT[model.name] = model.index()
-        index = _BUILT[model.name]
+        named = pc.is_valid(sums.column("word"))
+        grams, sums = sums.filter(pc.invert(named)).select(["n", "cost"]), sums.filter(named)
+        keys, first = np.unique(grams.column("n").to_numpy(), return_index=True)
+        priced, cost = pd.Index(keys), grams.column("cost").to_numpy()[first]
+        del grams
         column = texts.column("text").combine_chunks()
         learn = ~np.asarray(texts.column("held_out").combine_chunks().to_numpy(zero_copy_only=False), bool)
         words, place, after = coded_words(column)
         sizes = np.diff(np.r_[0, after])
         have = np.bincount(place[np.repeat(learn, sizes)], minlength=len(words)).astype(np.float64)
         at = pc.index_in(sums.column("word").combine_chunks(), words).to_numpy(zero_copy_only=False).astype(np.int64)
-        have[at] = sums.column("total").to_numpy()
+        have[at] = sums.column("n").to_numpy()
         logs, known = np.log10(have + ADD), have > 0
         base, n_known = np.zeros(len(sizes)), np.zeros(len(sizes), np.int64)
         for i in range(0, len(sizes), 1024):
@@ -180,11 +234,17 @@ def score(docs: DataFrame, held_out: Column, block_bytes: int = BLOCK_BYTES, lea
         n_known += ends > 0
         base += np.log10(ends + ADD) - floor * (sizes + 1)
         del words, place
-        whole = np.concatenate([ppm.score(model.rows, index, _encoded(column.slice(i, 256).to_pylist())) for i in range(0, len(column), 256)])
+        whole = np.zeros(len(sizes))
+        for i in range(0, len(column), 256):
+            g, begins = ppm.grams(_encoded(column.slice(i, 256).to_pylist()), order)
+            found = priced.get_indexer(g)
+            if (found < 0).any():
+                raise ValueError("a gram of the block has no cost")
+            whole[i : i + 256] = np.add.reduceat(cost[found], begins)
         pa.default_memory_pool().release_unused()
         return pa.table(
             {"doc_id": texts.column("doc_id"), "held_out": texts.column("held_out"), "n_tokens": pa.array(sizes + 1), "n_known": pa.array(n_known), "train_tokens": pa.array(np.full(len(base), train)), "base_score": pa.array(base), "score": pa.array(whole)}
         )
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return rows.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(each, schema)
+    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(each, schema)

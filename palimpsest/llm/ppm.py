@@ -1,4 +1,4 @@
-"""Prediction by partial matching over bytes: a pruned context trie whose predictions are worked out in advance."""
+"""Prediction by partial matching over bytes: n-grams of texts, and a small corpus's predictions as one dense table."""
 
 from __future__ import annotations
 
@@ -6,21 +6,23 @@ from dataclasses import dataclass
 
 import numpy as np
 
-#: Bytes of the longest context. 0xFF, which UTF-8 never holds, stands before a text and ends it.
+#: Bytes of the dense table's longest context. 0xFF, which UTF-8 never holds, stands before a text and ends it.
 ORDER, EDGE = 3, 0xFF
 
 
-def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Of every byte and end of the texts: it and the three bytes before it as one number; where each text's start."""
-    line = np.frombuffer(b"".join(b"\xff\xff\xff" + t + b"\xff" for t in texts), np.uint8).astype(np.uint32)
-    four = (line[:-3] << 24) | (line[1:-2] << 16) | (line[2:-1] << 8) | line[3:]
-    sizes = np.fromiter((len(t) + 4 for t in texts), np.int64, len(texts))
+def grams(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """Of every byte and end of the texts: it and the order bytes before it as one number; where each text's start."""
+    line = np.frombuffer(b"".join(b"\xff" * order + t + b"\xff" for t in texts), np.uint8)
+    out = np.zeros(max(0, len(line) - order), np.int64)
+    for k in range(order + 1):
+        out = (out << 8) | line[k : len(line) - order + k]
+    sizes = np.fromiter((len(t) + order + 1 for t in texts), np.int64, len(texts))
     begins = np.cumsum(sizes) - sizes
     keep = np.ones(len(line), bool)
-    for k in range(3):  # no prediction of what stands before a text
+    for k in range(order):  # no prediction of what stands before a text
         keep[begins + k] = False
-    counts = sizes - 3
-    return four[keep[3:]], np.cumsum(counts) - counts
+    counts = sizes - order
+    return out[keep[order:]], np.cumsum(counts) - counts
 
 
 @dataclass

@@ -490,6 +490,47 @@ def test_lm_odd(odd, empty):
     assert len(lm_scoring.score(odd, F.lit(True)).collect()) == len(ODD)  # nothing to learn from
 
 
+def test_lm_score_holds_every_context(spark, docs, texts):
+    """Scores are those of one table of all contexts, and contexts of any length count however rare they are."""
+    held = common.text_bucket("doc_id", 10) == 0
+    model = lm_scoring.train_ppm(docs.select(F.coalesce("text", F.lit("")).alias("text"), held.alias("held_out")))
+    got = {r["doc_id"]: r["score"] for r in lm_scoring.score(docs, held, block_bytes=40_000, order=ppm.ORDER).collect()}
+    want = ppm.score(model.rows, model.index(), [texts[d].encode() for d in got])
+    assert list(got.values()) == pytest.approx(want.tolist(), rel=1e-4)
+    rows = [(i, "the common text " * 500) for i in range(40)] + [(100, "zqxjw"), (101, "zqxjw"), (102, "zqwjx")]
+    rare = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in lm_scoring.score(rare, F.col("doc_id") > 100).collect()}
+    assert got[101] > got[102] + 3  # said once among 320,000 bytes
+
+
+@pytest.mark.parametrize("order", [0, 2, 5])
+def test_gram_costs(spark, order):
+    learnt, asked = [b"abracadabra", b"abc", b""], [b"abra", b"zzbrad", "é".encode()]
+    count = [collections.Counter() for _ in range(order + 1)]
+    pad = lambda t: b"\xff" * order + t + b"\xff"
+    for t in map(pad, learnt):
+        for i in range(order, len(t)):
+            for n in range(order + 1):
+                count[n][t[i - n : i], t[i]] += 1
+
+    def p(context, n):
+        below = p(context, n - 1) if n else [1 / 256] * 256
+        own = [count[n][context[len(context) - n :], s] for s in range(256)]
+        if not sum(own):
+            return below
+        kinds = sum(k > 0 for k in own)
+        rest = sum(b for k, b in zip(own, below, strict=True) if not k)
+        return [(k if k else kinds * b / rest) / (sum(own) + kinds) for k, b in zip(own, below, strict=True)]
+
+    rows = [(g, 1) for g in ppm.grams(learnt, order)[0].tolist()] + [(g, 0) for g in ppm.grams(asked, order)[0].tolist()]
+    df = spark.createDataFrame(rows, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    got = {r["gram"]: r["cost"] for r in lm_scoring.gram_costs(df, order).collect()}
+    for t in map(pad, learnt + asked):
+        for i in range(order, len(t)):
+            gram = int.from_bytes(t[i - order : i + 1], "big")
+            assert got[gram] == pytest.approx(np.log10(p(t[i - order : i], order)[t[i]]), abs=1e-9)
+
+
 def test_ppm_probabilities_add_up():
     t = [b"abracadabra", b"abc", b""]
     tables = []
