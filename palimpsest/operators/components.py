@@ -14,7 +14,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges: (u, v) of type long. Each round every node takes the neighbour of least priority (a hash that changes
     by round), edges move to what their ends took, and edges within one node go; the nodes of a component become
     fewer by a constant factor a round until one is left. Neighbour minima are combined before the shuffle, and
-    every round's table is written to the shared folder. Self loops and nulls are ignored; no edges give no rows.
+    every round's table is written to the shared folder; joins are merges, so nothing that grows with the edges is broadcast. Self loops and nulls are ignored; no edges give no rows.
     """
     now = staging.stage(edges.filter("u is not null and v is not null and u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "cc-edges")
     taken: list[DataFrame] = []
@@ -26,12 +26,13 @@ def components(edges: DataFrame) -> DataFrame:
             "cc-step",
         )
         taken.append(step)
-        moved = now.join(step.withColumnRenamed("node", "u").withColumnRenamed("took", "a"), "u").join(step.withColumnRenamed("node", "v").withColumnRenamed("took", "b"), "v")
+        left, right = (step.select(F.col("node").alias(e), F.col("took").alias(t)).hint("merge") for e, t in (("u", "a"), ("v", "b")))
+        moved = now.join(left, "u").join(right, "v")
         now = staging.stage(moved.filter("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "cc-edges")
     if not taken:
         return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     # what a node took, was in turn a node of the next round, unless its edges were gone by then
     root = taken[-1].select("node", F.col("took").alias("root"))
     for step in reversed(taken[:-1]):
-        root = staging.stage(step.join(root.withColumnRenamed("node", "took"), "took", "left").select("node", F.coalesce("root", "took").alias("root")), "cc-roots")
+        root = staging.stage(step.join(root.withColumnRenamed("node", "took").hint("merge"), "took", "left").select("node", F.coalesce("root", "took").alias("root")), "cc-roots")
     return root
