@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +19,11 @@ from palimpsest.operators.staging import new_path, stage  # noqa: F401  (the ope
 BROADCAST_BYTES = 32 << 20
 #: Salts over which the rows of one hot key are dealt.
 SALTS = 64
+#: Text bytes that an Arrow task turns into Python strings at a time, about.
+PIECE_BYTES = 1 << 20
+#: Words of 64 bits in a sieve.
+SIEVE_WORDS = 1 << 19
+_BLANK = re.compile(r"\s")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,10 +60,32 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator
     return df.mapInArrow(fn, schema)
 
 
-def pieces(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """The batch in slices, so that only a slice's texts are Python strings at a time."""
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)
+def pieces(batch: pa.RecordBatch, rows: int = 512, text: str = "text") -> Iterator[pa.RecordBatch]:
+    """The batch in slices of so many rows and about PIECE_BYTES of text at most, so that only a slice's texts are Python
+    strings at a time. A longer text is a slice of its own."""
+    if text not in batch.schema.names:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+        return
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = int(size[at - 1]) if at else 0
+        stop = min(at + rows, max(at + 1, int(np.searchsorted(size, before + PIECE_BYTES, "right"))))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
+def parts(text: str, longest: int) -> Iterator[str]:
+    """A text in stretches of about so many code points, cut before white space where the next stretch has some."""
+    at = 0
+    while len(text) - at > longest:
+        blank = _BLANK.search(text, at + longest)
+        if not blank:
+            break
+        yield text[at : blank.start()]
+        at = blank.start()
+    yield text[at:]
 
 
 def strings(batch: pa.RecordBatch, name: str = "text") -> list[str]:
@@ -81,7 +111,48 @@ def add_columns(docs: DataFrame, names_types: list[tuple[str, T.DataType]], make
     return docs.mapInArrow(run, schema)
 
 
+def sieve(keys: DataFrame, key: Column) -> DataFrame:
+    """A bitmap of the keys' hashes, (sieve_word, sieve_bits): SIEVE_WORDS rows at most, however many keys there are."""
+    h = F.pmod(F.xxhash64(key), F.lit(SIEVE_WORDS * 64))
+    return keys.groupBy(F.shiftright(h, 6).alias("sieve_word")).agg(F.bit_or(_bit(h)).alias("sieve_bits"))
+
+
+def _bit(h: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(h, F.lit(64)).cast("int"))
+
+
+def sifted(df: DataFrame, key: Column, keys: DataFrame, of: Column, name: str = "maybe") -> DataFrame:
+    """df with a column that is true wherever key is one of keys (of), and hardly anywhere else; no shuffle of df.
+
+    The bitmap of the keys is broadcast: it has a fixed size. The more keys it holds, the more others pass, up to all
+    beyond some 30 million keys; what passes wrongly is for the caller to part by an exact means.
+    """
+    h = F.pmod(F.xxhash64(key), F.lit(SIEVE_WORDS * 64))
+    bits = F.broadcast(sieve(keys, of))
+    marked = df.withColumn("sieve_word", F.shiftright(h, 6)).join(bits, "sieve_word", "left")
+    return marked.withColumn(name, F.coalesce(F.col("sieve_bits").bitwiseAND(_bit(h)) != 0, F.lit(False))).drop("sieve_word", "sieve_bits")
+
+
 def drop_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
-    """docs without the rows whose key is in ids (one column): ids are broadcast within the bound, else joined by shuffle."""
+    """docs without the rows whose key is in ids (one column, staged).
+
+    ids are broadcast within the bound. Beyond it only rows that a sieve of the ids lets through are shuffled and
+    joined exactly; all others stay where they are.
+    """
     n = ids.count()
-    return docs if n == 0 else docs.join(small_side(ids, n, 16), key, "left_anti")
+    if n == 0:
+        return docs
+    if fits_broadcast(n, 16):
+        return docs.join(F.broadcast(ids), key, "left_anti")
+    return anti_join(docs, ids, [F.col(key)], [key])
+
+
+def anti_join(docs: DataFrame, gone: DataFrame, key: list[Column], names: list[str]) -> DataFrame:
+    """docs without the rows whose key (columns of docs) is in gone (columns names): rows outside a sieve never move."""
+    given = docs.columns
+    wide = docs.withColumns({f"palimpsest_{i}": k for i, k in enumerate(key)})
+    own = [f"palimpsest_{i}" for i in range(len(key))]
+    marked = sifted(wide, F.xxhash64(*own), gone, F.xxhash64(*names), "palimpsest_maybe")
+    right = gone.select(*[F.col(n).alias(o) for n, o in zip(names, own, strict=True)]).hint("merge")
+    kept = marked.filter("palimpsest_maybe").join(right, own, "left_anti")
+    return marked.filter("not palimpsest_maybe").unionByName(kept).select(*[F.col(f"`{c}`") for c in given])

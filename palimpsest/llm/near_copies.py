@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm import common
-from palimpsest.llm.bktree import Tree, Union, near
-from palimpsest.llm.simhash import cut_shards, majority, shingle_hashes
+from palimpsest.llm.bktree import Forest, Union
+from palimpsest.llm.simhash import CLASS_SALTS, cut_shards, majority, shingle_hashes
 from palimpsest.operators.components import components
 
 #: Words of a shingle, least Jaccard similarity of shingle sets.
@@ -24,6 +24,8 @@ SHARDS = 8
 RADIUS = 20
 #: Documents that one tree, and one comparison, holds.
 TREE = 2048
+#: Rows of whole shards whose trees are built together.
+SLAB = 1 << 14
 _MIX = np.random.default_rng(20).integers(0, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -63,6 +65,26 @@ def _shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, shingles binary")
 
 
+def _edges(b: pa.RecordBatch) -> np.ndarray:
+    """Whether each row after the first is of another (shard, part) than the one before."""
+    shard, part = b.column("shard").to_numpy(zero_copy_only=False), b.column("part").to_numpy(zero_copy_only=False)
+    return (shard[1:] != shard[:-1]) | (part[1:] != part[:-1])
+
+
+def _slabs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole groups of a sorted partition, about SLAB rows at a time."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for g in _groups(batches):
+        held.append(g)
+        rows += g.num_rows
+        if rows >= SLAB:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, rows = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows of each (shard, part) of a partition sorted by them."""
     held: list[pa.RecordBatch] = []
@@ -71,7 +93,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not b.num_rows:
             continue
         shard, part = b.column("shard").to_numpy(zero_copy_only=False), b.column("part").to_numpy(zero_copy_only=False)
-        cuts = np.r_[0, np.flatnonzero((shard[1:] != shard[:-1]) | (part[1:] != part[:-1])) + 1, len(shard)]
+        cuts = np.r_[0, np.flatnonzero(_edges(b)) + 1, len(shard)]
         for a, z in itertools.pairwise(cuts.tolist()):
             k = (shard[a], part[a])
             if k != key and held:
@@ -132,17 +154,19 @@ def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR
     parts = common.stage(cut_shards(common.stage(named, "near-shards"), tree, by="doc_id").select("shard", "part", "doc_id", "fp"), "near-parts")
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _groups(batches):
-            fps, at = b.column("fp").to_numpy().view(np.uint64), np.arange(b.num_rows)
-            has = np.zeros(len(fps), bool)
-
-            def found(a: np.ndarray, h: np.ndarray, has=has) -> None:
-                other = a != h
-                has[a[other]] = has[h[other]] = True
-
-            near(Tree(fps, at), fps, at, radius, found)
+        for b in _slabs(batches):
+            group = np.cumsum(np.r_[True, _edges(b)])
+            fp = b.column("fp").to_numpy().view(np.uint64)
+            # equal fingerprints of a shard are one node; they are near each other anyway
+            order = np.lexsort((fp, group))
+            new = np.r_[True, (group[order][1:] != group[order][:-1]) | (fp[order][1:] != fp[order][:-1])]
+            node = np.empty(len(fp), np.int64)
+            node[order] = np.cumsum(new) - 1
+            has = np.bincount(node) > 1
+            for x, y in Forest(fp[order][new], group[order][new]).near(radius):
+                has[x] = has[y] = True
             if has.any():
-                yield b.filter(pa.array(has)).select(["shard", "part", "doc_id"])
+                yield b.filter(pa.array(has[node])).select(["shard", "part", "doc_id"])
 
     kept = common.stage(parts.repartition("shard", "part").sortWithinPartitions("shard", "part").mapInArrow(close, "shard long, part int, doc_id long"), "near-kept")
     wanted = common.stage(kept.select("doc_id").distinct(), "near-wanted")
@@ -158,9 +182,10 @@ def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR
 
     filled = kept.join(sets, "doc_id").select("shard", "part", "doc_id", "shingles")
     links = filled.repartition("shard", "part").sortWithinPartitions("shard", "part").mapInArrow(confirm, "u long, v long").filter("u <> v").distinct()
-    root = components(links)
-    least = root.groupBy("root").agg(F.min("node").alias("component_id"))
-    return root.join(least, "root").select(F.col("node").alias("doc_id"), "component_id")
+    root = common.stage(components(links), "near-roots").withColumn("slot", F.pmod(F.xxhash64("node"), F.lit(CLASS_SALTS)).cast("int"))
+    least = root.groupBy("root", "slot").agg(F.min("node").alias("least")).groupBy("root").agg(F.min("least").alias("component_id"))
+    least = least.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(CLASS_SALTS - 1))))
+    return root.join(least, ["root", "slot"]).select(F.col("node").alias("doc_id"), "component_id")
 
 
 def keep_one(docs: DataFrame, **params) -> DataFrame:

@@ -67,7 +67,7 @@ def test_exact_dedup_keeps_one_row_of_each(odd, empty):
     kept = exact_dedup.keep_one(odd)
     assert kept.columns == odd.columns
     ids = [r["doc_id"] for r in kept.collect() if r["doc_id"] is not None]
-    assert sorted(ids) == [3, 5, 7, 9, 10, 11]
+    assert sorted(ids) == [3, 5, 7, 9, 10, 11] and len(kept.collect()) == len(ids)
     assert exact_dedup.keep_one(empty).collect() == []
 
 
@@ -77,6 +77,25 @@ def test_exact_dedup_beyond_the_broadcast_bound(docs, monkeypatch):
     assert {(r["doc_id"], r["keep_id"], r["kept"]) for r in exact_dedup.refine(docs, every_digest=False).collect()} == small
 
 
+def test_exact_dedup_tells_rows_of_one_id_apart(spark):
+    rows = [(1, "a b", "x"), (1, "ab", "x"), (1, "other", "x"), (None, "n n", "x"), (None, "nn", "x"), (None, "n n", "y"), (None, None, "x"), (None, "", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, more string").repartition(3)
+    kept = sorted((str(r["doc_id"]), r["text"] or "") for r in exact_dedup.keep_one(docs).collect())
+    assert kept == [("1", "a b"), ("1", "other"), ("None", ""), ("None", "n n")]
+
+
+@pytest.mark.parametrize("words", [1, 64])
+def test_exact_dedup_with_a_full_sieve(docs, monkeypatch, words):
+    """However many keys share the bitmap, results stay the same: only more rows are hashed whole."""
+    want = {tuple(r) for r in exact_dedup.refine(docs, every_digest=False).collect()}
+    ids = {r["doc_id"] for r in exact_dedup.keep_one(docs).collect()}
+    monkeypatch.setattr(common, "SIEVE_WORDS", words)
+    monkeypatch.setattr(common, "fits_broadcast", lambda *a, **k: False)
+    assert {tuple(r) for r in exact_dedup.refine(docs, every_digest=False).collect()} == want
+    assert {r["doc_id"] for r in exact_dedup.keep_one(docs).collect()} == ids
+    assert {r["doc_id"] for r in common.drop_ids(docs, docs.filter("doc_id % 3 = 0").select("doc_id")).collect()} == {r["doc_id"] for r in docs.filter("doc_id % 3 <> 0").collect()}
+
+
 def test_exact_dedup_oracle(spark, sf_dir):
     got = sorted(tuple(r[c] for c in ("doc_id", "keep_id", "group_size", "kept", "text_sha256")) for r in queries.op1_exact_dedup(spark, sf_dir).collect())
     con = duckdb.connect()
@@ -262,20 +281,22 @@ def brute_classes(prints: dict, radius: int) -> dict:
 def test_simhash_query(spark, sf_dir, texts):
     got = queries.op5_simhash(spark, sf_dir).collect()
     prints = {r["doc_id"]: int(r["fingerprint"], 16) for r in got}
-    con = duckdb.connect()
-    for d, t in list(texts.items())[:40]:
+    shingles = {}
+    for d, t in texts.items():
         w = re.findall(r"[^\x20\x09-\x0d]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t))
         sh = [" ".join(w[i : i + 4]) for i in range(max(1, len(w) - 3))] if w else []
-        df = spark.createDataFrame([(x,) for x in sh] or [("",)], "x string").select(F.xxhash64("x")).collect() if sh else []
-        bits = [sum((r[0] >> i) & 1 for r in df) * 2 > len(df) for i in range(64)] if d < 8 else None
-        if bits:
-            assert prints[d] == sum(b << i for i, b in enumerate(bits))
-    con.close()
+        shingles[d] = sh
+    df = spark.createDataFrame([(d, x) for d, sh in shingles.items() for x in sh], "d long, x string").select("d", F.xxhash64("x").alias("h"))
+    hashes = collections.defaultdict(list)
+    for r in df.collect():
+        hashes[r["d"]].append(r["h"])
+    for d in texts:
+        assert prints[d] == sum((sum((h >> i) & 1 for h in hashes[d]) * 2 > len(hashes[d])) << i for i in range(64))
     assert {r["doc_id"]: r["component_id"] for r in got} == brute_classes(prints, 4)
 
 
-@pytest.mark.parametrize("tree", [8, 4096])
-def test_simhash_links_of_a_dense_group(spark, tree):
+@pytest.mark.parametrize(("tree", "target"), [(8, 4), (40, 4), (4096, 1024)])
+def test_simhash_links_of_a_dense_group(spark, tree, target):
     rnd = random.Random(5)
     centre = rnd.getrandbits(64)
     near = {centre} | {centre ^ (1 << a) ^ (1 << b) for a, b in itertools.combinations(range(12), 2)} | {rnd.getrandbits(64) for _ in range(200)}
@@ -285,7 +306,7 @@ def test_simhash_links_of_a_dense_group(spark, tree):
         chain.append(x)
     fps = sorted(near | set(chain))
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    edges = simhash.link(spark.createDataFrame([(s,) for s in signed], "fp long"), 4, tree).collect()
+    edges = simhash.link(spark.createDataFrame([(s,) for s in signed], "fp long"), 4, tree, target).collect()
     root = {s: s for s in signed}
 
     def find(v):
@@ -308,13 +329,48 @@ def test_masks_lose_no_pair(count):
         assert any(not d & m for m in masks)
 
 
-def test_bk_tree_finds_all(monkeypatch):
-    monkeypatch.setattr(bktree, "BUCKET", 4)
-    fps = np.random.default_rng(3).integers(0, 1 << 16, 400).astype(np.uint64)
-    pairs = set()
-    at = np.arange(len(fps))
-    bktree.near(bktree.Tree(fps, at), fps, at, 3, lambda a, h: pairs.update(zip(a.tolist(), h.tolist(), strict=True)))
-    assert pairs == {(i, j) for i in range(400) for j in range(400) if int(fps[i] ^ fps[j]).bit_count() <= 3}
+@pytest.mark.parametrize("at_once", [64, 1 << 19])
+def test_bk_trees_find_all(monkeypatch, at_once):
+    monkeypatch.setattr(bktree, "AT_ONCE", at_once)
+    rng = np.random.default_rng(3)
+    fps = np.unique(rng.integers(0, 1 << 16, 400).astype(np.uint64))
+    for group in (np.zeros(len(fps), int), rng.integers(0, 9, len(fps)), np.arange(len(fps))):
+        pairs = [p for a, h in bktree.Forest(fps, group).near(3) for p in zip(a.tolist(), h.tolist(), strict=True)]
+        assert len(pairs) == len(set(pairs))
+        assert set(pairs) == {(i, j) for i, j in itertools.combinations(range(len(fps)), 2) if group[i] == group[j] and int(fps[i] ^ fps[j]).bit_count() <= 3}
+    none = bktree.Forest(fps[:0], np.empty(0, int))
+    assert list(none.near(3)) == []
+
+
+def test_bk_tree_follows_only_edges_within_the_radius():
+    """Edges are distances to the parent, and a search visits a part of the nodes, the same ones as a plain tree's."""
+    fps = np.unique(np.random.default_rng(4).integers(0, 1 << 63, 2000, np.uint64))
+    tree = bktree.Forest(fps, np.zeros(len(fps), int))
+    list(tree.near(4))
+    assert tree.visited < 0.3 * len(fps) ** 2
+    plain = {}
+
+    def insert(x):
+        node = root
+        while (d := (node ^ x).bit_count()) in plain[node]:
+            node = plain[node][d]
+        plain[node][d] = x
+        plain[x] = {}
+
+    ints = [int(x) for x in fps]
+    root = ints[0]
+    plain[root] = {}
+    for x in ints[1:]:
+        insert(x)
+    visited = 0
+    for x in ints:
+        todo = [root]
+        while todo:
+            node = todo.pop()
+            visited += 1
+            d = (node ^ x).bit_count()
+            todo += [c for e, c in plain[node].items() if abs(e - d) <= 4]
+    assert tree.visited == visited
 
 
 def test_simhash_odd(odd, empty):
