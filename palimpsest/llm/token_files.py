@@ -17,6 +17,8 @@ from palimpsest.llm.tokenizing import encoder
 
 #: Ids after which a segment is closed; a longer document has one of its own.
 SEGMENT = 1 << 19
+#: Documents whose boundaries are selected at a time when a segment is read through.
+RUN = 4096
 #: magic, version, bytes an id, leading documents without doc_id, documents, ids, base of doc_ids, bytes of each sequence
 _HEAD = struct.Struct("<4sBBIQQqQQ")
 _MAGIC = b"PLTK"
@@ -30,15 +32,15 @@ def pack(doc_ids: list[int | None], ids: list[np.ndarray], kind: np.dtype) -> by
     ends = elias_fano.encode(np.cumsum([0, *map(len, ids)]))
     names = elias_fano.encode((known - base).astype(np.uint64))
     total = sum(map(len, ids))
-    return b"".join([_HEAD.pack(_MAGIC, 1, kind.itemsize, none, len(ids), total, base, len(ends), len(names)), ends, names, *[x.astype(kind, copy=False).tobytes() for x in ids]])
+    return b"".join([_HEAD.pack(_MAGIC, 2, kind.itemsize, none, len(ids), total, base, len(ends), len(names)), ends, names, *[x.astype(kind, copy=False).tobytes() for x in ids]])
 
 
 class Segment:
     """Reads a segment; document i's ids are between the i-th and the next boundary."""
 
-    def __init__(self, blob: bytes):
+    def __init__(self, blob: bytes | memoryview):
         magic, version, width, self.none, self.n_docs, self.n_ids, self.base, a, b = _HEAD.unpack_from(blob)
-        if (magic, version) != (_MAGIC, 1):
+        if (magic, version) != (_MAGIC, 2):
             raise ValueError("not a token segment")
         at = _HEAD.size
         self.bounds = elias_fano.Sequence(memoryview(blob)[at : at + a])
@@ -48,55 +50,73 @@ class Segment:
     def doc_id(self, i: int) -> int | None:
         return None if i < self.none else self.base + self.names.select(i - self.none)
 
-    def doc_ids(self) -> list[int | None]:
-        return [None] * self.none + (self.names.all().astype(np.int64) + self.base).tolist()
+    def runs(self, size: int = RUN) -> Iterator[tuple[list[int | None], np.ndarray]]:
+        """(doc_ids, boundaries) of so many documents at a time; there is one boundary more than documents."""
+        for i in range(0, self.n_docs, size):
+            z = min(self.n_docs, i + size)
+            known = self.names.select_run(max(0, i - self.none), max(0, z - self.none) - max(0, i - self.none))
+            yield [None] * max(0, min(z, self.none) - i) + (known + self.base).tolist(), self.bounds.select_run(i, z - i + 1)
 
     def document(self, i: int) -> np.ndarray:
         return self.ids[self.bounds.select(i) : self.bounds.select(i + 1)]
 
 
+def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
+    """(doc_id, ids): each document's ids and the end id, as little-endian numbers of the tokenizer's width."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use = encoder(tokenizer)
+        last = np.array([end_id], use.kind).tobytes()
+        for whole in batches:
+            for b in common.pieces(whole, 2048):
+                line, sizes = use.ids(b.column("text"))
+                found = [x.astype(use.kind, copy=False).tobytes() + last for x in np.split(line, np.cumsum(sizes)[:-1])]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(found, pa.binary())], names=["doc_id", "ids"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary")
+
+
 def write(docs: DataFrame, out: str, tokenizer: str, end_id: int, segment: int = SEGMENT) -> None:
-    """Encodes the documents in ascending doc_id order (nulls first) and writes segments under the folder out.
+    """Encodes the documents and writes segments under the folder out in ascending doc_id order (nulls first).
 
-    Texts are dealt by range of doc_id, sorted within a partition and encoded there; a partition is a shard, whose
-    number orders the shards. Segments are rows of a Parquet folder, so that any store Spark reaches holds them and a
-    lost task is simply run again: (shard, segment, start_in_shard, n_docs, n_ids, blob). Null texts are empty: their
-    only id is end_id. Repeated doc_ids stay, next to each other.
+    Texts are encoded where they are read; only ids are staged, dealt by range of doc_id and sorted. Documents of one
+    doc_id go by the hash of their ids, so the order is defined, and one doc_id may fill several partitions. A partition
+    is a shard, whose number orders the shards. Segments are rows of a Parquet folder, so that any store Spark reaches
+    holds them and a lost task is simply run again: (shard, segment, start_in_shard, n_docs, n_ids, blob). Null texts are
+    empty: their only id is end_id. Repeated doc_ids stay, next to each other.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        use, shard = encoder(tokenizer), TaskContext.get().partitionId()
-        last = np.array([end_id], use.kind)
+        kind, shard = encoder(tokenizer).kind, TaskContext.get().partitionId()
         names, ids, held, number, start = [], [], 0, 0, 0
 
         def close() -> pa.RecordBatch:
             nonlocal names, ids, held, number, start
-            row = [[shard], [number], [start], [len(names)], [held], [pack(names, ids, use.kind)]]
+            row = [[shard], [number], [start], [len(names)], [held], [pack(names, ids, kind)]]
             start, number, names, ids, held = start + held, number + 1, [], [], 0
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()], strict=True)], names=["shard", "segment", "start_in_shard", "n_docs", "n_ids", "blob"])
 
-        for whole in batches:
-            for b in common.pieces(whole, 2048):
-                line, sizes = use.ids(b.column("text"))
-                for d, x in zip(b.column("doc_id").to_pylist(), np.split(line, np.cumsum(sizes)[:-1]), strict=True):
-                    n = len(x) + 1
-                    if names and held + n > segment:
-                        yield close()
-                    names.append(d)
-                    ids.append(np.concatenate([x, last]))
-                    held += n
+        for b in batches:
+            for d, x in zip(b.column("doc_id").to_pylist(), b.column("ids"), strict=True):
+                one = np.frombuffer(x.as_buffer(), kind)
+                if names and held + len(one) > segment:
+                    yield close()
+                names.append(d)
+                ids.append(one)
+                held += len(one)
         if names:
             yield close()
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ordered = source.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    order = [F.col("doc_id").asc_nulls_first(), F.col("tie").asc()]
+    rows = common.stage(encoded(docs, tokenizer, end_id), "token-ids").withColumn("tie", F.xxhash64("ids"))
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "ids")
     ordered.mapInArrow(run, "shard int, segment long, start_in_shard long, n_docs long, n_ids long, blob binary").write.option("compression", "uncompressed").parquet(out)
 
 
 def read(spark, out: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document in the files: start counts all ids before it.
 
-    Only one row a shard (its sum of ids) is brought together to number the shards' first ids.
+    Boundaries come by select, a run of documents at a time. Only one row a shard (its sum of ids) is brought together to number the shards' first ids.
     """
     files = spark.read.parquet(out)
     sums = files.groupBy("shard").agg(F.sum("n_ids").alias("n"))
@@ -105,13 +125,12 @@ def read(spark, out: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first, blob in zip(b.column("first").to_pylist(), b.column("blob"), strict=True):
-                s = Segment(blob.as_py())
-                bounds = s.bounds.all().astype(np.int64)
-                wide = s.ids.astype("<u4")
-                crc = [zlib.crc32(wide[a:z]) for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(s.doc_ids(), pa.int64()), pa.array(bounds[:-1] + first), pa.array(np.diff(bounds)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"]
-                )
+                s = Segment(memoryview(blob.as_buffer()))
+                for names, bounds in s.runs():
+                    crc = [zlib.crc32(s.ids[a:z].astype("<u4")) for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(names, pa.int64()), pa.array(bounds[:-1] + first), pa.array(np.diff(bounds)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"]
+                    )
 
     placed = files.join(F.broadcast(before), "shard").select((F.col("start_in_shard") + F.col("before")).alias("first"), "blob")
     return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -142,12 +142,25 @@ def test_token_counts_odd(odd, empty):
 def test_elias_fano(values):
     data = elias_fano.encode(np.array(values))
     s = elias_fano.Sequence(data)
-    assert s.all().tolist() == values and [s.select(i) for i in range(len(values))] == values and s.size() == len(data)
+    assert [s.select(i) for i in range(len(values))] == values and s.size() == len(data)
+    for i in range(0, len(values), 37):
+        for n in (0, 1, 5, 256, 300, len(values) - i):
+            assert i + n > len(values) or s.select_run(i, n).tolist() == values[i : i + n]
+    with pytest.raises(IndexError):
+        s.select(len(values))
+
+
+def test_elias_fano_opens_without_tables():
+    """Whatever an open sequence holds is a view of the code itself."""
+    data = encode = elias_fano.encode(np.arange(0, 3_000_000, 7))
+    s = elias_fano.Sequence(data)
+    assert all(isinstance(v, int) or v.base is not None for v in vars(s).values())
+    assert s.select(200_000) == 1_400_000 and len(encode) == s.size()
 
 
 def test_elias_fano_is_near_the_bound():
     v = np.sort(np.random.default_rng(1).integers(0, 1 << 30, 10_000))
-    assert len(elias_fano.encode(v)) * 8 / len(v) < 2.6 + np.log2((1 << 30) / len(v))
+    assert len(elias_fano.encode(v)) * 8 / len(v) < 2.75 + np.log2((1 << 30) / len(v))
 
 
 def test_token_files_round_trip(spark, odd, empty, tmp_path):
@@ -160,6 +173,12 @@ def test_token_files_round_trip(spark, odd, empty, tmp_path):
     assert [r["start"] for r in starts] == np.cumsum([0, *[r["n_tokens"] for r in starts][:-1]]).tolist()
     expect = collections.Counter((d, len(ids) + 1, zlib.crc32(np.array([*ids, 2], "<u4").tobytes())) for d, t in ODD for ids in [library.encode(t or "", add_special_tokens=False).ids])
     assert collections.Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in starts) == expect
+    ties = spark.createDataFrame([(1, f"text number {i % 4}") for i in range(40)], "doc_id long, text string")
+    orders = []
+    for k in (1, 5):
+        token_files.write(ties.repartition(k), f"{out}{k}", WORD, 2, segment=16)
+        orders.append([r["ids_crc32"] for r in token_files.read(spark, f"{out}{k}").orderBy("start").collect()])
+    assert orders[0] == orders[1] and len(orders[0]) == 40
     token_files.write(empty, out + "e", WORD, 2)
     assert token_files.read(spark, out + "e").collect() == []
 
@@ -167,7 +186,10 @@ def test_token_files_round_trip(spark, odd, empty, tmp_path):
 def test_segment_gives_single_documents():
     blob = token_files.pack([None, 3, 3, 10], [np.array(x, "<u2") for x in ([5], [6, 7], [8], [])], np.dtype("<u2"))
     s = token_files.Segment(blob)
-    assert [s.doc_id(i) for i in range(4)] == [None, 3, 3, 10] == s.doc_ids()
+    assert [s.doc_id(i) for i in range(4)] == [None, 3, 3, 10]
+    for size in (1, 2, 3, 9):
+        runs = list(s.runs(size))
+        assert [d for names, _ in runs for d in names] == [None, 3, 3, 10] and [int(b) for _, x in runs for b in x[:-1]] == [0, 1, 3, 4]
     assert [s.document(i).tolist() for i in range(4)] == [[5], [6, 7], [8], []]
 
 
