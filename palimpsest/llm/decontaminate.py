@@ -18,20 +18,27 @@ from palimpsest.llm import common
 SIMILARITY = 0.8
 #: Random walks, tables of each walk, sampled places of each table.
 WALKS, TABLES, PLACES = 4, 16, 5
-#: Shortest item, in words, that counts as evidence.
+#: Items of fewer words are evidence only where they are the whole document.
 LEAST_WORDS = 5
-#: Items that are looked for in one pass over the documents; more are taken in blocks.
-BLOCK = 20_000
+#: Words above which an item is looked for by its pieces: embeddings stay near only while edits are few.
+PIECE_WORDS = 96
+#: Bytes of items that are looked for in one pass over the documents; more are taken in blocks.
+BLOCK_BYTES = 4 << 20
+#: Groups, by hash of item_id, from which blocks are put together.
+GROUPS = 4096
 #: Words in more than this share of a block's items are common ones.
 COMMON_SHARE = 0.05
 #: Starting places that are embedded at once.
 AT_ONCE = 1 << 16
 
-_WORD = re.compile(r"[^\W_]+")
+#: Scripts written without blanks (Thai to Tibetan, Burmese, Khmer, kana, Han): fixed ranges of Unicode blocks.
+_UNBROKEN = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_WORD = re.compile(f"[{_UNBROKEN}]|[^\\W_{_UNBROKEN}]+")
 
 
 def words(text: str | None) -> list[str]:
-    """Runs of letters and digits, in lower case: marks, case and white space don't count as edits."""
+    """Runs of letters and digits, in lower case: marks, case and white space don't count as edits. Of scripts that are
+    written without blanks each letter is a word of its own."""
     return _WORD.findall((text or "").lower())
 
 
@@ -54,9 +61,22 @@ def alignment(item: np.ndarray, region: np.ndarray) -> tuple[int, int, int]:
     return int(cost[end]), int(start[end]), end
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of 64-bit numbers (the finaliser of a split-mix generator)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _step_number(seed: int, step: int) -> int:
+    """63 bits that differ for every seed and step."""
+    return int(_mixed(np.array([seed + step * 0x9E3779B97F4A7C15 & (1 << 64) - 1], np.uint64))[0]) >> 1
+
+
 @dataclass
 class SizeClass:
-    """Items of about one length, with the LSH tables of their embeddings."""
+    """Items of about one length, with the LSH tables of their embeddings and, of each walk, its seed and the sampled
+    places of its tables. Coins aren't stored: they are bits of a hash of seed, step and word."""
 
     members: list[int]
     least: int
@@ -65,7 +85,7 @@ class SizeClass:
     need_rare: int = 0
     known: np.ndarray | None = None
     rare: np.ndarray | None = None
-    bits: list[np.ndarray] = field(default_factory=list)
+    seeds: list[int] = field(default_factory=list)
     places: list[np.ndarray] = field(default_factory=list)
     keys: np.ndarray | None = None
     owners: np.ndarray | None = None
@@ -76,16 +96,24 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]], similarity: float, walks: int, tables: int, places: int, least_words: int, seed: int = 17):
         self.similarity, self.vocab, self.items = similarity, {}, []
+        self.short: dict[tuple[str, ...], list[int]] = defaultdict(list)
         for item_id, text in sorted(items, key=lambda x: (x[0], x[1] or "")):
             w = words(text)
             if len(w) >= least_words:
                 self.items.append((item_id, np.array([self.vocab.setdefault(x, len(self.vocab) + 1) for x in w], np.int32)))
+            elif w:
+                self.short[tuple(w)].append(item_id)
         holders = np.bincount(np.concatenate([np.unique(w) for _, w in self.items]), minlength=len(self.vocab) + 1) if self.items else np.zeros(1, int)
         common_word = holders > max(1, COMMON_SHARE * len(self.items))
         rng = np.random.default_rng(seed)
+        # (item, place in it, words): within the similarity of the whole, one piece at least is within its own
+        self.pieces: list[tuple[int, int, np.ndarray]] = []
+        for i, (_, w) in enumerate(self.items):
+            edges = np.linspace(0, len(w), -(-len(w) // PIECE_WORDS) + 1).astype(int).tolist()
+            self.pieces += [(i, a, w[a:z]) for a, z in zip(edges[:-1], edges[1:], strict=True)]
         self.classes: list[SizeClass] = []
-        for i in sorted(range(len(self.items)), key=lambda i: len(self.items[i][1])):
-            n = len(self.items[i][1])
+        for i in sorted(range(len(self.pieces)), key=lambda i: len(self.pieces[i][2])):
+            n = len(self.pieces[i][2])
             if not self.classes or n > 1.15 * self.classes[-1].least:
                 self.classes.append(SizeClass([], n, n))
             self.classes[-1].members.append(i)
@@ -97,7 +125,7 @@ class Index:
         return int((1 - self.similarity) * n + 1e-9)
 
     def _prepare(self, c: SizeClass, common_word: np.ndarray, rng, walks: int, tables: int, places: int) -> None:
-        own = [self.items[i][1] for i in c.members]
+        own = [self.pieces[i][2] for i in c.members]
         c.known = np.zeros(len(self.vocab) + 1, bool)
         c.known[np.concatenate(own)] = True
         c.rare = c.known & ~common_word
@@ -109,7 +137,7 @@ class Index:
         line = np.concatenate([np.r_[w, np.full(steps, -1, np.int32)] for w in own])
         starts = np.cumsum([0, *[len(w) + steps for w in own[:-1]]])
         for _ in range(walks):
-            c.bits.append(rng.integers(0, 2, (steps, len(self.vocab) + 2), np.uint8).astype(bool))
+            c.seeds.append(int(rng.integers(0, 1 << 62)))
             c.places.append(np.stack([np.sort(rng.choice(steps, min(places, steps), replace=False)) for _ in range(tables)]))
         for k in self.embed(c, line, starts):
             keys.append(k)
@@ -124,37 +152,38 @@ class Index:
         The walk copies the word it stands on, then a coin of the step and the word says whether it moves on. Two
         windows with few edits soon walk in step again, so they differ in few places.
         """
-        for walk, (bits, places) in enumerate(zip(c.bits, c.places, strict=True)):
-            at = starts.copy()
+        for walk, (seed, places) in enumerate(zip(c.seeds, c.places, strict=True)):
+            at, hashed = starts.copy(), _mixed((line.astype(np.int64) + 2).astype(np.uint64) + np.uint64(seed))
             keys = [np.full(len(starts), (walk * 1000 + t + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1, np.uint64) for t in range(len(places))]
             wanted = defaultdict(list)
             for t, p in enumerate(places):
                 for j in p.tolist():
                     wanted[j].append(t)
             for j in range(max(wanted) + 1):
-                here = line[np.minimum(at, len(line) - 1)]
+                mix = hashed[np.minimum(at, len(line) - 1)]
                 if j in wanted:
-                    mix = (here.astype(np.int64) + 2).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
                     for t in wanted[j]:
                         keys[t] = (keys[t] ^ mix) * np.uint64(0x100000001B3)
                         keys[t] ^= keys[t] >> np.uint64(29)
-                at += bits[j][here + 1]
+                at += (mix * np.uint64(2 * _step_number(seed, j) + 1) >> np.uint64(63)).astype(np.int64)
             yield from keys
 
     def search(self, texts: list[str]) -> list[tuple[int, int, int, int, int, int]]:
         """(text number, item_id, edits, words of the item, first word, word after the last), the best place of each pair."""
         get, pad = self.vocab.get, 1
-        lines, owner, offset, at = [], [], [], 0
+        lines, owner, offset, at, equal = [], [], [], 0, []
         for i, t in enumerate(texts):
             w = words(t)
-            if len(w) >= 1:
+            if w and self.short:
+                equal += [(i, item, 0, len(w), 0, len(w)) for item in self.short.get(tuple(w), [])]
+            if len(w) >= 1 and self.items:
                 lines.append(np.fromiter((get(x, 0) for x in w), np.int32, len(w)))
                 lines.append(np.full(pad, -1, np.int32))
                 owner.append(i)
                 offset.append(at)
                 at += len(w) + pad
         if not lines:
-            return []
+            return equal
         line, bounds = np.concatenate(lines), np.array([*offset, at])
         best: dict[tuple[int, int], tuple] = {}
         for c in self.classes:
@@ -162,14 +191,17 @@ class Index:
                 w = self.items[item][1]
                 spare = self.allowed(len(w))
                 lo, hi = max(bounds[d], a[0] - spare), min(bounds[d + 1] - pad, a[1] + len(w) + spare)
+                if hi <= lo:
+                    continue
                 edits, s, e = alignment(w, line[lo:hi])
                 if edits <= spare:
                     key, row = (owner[d], item), (edits, int(lo + s - bounds[d]), int(lo + e - bounds[d]))
                     best[key] = min(best.get(key, row), row)
-        return [(i, self.items[item][0], edits, len(self.items[item][1]), s, e) for (i, item), (edits, s, e) in sorted(best.items())]
+        return equal + [(i, self.items[item][0], edits, len(self.items[item][1]), s, e) for (i, item), (edits, s, e) in sorted(best.items())]
 
     def _pairs(self, c: SizeClass, line: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, tuple[int, int], int]]:
-        """(text, (first, last) start, item) of neighbouring windows of a text that share a key with the item."""
+        """(text, (first, last) start, item) of neighbouring places of a text where the item would start, as windows that share
+        a key with it or with a piece of it tell."""
         wide = c.most + self.allowed(c.most)
         known = c.known[np.maximum(line, 0)] & (line > 0)
         reach = np.minimum(np.arange(len(line)) + wide, len(line))
@@ -179,17 +211,19 @@ class Index:
             total = np.r_[0, np.cumsum(c.rare[np.maximum(line, 0)] & (line > 0))]
             ok &= total[reach] - total[:-1] >= c.need_rare
         starts = np.flatnonzero(ok)
-        hits = set()
+        hits = set()  # text, item, where the item would start
         for i in range(0, len(starts), AT_ONCE):
             part = starts[i : i + AT_ONCE]
             for keys in self.embed(c, line, part):
                 a, z = np.searchsorted(c.keys, keys, "left"), np.searchsorted(c.keys, keys, "right")
                 for k in np.flatnonzero(z > a):
                     d = int(np.searchsorted(bounds, part[k], "right")) - 1
-                    hits.update((d, int(o), int(part[k])) for o in c.owners[a[k] : z[k]])
+                    for o in c.owners[a[k] : z[k]].tolist():
+                        item, before, _ = self.pieces[o]
+                        hits.add((d, item, int(part[k]) - before))
         run: tuple[int, int, int, int] | None = None
         for d, o, s in sorted(hits):
-            if run and (run[:2] != (d, o) or s - run[3] > wide):
+            if run and (run[:2] != (d, o) or s - run[3] > len(self.items[o][1])):
                 yield run[0], run[2:], run[1]
                 run = None
             run = (d, o, run[2] if run else s, s)
@@ -197,26 +231,40 @@ class Index:
             yield run[0], run[2:], run[1]
 
 
-def find(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, walks: int = WALKS, tables: int = TABLES, places: int = PLACES, least_words: int = LEAST_WORDS, block: int = BLOCK) -> DataFrame:
+def _blocks(items: DataFrame, block_bytes: int) -> list[list[int]]:
+    """Groups of items put together to blocks of about so many bytes; one empty block if there are none."""
+    size = items.groupBy("part").agg(F.sum(F.octet_length("text")).alias("b")).orderBy("part").collect()
+    blocks, held = [[]], 0
+    for r in size:
+        if blocks[-1] and held + r["b"] > block_bytes:
+            blocks.append([])
+            held = 0
+        blocks[-1].append(r["part"])
+        held += r["b"]
+    return blocks
+
+
+def find(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, walks: int = WALKS, tables: int = TABLES, places: int = PLACES, least_words: int = LEAST_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Benchmark items that occur in documents with similarity or more, at any place of the whole text.
 
     Output: doc_id, item_id, edits, item_words, start_word, end_word (of the nearest place, words as words() counts
     them), similarity. A window can hold an item only where enough of the item's words, and of its rarer words, are
-    near each other; that test loses nothing. The windows left are embedded by random walks and looked up in LSH
+    near each other; that test loses nothing. Longer items than PIECE_WORDS are looked for by pieces and then aligned whole. The windows left are embedded by random walks and looked up in LSH
     tables, and the pairs found are aligned exactly. The benchmark is a stated query set: its items go to every task,
     in blocks of bounded size, each of which is one pass over the documents; documents are never shuffled.
 
-    Nulls and texts without words match nothing; items shorter than least_words are no evidence and are left out;
-    repeated rows give repeated results; a null doc_id stays null. Empty tables give an empty result.
+    Nulls and texts without words match nothing. An item of fewer than least_words words is found where its words are
+    all of a document's: as a part of a text it is no evidence. Repeated rows give repeated results; a null doc_id
+    stays null. Empty tables give an empty result.
     """
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id is not null and text is not null")
-    blocks = max(1, -(-items.count() // block))
+    items = items.withColumn("part", F.pmod(F.xxhash64("item_id"), F.lit(GROUPS)))
     schema = "doc_id long, item_id long, edits int, item_words int, start_word int, end_word int, similarity double"
     out = None
-    for i in range(blocks):
-        rows = [tuple(r) for r in items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == i).collect()]
+    for parts in _blocks(items, block_bytes):
+        rows = [tuple(r) for r in items.filter(F.col("part").isin(parts)).select("item_id", "text").collect()]
         sent = spark.sparkContext.broadcast(rows)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -224,7 +272,7 @@ def find(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
             for whole in batches:
                 for b in common.pieces(whole, 256):
                     ids = b.column("doc_id").to_pylist()
-                    found = [(ids[i], *rest, 1 - rest[1] / rest[2]) for i, *rest in index.search(common.strings(b))] if index.items else []
+                    found = [(ids[i], *rest, 1 - rest[1] / rest[2]) for i, *rest in index.search(common.strings(b))] if index.items or index.short else []
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([r[k] for r in found], t) for k, t in enumerate([pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.float64()])],
                         names=["doc_id", "item_id", "edits", "item_words", "start_word", "end_word", "similarity"],

@@ -684,17 +684,44 @@ def test_decontaminate_recall_under_edits(spark, texts):
             w[p : p + 1] = rnd.choice([[], [rnd.choice(filler)], [w[p], "inserted"]])
         b = rnd.randrange(len(filler) - 200)
         rows.append((i, " ".join(["zq"] * 30 + w + filler[b : b + 60])))
-    out = decontaminate.find(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"), block=30)
+    out = decontaminate.find(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"), block_bytes=4_000)
     got = {(r["doc_id"], r["item_id"]) for r in out.collect()}
     near = {(i, i) for i in range(80) if edit_distance(decontaminate.words(bench[i][1]), decontaminate.words(rows[i][1])) <= 0.2 * len(bench[i][1].split()) + 1e-9}
     assert len(near & got) >= 0.9 * len(near) and len(near) > 70
 
 
 def test_decontaminate_odd(spark, odd, empty):
-    bench = spark.createDataFrame([(1, None), (2, ""), (3, "same text here"), (4, " ".join(f"w{i}" for i in range(20, 60))), (None, "x y z")], "item_id long, text string")
-    got = sorted((r["doc_id"], r["item_id"], r["edits"]) for r in decontaminate.find(odd, bench).collect())
-    assert got == [(7, 4, 0), (8, 4, 0)]
+    bench = spark.createDataFrame([(1, None), (2, ""), (3, "same text here"), (5, "Text here"), (4, " ".join(f"w{i}" for i in range(20, 60))), (None, "x y z")], "item_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"], r["edits"]) for r in decontaminate.find(odd.filter("doc_id is not null"), bench).collect())
+    # a short item counts where it is the whole document
+    assert got == [(4, 3, 0), (5, 3, 0), (5, 3, 0), (7, 4, 0), (8, 4, 0)]
     assert decontaminate.find(empty, bench).collect() == []
     assert decontaminate.find(odd, bench.filter("false")).collect() == []
     kept = decontaminate.clean(odd, bench)
-    assert kept.columns == odd.columns and kept.count() == len(ODD) - 2
+    assert kept.columns == odd.columns and kept.count() == len(ODD) - 5
+
+
+def test_decontaminate_scripts_without_blanks_and_long_items(spark):
+    rnd = random.Random(8)
+    han = "".join(chr(0x4E00 + rnd.randrange(3000)) for _ in range(120))
+    thai = "".join(chr(0x0E01 + rnd.randrange(40)) for _ in range(80))
+    long = " ".join(f"v{rnd.randrange(5000)}" for _ in range(6000))
+    edited = long.split()
+    for _ in range(300):
+        edited[rnd.randrange(6000)] = "other"
+    bench = spark.createDataFrame([(1, han), (2, thai), (3, long)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "前" * 40 + han[:50] + "改" + han[51:] + "後" * 9), (2, "x " + thai + " y"), (3, "a b c " * 50 + " ".join(edited) + " z" * 50), (4, "x y z"), (5, "今日は" * 30)], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["edits"] for r in decontaminate.find(docs, bench).collect()}
+    assert got.keys() == {(1, 1), (2, 2), (3, 3)} and got[1, 1] == 1 and got[2, 2] == 0
+
+
+def test_decontaminate_index_is_no_larger_than_its_items():
+    """One item of thousands of words takes no table of coins: the index holds its words and its keys."""
+    import tracemalloc
+
+    rnd = random.Random(2)
+    text = " ".join(f"v{rnd.randrange(6000)}" for _ in range(6000))
+    tracemalloc.start()
+    decontaminate.Index([(1, text)], 0.8, decontaminate.WALKS, decontaminate.TABLES, decontaminate.PLACES, 5)
+    assert tracemalloc.get_traced_memory()[1] < 20 << 20
+    tracemalloc.stop()
