@@ -8,25 +8,86 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm import common, ppm
 
 #: Added to every count of the unigram.
 ADD = 0.1
+#: Rows of one word that a task gets, about, before they are dealt over salts.
+ROWS_A_SALT = 4096
 #: Text bytes of a block, about: what one task holds at a time.
 BLOCK_BYTES = 16 << 20
-#: Bytes of the longest context.
-ORDER = 4
+#: Bytes of the longest context, and code points that a piece of a very long text repeats of the one before.
+ORDER, LEAD = 4, 8
 
 
 def blocks(docs: DataFrame, held_out: Column, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, text, held_out, block), written to the shared folder: neighbouring rows of about block_bytes make a block."""
+    """(doc_id, row, held_out, text, lead, first, last, block), written to the shared folder: pieces of texts, in blocks of
+    neighbouring rows that hold about block_bytes at most, however long the texts are.
+
+    Most texts are one piece. A longer one than block_bytes is cut before white space: every piece but the first holds
+    in its front some bytes of the one before (lead tells how many), as context of what follows. row names the text.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId() << 33
+        row, block, held, extra = task, task, 0, 0
+        names = ["doc_id", "row", "held_out", "text", "lead", "first", "last", "block"]
+        for whole in batches:
+            for b in common.pieces(whole):
+                size = pc.binary_length(b.column("text")).to_numpy(zero_copy_only=False).astype(np.int64)
+                at = np.empty(b.num_rows, np.int64)
+                for i, n in enumerate(size.tolist()):
+                    if held and held + n > block_bytes:
+                        block, held = block + 1, 0
+                    at[i], held = block, held + n
+                long = np.flatnonzero(size > block_bytes).tolist()
+                for i, z in zip([0, *[k + 1 for k in long]], [*long, b.num_rows], strict=True):
+                    n = z - i
+                    if n:
+                        fixed = [np.zeros(n, np.int32), np.ones(n, bool), np.ones(n, bool), at[i:z]]
+                        some = b.slice(i, n)
+                        yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(row + np.arange(i, z)), some.column("held_out"), some.column("text"), *map(pa.array, fixed)], names=names)
+                for k in long:
+                    one, front = b.slice(k, 1), ""
+                    pieces = list(common.parts(one.column("text")[0].as_py(), max(1, block_bytes // 4)))
+                    for i, t in enumerate(pieces):
+                        # a block of its own for each piece; the text's own number is the first one's
+                        where = int(at[k]) if i == 0 else task + (1 << 32) + extra
+                        extra += i > 0
+                        rest = [pa.array([len(front.encode("utf-8", "surrogatepass"))], pa.int32()), pa.array([i == 0]), pa.array([i == len(pieces) - 1]), pa.array([where])]
+                        yield pa.RecordBatch.from_arrays([one.column("doc_id"), pa.array([row + k]), one.column("held_out"), pa.array([front + t]), *rest], names=names)
+                        front = (front + t)[-LEAD:]
+                row += b.num_rows
+
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), held_out.alias("held_out"))
-    size = source.agg(F.sum(F.octet_length("text")).alias("b"), F.count(F.lit(1)).alias("n")).first()
-    rows = max(1, int(block_bytes * (size["n"] or 1) / max(1, size["b"] or 1)))
-    return common.stage(source.withColumn("row", F.monotonically_increasing_id()).withColumn("block", F.expr(f"row div {rows}")).drop("row"), "lm-blocks")
+    return common.stage(source.mapInArrow(run, "doc_id long, row long, held_out boolean, text string, lead int, first boolean, last boolean, block long"), "lm-blocks")
+
+
+def _own_text(b: pa.RecordBatch | pa.Table) -> pa.Array:
+    """The pieces without what they repeat of the piece before."""
+    text = b.column("text")
+    text = text.combine_chunks() if isinstance(text, pa.ChunkedArray) else text
+    lead = np.asarray(b.column("lead").to_numpy())
+    if not lead.any():
+        return text
+    return pa.array([t.encode("utf-8", "surrogatepass")[k:].decode("utf-8", "surrogatepass") for t, k in zip(text.to_pylist(), lead.tolist(), strict=True)], pa.string())
+
+
+def _piece_grams(b: pa.RecordBatch | pa.Table, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """ppm.grams of the pieces: what a piece repeats is context only, and only a text's last piece has an end."""
+    g, begins = ppm.grams(_encoded(common.strings(b)), order)
+    lead, last = np.asarray(b.column("lead").to_numpy()), np.asarray(b.column("last").to_numpy(zero_copy_only=False), bool)
+    if last.all() and not lead.any():
+        return g, begins
+    keep, ends = np.ones(len(g), bool), np.r_[begins[1:], len(g)]
+    for i in np.flatnonzero((lead > 0) | ~last).tolist():
+        keep[begins[i] : begins[i] + lead[i]] = False
+        keep[ends[i] - (not last[i]) : ends[i]] = False
+    return g[keep], np.r_[0, np.cumsum(keep)][begins]
 
 
 def coded_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -93,7 +154,7 @@ def block_grams(rows: DataFrame, order: int = ORDER) -> DataFrame:
                 yield from close()
                 held, block = 0, at
             for b in common.pieces(run):
-                g, begins = ppm.grams(_encoded(common.strings(b)), order)
+                g, begins = _piece_grams(b, order)
                 learn = np.asarray(b.column("held_out").to_numpy(zero_copy_only=False), bool) == 0
                 code, found = pd.factorize(g)
                 keys.append(found), sums.append(np.bincount(code[np.repeat(learn, np.diff(np.r_[begins, len(g)]))], minlength=len(found)))
@@ -103,7 +164,7 @@ def block_grams(rows: DataFrame, order: int = ORDER) -> DataFrame:
                     held = 0
         yield from close()
 
-    return rows.select("text", "held_out", "block").mapInArrow(count, "block long, gram long, own long")
+    return rows.select("text", "held_out", "block", "lead", "last").mapInArrow(count, "block long, gram long, own long")
 
 
 def gram_costs(counted: DataFrame, order: int = ORDER) -> DataFrame:
@@ -137,7 +198,7 @@ def train_ppm(rows: DataFrame) -> ppm.Model:
 
     score() doesn't use it: there each block gets the costs of its own grams.
     """
-    own = block_grams(rows.filter("not held_out").withColumn("block", F.lit(0).cast("long")), ppm.ORDER)
+    own = block_grams(rows.filter("not held_out").withColumns({"block": F.lit(0).cast("long"), "lead": F.lit(0), "last": F.lit(True)}), ppm.ORDER)
     found = own.groupBy("gram").agg(F.sum("own").alias("n")).toArrow()
     gram, count = (found.column(c).to_numpy().astype(np.int64) for c in ("gram", "n"))
     tables = []
@@ -185,26 +246,29 @@ def score(docs: DataFrame, held_out: Column, block_bytes: int = BLOCK_BYTES, ord
                 yield from close()
                 block = at
             for b in common.pieces(run, 2048):
-                w, place, ends = coded_words(b.column("text"))
+                w, place, ends = coded_words(_own_text(b))
                 learn = ~np.asarray(b.column("held_out").to_numpy(zero_copy_only=False), bool)
                 words.append(w), counts.append(np.bincount(place[np.repeat(learn, np.diff(np.r_[0, ends]))], minlength=len(w)))
         yield from close()
 
     # a block's rows may be read by several tasks, so a word may have more than one row for a block
-    counted = rows.select("text", "held_out", "block").mapInArrow(count, "block long, word string, own long").withColumn("row", F.monotonically_increasing_id())
-    of_word = Window.partitionBy("word")
-    seen = Observation("words")
-    totals = counted.withColumns({"total": F.sum("own").over(of_word), "first": F.min("row").over(of_word)}).observe(
-        seen, F.sum("own").alias("n"), F.count(F.when((F.col("row") == F.col("first")) & (F.col("total") > 0), F.col("word"))).alias("v")
-    )
-    replies = common.stage(totals.filter("total <> own").select("block", "word", "total"), "lm-replies")
-    ends = rows.filter("not held_out").count()
-    got = seen.get
+    counted = common.stage(rows.select("text", "held_out", "block", "lead").mapInArrow(count, "block long, word string, own long"), "lm-block-words")
+    sums = common.stage(counted.groupBy("word").agg(F.sum("own").alias("total"), F.count(F.lit(1)).alias("blocks")), "lm-words")
+    got = sums.agg(F.sum("total").alias("n"), F.count(F.when(F.col("total") > 0, 1)).alias("v")).first()
+    # a common word has a row in every block: its sum is dealt over salts, so that no task gets all of them
+    dealt = sums.filter("blocks > 1").select("word", "total", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(common.SALTS), F.col("blocks") / ROWS_A_SALT).cast("long"))).alias("salt"), F.least(F.lit(common.SALTS), F.col("blocks") / ROWS_A_SALT).cast("long").alias("salts"))
+    hot = common.stage(dealt.filter("salts > 0 and salt = 0").select("word", "salts"), "lm-hot-words")
+    n_hot = hot.count()
+    salted = counted.withColumn("salt", F.lit(0).cast("long"))
+    if n_hot:
+        salted = counted.join(common.small_side(hot, n_hot, 40), "word", "left").withColumn("salt", F.coalesce(F.pmod(F.col("block"), F.col("salts") + 1), F.lit(0).cast("long"))).drop("salts")
+    replies = salted.join(dealt.drop("salts").hint("merge"), ["word", "salt"]).filter("total <> own").select("block", "word", "total")
+    ends = rows.filter("not held_out and last").count()
     train = (got["n"] or 0) + ends
     kinds = (got["v"] or 0) + (ends > 0)
     floor = np.log10(train + ADD * (kinds + 1))
     asked = common.stage(block_grams(rows, order), "lm-block-grams")
-    costs = gram_costs(common.stage(asked.groupBy("gram").agg(F.sum("own").alias("n")), "lm-grams"), order)
+    costs = common.stage(gram_costs(asked.groupBy("gram").agg(F.sum("own").alias("n")), order), "lm-costs")
     # one table of replies: a word with its sum, or a gram (word is null) with its cost
     costly = asked.join(costs, "gram").select("block", F.lit(None).cast("string").alias("word"), F.col("gram").alias("n"), "cost")
     answers = replies.select("block", "word", F.col("total").alias("n"), F.lit(None).cast("double").alias("cost")).unionByName(costly)
@@ -215,7 +279,7 @@ def score(docs: DataFrame, held_out: Column, block_bytes: int = BLOCK_BYTES, ord
         keys, first = np.unique(grams.column("n").to_numpy(), return_index=True)
         priced, cost = pd.Index(keys), grams.column("cost").to_numpy()[first]
         del grams
-        column = texts.column("text").combine_chunks()
+        column = _own_text(texts)
         learn = ~np.asarray(texts.column("held_out").combine_chunks().to_numpy(zero_copy_only=False), bool)
         words, place, after = coded_words(column)
         sizes = np.diff(np.r_[0, after])
@@ -231,20 +295,26 @@ def score(docs: DataFrame, held_out: Column, block_bytes: int = BLOCK_BYTES, ord
             some = sizes[i : i + 1024] > 0
             base[i : i + 1024] = np.where(some, np.add.reduceat(np.r_[logs[part], 0.0], k), 0.0)
             n_known[i : i + 1024] = np.where(some, np.add.reduceat(np.r_[known[part], False].astype(np.int64), k), 0)
-        n_known += ends > 0
-        base += np.log10(ends + ADD) - floor * (sizes + 1)
+        last = np.asarray(texts.column("last").to_numpy(zero_copy_only=False), bool)
+        n_known += last & (ends > 0)
+        base += np.log10(ends + ADD) * last - floor * (sizes + last)
         del words, place
         whole = np.zeros(len(sizes))
         for i in range(0, len(column), 256):
-            g, begins = ppm.grams(_encoded(column.slice(i, 256).to_pylist()), order)
+            g, begins = _piece_grams(texts.slice(i, 256), order)
             found = priced.get_indexer(g)
             if (found < 0).any():
                 raise ValueError("a gram of the block has no cost")
-            whole[i : i + 256] = np.add.reduceat(cost[found], begins)
+            whole[i : i + 256] = np.add.reduceat(cost[found], begins) if len(found) else 0
         pa.default_memory_pool().release_unused()
-        return pa.table(
-            {"doc_id": texts.column("doc_id"), "held_out": texts.column("held_out"), "n_tokens": pa.array(sizes + 1), "n_known": pa.array(n_known), "train_tokens": pa.array(np.full(len(base), train)), "base_score": pa.array(base), "score": pa.array(whole)}
-        )
-
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(each, schema)
+        fixed = {"n_tokens": sizes + last, "n_known": n_known, "base_score": base, "score": whole}
+        return pa.table({**{c: texts.column(c) for c in ("doc_id", "row", "held_out", "first", "last")}, **{c: pa.array(v) for c, v in fixed.items()}})
+
+    scored = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(each, "doc_id long, row long, held_out boolean, first boolean, last boolean, n_tokens long, n_known long, base_score double, score double")
+    if rows.filter("not last").isEmpty():
+        found = scored.drop("row", "first", "last")
+    else:  # texts of several pieces
+        scored = common.stage(scored, "lm-scored")
+        more = scored.filter("not (first and last)").groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("held_out").alias("held_out"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
+        found = scored.filter("first and last").drop("row", "first", "last").unionByName(more.drop("row"))
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(train).cast("long").alias("train_tokens"), "base_score", "score")

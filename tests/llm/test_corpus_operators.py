@@ -560,6 +560,26 @@ def test_lm_base_score(spark, docs, texts, block):
         assert r["score"] < 0
 
 
+def test_lm_blocks_are_bounded_and_long_texts_are_cut(spark, monkeypatch):
+    """A text longer than a block is scored in pieces as if it were whole."""
+    rnd = random.Random(6)
+    texts = {i: " ".join(rnd.choice(["tree", "Ünï", "house", "漢字", "a"]) for _ in range(n)) + rnd.choice(["", " "]) for i, n in enumerate([3, 5000, 0, 40, 700, 2500, 12])}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(2)
+    held = F.col("doc_id") % 3 == 0
+    size = F.octet_length("text") - F.col("lead")
+    for block in (300, 4_000):
+        cut = lm_scoring.blocks(df, held, block)
+        assert cut.groupBy("block").agg(F.sum(size).alias("b")).filter(f"b > {block} + 600").count() == 0
+        assert cut.agg(F.sum(size)).first()[0] == sum(len(t.encode()) for t in texts.values())
+        small, whole = ({r["doc_id"]: tuple(r) for r in lm_scoring.score(df, held, b).collect()} for b in (block, 1 << 24))
+        assert small.keys() == whole.keys() == texts.keys()
+        for i in texts:
+            assert small[i] == pytest.approx(whole[i])
+    monkeypatch.setattr(lm_scoring, "ROWS_A_SALT", 2)
+    salted = {r["doc_id"]: tuple(r) for r in lm_scoring.score(df, held, 300).collect()}
+    assert all(salted[i] == pytest.approx(whole[i]) for i in texts)
+
+
 def test_lm_odd(odd, empty):
     held = common.text_bucket("doc_id", 10) == 0
     got = lm_scoring.score(odd, held).collect()
