@@ -9,15 +9,15 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm import common, ppm
 
 #: Added to every count of the unigram.
 ADD = 0.1
-#: Rows of one word that a task gets, about, before they are dealt over salts.
-ROWS_A_SALT = 4096
+#: Rows of one word that a task gets, and of how many blocks one shows which words are common.
+ROWS_A_TASK, SAMPLE = 4096, 16
 #: Text bytes of a block, about: what one task holds at a time.
 BLOCK_BYTES = 16 << 20
 #: Bytes of the longest context, and code points that a piece of a very long text repeats of the one before.
@@ -213,6 +213,37 @@ def _summed(keys: list[np.ndarray], sums: list[np.ndarray]) -> tuple[list[np.nda
     return [found], [np.bincount(code, np.concatenate(sums), len(found)).astype(np.int64)]
 
 
+def word_sums(counted: DataFrame, blocks: int) -> tuple[DataFrame, int, int]:
+    """(block, word, total) of every word of a block that other blocks hold too, the sum of all counts, and the words
+    counted at all. counted: (block, word, own).
+
+    A word's rows meet in one task, at most one for each block. With more than ROWS_A_TASK blocks common words, as
+    every SAMPLE-th block shows them, take another way: their sums are combined before the shuffle, and go back to
+    their rows by (word, salt). Which way a word takes changes no result.
+    """
+    common_sums = None
+    if blocks > ROWS_A_TASK:
+        counted = common.stage(counted, "lm-block-words")
+        some = counted.filter(F.pmod(F.xxhash64("block"), F.lit(SAMPLE)) == 0).groupBy("word").agg(F.count(F.lit(1)).alias("rows"))
+        often = common.stage(some.filter(F.col("rows") > ROWS_A_TASK // SAMPLE).select("word"), "lm-common-words")
+        side = common.small_side(often, often.count(), 40)
+        hot = counted.join(side, "word", "left_semi").withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(common.SALTS)).cast("int"))
+        counted = counted.join(side, "word", "left_anti")
+        common_sums = common.stage(hot.groupBy("word").agg(F.sum("own").alias("total")), "lm-common-sums")
+    of_word = Window.partitionBy("word")
+    seen = Observation("words")
+    totals = counted.withColumn("row", F.monotonically_increasing_id()).withColumns({"total": F.sum("own").over(of_word), "first": F.min("row").over(of_word)})
+    replies = totals.observe(seen, F.sum("own").alias("n"), F.count(F.when((F.col("row") == F.col("first")) & (F.col("total") > 0), F.col("word"))).alias("v"))
+    replies = common.stage(replies.filter("total <> own").select("block", "word", "total"), "lm-replies")
+    n, v = seen.get["n"] or 0, seen.get["v"] or 0
+    if common_sums is not None:
+        more = common_sums.agg(F.sum("total").alias("n"), F.count(F.when(F.col("total") > 0, 1)).alias("v")).first()
+        n, v = n + (more["n"] or 0), v + more["v"]
+        dealt = common_sums.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(common.SALTS - 1))))
+        replies = replies.unionByName(hot.join(dealt, ["word", "salt"]).filter("total <> own").select("block", "word", "total"))
+    return replies, n, v
+
+
 def score(docs: DataFrame, held_out: Column, block_bytes: int = BLOCK_BYTES, order: int = ORDER) -> DataFrame:
     """Scores every document by models of those for which held_out is false.
 
@@ -252,23 +283,13 @@ def score(docs: DataFrame, held_out: Column, block_bytes: int = BLOCK_BYTES, ord
         yield from close()
 
     # a block's rows may be read by several tasks, so a word may have more than one row for a block
-    counted = common.stage(rows.select("text", "held_out", "block", "lead").mapInArrow(count, "block long, word string, own long"), "lm-block-words")
-    sums = common.stage(counted.groupBy("word").agg(F.sum("own").alias("total"), F.count(F.lit(1)).alias("blocks")), "lm-words")
-    got = sums.agg(F.sum("total").alias("n"), F.count(F.when(F.col("total") > 0, 1)).alias("v")).first()
-    # a common word has a row in every block: its sum is dealt over salts, so that no task gets all of them
-    dealt = sums.filter("blocks > 1").select("word", "total", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(common.SALTS), F.col("blocks") / ROWS_A_SALT).cast("long"))).alias("salt"), F.least(F.lit(common.SALTS), F.col("blocks") / ROWS_A_SALT).cast("long").alias("salts"))
-    hot = common.stage(dealt.filter("salts > 0 and salt = 0").select("word", "salts"), "lm-hot-words")
-    n_hot = hot.count()
-    salted = counted.withColumn("salt", F.lit(0).cast("long"))
-    if n_hot:
-        salted = counted.join(common.small_side(hot, n_hot, 40), "word", "left").withColumn("salt", F.coalesce(F.pmod(F.col("block"), F.col("salts") + 1), F.lit(0).cast("long"))).drop("salts")
-    replies = salted.join(dealt.drop("salts").hint("merge"), ["word", "salt"]).filter("total <> own").select("block", "word", "total")
+    counted = rows.select("text", "held_out", "block", "lead").mapInArrow(count, "block long, word string, own long")
+    replies, n, v = word_sums(counted, rows.select("block").distinct().count())
     ends = rows.filter("not held_out and last").count()
-    train = (got["n"] or 0) + ends
-    kinds = (got["v"] or 0) + (ends > 0)
+    train, kinds = n + ends, v + (ends > 0)
     floor = np.log10(train + ADD * (kinds + 1))
     asked = common.stage(block_grams(rows, order), "lm-block-grams")
-    costs = common.stage(gram_costs(asked.groupBy("gram").agg(F.sum("own").alias("n")), order), "lm-costs")
+    costs = gram_costs(common.stage(asked.groupBy("gram").agg(F.sum("own").alias("n")), "lm-grams"), order)
     # one table of replies: a word with its sum, or a gram (word is null) with its cost
     costly = asked.join(costs, "gram").select("block", F.lit(None).cast("string").alias("word"), F.col("gram").alias("n"), "cost")
     answers = replies.select("block", "word", F.col("total").alias("n"), F.lit(None).cast("double").alias("cost")).unionByName(costly)

@@ -575,7 +575,7 @@ def test_lm_blocks_are_bounded_and_long_texts_are_cut(spark, monkeypatch):
         assert small.keys() == whole.keys() == texts.keys()
         for i in texts:
             assert small[i] == pytest.approx(whole[i])
-    monkeypatch.setattr(lm_scoring, "ROWS_A_SALT", 2)
+    monkeypatch.setattr(lm_scoring, "ROWS_A_TASK", 16)
     salted = {r["doc_id"]: tuple(r) for r in lm_scoring.score(df, held, 300).collect()}
     assert all(salted[i] == pytest.approx(whole[i]) for i in texts)
 
