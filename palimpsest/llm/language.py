@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,8 +17,10 @@ from palimpsest.llm import common
 MAX_PER_LANGUAGE = 4_000
 #: Nats that a change of language costs.
 SWITCH = 12.0
-#: Nats that a word loses under a language that doesn't use its script.
+#: Nats by which a word is less likely under languages that don't use its script than under the worst that does.
 OTHER_SCRIPT = 40.0
+#: Code points of a text that are scored at a time, about.
+STRETCH = 1 << 18
 #: Letters are hashed to 1-63; 0 stands before and after a word.
 SYMBOLS = 64
 UNKNOWN = "und"
@@ -103,50 +105,107 @@ class Model:
     scripts: np.ndarray  # which scripts (rows) each language uses
 
 
-def path_labels(emit: np.ndarray, switch: float) -> np.ndarray:
-    """The most likely language of each word: Viterbi with a cost for each change.
+def scored(model: Model, w: Words) -> np.ndarray:
+    """Log probability of each word under each language (a column).
 
-    One language all through is proven best without the recursion when no run of words gains as much under
-    others as a change costs: a path that leaves it pays for each run at least once.
+    The script of a word's first letter narrows the candidates: only languages that use it score the word, and the
+    others get OTHER_SCRIPT less than the worst of them. A script that no language uses says nothing.
     """
-    n, k = emit.shape
-    total = emit.sum(0)
-    lead = int(np.argmax(total))
-    if k == 1:
-        return np.zeros(n, np.int64)
-    gain = emit - emit[:, lead : lead + 1]
-    gain[:, lead] = -np.inf
-    run = np.r_[0.0, np.cumsum(gain.max(1))]
-    if (run - np.minimum.accumulate(run)).max() <= switch:
-        return np.full(n, lead)
-    back = np.empty((n, k), np.int64)
-    best, own = emit[0].tolist(), list(range(k))
-    for t, e in enumerate(emit.tolist()):
-        if t == 0:
+    emit = np.zeros((len(w.begins), len(model.languages)))
+    sizes = w.letters + 1
+    of_gram = np.repeat(w.script, sizes)
+    for script in np.unique(w.script).tolist():
+        able = np.flatnonzero(model.scripts[script])
+        if not len(able):
             continue
-        top = max(range(k), key=best.__getitem__)
-        over = best[top] - switch
-        back[t] = [j if best[j] >= over else top for j in own]
-        best = [(b if b >= over else over) + x for b, x in zip(best, e, strict=True)]
-    out = np.empty(n, np.int64)
-    out[-1] = max(own, key=best.__getitem__)
-    for t in range(n - 1, 0, -1):
-        out[t - 1] = back[t, out[t]]
-    return out
+        rows = np.flatnonzero(w.script == script)
+        grams = w.grams[of_gram == script]
+        begins = np.cumsum(sizes[rows]) - sizes[rows]
+        own = np.add.reduceat(model.scores[grams][:, able] if len(able) < len(model.languages) else model.scores[grams], begins, axis=0).astype(np.float64)
+        emit[rows] = own.min(1, keepdims=True) - OTHER_SCRIPT
+        emit[np.ix_(rows, able)] = own
+    return emit
+
+
+class Path:
+    """Viterbi over stretches of one text: fed with the scores of word after word, it gives the most likely languages."""
+
+    def __init__(self, languages: int, switch: float):
+        self.k, self.switch, self.best, self.back = languages, switch, None, []
+
+    def feed(self, emit: np.ndarray) -> None:
+        back, own = np.empty(emit.shape, np.uint8 if self.k < 256 else np.int32), range(self.k)
+        best = self.best
+        for t, e in enumerate(emit.tolist()):
+            if best is None:
+                best, back[t] = e, own
+                continue
+            top = max(own, key=best.__getitem__)
+            over = best[top] - self.switch
+            back[t] = [j if best[j] >= over else top for j in own]
+            best = [(b if b >= over else over) + x for b, x in zip(best, e, strict=True)]
+        self.best = best
+        self.back.append(back)
+
+    def labels(self) -> np.ndarray:
+        out = np.empty(sum(map(len, self.back)), self.back[0].dtype)
+        at, x = len(out), max(range(self.k), key=self.best.__getitem__)
+        for back in reversed(self.back):
+            for t in range(len(back) - 1, -1, -1):
+                at -= 1
+                out[at] = x
+                x = back[t, x]
+        return out
+
 
+def path_labels(stretches: Callable[[], Iterator[np.ndarray]], k: int, switch: float) -> np.ndarray:
+    """The most likely language of each word: Viterbi with a cost for each change.
 
-def label(model: Model, texts: list[str], switch: float = SWITCH) -> list[list[tuple[int, int, np.ndarray, np.ndarray]]]:
-    """Of each text (words, path of language numbers, letters of each word); None without letters."""
-    w = code(texts)
+    stretches() gives the scores of a text's words, a stretch at a time, and may be called again. One language all
+    through is proven best without the recursion when no run of words gains as much under others as a change costs: a
+    path that leaves it pays for each run at least once.
+    """
+    total, n = np.zeros(k), 0
+    for emit in stretches():
+        total += emit.sum(0)
+        n += len(emit)
+    lead = int(np.argmax(total))
+    held = most = 0.0
+    if k > 1:
+        for emit in stretches():
+            gain = emit - emit[:, lead : lead + 1]
+            gain[:, lead] = -np.inf
+            run = held + np.cumsum(gain.max(1))
+            low = np.minimum(np.minimum.accumulate(np.r_[0.0, run]), 0.0)[:-1]  # held starts at its own least, 0
+            most = max(most, float((run - low).max()), 0.0)
+            held = max(0.0, float(run[-1] - min(0.0, run.min())))
+    if most <= switch:
+        return np.full(n, lead, np.int64)
+    path = Path(k, switch)
+    for emit in stretches():
+        path.feed(emit)
+    return path.labels()
+
+
+def label(model: Model, texts: list[str], switch: float = SWITCH) -> list[tuple[np.ndarray, np.ndarray] | None]:
+    """Of each text (language number of each word, letters of each word); None without letters.
+
+    Texts longer than STRETCH are scored a stretch at a time, so that memory holds a word's label and letters only.
+    """
     out: list = [None] * len(texts)
-    if not len(w.begins):
-        return out
-    emit = np.add.reduceat(model.scores[w.grams], w.begins, axis=0).astype(np.float64)
-    uses = model.scripts[w.script]
-    emit -= OTHER_SCRIPT * (~uses & uses.any(1, keepdims=True))
-    cuts = np.r_[0, np.flatnonzero(np.diff(w.owner)) + 1, len(w.owner)]
-    for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        out[w.owner[a]] = (path_labels(emit[a:z], switch), w.letters[a:z])
+    short = [i for i, t in enumerate(texts) if len(t) <= STRETCH]
+    w, k = code([texts[i] for i in short]), len(model.languages)
+    if len(w.begins):
+        emit = scored(model, w)
+        cuts = np.r_[0, np.flatnonzero(np.diff(w.owner)) + 1, len(w.owner)]
+        for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            out[short[w.owner[a]]] = (path_labels(lambda a=a, z=z: iter([emit[a:z]]), k, switch), w.letters[a:z])
+    for i, t in enumerate(texts):
+        if len(t) > STRETCH:
+            words = lambda t=t: (x for p in common.parts(t, STRETCH) if len((x := code([p])).begins))
+            letters = [x.letters.astype(np.int32) for x in words()]
+            if letters:
+                out[i] = (path_labels(lambda words=words: (scored(model, x) for x in words()), k, switch), np.concatenate(letters))
     return out
 
 

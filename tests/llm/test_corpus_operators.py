@@ -223,9 +223,69 @@ def test_language_odd(spark, odd, empty):
 def test_viterbi_is_the_best_path(seed):
     rng = np.random.default_rng(seed)
     emit = rng.normal(0, 2, (7, 3))
+    emit[:, 0] += seed  # from mixed to one language all through
     cost = lambda p: sum(emit[i, x] for i, x in enumerate(p)) - 1.5 * sum(a != b for a, b in itertools.pairwise(p))
     best = max(map(cost, itertools.product(range(3), repeat=7)))
-    assert cost(language.path_labels(emit, 1.5)) == pytest.approx(best)
+    for cuts in ([], [3], [1, 2, 5]):
+        assert cost(language.path_labels(lambda cuts=cuts: iter(np.split(emit, cuts)), 3, 1.5)) == pytest.approx(best)
+
+
+def test_language_scores_are_plain_ones(spark, sf_dir, texts, docs, monkeypatch):
+    """The query against a plain reading: smoothed trigrams by counting, a script's languages only, the best path."""
+    held = common.text_bucket("doc_id", 3) == 1
+    train = [(r["lang"], r["text"]) for r in docs.filter(~held).filter("text is not null and lang is not null").collect()]
+    names = sorted({lang for lang, _ in train})
+    table, kind = language.tables()
+    symbols = lambda word: [int(table[min(ord(c), 65535)]) for c in word]
+    plain = lambda t: re.findall(r"[^\W\d_]+", t.lower())
+    counts = {x: [collections.Counter() for _ in range(3)] for x in names}
+    uses = {x: collections.Counter() for x in names}
+    for lang, t in train:
+        for word in plain(t):
+            uses[lang][int(kind[ord(word[0])])] += 1
+            line = [0, 0, *symbols(word), 0]
+            for i in range(2, len(line)):
+                for n in range(3):
+                    counts[lang][n][tuple(line[i - n : i + 1])] += 1
+    before = {x: [collections.Counter(), collections.Counter(), collections.Counter()] for x in names}
+    for x in names:
+        for n in range(3):
+            for g, k in counts[x][n].items():
+                before[x][n][g[:-1]] += k
+
+    def p(x, g):
+        c1, c2, c3 = counts[x]
+        one = (c1[g[2:]] + 0.5) / (before[x][0][()] + 0.5 * 64)
+        two = (c2[g[1:]] + 8 * one) / (before[x][1][g[1:-1]] + 8)
+        return (c3[g] + 8 * two) / (before[x][2][g[:-1]] + 8)
+
+    model = language.fit(docs.filter(~held))
+    assert model.languages == names
+    sample = [t for t in list(texts.values())[:12] if t]
+    for t in sample:
+        w = language.code([t])
+        assert len(w.begins) == len(plain(t))
+        got = language.scored(model, w)
+        for i, word in enumerate(plain(t)[:200]):
+            line, script = [0, 0, *symbols(word), 0], int(kind[ord(word[0])])
+            want = [sum(np.log(p(x, tuple(line[j - 2 : j + 1]))) for j in range(2, len(line))) if model.scripts[script][names.index(x)] else None for x in names]
+            for a, b in zip(got[i], want, strict=True):
+                assert b is None or a == pytest.approx(b, abs=2e-3)
+    whole = language.label(model, sample)
+    monkeypatch.setattr(language, "STRETCH", 300)
+    for a, b in zip(whole, language.label(model, sample), strict=True):
+        assert a[0].tolist() == b[0].tolist() and a[1].tolist() == b[1].tolist()
+
+
+def test_language_memory_of_a_long_text(spark):
+    import tracemalloc
+
+    m = language.fit(spark.createDataFrame([(1, "the cat and the dog", "en"), (2, "der hund und die katze", "de")], "doc_id long, text string, lang string"))
+    text = "the cat and the dog " * 400_000  # 8 MB
+    tracemalloc.start()
+    path, letters = language.label(m, [text])[0]
+    assert tracemalloc.get_traced_memory()[1] < 120 << 20 and len(path) == len(letters) == 2_000_000
+    tracemalloc.stop()
 
 
 # 4 -------------------------------------------------------------------------------------------------------------------
