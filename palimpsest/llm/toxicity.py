@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,7 +22,9 @@ MAX_PER_CLASS = 20_000
 LEARN_OF_TEN = 7
 #: Symbols: 0 ends an expression, 1-26 are a-z, other letters are hashed over 1-30, digits are 31.
 SYMBOLS = 32
-FEATURES = 4
+#: Code points of a text that are coded at a time, about.
+STRETCH = 1 << 18
+FEATURES = 3
 
 _TABLE: np.ndarray | None = None
 _BUILT: dict[str, np.ndarray] = {}
@@ -85,12 +88,13 @@ def _estimates(counts: np.ndarray, lower: np.ndarray) -> np.ndarray:
     return np.where(total > 0, (np.maximum(counts - DISCOUNT, 0) + DISCOUNT * kinds * lower) / np.maximum(total, 1), lower)
 
 
-def ratios(grams: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray) -> np.ndarray:
-    """log(p toxic / p ordinary) of the last symbol of every n-gram, by Kneser-Ney.
+def likelihoods(grams: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Kneser-Ney estimates of both classes: the longest contexts that occur, for each class the probabilities of every
+    symbol after them, and for each class a table of them after every shorter context.
 
-    The longest order counts occurrences, the others count the different symbols that stand before an n-gram.
-    Orders up to SHARED use the continuation counts of both classes together, so that an expression rare in both
-    is equally likely in both. Contexts never seen take the table of the next shorter one.
+    The longest order counts occurrences, the others count the different symbols that stand before an n-gram. Orders up
+    to SHARED use the continuation counts of both classes together, so that an expression rare in both is equally
+    likely in both. Contexts never seen take the table of the next shorter one.
     """
     levels = []
     for c in (toxic, ordinary):
@@ -115,6 +119,12 @@ def ratios(grams: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray) -> np.nda
         prob = [np.tile(low, (SYMBOLS if n > 1 else 1, 1)) for low in prob]
         for p, r in zip(prob, rows, strict=True):
             p[contexts] = r
+    return contexts, rows, prob
+
+
+def ratios(grams: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray) -> np.ndarray:
+    """log(p toxic / p ordinary) of the last symbol of every n-gram."""
+    contexts, rows, prob = likelihoods(grams, toxic, ordinary)
     table = np.tile(np.log(prob[0] / prob[1]).astype(np.float16), (SYMBOLS, 1))
     table[contexts] = np.log(rows[0] / rows[1])
     return table.reshape(-1)
@@ -137,32 +147,50 @@ class Model:
         return _BUILT[self.name]
 
 
-def features(table: np.ndarray, texts: list[str]) -> np.ndarray:
-    """Of each text: the log ratio a symbol over the whole text, that of its most and second most toxic expression
-    (each over its own length), and the logarithm of its count of expressions. Without expressions all are zero."""
-    c, n = code(texts), len(texts)
-    out = np.zeros((n, FEATURES))
-    if not len(c.ends):
-        return out
-    each = table[c.grams].astype(np.float64)
-    begins = np.r_[0, c.ends[:-1]]
-    sums, sizes = np.add.reduceat(each, begins), c.ends - begins
-    real = sizes > 1
-    sums, sizes, owner = sums[real], sizes[real], c.owner[real]
-    if not len(sums):
-        return out
-    count = np.bincount(owner, minlength=n)
-    out[:, 0] = np.bincount(owner, sums, n) / np.maximum(np.bincount(owner, sizes, n), 1)
-    ratio = sums / sizes
-    order = np.lexsort((-ratio, owner))
-    first = np.r_[0, np.cumsum(count)[:-1]]
+def comparisons(table: np.ndarray, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text: its log ratio and its symbols; of its most and second most toxic expression, the log ratio over the
+    expression's length (the first for the second where there is one only); and its count of expressions."""
+    n = len(texts)
+    total, top, count = np.zeros((n, 2)), np.full((n, 2), -np.inf), np.zeros(n, np.int64)
+    short = [i for i, t in enumerate(texts) if len(t) <= STRETCH]
+    work = [(np.array(short, np.int64), [texts[i] for i in short])] if short else []
+    # a longer text a stretch at a time: sums add up, and of two stretches' best two the best two stay
+    longer = ((np.array([i]), [p]) for i, t in enumerate(texts) if len(t) > STRETCH for p in common.parts(t, STRETCH))
+    for at, some in itertools.chain(work, longer):
+        c = code(some)
+        if not len(c.ends):
+            continue
+        each = table[c.grams].astype(np.float64)
+        begins = np.r_[0, c.ends[:-1]]
+        sums, sizes = np.add.reduceat(each, begins), c.ends - begins
+        real = sizes > 1
+        sums, sizes, owner = sums[real], sizes[real], c.owner[real]
+        if not len(sums):
+            continue
+        m = len(some)
+        k = np.bincount(owner, minlength=m)
+        total[at] += np.stack([np.bincount(owner, sums, m), np.bincount(owner, sizes, m)], 1)
+        ratio = sums / sizes
+        order = np.lexsort((-ratio, owner))
+        first = np.r_[0, np.cumsum(k)[:-1]]
+        best = np.full((m, 2), -np.inf)
+        for j in range(2):
+            best[k > j, j] = ratio[order[first[k > j] + j]]
+        top[at] = np.sort(np.concatenate([top[at], best], 1), axis=1)[:, :1:-1]
+        count[at] += k
+    return np.concatenate([total, top], 1), count
+
+
+def features(table: np.ndarray, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text three length-normalised comparisons of the two likelihoods (the whole text's, and those of its two
+    most toxic expressions), and whether it has expressions at all; zeros where not."""
+    found, count = comparisons(table, texts)
     have = count > 0
-    out[have, 1] = ratio[order[first[have]]]
-    out[:, 2] = out[:, 1]
-    two = count > 1
-    out[two, 2] = ratio[order[first[two] + 1]]
-    out[:, 3] = np.log1p(count)
-    return out
+    out = np.zeros((len(texts), FEATURES))
+    out[have, 0] = found[have, 0] / found[have, 1]
+    out[have, 1] = found[have, 2]
+    out[have, 2] = np.where(count[have] > 1, found[have, 3], found[have, 2])
+    return out, have
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, counts: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -184,9 +212,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS,
 
     About max_per_class documents of each class are read, chosen by hash of doc_id with a share that the counts of
     the classes give; this bounds the model, whatever the corpus. Seven tenths of them give n-gram counts, the rest
-    the weights of a logistic regression on the features, where each row counts for the rows of its class that it was
+    the weights by which the three comparisons of likelihoods become a probability (logistic regression), where each row counts for the rows of its class that it was
     drawn from, so that scores keep the labels' own balance of classes whatever the share. The n-gram table goes to the driver: it has 2^25 kinds at
-    most. Null labels and null texts are left out; without labels of both classes every score is 0.5.
+    most. A document with several labels is toxic if one of them says so. Null labels and null texts are left out; without labels of both classes every score is 0.5.
     """
     named = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("label"))
     n = {r["label"]: r["n"] for r in named.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -204,7 +232,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS,
             for b in common.pieces(whole, 2048):
                 texts, mark = common.strings(b), np.array(b.column("label").to_pylist())
                 for v in (0, 1):
-                    g, k = np.unique(code([t for t, m in zip(texts, mark, strict=True) if m == v]).grams, return_counts=True)
+                    some = [p for t, m in zip(texts, mark, strict=True) if m == v for p in common.parts(t, STRETCH)]
+                    found = [np.unique(code(some[i : i + 512]).grams, return_counts=True) for i in range(0, len(some), 512)]
+                    g, at = np.unique(np.concatenate([x for x, _ in found]) if found else np.empty(0, np.int32), return_inverse=True)
+                    k = np.bincount(at, np.concatenate([y for _, y in found]), len(g)).astype(np.int64) if found else np.empty(0, np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(g.astype(np.int32)), pa.array(k * v), pa.array(k * (1 - v))], names=["gram", "toxic", "ordinary"])
 
     counted = sample.filter("learn").select("label", "text").mapInArrow(count, "gram int, toxic long, ordinary long").groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
@@ -213,7 +244,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS,
     model = Model(common.new_name(), *(found.column(c).to_numpy()[order] for c in ("gram", "toxic", "ordinary")), np.zeros(FEATURES + 1), n[1] / (n[0] + n[1]))
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kinds = [(f"f{i}", T.DoubleType()) for i in range(FEATURES)]
-    seen = common.add_columns(sample.filter("not learn").select("label", "text"), kinds, lambda: lambda b: list(features(sent.value.table(), common.strings(b)).T)).drop("text").toArrow()
+    seen = common.add_columns(sample.filter("not learn").select("label", "text"), kinds, lambda: lambda b: list(features(sent.value.table(), common.strings(b))[0].T)).drop("text").toArrow()
     y = seen.column("label").to_numpy().astype(float)
     if 0 < y.sum() < len(y):
         stands_for = np.where(y == 1, max(1, n[1] / max_per_class), max(1, n[0] / max_per_class))
@@ -224,8 +255,19 @@ def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS,
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs with score (0 to 1) and predicted (1 if score is 0.5 or more); no shuffle.
 
-    Null texts and texts without a letter or digit get the share of toxic labels. Other columns, null keys and repeated rows pass through; input columns named score or predicted are replaced.
+    Null texts and texts without a letter or digit get the share of toxic labels. Other columns, null keys and repeated
+    rows pass through; input columns named score or predicted are replaced.
     """
+    return _scored(docs, model, "score", "predicted")
+
+
+def keep_ordinary(docs: DataFrame, model: Model) -> DataFrame:
+    """docs without the rows that are predicted toxic; all columns stay as they are, whatever their names."""
+    given = [F.col(f"`{c}`") for c in docs.columns]
+    return _scored(docs, model, "palimpsest_score", "palimpsest_predicted").filter("palimpsest_predicted = 0").select(*given)
+
+
+def _scored(docs: DataFrame, model: Model, score: str, predicted: str) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
@@ -233,11 +275,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         table = m.table() if len(m.grams) else np.zeros(SYMBOLS**ORDER, np.float16)
 
         def each(batch):
-            x = features(table, common.strings(batch))
+            x, have = features(table, common.strings(batch))
             p = 1 / (1 + np.exp(-np.clip(np.c_[x, np.ones(len(x))] @ m.weights, -30, 30)))
-            p = np.where(x[:, 3] > 0, p, m.prior)
+            p = np.where(have, p, m.prior)
             return [p, pa.array((p >= 0.5).astype(np.int32))]
 
         return each
 
-    return common.add_columns(docs, [("score", T.DoubleType()), ("predicted", T.IntegerType())], make, rows=128)
+    return common.add_columns(docs, [(score, T.DoubleType()), (predicted, T.IntegerType())], make, rows=128)

@@ -333,12 +333,61 @@ def test_toxicity_of_a_thinned_class(spark):
     assert abs(np.mean([r["score"] for r in thin.values()]) - 0.1) < 0.03
 
 
-def test_toxic_probabilities_add_up():
-    c = toxicity.code(["abc abd", "xyz"])
-    g, k = np.unique(c.grams, return_counts=True)
-    table = toxicity.ratios(g, k, k)
-    assert np.abs(table).max() == 0  # the same counts: no difference anywhere
-    assert c.owner.tolist() == [0, 0, 1]
+def test_toxic_probabilities_are_kneser_neys_and_add_up():
+    """Both classes' tables against a recursion over counted strings."""
+    rnd = random.Random(2)
+    groups = [[" ".join("".join(rnd.choice(a) for _ in range(rnd.randrange(1, 6))) for _ in range(30))] for a in ("abcab", "bcdea")]
+    coded = [toxicity.code(g).grams for g in groups]
+    grams = np.unique(np.concatenate(coded))
+    counts = [np.array([np.sum(c == g) for g in grams]) for c in coded]
+    contexts, rows, prob = toxicity.likelihoods(grams, *counts)
+    for r in [*rows, *prob]:
+        assert np.allclose(r.sum(1), 1, atol=1e-5)
+    occurs = []  # of each class and order: how often, or after how many symbols, an n-gram occurs
+    for group in groups:
+        own = [collections.Counter() for _ in range(6)]
+        for word in group[0].split():
+            line = [0] * 4 + [ord(c) - 96 for c in word] + [0]
+            own[5].update(tuple(line[i - 4 : i + 1]) for i in range(4, len(line)))
+        # white space of its own: the text's end is an empty expression only where a blank stands there
+        for n in range(4, 0, -1):
+            own[n].update(g[1:] for g in own[n + 1])
+        occurs.append(own)
+    for n in (1, 2):
+        both = occurs[0][n] + occurs[1][n]
+        occurs[0][n] = occurs[1][n] = both
+
+    def p(own, g):
+        if not g:
+            return 1 / 32
+        after = [k for x, k in own[len(g)].items() if x[:-1] == g[:-1]]
+        low = p(own, g[1:])
+        return low if not after else (max(own[len(g)][g] - 0.75, 0) + 0.75 * len(after) * low) / sum(after)
+
+    for i, c in enumerate(contexts.tolist()):
+        before = tuple(c >> 5 * k & 31 for k in (3, 2, 1, 0))
+        for own, r in zip(occurs, rows, strict=True):
+            for s in range(8):
+                assert r[i, s] == pytest.approx(p(own, (*before, s)), abs=1e-5)
+    table = toxicity.ratios(grams, *counts)
+    assert table[(contexts[0] << 5) | 1] == pytest.approx(np.log(rows[0][0, 1] / rows[1][0, 1]), abs=2e-2)
+
+
+def test_toxicity_of_long_texts_by_stretches(texts, monkeypatch):
+    rng = np.random.default_rng(1)
+    table = rng.normal(0, 1, 32**5).astype(np.float16)
+    some = [*list(texts.values())[:20], LONG, "", "one"]
+    whole, count = toxicity.comparisons(table, some)
+    monkeypatch.setattr(toxicity, "STRETCH", 200)
+    cut, cut_count = toxicity.comparisons(table, some)
+    assert count.tolist() == cut_count.tolist() and np.allclose(whole, cut, equal_nan=True)
+    import tracemalloc
+
+    monkeypatch.setattr(toxicity, "STRETCH", 1 << 18)
+    tracemalloc.start()
+    toxicity.features(table, ["some words here " * 500_000])  # 8 MB
+    assert tracemalloc.get_traced_memory()[1] < 80 << 20
+    tracemalloc.stop()
 
 
 # 5 -------------------------------------------------------------------------------------------------------------------

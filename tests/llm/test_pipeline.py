@@ -76,6 +76,8 @@ def test_odd_rows_pass_every_stage(spark, planted):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("score", F.lit("x"))
     for k in (docs, docs.filter("false")):
         out = k
+        first = corpus_pipeline.STAGES[0][1](spark, k, d)
+        assert first.columns == k.columns and first.filter("score <> 'x'").count() == 0
         for _, stage in corpus_pipeline.STAGES:
             out = common.stage(stage(spark, out, d), "test")
         assert (out.count() > 0) == (k.count() > 0)
