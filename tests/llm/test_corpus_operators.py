@@ -611,6 +611,115 @@ def test_automaton_merges_and_scores():
     assert len(loop.states) < 20
 
 
+class PlainAutomaton:
+    """State merging read literally: classes of prefixes, whose counts are sums over their members."""
+
+    def __init__(self, examples, alpha=secrets.ALPHA):
+        lines = ["".join(map(secrets.symbol, e)) for e in examples]
+        self.prefixes = {x[:i] for x in lines for i in range(len(x) + 1)} | {""}
+        self.stop, self.go = collections.Counter(lines), collections.Counter(x[: i + 1] for x in lines for i in range(len(x)))
+        self.of, self.alpha = {p: p for p in self.prefixes}, alpha
+        settled, again = [""], True
+        while again:
+            again = False
+            for red in list(settled):
+                for s in sorted({p[-1] for p in self.prefixes if p and self.of[p[:-1]] == self.of[red]}):
+                    blue = self.child(red, s)
+                    if blue in {self.of[x] for x in settled}:
+                        continue
+                    for other in settled:
+                        if self.alike(self.of[other], blue):
+                            self.unite(self.of[other], blue)
+                            break
+                    else:
+                        settled.append(blue)
+                    again = True
+                    break
+                if again:
+                    break
+
+    def child(self, state, s):
+        found = {self.of[p + s] for p in self.prefixes if self.of[p] == self.of[state] and p + s in self.of}
+        return found.pop() if found else None
+
+    def counts(self, state):
+        own = [p for p in self.prefixes if self.of[p] == state]
+        go = collections.Counter()
+        for p in own:
+            go.update({q[-1]: self.go[q] for q in self.prefixes if q[:-1] == p and q})
+        return sum(self.stop[p] for p in own), go
+
+    def alike(self, a, b):
+        (x, p), (y, q) = self.counts(a), self.counts(b)
+        n, m = x + sum(p.values()), y + sum(q.values())
+        far = lambda k, h: n and m and abs(k / n - h / m) > np.sqrt(0.5 * np.log(2 / self.alpha)) * (n**-0.5 + m**-0.5)
+        if far(x, y) or any(far(p[s], q[s]) for s in p | q):
+            return False
+        return all(c == d or self.alike(c, d) for s in p.keys() & q.keys() if (c := self.child(a, s)) is not None and (d := self.child(b, s)) is not None)
+
+    def unite(self, a, b):
+        todo = [(a, b)]
+        while todo:
+            a, b = (self.of[x] for x in todo.pop())
+            if a != b:
+                for p in self.prefixes:
+                    if self.of[p] == b:
+                        self.of[p] = a
+                after = collections.defaultdict(list)
+                for p in self.prefixes:
+                    if p and self.of[p[:-1]] == a:
+                        after[p[-1]].append(p)
+                todo += [(x[0], y) for x in after.values() for y in x[1:]]
+
+    def bits(self, text):
+        at, out = self.of[""], 0.0
+        for s in map(secrets.symbol, text):
+            stop, go = self.counts(at) if at is not None else (0, collections.Counter())
+            out -= np.log2((go[s] + 0.5) / (stop + sum(go.values()) + 6) / secrets.WIDTH.get(s, 1))
+            at = self.child(at, s) if at is not None else None
+        stop, go = self.counts(at) if at is not None else (0, collections.Counter())
+        return out - np.log2((stop + 0.5) / (stop + sum(go.values()) + 6))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_automata_are_those_of_plain_state_merging(seed):
+    rnd = random.Random(seed)
+    make = [lambda: f"k{rnd.randrange(100)}-" + rnd.choice("xyZ") * rnd.randrange(1, 4), lambda: "ab" * rnd.randrange(1, 5), lambda: str(rnd.randrange(10**5))]
+    examples = [rnd.choice(make[: 1 + seed % 3])() for _ in range(40)]
+    own, plain = secrets.Automaton(examples), PlainAutomaton(examples)
+    for t in [*examples[:10], "k1-", "abab9", "", "zzZ", "k1-xxxxxxxx", "00"]:
+        assert own.bits(t) == pytest.approx(plain.bits(t))
+
+
+def test_free_tokens_and_their_cost():
+    """A token is scored where no base span touches it; one pass over both, however many there are."""
+    import time
+
+    text = " ".join(f"token={'ab1' * 3}{i} free{i:05d}x some.words.inside. é-dashes-" for i in range(4_000))
+    base, found = secrets.base_spans(text), []
+    began = time.process_time()
+    found = list(secrets.candidates(text, base))
+    assert time.process_time() - began < 1
+    want = [m.span() for m in re.finditer(r"[A-Za-z0-9+/_=-]+(?:\.+[A-Za-z0-9+/_=-]+)*", text) if m.end() - m.start() >= secrets.LEAST_TOKEN]
+    starts = np.array([a for _, a, _ in base])
+    free = [(a, z) for a, z in want if not any(base[i][1] < z and a < base[i][2] for i in range(max(0, int(np.searchsorted(starts, a)) - 2), min(len(base), int(np.searchsorted(starts, z)) + 1)))]
+    assert [(a, z) for _, a, z in found] == free and len(free) >= 12_000
+    assert {text[a:z] for _, a, z in found[:3]} == {"free00000x", "some.words.inside", "-dashes-"}
+
+
+def test_short_credentials_are_found(spark):
+    """A six-character value like those of learnt assignments, standing free, and a dotted one; plain words are not."""
+    rnd = random.Random(3)
+    value = lambda: "".join(rnd.choice("ABCDEFGH") + rnd.choice("0123456789") for _ in range(3))
+    words = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randrange(6, 12))) for _ in range(900)]
+    train = spark.createDataFrame([(i, f"password: {value()} " + " ".join(rnd.sample(words, 9)) + f" secret={value()}.{value()}") for i in range(300)], "doc_id long, text string")
+    m = secrets.fit(train)
+    text = f"say {value()} or {value()}.{value()} to decade facade " + " ".join(words[:50])
+    assert [text[a:z] for k, a, z in secrets.all_spans(m, text)] == [text.split()[1], text.split()[3]]
+    again = secrets.fit(train.repartition(7))
+    assert again.ordinary.states == m.ordinary.states and again.kinds["assign"].states == m.kinds["assign"].states
+
+
 def test_secret_query(spark, sf_dir, texts):
     for r in queries.op6_secrets(spark, sf_dir).collect():
         want = plain_spans(texts[r["doc_id"]])
