@@ -6,6 +6,7 @@ import base64
 import hashlib
 import heapq
 import re
+from array import array
 
 import numpy as np
 import regex
@@ -33,7 +34,7 @@ class PerfectHash:
 
     Each level hashes the keys that are left into twice as many places and keeps those that are alone in theirs;
     the rank of a kept place among all kept places is the key's slot, so slots have no gaps. A key that isn't in the
-    set also falls on some slot or on none, and the key stored there tells.
+    set also falls on some slot or on none, and the key stored there tells. Levels and ids are arrays of 32 bits.
     """
 
     def __init__(self, ids: dict[bytes, int]):
@@ -43,12 +44,12 @@ class PerfectHash:
             at = np.array([xxhash.xxh64_intdigest(k, len(self.levels)) % size for k in left])
             alone = np.bincount(at, minlength=size) == 1
             rank = np.cumsum(alone) - 1 + base
-            self.levels.append((size, np.where(alone, rank, -1).tolist()))
+            self.levels.append((size, array("i", np.where(alone, rank, -1).astype(np.int32).tobytes())))
             kept = sorted((rank[a], k) for a, k in zip(at, left, strict=True) if alone[a])
             slots += [k for _, k in kept]
             base += len(kept)
             left = [k for a, k in zip(at, left, strict=True) if not alone[a]]
-        self.keys, self.ids = slots, [ids[k] for k in slots]
+        self.keys, self.ids = slots, array("i", [ids[k] for k in slots])
 
     def get(self, key: bytes) -> int | None:
         for level, (size, slots) in enumerate(self.levels):
