@@ -9,28 +9,32 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; a folder of this machine only where it names none (tests)."""
+    """The session's spark.checkpoint.dir; a folder of this machine where it names none and all tasks run here (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="spark-stage-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-_MADE: list[str] = []
+#: Staged folders of each shared one, that clear() of a session with that folder deletes.
+_MADE: dict[str, list[str]] = {}
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    _MADE.append(path)
+    shared = shared_dir(spark)
+    path = f"{shared}/{label}-{uuid.uuid4().hex}"
+    _MADE.setdefault(shared, []).append(path)
     return path
 
 
 def clear(spark: SparkSession) -> None:
-    """Deletes what this process has staged, once results that read it have been written."""
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _MADE:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+    """Deletes what this process has staged in the session's shared folder, once results that read it have been written."""
+    conf, made = spark.sparkContext._jsc.hadoopConfiguration(), _MADE.get(shared_dir(spark), [])
+    while made:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(made.pop())
         path.getFileSystem(conf).delete(path, True)
 
 
