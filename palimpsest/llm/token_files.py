@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +18,9 @@ from palimpsest.llm.tokenizing import encoder
 
 #: Ids after which a segment is closed; a longer document has one of its own.
 SEGMENT = 1 << 19
+#: Text bytes of a shard, about, and the most shards that the driver names bounds of.
+SHARD_BYTES, MOST_SHARDS = 16 << 20, 20_000
+_LEAST_ID = -(1 << 63)
 #: Documents whose boundaries are selected at a time when a segment is read through.
 RUN = 4096
 #: magic, version, bytes an id, leading documents without doc_id, documents, ids, base of doc_ids, bytes of each sequence
@@ -61,8 +65,20 @@ class Segment:
         return self.ids[self.bounds.select(i) : self.bounds.select(i + 1)]
 
 
-def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """(doc_id, ids): each document's ids and the end id, as little-endian numbers of the tokenizer's width."""
+def _boundaries(docs: DataFrame) -> np.ndarray:
+    """doc_ids that part the rows into shards of about SHARD_BYTES of text; one that fills several shards repeats."""
+    size = docs.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
+    shards = min(MOST_SHARDS, -(-size // SHARD_BYTES))
+    if shards < 2:
+        return np.empty(0, np.int64)
+    found = docs.select(F.coalesce("doc_id", F.lit(_LEAST_ID)).alias("k")).approxQuantile("k", [i / shards for i in range(1, shards)], 0.2 / shards)
+    return np.sort(np.clip(np.array(found), -(2.0**63), 2.0**63 - 1024).astype(np.int64))
+
+
+def encoded(docs: DataFrame, tokenizer: str, end_id: int, bounds: np.ndarray) -> DataFrame:
+    """(doc_id, tie, shard, ids): each document's ids and the end id, as little-endian numbers of the tokenizer's width,
+    their hash, and the shard between whose bounds the doc_id lies. Of a doc_id that is a bound itself, the hash tells which
+    of the shards that meet there; so shards follow the order of (doc_id, tie)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = encoder(tokenizer)
@@ -71,19 +87,24 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
             for b in common.pieces(whole, 2048):
                 line, sizes = use.ids(b.column("text"))
                 found = [x.astype(use.kind, copy=False).tobytes() + last for x in np.split(line, np.cumsum(sizes)[:-1])]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(found, pa.binary())], names=["doc_id", "ids"])
+                tie = np.array([xxhash.xxh64_intdigest(x) for x in found], np.uint64)
+                key = b.column("doc_id").fill_null(_LEAST_ID).to_numpy()
+                left, right = np.searchsorted(bounds, key, "left"), np.searchsorted(bounds, key, "right")
+                shard = left + np.minimum((tie / 2.0**64 * (right - left + 1)).astype(np.int64), right - left)
+                tie = (tie ^ np.uint64(1 << 63)).view(np.int64)  # signed numbers in the same order
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(tie), pa.array(shard.astype(np.int32)), pa.array(found, pa.binary())], names=["doc_id", "tie", "shard", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, tie long, shard int, ids binary")
 
 
 def write(docs: DataFrame, out: str, tokenizer: str, end_id: int, segment: int = SEGMENT) -> None:
     """Encodes the documents and writes segments under the folder out in ascending doc_id order (nulls first).
 
-    Texts are encoded where they are read; only ids are staged, dealt by range of doc_id and sorted. Documents of one
-    doc_id go by the hash of their ids, so the order is defined, and one doc_id may fill several partitions. A partition
-    is a shard, whose number orders the shards. Segments are rows of a Parquet folder, so that any store Spark reaches
-    holds them and a lost task is simply run again: (shard, segment, start_in_shard, n_docs, n_ids, blob). Null texts are
-    empty: their only id is end_id. Repeated doc_ids stay, next to each other.
+    Texts are encoded where they are read; only ids go through the shuffle, dealt by range of doc_id and sorted. Documents
+    of one doc_id go by the hash of their ids, so the order is defined, and one doc_id may fill several shards. A shard
+    is a partition. Segments are rows of a Parquet folder, so that any store Spark reaches holds them and a lost task is
+    simply run again: (shard, segment, start_in_shard, n_docs, n_ids, blob). Null texts are empty: their only id is
+    end_id. Repeated doc_ids stay, next to each other.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,9 +128,10 @@ def write(docs: DataFrame, out: str, tokenizer: str, end_id: int, segment: int =
         if names:
             yield close()
 
-    order = [F.col("doc_id").asc_nulls_first(), F.col("tie").asc()]
-    rows = common.stage(encoded(docs, tokenizer, end_id), "token-ids").withColumn("tie", F.xxhash64("ids"))
-    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "ids")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    bounds = _boundaries(source)
+    dealt = encoded(source, tokenizer, end_id, bounds).repartitionById(len(bounds) + 1, F.col("shard"))
+    ordered = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("tie").asc()).select("doc_id", "ids")
     ordered.mapInArrow(run, "shard int, segment long, start_in_shard long, n_docs long, n_ids long, blob binary").write.option("compression", "uncompressed").parquet(out)
 
 

@@ -163,7 +163,10 @@ def test_elias_fano_is_near_the_bound():
     assert len(elias_fano.encode(v)) * 8 / len(v) < 2.75 + np.log2((1 << 30) / len(v))
 
 
-def test_token_files_round_trip(spark, odd, empty, tmp_path):
+@pytest.mark.parametrize("shard_bytes", [16, 200, 1 << 24])
+def test_token_files_round_trip(spark, odd, empty, tmp_path, monkeypatch, shard_bytes):
+    monkeypatch.setattr(token_files, "SHARD_BYTES", shard_bytes)
+    monkeypatch.setattr(token_files, "MOST_SHARDS", 40)
     out = str(tmp_path / "t")
     token_files.write(odd, out, WORD, 2, segment=64)
     library = tokenizing.encoder(WORD).library
