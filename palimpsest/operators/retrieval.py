@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
+from dataclasses import dataclass
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +19,11 @@ from palimpsest.operators import staging
 from palimpsest.operators.components import components
 
 #: Vectors asked about in one pass: bounds what is broadcast.
-ASK_BLOCK = 4096
+ASK_BLOCK = 1 << 15
+#: Phrases that are sought in one pass over the documents.
+PHRASES = 64
+#: Rows of a counted side that are broadcast at most.
+MOST_BROADCAST = 1 << 18
 
 
 def asked_pairs(asks: DataFrame, corpus: DataFrame, skip_self: bool = True) -> list[DataFrame]:
@@ -36,30 +45,90 @@ def asked_pairs(asks: DataFrame, corpus: DataFrame, skip_self: bool = True) -> l
     return out
 
 
+def _matrix(column: pa.Array, size: int) -> np.ndarray:
+    """Vectors as rows of unit length; null ones, ones of another size and zero ones are zero rows."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    fits = pc.fill_null(pc.equal(pc.list_value_length(column), size), False).to_numpy(zero_copy_only=False)
+    out = np.zeros((len(column), size))
+    flat = column.filter(pa.array(fits)).flatten()
+    out[fits] = pc.fill_null(flat.cast(pa.float64()), 0.0).to_numpy(zero_copy_only=False).reshape(-1, size)
+    norm = np.sqrt((out * out).sum(1, keepdims=True))
+    return np.divide(out, norm, out=np.zeros_like(out), where=norm > 0)
+
+
 def knn(asks: DataFrame, corpus: DataFrame, k: int, floor: float = -1.0, skip_self: bool = True) -> DataFrame:
     """The k nearest corpus vectors of each asked vector by cosine at or above floor: ask, id, score, rank (JOIN-8, SORT-2).
 
-    Each task keeps only its best k before the shuffle. Ties go to the smaller id.
+    Asked vectors go to the tasks as matrices of ASK_BLOCK rows at most, one pass over the corpus for each. A task
+    multiplies a stretch of its rows with them and sends on only what reaches the k-th best so far, so the shuffle holds
+    little more than k rows of each task and ask, and the corpus itself is never shuffled. Ties go to the smaller id; the
+    cosine of null vectors and those of another size is 0. asks and corpus: id (long), vec.
     """
-    w = Window.partitionBy("ask").orderBy(F.desc("score"), "id")
-    out = [p.filter(F.col("score") >= floor).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k) for p in asked_pairs(asks, corpus.select("id", "vec"), skip_self)]
+    spark = asks.sparkSession
+    blocks = max(1, -(-asks.count() // ASK_BLOCK))
+    w, out = Window.partitionBy("ask").orderBy(F.desc("score"), "id"), []
+    for b in range(blocks):
+        held = asks.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).select("id", "vec").toArrow()
+        size = max([len(x) for x in held.column("vec").to_pylist() if x is not None], default=1)
+        sent = spark.sparkContext.broadcast((held.column("id").to_numpy(), _matrix(held.column("vec"), size), size))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            names, asked, size = sent.value
+            least = np.full(len(names), floor)
+            for batch in batches:
+                for at in range(0, batch.num_rows, 1024):
+                    part = batch.slice(at, 1024)
+                    ids, rows = part.column("id").to_numpy(), _matrix(part.column("vec"), size)
+                    for i in range(0, len(names), 1024):
+                        cos = np.clip(rows @ asked[i : i + 1024].T, -1, 1)
+                        if skip_self:
+                            cos[ids[:, None] == names[None, i : i + 1024]] = -2
+                        if len(ids) > k:
+                            least[i : i + 1024] = np.maximum(least[i : i + 1024], np.partition(cos, len(ids) - k, axis=0)[len(ids) - k])
+                        # what is equal to the k-th best but for rounding stays for the smaller id to win
+                        r, c = np.nonzero((cos >= least[None, i : i + 1024] - 1e-12) & (cos >= floor))
+                        if len(r):
+                            yield pa.RecordBatch.from_arrays([pa.array(names[i + c]), pa.array(ids[r]), pa.array(cos[r, c])], names=["ask", "id", "score"])
+
+        found = corpus.select(F.col("id").cast("long").alias("id"), "vec").filter("id is not null").mapInArrow(run, "ask long, id long, score double")
+        out.append(found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k))
     return functools.reduce(DataFrame.unionByName, out)
 
 
-def bm25(terms: DataFrame, asked: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """BM25 of documents for asked terms: doc_id, score (RET-4). terms: doc_id, term; asked: term.
+def bm25(docs: DataFrame, asked: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """BM25 of documents for asked terms: ask, doc_id, score (RET-4). docs: doc_id, words; asked: ask, term (a stated set).
 
-    Only postings of asked terms are kept for scoring; lengths and document counts are one aggregation each.
+    A row's length is the size of its words; only words that are asked for leave a row, so nothing but hits is shuffled.
+    Asked terms are broadcast if their counted size allows, else joined.
     """
-    tf = terms.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    lengths = tf.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
-    whole = lengths.agg(F.count(F.lit(1)).alias("docs"), F.avg("dl").alias("avgdl"))
-    hits = tf.join(F.broadcast(asked.select("term").distinct()), "term", "left_semi")
-    df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    scored = hits.join(F.broadcast(df), "term").join(lengths, "doc_id").join(F.broadcast(whole))
-    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return scored.groupBy("doc_id").agg(F.sum(part).alias("score"))
+    asked = staging.stage(asked.distinct(), "asked-terms")
+    sizes = docs.filter(F.size("words") > 0).agg(F.count(F.lit(1)).alias("docs"), F.avg(F.size("words")).alias("avgdl")).first()
+    n = asked.count()
+    terms = asked.select("term").distinct()
+    hits = docs.select("doc_id", F.size("words").alias("dl"), F.explode("words").alias("term")).join(F.broadcast(terms) if n <= MOST_BROADCAST else terms, "term", "left_semi")
+    tf = staging.stage(hits.groupBy("doc_id", "term", "dl").agg(F.count(F.lit(1)).alias("tf")), "hits")
+    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    weighed = asked.join(df, "term")
+    scored = tf.join(F.broadcast(weighed) if n <= MOST_BROADCAST else weighed, "term")
+    idf = F.log(1 + (F.lit(sizes["docs"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(sizes["avgdl"] or 1.0)))
+    return scored.groupBy("ask", "doc_id").agg(F.sum(part).alias("score"))
+
+
+def phrase_hits(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """(ask, doc_id) of documents that hold an asked phrase, in any case. docs: doc_id, text; asked: ask, phrase.
+
+    Phrases are a stated query set, sought in blocks of PHRASES within the scan; documents aren't shuffled.
+    """
+    rows, out = asked.collect(), []
+    for i in range(0, max(1, len(rows)), PHRASES):
+        some = rows[i : i + PHRASES]
+        low = F.lower("text")
+        holds = [F.when(low.contains(r["phrase"]), F.lit(r["ask"]).cast("long")) for r in some]
+        found = F.array_compact(F.array(*holds)) if holds else F.array().cast("array<long>")
+        out.append(docs.select("doc_id", F.explode(found).alias("ask")).select("ask", "doc_id"))
+    return functools.reduce(DataFrame.unionByName, out)
 
 
 def normalise_to_best(scores: DataFrame, by: list[str]) -> DataFrame:
@@ -95,6 +164,7 @@ def adjacency(edges: DataFrame, frontier: DataFrame, top: int = 64, least: float
     degree = edges.groupBy(F.col("node").alias("other")).agg(F.count(F.lit(1)).alias("degree"))
     w = Window.partitionBy("node").orderBy(F.desc("strength"), "other", "type")
     near = edges.filter(F.col("strength") >= least).join(frontier.select("node"), "node", "left_semi")
+    degree = degree.join(near.select("other").distinct(), "other", "left_semi")
     return near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top).join(degree, "other")
 
 
@@ -104,42 +174,111 @@ def edge_weight(type_: Column, strength: Column, confidence: Column) -> Column:
     return w * strength * F.when(type_.isin("SIMILAR", "RELATED_TO"), confidence).otherwise(F.lit(1.0))
 
 
-def activate(seeds: DataFrame, edges: DataFrame, hops: int = 3, least: float = 0.1, decay: float = weights.ACTIVATION_DECAY, top: int = 64, budget: int = 500) -> DataFrame:
-    """Spreading activation over rounds: node, score, hops (RET-10, RET-11).
+@dataclass(frozen=True)
+class Budget:
+    """What stops an activation: rounds, expanded nodes, hops, and the scores and strengths that count at all."""
+
+    rounds: int = 100
+    visited: int = 500
+    hops: int = 3
+    least: float = 0.1
+    strength: float = 0.1
+    neighbours: int = 64
+    decay: float = weights.ACTIVATION_DECAY
+
 
-    seeds: node, score. A round expands every node not yet expanded whose score is at least least, all at once;
-    contributions add up, passed on with decay, edge weight and hub inhibition. budget bounds the nodes expanded,
-    best first, and with it every round's frontier. Rounds are tables in the shared folder.
+#: Edges whose own contribution is kept as evidence: fixed values of relationship types.
+TYPED = ("CONTRADICTS", "SUPERSEDES", "CAUSES")
+_STATE = "node long, score double, hops int, path string, strongest double, typed_edge string, typed_gain double, seed boolean, visited boolean"
+
+
+def activate(seeds: DataFrame, edges: DataFrame, superseded: DataFrame | None = None, budget: Budget = Budget(), typed: tuple[str, ...] = TYPED) -> tuple[DataFrame, str]:
+    """Spreading activation: (node, score, hops, path, typed_edge, typed_gain, superseded), and why it ended (RET-10, RET-11).
+
+    seeds: node, score. edges: node, other, type, strength, confidence, both ways. superseded: node.
+
+    Each round expands all nodes reached but not yet expanded whose score is at least least and whose hops are fewer than
+    hops, best first, no more than visited in all. A node passes score x edge weight x decay x hub inhibition on (half of
+    it to superseded nodes) along its strongest edges to nodes that no earlier round has expanded; contributions add up.
+    Within a round nodes count as expanded one after another: an edge between two of them fires once, from the better to
+    the worse, before the worse one passes on its score. That order matters only among a round's own nodes, of which the
+    budget allows few hundred, so it is worked out on the driver; the spread to all others is a join. A node's hops and path
+    are those of the strongest single contribution; a seed's stay. Evidence is the strongest contribution by an edge of a
+    typed kind. Ends with frontier_exhausted, below_min_activation, hop_limit, node_budget or max_iterations.
     """
-    degree = staging.stage(edges.groupBy("node").agg(F.count(F.lit(1)).alias("degree")), "degree")
-    state = staging.stage(seeds.groupBy("node").agg(F.max("score").alias("score")).select("node", "score", F.lit(0).alias("hops"), F.lit(False).alias("done")), "active")
-    spent = 0
-    for _ in range(hops):
-        front = state.filter(~F.col("done") & (F.col("score") >= least)).orderBy(F.desc("score"), "node").limit(budget - spent)
-        front = staging.stage(front, "front")
-        n = front.count()
-        if not n:
+    spark = seeds.sparkSession
+    degree = staging.stage(edges.groupBy(F.col("node").alias("other")).agg(F.count(F.lit(1)).alias("degree")), "degree")
+    old = superseded.select(F.col("node").alias("other")).distinct() if superseded is not None else spark.createDataFrame([], "other long")
+    first = seeds.groupBy("node").agg(F.max("score").cast("double").alias("score"))
+    state = first.select("node", "score", F.lit(0).alias("hops"), F.col("node").cast("string").alias("path"), F.lit(0.0).alias("strongest"), F.lit(None).cast("string").alias("typed_edge"), F.lit(None).cast("double").alias("typed_gain"), F.lit(True).alias("seed"), F.lit(False).alias("visited"))
+    state = staging.stage(state, "active")
+    spent, rounds, why = 0, 0, ""
+    while not why:
+        if rounds >= budget.rounds:
+            why = "max_iterations"
             break
-        spent += n
-        w = Window.partitionBy("node").orderBy(F.desc("strength"), "other", "type")
-        step = edges.filter(F.col("strength") >= 0.1).join(F.broadcast(front.select("node", F.col("score").alias("from_score"), F.col("hops").alias("from_hops"))), "node")
-        step = step.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
-        step = step.join(degree.withColumnRenamed("node", "other"), "other")
-        gain = F.col("from_score") * edge_weight(F.col("type"), F.col("strength"), F.col("confidence")) * decay * weights.hub_inhibition(F.col("degree"))
-        got = step.groupBy(F.col("other").alias("node")).agg(F.sum(gain).alias("gain"), F.min(F.col("from_hops") + 1).alias("new_hops"))
-        marked = state.join(F.broadcast(front.select("node", F.lit(True).alias("now"))), "node", "left")
-        state = staging.stage(
-            marked.join(got, "node", "full").select(
-                "node",
-                (F.coalesce("score", F.lit(0.0)) + F.coalesce("gain", F.lit(0.0))).alias("score"),
-                F.coalesce("hops", "new_hops").alias("hops"),
-                (F.coalesce("done", F.lit(False)) | F.coalesce("now", F.lit(False))).alias("done"),
-            ),
-            "active",
-        )
-        if spent >= budget:
+        if spent >= budget.visited:
+            why = "node_budget"
+            break
+        waiting = F.col("visited") == F.lit(False)
+        n = state.agg(F.count_if(waiting).alias("any"), F.count_if(waiting & (F.col("score") >= budget.least)).alias("strong"), F.count_if(waiting & (F.col("score") >= budget.least) & (F.col("hops") < budget.hops)).alias("near")).first()
+        if not n["near"]:
+            why = "frontier_exhausted" if not n["any"] else "below_min_activation" if not n["strong"] else "hop_limit"
             break
-    return state.select("node", "score", "hops")
+        rounds += 1
+        front = state.filter(waiting & (F.col("score") >= budget.least) & (F.col("hops") < budget.hops)).orderBy(F.desc("score"), "node").limit(budget.visited - spent).toPandas()
+        spent += len(front)
+        place = spark.createDataFrame([(int(x), i) for i, x in enumerate(front.node)], "node long, place int")
+        w = Window.partitionBy("node").orderBy(F.desc("strength"), "other", "type")
+        near = edges.filter(F.col("strength") >= budget.strength).join(F.broadcast(place), "node")
+        gone = state.filter("visited").select(F.col("node").alias("other"))  # no more than the budget allows
+        near = near.join(F.broadcast(gone), "other", "left_anti").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= budget.neighbours)
+        near = near.join(degree, "other").join(old.withColumn("old", F.lit(True)), "other", "left")
+        share = edge_weight(F.col("type"), F.col("strength"), F.col("confidence")) * budget.decay * weights.hub_inhibition(F.col("degree")) * F.when(F.col("old"), weights.SUPERSEDED_FACTOR).otherwise(F.lit(1.0))
+        near = near.join(F.broadcast(place.select(F.col("node").alias("other"), F.col("place").alias("other_place"))), "other", "left")
+        step = staging.stage(near.select("node", "place", "rank", "other", "other_place", "type", share.alias("share")), "steps")
+        own = _within_round(front, step.filter("other_place > place").orderBy("place", "rank").toPandas(), typed)
+        place = spark.createDataFrame(own, _STATE)
+        gain = F.col("share") * F.col("score")
+        reached = step.filter("other_place is null").join(F.broadcast(place.select("node", "score", "hops", "path")), "node").withColumn("gain", gain).filter("gain > 0")
+        # of equal contributions the first counts: that of the better source, then of its stronger edge
+        order = F.struct("gain", (-F.col("place")).alias("p"), (-F.col("rank")).alias("r"))
+        got = reached.groupBy(F.col("other").alias("node")).agg(
+            F.sum("gain").alias("gain"), F.max("gain").alias("top"), F.max_by(F.struct((F.col("hops") + 1).alias("hops"), F.concat("path", F.lit(" -["), "type", F.lit("]-> "), F.col("other").cast("string")).alias("path")), order).alias("way"),
+            F.max_by("type", F.when(F.col("type").isin(*typed), order)).alias("edge"), F.max(F.when(F.col("type").isin(*typed), F.col("gain"))).alias("edge_gain"),
+        )
+        others = state.join(F.broadcast(place.select("node")), "node", "left_anti").join(got, "node", "full")
+        better = ~F.coalesce("seed", F.lit(False)) & (F.col("top") > F.coalesce("strongest", F.lit(0.0)))
+        evidence = F.col("edge_gain") > F.coalesce("typed_gain", F.lit(0.0))
+        others = others.select(
+            "node", (F.coalesce("score", F.lit(0.0)) + F.coalesce("gain", F.lit(0.0))).alias("score"), F.when(better, F.col("way.hops")).otherwise(F.col("hops")).alias("hops"), F.when(better, F.col("way.path")).otherwise(F.col("path")).alias("path"),
+            F.when(better, F.col("top")).otherwise(F.col("strongest")).alias("strongest"), F.when(evidence, F.col("edge")).otherwise(F.col("typed_edge")).alias("typed_edge"), F.when(evidence, F.col("edge_gain")).otherwise(F.col("typed_gain")).alias("typed_gain"),
+            F.coalesce("seed", F.lit(False)).alias("seed"), F.coalesce("visited", F.lit(False)).alias("visited"),
+        )
+        state = staging.stage(others.unionByName(place), "active")
+    found = state.filter(F.col("score") >= budget.least).join(old.select(F.col("other").alias("node"), F.lit(True).alias("superseded")), "node", "left")
+    return found.select("node", "score", "hops", "path", "typed_edge", "typed_gain", F.coalesce("superseded", F.lit(False)).alias("superseded")), why
+
+
+def _within_round(front: pd.DataFrame, inner: pd.DataFrame, typed: tuple[str, ...]) -> list[tuple]:
+    """The rows of a round's nodes after the edges between them have fired in order, all of them marked as visited."""
+    rows = {r.node: r for r in (_plain_row(r) for r in front.itertuples(index=False))}
+    for e in inner.itertuples(index=False):
+        a, b = rows[e.node], rows[e.other]
+        gain = a.score * e.share
+        if gain <= 0:
+            continue
+        b.score += gain
+        if e.type in typed and gain > (b.typed_gain or 0.0):
+            b.typed_edge, b.typed_gain = e.type, gain
+        if not b.seed and gain > b.strongest:
+            b.strongest, b.hops, b.path = gain, a.hops + 1, f"{a.path} -[{e.type}]-> {b.node}"
+    return [(r.node, r.score, r.hops, r.path, r.strongest, r.typed_edge, r.typed_gain, r.seed, True) for r in rows.values()]
+
+
+def _plain_row(r) -> SimpleNamespace:
+    none = lambda x: None if pd.isna(x) else x
+    return SimpleNamespace(node=int(r.node), score=float(r.score), hops=int(r.hops), path=r.path, strongest=float(r.strongest), typed_edge=none(r.typed_edge), typed_gain=none(r.typed_gain), seed=bool(r.seed))
 
 
 def fuse(lists: DataFrame, k: int = weights.RRF_K) -> DataFrame:

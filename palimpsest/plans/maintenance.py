@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import functools
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.functions import dates, text, weights
+from palimpsest.functions import dates, redaction, text, weights
 from palimpsest.operators import bitemporal, graph, scheduling
 from palimpsest.plans.aggregate import KNN, N, knn, r6
 from palimpsest.plans.registry import query
+from palimpsest.plans.scalar import _in_re2
 from palimpsest.sources import tables
 from palimpsest.sources.tables import BOTH, CLAIMS, GRAPH, MENTIONS, table
 
@@ -31,16 +34,18 @@ def op_3(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").filter("event_type = 'error'").groupBy(F.col("user_id").alias("job")).agg(N().alias("attempts")).filter("attempts >= 5")
 
 
-@query("OP-4", "SELECT doc_id FROM documents WHERE regexp_matches(text, 'AKIA[A-Z0-9]{16}|(?i:password|secret|token)[ ]*[:=]')")
+@query("OP-4", f"SELECT DISTINCT doc_id FROM ({' UNION ALL '.join(_in_re2(*r) for r in redaction.RULES)})")
 def op_4(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").filter(F.col("text").rlike(r"AKIA[A-Z0-9]{16}|(?i:password|secret|token)[ ]*[:=]")).select("doc_id")
+    """Documents whose stored text the residue scan marks for a redacted version."""
+    hit = functools.reduce(Column.__or__, [h for _, h in redaction.residue(F.col("text"))])
+    return table(spark, d, "documents").filter(hit).select("doc_id")
 
 
-@query("OP-5", f"WITH {GRAPH}, eta AS (SELECT src, dst, 0.1 * least(1.0, n * 0.5) AS e FROM pairs) SELECT x.src, x.dst, round(greatest(0.1, least(1.0, strength + e * (1 - strength))), 6) AS strength FROM edges x JOIN eta y ON x.src = y.src AND x.dst = y.dst")
+@query("OP-5", f"WITH {GRAPH} SELECT src, dst, round(greatest(0.1, least(1.0, strength + 0.1 * least(1.0, n * 0.5) * (1 - strength))), 6) AS strength FROM edges")
 def op_5(spark: SparkSession, d: str) -> DataFrame:
-    """Reinforcement flush: the folded signals of a batch meet their edges."""
-    eta = tables.pairs(spark, d).select("src", "dst", (F.lit(0.1) * F.least(F.lit(1.0), F.col("n") * 0.5)).alias("e"))
-    return tables.edges(spark, d).join(eta, ["src", "dst"]).select("src", "dst", r6(weights.reinforced(F.col("strength"), F.col("e"))).alias("strength"))
+    """Reinforcement flush: each edge takes one step by the folded signals that it was made from."""
+    eta = 0.1 * F.least(F.lit(1.0), F.col("n") * 0.5)
+    return tables.edges(spark, d).select("src", "dst", r6(weights.reinforced(F.col("strength"), eta)).alias("strength"))
 
 
 @query("OP-6", f"WITH {GRAPH} SELECT src, dst, round(greatest(0.1, strength * (1 - 0.05 * exp(-pow((src + dst) % 90 - 30, 2) / 450.0))), 6) AS strength FROM edges")

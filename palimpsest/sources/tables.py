@@ -70,7 +70,8 @@ GRAPH = f"{MENTIONS}, {PAIRS}, {EDGES}"
 def both_ways(edges: DataFrame) -> DataFrame:
     """Each undirected edge from either end: node, other, and the other columns."""
     rest = [c for c in edges.columns if c not in ("src", "dst")]
-    return edges.select(F.col("src").alias("node"), F.col("dst").alias("other"), *rest).unionByName(edges.select(F.col("dst").alias("node"), F.col("src").alias("other"), *rest))
+    ends = [F.struct(F.col(a).alias("node"), F.col(b).alias("other")) for a, b in (("src", "dst"), ("dst", "src"))]
+    return edges.select(F.explode(F.array(*ends)).alias("ends"), *rest).select("ends.node", "ends.other", *rest)
 
 
 BOTH = "both_ways AS (SELECT src AS node, dst AS other, type, n, strength, confidence FROM edges UNION ALL SELECT dst, src, type, n, strength, confidence FROM edges)"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 import random
 
 import pytest
@@ -85,10 +86,74 @@ def test_admission_precedence(spark):
 def test_activation_decays_over_hops(spark):
     e = [(1, 2), (2, 3), (3, 4)]
     both = spark.createDataFrame([(a, b, "CO_OCCURS", 1.0, 1.0) for x, y in e for a, b in ((x, y), (y, x))], "node long, other long, type string, strength double, confidence double")
-    got = {r["node"]: r for r in retrieval.activate(spark.createDataFrame([(1, 1.0)], "node long, score double"), both, hops=2).collect()}
-    assert got[2]["hops"] == 1 and got[2]["score"] == pytest.approx(0.56)
-    assert got[3]["hops"] == 2 and got[3]["score"] == pytest.approx(0.56**2)
-    assert 4 not in got
+    seeds = spark.createDataFrame([(1, 1.0)], "node long, score double")
+    found, why = retrieval.activate(seeds, both, spark.createDataFrame([(3,)], "node long"), retrieval.Budget(hops=2))
+    got = {r["node"]: r for r in found.collect()}
+    assert why == "hop_limit" and got.keys() == {1, 2, 3}
+    assert got[2]["hops"] == 1 and got[2]["score"] == pytest.approx(0.56) and got[2]["path"] == "1 -[CO_OCCURS]-> 2"
+    assert got[3]["hops"] == 2 and got[3]["score"] == pytest.approx(0.56**2 / 2) and got[3]["superseded"] and got[3]["path"] == "1 -[CO_OCCURS]-> 2 -[CO_OCCURS]-> 3"
+
+
+def plain_activation(seeds, edges, superseded, budget, typed):
+    """One node after another, with dictionaries."""
+    degree, near = {}, {}
+    for a, b, t, s, c in edges:
+        degree[a] = degree.get(a, 0) + 1
+        if s >= budget.strength:
+            near.setdefault(a, []).append((-s, b, t, c))
+    score, hops, path, best, proof = dict(seeds), dict.fromkeys(seeds, 0), {x: str(x) for x in seeds}, {}, {}
+    waiting, seen, rounds = set(seeds), set(), 0
+    while True:
+        if rounds >= budget.rounds:
+            return score, hops, path, proof, "max_iterations"
+        if len(seen) >= budget.visited:
+            return score, hops, path, proof, "node_budget"
+        if not waiting:
+            return score, hops, path, proof, "frontier_exhausted"
+        strong = sorted((x for x in waiting if score[x] >= budget.least), key=lambda x: (-score[x], x))
+        if not strong:
+            return score, hops, path, proof, "below_min_activation"
+        ring = [x for x in strong if hops[x] < budget.hops][: budget.visited - len(seen)]
+        if not ring:
+            return score, hops, path, proof, "hop_limit"
+        rounds, before = rounds + 1, set(seen)
+        seen |= set(ring)
+        waiting -= set(ring)
+        for i, a in enumerate(ring):
+            open_ = sorted(e for e in near.get(a, []) if e[1] not in before)[: budget.neighbours]
+            for s, b, t, c in open_:
+                if b in ring and ring.index(b) <= i:
+                    continue
+                w = {"SUPERSEDES": 1.0, "CO_OCCURS": 0.8, "SIMILAR": 0.6}.get(t, 0.5) * -s * (c if t == "SIMILAR" else 1)
+                gain = score[a] * w * budget.decay * (1 if degree[b] <= 10 else 1 / (1 + 0.5 * math.log(1 + degree[b] - 10))) * (0.5 if b in superseded else 1)
+                score[b] = score.get(b, 0) + gain
+                if t in typed and gain > proof.get(b, (0, 0))[1]:
+                    proof[b] = (t, gain)
+                if b not in seeds and gain > best.get(b, 0):
+                    best[b], hops[b], path[b] = gain, hops[a] + 1, f"{path[a]} -[{t}]-> {b}"
+                    if b not in seen:
+                        waiting.add(b)
+
+
+@pytest.mark.parametrize(("seed", "more"), [(1, {}), (2, {"visited": 7}), (3, {"hops": 2, "neighbours": 3}), (4, {"rounds": 2}), (5, {"least": 0.4})])
+def test_activation_is_the_plain_one(spark, seed, more):
+    rnd = random.Random(seed)
+    edges = []
+    for _ in range(90):
+        a, b = rnd.sample(range(30), 2)
+        t, s, c = rnd.choice(["CO_OCCURS", "SIMILAR", "CONTRADICTS", "SUPERSEDES"]), rnd.choice([0.05, 0.6, 0.9, 1.0]), rnd.choice([0.5, 1.0])
+        edges += [(a, b, t, s, c), (b, a, t, s, c)]
+    edges = list(dict.fromkeys(edges))
+    seeds, old, budget = {rnd.randrange(30): 1.0, rnd.randrange(30): 0.8}, set(rnd.sample(range(30), 6)), retrieval.Budget(**more)
+    score, hops, path, proof, why = plain_activation(seeds, edges, old, budget, retrieval.TYPED)
+    found, ended = retrieval.activate(
+        spark.createDataFrame(list(seeds.items()), "node long, score double"), spark.createDataFrame(edges, "node long, other long, type string, strength double, confidence double"), spark.createDataFrame([(x,) for x in old], "node long"), budget
+    )
+    got = {r["node"]: r for r in found.collect()}
+    assert ended == why and got.keys() == {x for x in score if score[x] >= budget.least}
+    for x, r in got.items():
+        assert r["score"] == pytest.approx(score[x]) and (r["hops"], r["path"], r["superseded"]) == (hops[x], path[x], x in old)
+        assert (r["typed_edge"], r["typed_gain"]) == (proof[x][0], pytest.approx(proof[x][1])) if x in proof else r["typed_edge"] is None
 
 
 def test_cluster_cap_follows_links(spark):
