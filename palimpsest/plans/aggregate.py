@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import dates, hashing, weights
 from palimpsest.operators import queues, retrieval
+from palimpsest.operators.quantiles import quantiles
 from palimpsest.plans.registry import query
 from palimpsest.sources import tables
 from palimpsest.sources.tables import BOTH, CLAIMS, GRAPH, MENTIONS, table
@@ -32,8 +33,9 @@ def agg_2(spark: SparkSession, d: str) -> DataFrame:
 
 @query("AGG-3", f"WITH {GRAPH} SELECT type, round(min(strength), 6) AS least, round(quantile_cont(strength, 0.1), 6) AS p10, round(quantile_cont(strength, 0.5), 6) AS p50, round(quantile_cont(strength, 0.9), 6) AS p90, round(max(strength), 6) AS most FROM edges GROUP BY 1")
 def agg_3(spark: SparkSession, d: str) -> DataFrame:
-    p = F.percentile("strength", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    return tables.edges(spark, d).groupBy("type").agg(F.min("strength").alias("a"), p.alias("p"), F.max("strength").alias("z")).select("type", r6("a").alias("least"), r6(F.col("p")[0]).alias("p10"), r6(F.col("p")[1]).alias("p50"), r6(F.col("p")[2]).alias("p90"), r6("z").alias("most"))
+    names = ["least", "p10", "p50", "p90", "most"]
+    q = quantiles(tables.edges(spark, d), "type", "strength", [0.0, 0.1, 0.5, 0.9, 1.0])
+    return q.select("type", *[r6(f"q{i}").alias(n) for i, n in enumerate(names)])
 
 
 @query("AGG-4", f"WITH {GRAPH} SELECT count(*) FILTER (strength >= 0.5) AS at_floor, count(*) FILTER (strength < 0.5) AS below FROM edges")

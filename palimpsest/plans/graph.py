@@ -30,10 +30,11 @@ def gra_1(spark: SparkSession, d: str) -> DataFrame:
     return graph.label_propagation(tables.both_ways(tables.edges(spark, d)), 3)
 
 
-@query("GRA-2", f"WITH {MENTIONS}, s AS (SELECT entity, count(*) AS k FROM mentions GROUP BY 1), p AS (SELECT a.entity AS a, b.entity AS b, count(*) AS inter FROM mentions a JOIN mentions b ON a.episode = b.episode AND a.entity < b.entity GROUP BY 1, 2) SELECT a, b, inter, round(inter / (x.k + y.k - inter)::DOUBLE, 6) AS score FROM p JOIN s x ON x.entity = a JOIN s y ON y.entity = b WHERE inter / (x.k + y.k - inter)::DOUBLE >= 0.03")
+@query("GRA-2", "WITH m AS (SELECT DISTINCT l_suppkey AS item, l_partkey AS member FROM lineitem), s AS (SELECT item, count(*) AS k FROM m GROUP BY 1), p AS (SELECT a.item AS a, b.item AS b, count(*) AS inter FROM m a JOIN m b ON a.member = b.member AND a.item <> b.item GROUP BY 1, 2), j AS (SELECT a, b, inter, inter / (x.k + y.k - inter)::DOUBLE AS score FROM p JOIN s x ON x.item = a JOIN s y ON y.item = b), t AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS r FROM j WHERE score >= 0.1) SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b, inter, round(score, 6) AS score FROM t WHERE r <= 10 ORDER BY score DESC, a, b LIMIT 500")
 def gra_2(spark: SparkSession, d: str) -> DataFrame:
-    m = tables.mentions(spark, d).select(F.col("entity").alias("item"), F.col("episode").alias("member"))
-    return graph.jaccard(m, 0.03).withColumn("score", r6("score"))
+    """Similar suppliers by the parts that both deliver: ten each, at 0.1 or more, the best 500 pairs."""
+    m = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("item"), F.col("l_partkey").alias("member")).distinct()
+    return graph.most_similar(graph.jaccard(m, 0.1)).select("a", "b", "inter", r6("score").alias("score"))
 
 
 @query("GRA-3", f"WITH {KNN} SELECT ask AS src, id AS dst, round(score, 5) AS score FROM knn WHERE rank <= 5 AND score >= 0.1 AND ask // 100 <> id // 100")
@@ -74,10 +75,10 @@ def gra_6(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select(F.col("p_partkey").alias("id")).join(table(spark, d, "lineitem").select(F.col("l_partkey").alias("id")), "id", "left_anti")
 
 
-@query("GRA-7", f"WITH {GRAPH}, {BOTH} SELECT b.node, b.other, b.type, round(b.strength, 6) AS strength, p.p_name AS name FROM both_ways b JOIN part p ON p.p_partkey = b.other WHERE b.node % 500 = 0")
+@query("GRA-7", f"WITH {GRAPH}, {BOTH} SELECT b.node, b.other, b.type, round(b.strength, 6) AS strength, p.p_name AS name FROM both_ways b JOIN part p ON p.p_partkey = b.other WHERE b.node % 100 = 0")
 def gra_7(spark: SparkSession, d: str) -> DataFrame:
     names = table(spark, d, "part").select(F.col("p_partkey").alias("other"), F.col("p_name").alias("name"))
-    e = tables.both_ways(tables.edges(spark, d)).filter("node % 500 = 0")
+    e = tables.both_ways(tables.edges(spark, d)).filter("node % 100 = 0")
     return e.join(names, "other").select("node", "other", "type", r6("strength").alias("strength"), "name")
 
 
@@ -94,10 +95,10 @@ def gra_8(spark: SparkSession, d: str) -> DataFrame:
     return root.join(least, "root").select("node", F.col("least").alias("root"))
 
 
-@query("GRA-9", "WITH e AS (SELECT DISTINCT l_orderkey % 50 AS node, l_partkey AS other, l_quantity AS w FROM lineitem WHERE l_partkey < 200), v AS (SELECT node, w, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM e JOIN embeddings ON vec_id = other), m AS (SELECT node, i, sum(w * x) / sum(w) AS y FROM v GROUP BY 1, 2) SELECT node, round(sqrt(sum(y * y)), 5) AS norm FROM m GROUP BY 1")
+@query("GRA-9", "WITH e AS (SELECT DISTINCT l_orderkey AS node, l_partkey AS other, l_quantity AS w FROM lineitem), v AS (SELECT node, w, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM e JOIN embeddings ON vec_id = other), m AS (SELECT node, i, sum(w * x) / sum(w) AS y FROM v GROUP BY 1, 2) SELECT node, round(sqrt(sum(y * y)), 5) AS norm FROM m GROUP BY 1")
 def gra_9(spark: SparkSession, d: str) -> DataFrame:
     """Context vectors: weighted means of the neighbours' vectors."""
-    e = table(spark, d, "lineitem").filter("l_partkey < 200").select((F.col("l_orderkey") % 50).alias("node"), F.col("l_partkey").alias("id"), F.col("l_quantity").alias("weight")).distinct()
+    e = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("node"), F.col("l_partkey").alias("id"), F.col("l_quantity").alias("weight")).distinct()
     m = retrieval.mean_vector(e.join(tables.vectors(spark, d).select("id", "vec"), "id"), "node", 64)
     return m.select("node", F.round(vectors.norm(F.col("vec")), 5).alias("norm"))
 

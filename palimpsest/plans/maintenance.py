@@ -8,12 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import dates, redaction, text, weights
-from palimpsest.operators import bitemporal, graph, scheduling
+from palimpsest.operators import bitemporal, graph, retrieval, scheduling, staging
 from palimpsest.plans.aggregate import KNN, N, knn, r6
 from palimpsest.plans.registry import query
 from palimpsest.plans.scalar import _in_re2
 from palimpsest.sources import tables
-from palimpsest.sources.tables import BOTH, CLAIMS, GRAPH, MENTIONS, table
+from palimpsest.sources.tables import BOTH, CLAIMS, GRAPH, MENTIONS, RESTATED, table
 
 
 @query("OP-1", "SELECT doc_id FROM documents WHERE text IS NOT NULL AND trim(text) <> '' AND doc_id NOT IN (SELECT vec_id FROM embeddings) ORDER BY doc_id LIMIT 200")
@@ -122,7 +122,10 @@ def op_17(spark: SparkSession, d: str) -> DataFrame:
     """Communities at or above the 75th percentile of sizes with two sessions at least."""
     lines = tables.mentions(spark, d).select(F.col("episode").alias("o_orderkey"), F.col("entity").alias("p_partkey")).join(table(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
     c = lines.join(table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("community")), "p_partkey").groupBy("community").agg(F.count_distinct("p_partkey").alias("size"), F.count_distinct("o_custkey").alias("sessions"))
-    ranked = c.agg(F.sort_array(F.collect_list("size")).alias("s")).select(F.greatest(F.element_at("s", F.ceil(F.lit(0.75) * F.size("s")).cast("int")), F.lit(2)).alias("floor"))
+    c = staging.stage(c, "communities")
+    w = Window.orderBy("size")  # of the different sizes
+    run = c.groupBy("size").agg(N().alias("k")).withColumns({"upto": F.sum("k").over(w.rowsBetween(Window.unboundedPreceding, 0)), "total": F.sum("k").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
+    ranked = run.filter(F.col("upto") >= F.ceil(F.lit(0.75) * F.col("total"))).agg(F.greatest(F.min("size"), F.lit(2)).alias("floor"))
     return c.join(F.broadcast(ranked), (F.col("size") >= F.col("floor")) & (F.col("sessions") >= 2)).select("community", "size", "sessions")
 
 
@@ -163,10 +166,11 @@ def op_23(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").groupBy(text.fold_ascii(F.col("p_name")).alias("name")).agg(F.min("p_partkey").alias("canonical"), (N() - 1).alias("merged")).filter("merged > 0")
 
 
-@query("OP-24", f"WITH {KNN} SELECT DISTINCT greatest(ask, id) AS dropped, least(ask, id) AS kept FROM knn WHERE rank = 1 AND score >= 0.2")
+@query("OP-24", f"WITH {RESTATED} SELECT ask AS dropped, id AS kept FROM restated WHERE rank = 1 AND score >= 0.73")
 def op_24(spark: SparkSession, d: str) -> DataFrame:
-    """Claim dedup: nearest neighbours at the floor, the older survives."""
-    return knn(spark, d, 1, 0.2).select(F.greatest("ask", "id").alias("dropped"), F.least("ask", "id").alias("kept")).distinct()
+    """Claim dedup: a restatement whose nearest neighbour has a cosine of 0.73 or more goes, the older claim survives."""
+    v = tables.vectors(spark, d)
+    return retrieval.knn(tables.restated(v), v, 1, 0.73).select(F.col("ask").alias("dropped"), F.col("id").alias("kept"))
 
 
 @query("OP-25", "SELECT DISTINCT l_orderkey AS id FROM lineitem WHERE l_returnflag = 'R' AND l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')")

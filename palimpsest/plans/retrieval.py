@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text, vectors, weights
 from palimpsest.operators import bitemporal, entities, graph, retrieval, staging
+from palimpsest.operators.quantiles import quantiles
 from palimpsest.plans.aggregate import KNN, N, knn, r6
 from palimpsest.plans.registry import query
 from palimpsest.plans.write import _G0, _entities
@@ -20,13 +23,13 @@ def _both(spark: SparkSession, d: str) -> DataFrame:
     return tables.both_ways(tables.edges(spark, d))
 
 
-@query("JOIN-1", f"WITH {GRAPH}, {BOTH}, r AS (SELECT node, other, type, strength, row_number() OVER (PARTITION BY node ORDER BY strength DESC, other, type) AS rank FROM both_ways WHERE node % 20 = 0 AND other % 20 <> 0) SELECT node, other, round(strength, 6) AS strength, rank::INT AS rank FROM r WHERE rank <= 5")
+@query("JOIN-1", f"WITH {GRAPH}, {BOTH}, r AS (SELECT node, other, type, strength, row_number() OVER (PARTITION BY node ORDER BY strength DESC, other, type) AS rank FROM both_ways WHERE node % 100 = 0 AND other % 100 <> 0) SELECT node, other, round(strength, 6) AS strength, rank::INT AS rank FROM r WHERE rank <= 5")
 def join_1(spark: SparkSession, d: str) -> DataFrame:
     """Expansion by one hop with the strongest five neighbours that aren't visited."""
-    e = _both(spark, d)
-    visited = e.filter("node % 20 = 0").select(F.col("node").alias("other")).distinct()
+    e = staging.stage(_both(spark, d), "both-ways")
+    visited = e.filter("node % 100 = 0").select(F.col("node").alias("other")).distinct()
     w = Window.partitionBy("node").orderBy(F.desc("strength"), "other", "type")
-    near = e.filter("node % 20 = 0").join(visited, "other", "left_anti")
+    near = e.filter("node % 100 = 0").join(visited, "other", "left_anti")
     return near.withColumn("rank", F.row_number().over(w)).filter("rank <= 5").select("node", "other", r6("strength").alias("strength"), "rank")
 
 
@@ -61,11 +64,11 @@ def join_6(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id")).distinct().join(open_, "id", "left_anti")
 
 
-@query("JOIN-7", r"WITH w AS (SELECT DISTINCT conv_id, turn, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS word FROM conversations), s AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS word FROM benchmark WHERE item_id < 5) SELECT conv_id, turn, count(*) AS subjects FROM w JOIN s USING (word) WHERE length(word) >= 3 GROUP BY 1, 2")
+@query("JOIN-7", r"WITH w AS (SELECT DISTINCT conv_id, turn, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS word FROM conversations), s AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS word FROM benchmark) SELECT conv_id, turn, count(*) AS subjects FROM w JOIN s USING (word) WHERE length(word) >= 3 GROUP BY 1, 2")
 def join_7(spark: SparkSession, d: str) -> DataFrame:
     """Subjects that a text names: names of one word become an equi join on words."""
     words = lambda c: F.explode(F.array_distinct(F.split(F.lower(c), "[^a-z]+"))).alias("word")
-    subjects = table(spark, d, "benchmark").filter("item_id < 5").select(words("text")).distinct().filter("length(word) >= 3")
+    subjects = table(spark, d, "benchmark").select(words("text")).distinct().filter("length(word) >= 3")
     return table(spark, d, "conversations").select("conv_id", "turn", words("text")).distinct().join(subjects, "word").groupBy("conv_id", "turn").agg(N().alias("subjects"))
 
 
@@ -156,11 +159,11 @@ def join_17(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _cues(spark: SparkSession, d: str) -> DataFrame:
-    """Cues of the fallback path: the raw query of every tenth item, weight 3, without model calls."""
-    return table(spark, d, "benchmark").filter("item_id % 10 = 0").select(F.col("item_id").alias("cue_id"), F.trim("text").alias("cue"), F.lit(3).alias("weight"))
+    """Cues of the fallback path: the raw query, weight 3, without model calls."""
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("cue_id"), F.trim("text").alias("cue"), F.lit(3).alias("weight"))
 
 
-@query("RET-1", "SELECT item_id AS cue_id, trim(text) AS cue, 3 AS weight FROM benchmark WHERE item_id % 10 = 0")
+@query("RET-1", "SELECT item_id AS cue_id, trim(text) AS cue, 3 AS weight FROM benchmark")
 def ret_1(spark: SparkSession, d: str) -> DataFrame:
     c = _cues(spark, d)
     first = c.groupBy(F.lower("cue").alias("k")).agg(F.min("cue_id").alias("cue_id"))
@@ -297,13 +300,13 @@ def ret_12(spark: SparkSession, d: str) -> DataFrame:
     return _lists(spark, d).select("id", "weight", F.col("rank").cast("long").alias("rank"))
 
 
-@query("RET-13", f"WITH {KNN}, a AS (SELECT DISTINCT id FROM knn WHERE rank > 5) SELECT q.vec_id AS cue, a.id, round(list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) / sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]) * list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])), 5) AS relevance FROM a JOIN embeddings e ON e.vec_id = a.id CROSS JOIN embeddings q WHERE q.vec_id < 3")
+@query("RET-13", f"WITH {KNN}, a AS (SELECT DISTINCT id FROM knn WHERE rank > 5) SELECT q.vec_id AS cue, a.id, round(list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) / sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]) * list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])), 5) AS relevance FROM a JOIN embeddings e ON e.vec_id = a.id CROSS JOIN embeddings q WHERE q.vec_id % 100 = 0")
 def ret_13(spark: SparkSession, d: str) -> DataFrame:
-    """Arrivals scored against every cue; cues are a few."""
+    """Arrivals scored against every cue (the asked vectors)."""
     v = tables.vectors(spark, d).select("id", "vec")
     arrivals = v.join(knn(spark, d).filter("rank > 5").select("id").distinct(), "id", "left_semi")
-    cues = v.filter("id < 3").select(F.col("id").alias("cue"), F.col("vec").alias("cue_vec"))
-    return arrivals.join(F.broadcast(cues), F.lit(True)).select("cue", "id", F.round(vectors.cosine(F.col("cue_vec"), F.col("vec")), 5).alias("relevance"))
+    scored = functools.reduce(DataFrame.unionByName, retrieval.asked_pairs(v.filter("id % 100 = 0"), arrivals, skip_self=False))
+    return scored.select(F.col("ask").alias("cue"), "id", F.round("score", 5).alias("relevance"))
 
 
 @query("RET-14", f"WITH {_LISTS} SELECT id, round(sum(weight / (60 + rank + 1)), 8) AS score FROM lists GROUP BY 1")
@@ -399,9 +402,13 @@ def ret_24(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").withColumn("bucket", bucket).withColumn("place", F.row_number().over(w)).filter(F.col("place") <= cap).select("conv_id", "turn", "bucket")
 
 
-@query("RET-25", f"WITH {KNN} SELECT id, count(*) AS access_count FROM knn GROUP BY 1")
+@query("RET-25", f"WITH {KNN} SELECT 'access' AS event, id, NULL::BIGINT AS other, count(*) AS n FROM knn GROUP BY 2 UNION ALL SELECT 'co_activation', a.id, b.id, count(*) FROM knn a JOIN knn b ON a.ask = b.ask AND a.id < b.id GROUP BY 2, 3")
 def ret_25(spark: SparkSession, d: str) -> DataFrame:
-    return knn(spark, d).groupBy("id").agg(N().alias("access_count"))
+    """After a recall: an access of each served node, and the pairs of each recall's ten best."""
+    k = staging.stage(knn(spark, d).select("ask", "id"), "served")
+    access = k.groupBy("id").agg(N().alias("n")).select(F.lit("access").alias("event"), "id", F.lit(None).cast("long").alias("other"), "n")
+    pairs = k.join(k.withColumnRenamed("id", "other"), "ask").filter("id < other").groupBy("id", "other").agg(N().alias("n"))
+    return access.unionByName(pairs.select(F.lit("co_activation").alias("event"), "id", "other", "n"))
 
 
 @query("RET-26", "SELECT o_custkey, count(*) AS pending FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) GROUP BY 1")
@@ -427,7 +434,8 @@ def ret_29(spark: SparkSession, d: str) -> DataFrame:
     """Floors measured again over labelled pairs."""
     v = tables.vectors(spark, d).select("id", "label")
     k = knn(spark, d).join(v, "id").join(v.select(F.col("id").alias("ask"), F.col("label").alias("ask_label")), "ask")
-    return k.groupBy((F.col("label") == F.col("ask_label")).alias("related")).agg(N().alias("n"), F.round(F.percentile("score", 0.05), 5).alias("p05"), F.round(F.percentile("score", 0.95), 5).alias("p95"))
+    q = quantiles(k.withColumn("related", F.col("label") == F.col("ask_label")), "related", "score", [0.05, 0.95])
+    return q.select("related", "n", F.round("q0", 5).alias("p05"), F.round("q1", 5).alias("p95"))
 
 
 @query(

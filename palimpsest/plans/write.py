@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import hashing, text
-from palimpsest.operators import bitemporal, entities
+from palimpsest.operators import bitemporal, entities, retrieval
 from palimpsest.plans.aggregate import KNN, N, knn, r6
 from palimpsest.plans.registry import query
 from palimpsest.sources import tables
-from palimpsest.sources.tables import CLAIMS, GRAPH, MENTIONS, table
+from palimpsest.sources.tables import CLAIMS, GRAPH, MENTIONS, RESTATED, table
 
 
 @query("WR-1", "SELECT event_id % 97 AS id, arg_max(event_type, (ts, event_id)) AS event_type, epoch_us(max(ts)) AS tx_from FROM events GROUP BY 1")
@@ -43,11 +43,12 @@ def wr_4(spark: SparkSession, d: str) -> DataFrame:
     return gone.join(m.join(closed, "episode", "left_anti").select("entity"), "entity", "left_anti")
 
 
-@query("WR-5", f"WITH {KNN} SELECT k.id, min(k.ask) AS closed_by FROM knn k JOIN embeddings a ON a.vec_id = k.ask JOIN embeddings b ON b.vec_id = k.id WHERE a.label = b.label AND score >= 0.1 GROUP BY 1")
+@query("WR-5", f"WITH {RESTATED} SELECT k.id, min(k.ask) AS closed_by FROM restated k JOIN embeddings a ON a.vec_id = k.ask - 10000000 JOIN embeddings b ON b.vec_id = k.id WHERE a.label = b.label AND score >= 0.6 GROUP BY 1")
 def wr_5(spark: SparkSession, d: str) -> DataFrame:
-    """Family close: members of the same label near the closed one."""
-    v = tables.vectors(spark, d).select("id", "label")
-    k = knn(spark, d, 10, 0.1).join(v, "id").join(v.select(F.col("id").alias("ask"), F.col("label").alias("ask_label")), "ask").filter("label = ask_label")
+    """Family close: earlier claims of a restatement's subject (label) whose cosine with it is 0.6 or more."""
+    v = tables.vectors(spark, d)
+    new = tables.restated(v)
+    k = retrieval.knn(new, v, 10, 0.6).join(v.select("id", "label"), "id").join(new.select(F.col("id").alias("ask"), F.col("label").alias("ask_label")), "ask").filter("label = ask_label")
     return k.groupBy("id").agg(F.min("ask").alias("closed_by"))
 
 
@@ -122,12 +123,12 @@ def wr_14(spark: SparkSession, d: str) -> DataFrame:
     return lines.join(canon, "id").filter("id <> canonical").select("l_orderkey", "l_linenumber", F.col("canonical").alias("subject"))
 
 
-@query("WR-15", "WITH c AS (SELECT a.o_orderkey AS id, b.o_orderkey AS other, CASE WHEN a.o_orderpriority = b.o_orderpriority THEN 1 WHEN a.o_orderstatus = b.o_orderstatus THEN 2 ELSE 3 END AS tier FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND b.o_orderdate < a.o_orderdate WHERE a.o_orderkey % 20 = 0) SELECT id, other, tier FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY tier, other DESC) AS r FROM c) WHERE r <= 3")
+@query("WR-15", "WITH c AS (SELECT a.o_orderkey AS id, b.o_orderkey AS other, CASE WHEN a.o_orderpriority = b.o_orderpriority THEN 1 WHEN a.o_orderstatus = b.o_orderstatus THEN 2 ELSE 3 END AS tier FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND b.o_orderdate < a.o_orderdate) SELECT id, other, tier FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY tier, other DESC) AS r FROM c) WHERE r <= 3")
 def wr_15(spark: SparkSession, d: str) -> DataFrame:
     """Candidates for contradiction in tiers, the best three of each new claim."""
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus", "o_orderdate")
     b = o.select(*[F.col(c).alias(f"b_{c}") for c in o.columns])
-    c = o.filter("o_orderkey % 20 = 0").join(b, (F.col("o_custkey") == F.col("b_o_custkey")) & (F.col("b_o_orderdate") < F.col("o_orderdate")))
+    c = o.join(b, (F.col("o_custkey") == F.col("b_o_custkey")) & (F.col("b_o_orderdate") < F.col("o_orderdate")))
     tier = F.when(F.col("o_orderpriority") == F.col("b_o_orderpriority"), 1).when(F.col("o_orderstatus") == F.col("b_o_orderstatus"), 2).otherwise(3)
     w = Window.partitionBy("id").orderBy("tier", F.desc("other"))
     return c.select(F.col("o_orderkey").alias("id"), F.col("b_o_orderkey").alias("other"), tier.alias("tier")).withColumn("r", F.row_number().over(w)).filter("r <= 3").drop("r")
@@ -217,10 +218,10 @@ def wr_26(spark: SparkSession, d: str) -> DataFrame:
     return p.select("id", (F.col("has").isNotNull() & (F.col("id") % 3 != 0)).alias("fresh"))
 
 
-@query("WR-27", "WITH t AS (SELECT conv_id, string_agg(substr(text, 1, 20), ' / ' ORDER BY turn) AS body, count(*) AS turns FROM conversations GROUP BY 1) SELECT conv_id, body, turns, sha256(conv_id::VARCHAR || chr(0) || body) AS id FROM t")
+@query("WR-27", "WITH t AS (SELECT conv_id, string_agg(text, ' / ' ORDER BY turn) AS body, count(*) AS turns FROM conversations GROUP BY 1) SELECT conv_id, body, turns, sha256(conv_id::VARCHAR || chr(0) || body) AS id FROM t")
 def wr_27(spark: SparkSession, d: str) -> DataFrame:
     """Narratives with a deterministic text and a content-addressed id."""
-    lines = F.sort_array(F.collect_list(F.struct("turn", F.substring("text", 1, 20).alias("line"))))
+    lines = F.sort_array(F.collect_list(F.struct("turn", F.col("text").alias("line"))))
     t = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(lines, lambda x: x["line"]), " / ").alias("body"), N().alias("turns"))
     return t.withColumn("id", hashing.derived_id(F.col("conv_id"), F.col("body")))
 

@@ -79,3 +79,14 @@ BOTH = "both_ways AS (SELECT src AS node, dst AS other, type, n, strength, confi
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label")
+
+
+def restated(v: DataFrame) -> DataFrame:
+    """Later restatements of every tenth claim: its vector without the first eight places, under an id of its own."""
+    return v.filter("id % 10 = 3").select((F.col("id") + 10_000_000).alias("id"), F.concat(F.array_repeat(F.lit(0.0), 8), F.slice("vec", 9, 4096).cast("array<double>")).alias("vec"), "label")
+
+
+_NEW = "list_concat([0, 0, 0, 0, 0, 0, 0, 0]::DOUBLE[], a.embedding[9:]::DOUBLE[])"
+_NEW_COS = f"list_dot_product({_NEW}, b.embedding::DOUBLE[]) / sqrt(list_dot_product({_NEW}, {_NEW}) * list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))"
+#: The ten nearest claims of each restatement.
+RESTATED = f"restated AS (SELECT *, row_number() OVER (PARTITION BY ask ORDER BY score DESC, id) AS rank FROM (SELECT a.vec_id + 10000000 AS ask, b.vec_id AS id, {_NEW_COS} AS score FROM embeddings a, embeddings b WHERE a.vec_id % 10 = 3) QUALIFY rank <= 10)"
