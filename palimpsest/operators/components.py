@@ -36,3 +36,14 @@ def components(edges: DataFrame) -> DataFrame:
     for step in reversed(taken[:-1]):
         root = staging.stage(step.join(root.withColumnRenamed("node", "took").hint("merge"), "took", "left").select("node", F.coalesce("root", "took").alias("root")), "cc-roots")
     return root
+
+
+def named_by_least(root: DataFrame, slots: int = 16) -> DataFrame:
+    """(node, least): each node with the least node of its component. root: node, root.
+
+    A component may hold most of the nodes, so its name is dealt over slots, and no task joins all its members.
+    """
+    dealt = root.withColumn("slot", F.pmod(F.xxhash64("node"), F.lit(slots)).cast("int"))
+    least = dealt.groupBy("root", "slot").agg(F.min("node").alias("m")).groupBy("root").agg(F.min("m").alias("least"))
+    least = least.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
+    return dealt.join(least, ["root", "slot"]).select("node", "least")

@@ -281,8 +281,14 @@ def _plain_row(r) -> SimpleNamespace:
     return SimpleNamespace(node=int(r.node), score=float(r.score), hops=int(r.hops), path=r.path, strongest=float(r.strongest), typed_edge=none(r.typed_edge), typed_gain=none(r.typed_gain), seed=bool(r.seed))
 
 
-def fuse(lists: DataFrame, k: int = weights.RRF_K) -> DataFrame:
-    """Weighted reciprocal rank fusion: id, score (RET-14). lists: id, weight, rank from 0."""
+def fuse(lists: DataFrame, k: int = weights.RRF_K, factors: DataFrame | None = None) -> DataFrame:
+    """Weighted reciprocal rank fusion: id, score (RET-14). lists: id, weight, rank from 0.
+
+    factors: id, factor; boosts above 1, SUPERSEDED_FACTOR for what a later claim has replaced. They multiply.
+    """
+    if factors is not None:
+        whole = factors.groupBy("id").agg(F.product("factor").alias("factor"))
+        return fuse(lists, k).join(whole, "id", "left").select("id", (F.col("score") * F.coalesce("factor", F.lit(1.0))).alias("score"))
     return lists.groupBy("id").agg(F.sum(F.col("weight") / (F.lit(k) + F.col("rank") + 1)).alias("score"))
 
 
@@ -310,6 +316,20 @@ def admit(evidence: DataFrame, vector_floor: float = 0.35, corroboration: float
     return m.select("id", rule.alias("rule"))
 
 
+def admission_report(rules: DataFrame, measured: DataFrame, names: DataFrame, cap: int = 2, prefix: int = 16) -> DataFrame:
+    """One row of counts (RET-16): admitted, below_floor and unmeasured among those left out, duplicate and near_duplicate
+    among the admitted (equal names; more than cap of one prefix).
+
+    rules: id, rule; measured: id, cos (null: never measured); names: id, name.
+    """
+    let_in = rules.filter("rule <> 'none'").join(names, "id").withColumn("same", F.row_number().over(Window.partitionBy("name").orderBy("id")))
+    first = let_in.filter("same = 1").withColumn("near", F.row_number().over(Window.partitionBy(F.substring(F.lower(F.trim("name")), 1, prefix)).orderBy("id")))
+    inside = first.agg(F.count_if(F.col("near") <= cap).alias("admitted"), F.count_if(F.col("near") > cap).alias("near_duplicate"))
+    twice = let_in.agg(F.count_if(F.col("same") > 1).alias("duplicate"))
+    out = rules.filter("rule = 'none'").join(measured, "id").agg(F.count_if(F.col("cos").isNotNull()).alias("below_floor"), F.count_if(F.col("cos").isNull()).alias("unmeasured"))
+    return inside.crossJoin(twice).crossJoin(out)  # three single rows
+
+
 def cluster_cap(items: DataFrame, links: DataFrame, cap: int = 2) -> DataFrame:
     """The best cap items of each near-duplicate class (RET-17). items: id, score; links: u, v."""
     root = components(links).withColumnRenamed("node", "id")
@@ -349,19 +369,26 @@ def pack(items: DataFrame, budget: int, caps: dict[str, int]) -> DataFrame:
     """Greedy packing within a token budget: pack, id, place (SORT-5). items: pack, id, score, bucket, episode, tokens.
 
     Items are walked best first; one that exceeds the budget, its bucket's cap or repeats an episode is passed over.
+    A pack's rows pass through one task in order, but only its budget, counts and episodes taken are held.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, used, seen, out = budget, dict.fromkeys(caps, 0), set(), []
-        for r in pdf.sort_values(["score", "id"], ascending=[False, True]).itertuples():
-            if r.tokens <= left and used.get(r.bucket, 0) < caps.get(r.bucket, 0) and r.episode not in seen:
-                left -= r.tokens
-                used[r.bucket] += 1
-                seen.add(r.episode)
-                out.append(r.id)
-        return pd.DataFrame({"pack": [pdf.pack.iloc[0]] * len(out), "id": out, "place": range(1, len(out) + 1)})
-
-    return items.groupBy("pack").applyInPandas(run, "pack long, id long, place int")
+    order = ["pack", "id", "bucket", "episode", "tokens"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, left, used, seen, place = None, 0, {}, set(), 0
+        for b in batches:
+            out = []
+            for pack_, id_, bucket, episode, tokens in zip(*[b.column(c).to_pylist() for c in order], strict=True):
+                if pack_ != now:
+                    now, left, used, seen, place = pack_, budget, dict.fromkeys(caps, 0), set(), 0
+                if tokens <= left and used.get(bucket, 0) < caps.get(bucket, 0) and episode not in seen:
+                    left, place = left - tokens, place + 1
+                    used[bucket] += 1
+                    seen.add(episode)
+                    out.append((pack_, id_, place))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32()))], names=["pack", "id", "place"])
+
+    ranked = items.repartition("pack").sortWithinPartitions("pack", F.desc("score"), "id").select(*order)
+    return ranked.mapInArrow(run, "pack long, id long, place int")
 
 
 def mean_vector(rows: DataFrame, key: str, size: int) -> DataFrame:

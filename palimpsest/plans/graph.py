@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import vectors, weights
 from palimpsest.operators import graph, retrieval, staging
-from palimpsest.operators.components import components
+from palimpsest.operators.components import components, named_by_least
 from palimpsest.plans.aggregate import KNN, N, knn, r6
 from palimpsest.plans.registry import query
 from palimpsest.sources import tables
@@ -91,8 +91,7 @@ def gra_8(spark: SparkSession, d: str) -> DataFrame:
     """Groups of duplicate pairs: components, named by their least member."""
     e = table(spark, d, "lineitem").filter("l_orderkey % 7 = 0 and l_orderkey % 3 <> 0").select(F.col("l_orderkey").alias("u"), (F.col("l_orderkey") + 7).alias("v")).distinct()
     root = staging.stage(components(e), "groups")
-    least = root.groupBy("root").agg(F.min("node").alias("least"))
-    return root.join(least, "root").select("node", F.col("least").alias("root"))
+    return named_by_least(root).select("node", F.col("least").alias("root"))
 
 
 @query("GRA-9", "WITH e AS (SELECT DISTINCT l_orderkey AS node, l_partkey AS other, l_quantity AS w FROM lineitem), v AS (SELECT node, w, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM e JOIN embeddings ON vec_id = other), m AS (SELECT node, i, sum(w * x) / sum(w) AS y FROM v GROUP BY 1, 2) SELECT node, round(sqrt(sum(y * y)), 5) AS norm FROM m GROUP BY 1")

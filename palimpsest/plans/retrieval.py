@@ -309,9 +309,13 @@ def ret_13(spark: SparkSession, d: str) -> DataFrame:
     return scored.select(F.col("ask").alias("cue"), "id", F.round("score", 5).alias("relevance"))
 
 
-@query("RET-14", f"WITH {_LISTS} SELECT id, round(sum(weight / (60 + rank + 1)), 8) AS score FROM lists GROUP BY 1")
+@query("RET-14", f"WITH {_LISTS} SELECT l.id, round(sum(weight / (60 + rank + 1)) * max(CASE WHEN e.label IN (1, 2) THEN 1.25 ELSE 1 END) * max(CASE WHEN l.id % 10 = 3 THEN 0.5 ELSE 1 END), 8) AS score FROM lists l JOIN embeddings e ON e.vec_id = l.id GROUP BY 1")
 def ret_14(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.fuse(_lists(spark, d)).select("id", F.round("score", 8).alias("score"))
+    """Fused lists, with a boost for the labels asked for and half the score for claims that were restated."""
+    v = tables.vectors(spark, d)
+    boosts = v.filter("label in (1, 2)").select("id", F.lit(1.25).alias("factor"))
+    old = tables.restated(v).select((F.col("id") - 10_000_000).alias("id"), F.lit(weights.SUPERSEDED_FACTOR).alias("factor"))
+    return retrieval.fuse(_lists(spark, d), factors=boosts.unionByName(old)).select("id", F.round("score", 8).alias("score"))
 
 
 _EVID = "ev AS (SELECT l_partkey AS id, CASE l_returnflag WHEN 'R' THEN 'vector' WHEN 'A' THEN 'bm25' ELSE 'graph' END AS method, l_suppkey % 3 AS cue, l_discount * 4 AS relevance, l_quantity >= 50 AND l_returnflag = 'A' AS exact, l_tax * 2 AS contribution FROM lineitem)"
@@ -333,9 +337,13 @@ def ret_15(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.admit(_evidence(spark, d))
 
 
-@query("RET-16", f"WITH {_EVID}, {_RULES} SELECT rule, count(*) AS n FROM rules GROUP BY 1")
+@query("RET-16", f"WITH {_EVID}, {_RULES}, i AS (SELECT id, p_brand || ' ' || p_name AS name, row_number() OVER (PARTITION BY p_brand || ' ' || p_name ORDER BY id) AS same FROM rules JOIN part ON p_partkey = id WHERE rule <> 'none'), f AS (SELECT row_number() OVER (PARTITION BY substr(lower(trim(name)), 1, 16) ORDER BY id) AS near FROM i WHERE same = 1), o AS (SELECT cos FROM rules JOIN m USING (id) WHERE rule = 'none') SELECT (SELECT count(*) FROM f WHERE near <= 2) AS admitted, (SELECT count(*) FROM f WHERE near > 2) AS near_duplicate, (SELECT count(*) FROM i WHERE same > 1) AS duplicate, (SELECT count(*) FROM o WHERE cos IS NOT NULL) AS below_floor, (SELECT count(*) FROM o WHERE cos IS NULL) AS unmeasured")
 def ret_16(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.admit(_evidence(spark, d)).groupBy("rule").agg(N().alias("n"))
+    """What an admission let in and why the rest stayed out."""
+    e = _evidence(spark, d)
+    measured = e.groupBy("id").agg(F.max(F.when(F.col("method") == "vector", F.col("relevance"))).alias("cos"))
+    names = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_brand", "p_name").alias("name"))
+    return retrieval.admission_report(retrieval.admit(e), measured, names)
 
 
 @query("RET-17", "WITH k AS (SELECT doc_id, sha256(substr(lower(trim(text)), 1, 16)) AS h, n_chars FROM documents), r AS (SELECT doc_id, row_number() OVER (PARTITION BY h ORDER BY n_chars DESC, doc_id) AS rank FROM k) SELECT doc_id FROM r WHERE rank <= 2")

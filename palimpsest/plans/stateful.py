@@ -56,7 +56,7 @@ def str_s5(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id").join(ledger, "event_id", "left_anti")
 
 
-@query("STR-S6")
+@query("STR-S6", "WITH e AS (SELECT user_id, list(CASE WHEN event_type IN ('click', 'purchase') THEN 1.0 WHEN event_type = 'error' THEN 2.0 ELSE 0.0 END::DOUBLE ORDER BY ts, event_id) AS steps, count(*) FILTER (event_type = 'view') AS accesses FROM events GROUP BY 1) SELECT user_id, round(list_reduce(list_concat([0.5::DOUBLE], steps), lambda w, x: CASE WHEN x = 1.0 THEN w + 0.1 * (1 - w) WHEN x = 2.0 THEN greatest(0.1, w * 0.95) ELSE w END), 6) AS weight, accesses FROM e")
 def str_s6(spark: SparkSession, d: str) -> DataFrame:
     """Usage replay in order: access, reinforcement and decay change a weight step by step, by user."""
     return sessions.replay(table(spark, d, "events").select("user_id", "ts", "event_id", "event_type")).select("user_id", r6("weight").alias("weight"), "accesses")

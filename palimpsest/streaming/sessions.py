@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import uuid
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,22 +67,64 @@ def run_once(stream: DataFrame, mode: str) -> DataFrame:
     return spark.read.schema(schema).parquet(out)
 
 
-def replay(events: DataFrame) -> DataFrame:
+def _after(f: tuple[float, float, float], g: tuple[float, float, float]) -> tuple[float, float, float]:
+    """g after f."""
+    return max(g[0], g[1] * f[0] + g[2]), g[1] * f[1], g[1] * f[2] + g[2]
+
+
+#: What each kind of event makes of a weight w, as max(floor, scale x w + shift).
+STEPS = {
+    **dict.fromkeys(("click", "purchase"), (-math.inf, 1 - weights.REINFORCE_RATE, weights.REINFORCE_RATE)),
+    "error": (weights.STRENGTH_FLOOR, 1 - weights.DECAY_RATE, 0.0),
+}
+_STAY = (-math.inf, 1.0, 0.0)
+
+
+def replay(events: DataFrame, start: float = 0.5) -> DataFrame:
     """The weight and accesses of each user after its events in order (STR-S6).
 
-    Steps don't commute, so each user's events are folded in order; a user's events are one task's, and the state
-    is two numbers.
+    Steps don't commute, but they compose to functions of the same form: a user's events of each day are folded to one
+    function as they stream by in order, and the few functions of a user are put one after the other. So no task gets a
+    busy user's whole history, and none holds more than one function.
     """
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        weight, accesses = 0.5, 0
-        for kind in pdf.sort_values(["ts", "event_id"]).event_type:
-            if kind == "view":
-                accesses += 1
-            elif kind in ("click", "purchase"):
-                weight += weights.REINFORCE_RATE * (1 - weight)
-            elif kind == "error":
-                weight = max(weights.STRENGTH_FLOOR, weight * (1 - weights.DECAY_RATE))
-        return pd.DataFrame({"user_id": [pdf.user_id.iloc[0]], "weight": [weight], "accesses": [accesses]})
-
-    return events.groupBy("user_id").applyInPandas(fold, "user_id long, weight double, accesses long")
+    names = ["user_id", "day", "floor", "scale", "shift", "accesses"]
+    kinds = [pa.int64(), pa.timestamp("us", "UTC"), pa.float64(), pa.float64(), pa.float64(), pa.int64()]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, f, accesses = None, _STAY, 0
+        for b in batches:
+            out = []
+            for user, day, kind in zip(*[b.column(c).to_pylist() for c in ("user_id", "day", "event_type")], strict=True):
+                if (user, day) != key:
+                    if key is not None:
+                        out.append((*key, *f, accesses))
+                    key, f, accesses = (user, day), _STAY, 0
+                f, accesses = _after(f, STEPS.get(kind, _STAY)), accesses + (kind == "view")
+            yield _rows(out, names, kinds)
+        if key is not None:
+            yield _rows([(*key, *f, accesses)], names, kinds)
+
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        user, f, accesses = None, _STAY, 0
+        last = lambda: (user, max(f[0], f[1] * start + f[2]), accesses)
+        to = (["user_id", "weight", "accesses"], [pa.int64(), pa.float64(), pa.int64()])
+        for b in batches:
+            out = []
+            for u, *g, n in zip(*[b.column(c).to_pylist() for c in ("user_id", "floor", "scale", "shift", "accesses")], strict=True):
+                if u != user:
+                    if user is not None:
+                        out.append(last())
+                    user, f, accesses = u, _STAY, 0
+                f, accesses = _after(f, tuple(g)), accesses + n
+            yield _rows(out, *to)
+        if user is not None:
+            yield _rows([last()], *to)
+
+    days = events.filter("user_id is not null").select(F.col("user_id").cast("long").alias("user_id"), F.date_trunc("day", "ts").alias("day"), "ts", "event_id", "event_type")
+    folded = days.repartition("user_id", "day").sortWithinPartitions("user_id", "day", "ts", "event_id").select("user_id", "day", "event_type")
+    folded = folded.mapInArrow(fold, "user_id long, day timestamp, floor double, scale double, shift double, accesses long")
+    return folded.repartition("user_id").sortWithinPartitions("user_id", "day").mapInArrow(chain, "user_id long, weight double, accesses long")
+
+
+def _rows(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=names)
