@@ -156,6 +156,40 @@ def test_activation_is_the_plain_one(spark, seed, more):
         assert (r["typed_edge"], r["typed_gain"]) == (proof[x][0], pytest.approx(proof[x][1])) if x in proof else r["typed_edge"] is None
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_quantiles_are_exact(spark, seed):
+    import numpy as np
+
+    from palimpsest.operators import quantiles
+
+    rnd = random.Random(seed)
+    rows = [(rnd.choice(["a", "b", None]), rnd.choice([rnd.gauss(0, 1), 0.5, 1e6])) for _ in range(400)] + [("one", 3.0), ("a", None)]
+    shares = [0.0, 0.05, 0.5, 0.95, 1.0]
+    got = {r["k"]: r for r in quantiles.quantiles(spark.createDataFrame(rows, "k string, x double").repartition(3), "k", "x", shares).collect()}
+    for k in ("a", "b", None, "one"):
+        x = [v for g, v in rows if g == k and v is not None]
+        assert got[k]["n"] == len(x) and [got[k][f"q{i}"] for i in range(5)] == pytest.approx(np.quantile(x, shares).tolist())
+    assert quantiles.quantiles(spark.createDataFrame([], "k string, x double"), "k", "x", shares).collect() == []
+
+
+def test_replay_over_days_is_the_plain_fold(spark):
+    rnd = random.Random(7)
+    rows = [(u, D(2024, 1, rnd.randrange(1, 9), rnd.randrange(24)), i, rnd.choice(["view", "click", "purchase", "error", "other"])) for i, u in enumerate(rnd.choices([1, 1, 1, 2, 3], k=300))]
+    got = {r["user_id"]: r for r in sessions.replay(spark.createDataFrame(rows, "user_id long, ts timestamp, event_id long, event_type string").repartition(3)).collect()}
+    for u in (1, 2, 3):
+        w, n = 0.5, 0
+        for _, _, _, kind in sorted((r for r in rows if r[0] == u), key=lambda r: (r[1], r[2])):
+            n += kind == "view"
+            w = w + 0.1 * (1 - w) if kind in ("click", "purchase") else max(0.1, w * 0.95) if kind == "error" else w
+        assert got[u]["weight"] == pytest.approx(w) and got[u]["accesses"] == n
+
+
+def test_knn_odd_vectors_and_ties(spark):
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [1.0, 0.0]), (4, None), (5, [0.0, 0.0]), (6, [1.0]), (7, [0.0, 1.0])], "id long, vec array<double>")
+    got = sorted(tuple(r) for r in retrieval.knn(v.filter("id = 1"), v, 3).collect())
+    assert got == [(1, 2, 1.0, 1), (1, 3, 1.0, 2), (1, 4, 0.0, 3)]
+
+
 def test_cluster_cap_follows_links(spark):
     items = spark.createDataFrame([(i, float(i)) for i in range(8)], "id long, score double")
     links = spark.createDataFrame([(0, 1), (1, 2), (2, 3), (5, 6)], "u long, v long")
