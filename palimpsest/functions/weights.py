@@ -51,9 +51,10 @@ def decades(cost: Column) -> Column:
     return 1 + F.log10(F.greatest(cost, F.lit(1.0)))
 
 
-def bridge_score(coherence: Column, size_a: Column, size_b: Column, overlap: Column, crossing: Column) -> Column:
-    """coherence x balance x (1 - overlap) x isolation (MATH-10)."""
-    return coherence * (F.least(size_a, size_b) / F.greatest(size_a, size_b)) * (1 - overlap) * (1 / (1 + crossing))
+def bridge_score(coherence: Column, size_a: Column, size_b: Column, crossing: Column, isolation: Column) -> Column:
+    """coherence x balance x (1 - overlap) x isolation, where overlap is the crossing edges over the smaller size (MATH-10)."""
+    small, large = F.least(size_a, size_b), F.greatest(size_a, size_b)
+    return coherence * (small / large) * (1 - F.least(F.lit(1.0), crossing / small)) * isolation
 
 
 def seed_budget(population: Column, base: float = 10, growth: float = 2, cap: float = 32) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -28,6 +28,17 @@ def state(events: DataFrame) -> DataFrame:
     return events.groupBy("job").agg(last, F.count_if(F.col("event") == "release").alias("attempts")).select("job", F.col("l.event").alias("event"), F.col("l.at").alias("at"), "attempts")
 
 
+def leases(events: DataFrame, now: Column, stale_minutes: int = 5, most_attempts: int = 5) -> DataFrame:
+    """Jobs that aren't done: job, state (held, waiting, dead), attempts (STR-S8). events: as in state().
+
+    A claim older than stale_minutes returns to the pool without counting as an attempt, each release counts as one,
+    and a job that was released most_attempts times is never claimed again.
+    """
+    fresh = (F.col("event") == "claim") & (F.col("at") >= now - F.make_dt_interval(mins=F.lit(stale_minutes)))
+    v = F.when(fresh, "held").when(F.col("attempts") >= most_attempts, "dead").otherwise("waiting")
+    return state(events).filter("event <> 'done'").select("job", v.alias("state"), "attempts")
+
+
 def newest(rows: DataFrame, by: list[str], cap: int, order: list) -> DataFrame:
     """A bounded queue that drops its oldest rows beyond cap (STR-S9)."""
     return rows.withColumn("back", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("back") <= cap).drop("back")

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.functions import vectors, weights
+from palimpsest.functions import vectors
 from palimpsest.operators import graph, retrieval, staging
 from palimpsest.operators.components import components, named_by_least
-from palimpsest.plans.aggregate import KNN, N, knn, r6
+from palimpsest.plans.aggregate import _COS, N, r6
 from palimpsest.plans.registry import query
 from palimpsest.sources import tables
 from palimpsest.sources.tables import BOTH, GRAPH, MENTIONS, table
@@ -37,10 +37,20 @@ def gra_2(spark: SparkSession, d: str) -> DataFrame:
     return graph.most_similar(graph.jaccard(m, 0.1)).select("a", "b", "inter", r6("score").alias("score"))
 
 
-@query("GRA-3", f"WITH {KNN} SELECT ask AS src, id AS dst, round(score, 5) AS score FROM knn WHERE rank <= 5 AND score >= 0.1 AND ask // 100 <> id // 100")
+@query(
+    "GRA-3",
+    f"""WITH {GRAPH}, {BOTH}, deg AS (SELECT vec_id AS id, count(other) AS degree FROM embeddings LEFT JOIN both_ways ON node = vec_id AND n >= 2 GROUP BY 1), seeds AS (SELECT id FROM deg WHERE degree <= 2 ORDER BY degree, id LIMIT 200),
+        k AS (SELECT a.vec_id AS ask, b.vec_id AS id, {_COS} AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) AS rank FROM seeds s JOIN embeddings a ON a.vec_id = s.id JOIN embeddings b ON b.vec_id <> a.vec_id)
+        SELECT DISTINCT least(ask, id) AS src, greatest(ask, id) AS dst, round(score, 5) AS score FROM k WHERE rank <= 5 AND score >= 0.1 AND NOT EXISTS (SELECT 1 FROM both_ways e WHERE e.node = ask AND e.other = id)""",
+)
 def gra_3(spark: SparkSession, d: str) -> DataFrame:
-    """A kNN graph from the seeds to nodes they aren't linked with yet (here: of the same hundred)."""
-    return knn(spark, d, 5, 0.1).filter("ask div 100 <> id div 100").select(F.col("ask").alias("src"), F.col("id").alias("dst"), F.round("score", 5).alias("score"))
+    """A kNN graph from entities of few edges (of two episodes or more) to those that no edge joins them with yet."""
+    v = tables.vectors(spark, d).select("id", "vec")
+    both = staging.stage(tables.both_ways(tables.edges(spark, d)).select("node", "other", "n"), "both")
+    seeds = graph.under_connected(v.select("id"), both.filter("n >= 2"))
+    near = retrieval.knn(v.join(seeds, "id", "left_semi"), v, 5, 0.1)
+    near = near.join(both.select(F.col("node").alias("ask"), F.col("other").alias("id")), ["ask", "id"], "left_anti")
+    return near.select(F.least("ask", "id").alias("src"), F.greatest("ask", "id").alias("dst"), F.round("score", 5).alias("score")).distinct()
 
 
 @query(
@@ -61,13 +71,20 @@ def gra_4(spark: SparkSession, d: str) -> DataFrame:
 _CROSS = "cr AS (SELECT least(x.community, y.community) AS ca, greatest(x.community, y.community) AS cb, count(*) AS n FROM edges e JOIN lab x ON x.node = e.src JOIN lab y ON y.node = e.dst WHERE x.community <> y.community GROUP BY 1, 2)"
 
 
-@query("GRA-5", f"WITH {GRAPH}, {_LAB}, {_CROSS}, z AS (SELECT community, count(*) AS size FROM lab GROUP BY 1) SELECT ca, cb, n, round(least(x.size, y.size) / greatest(x.size, y.size)::DOUBLE / (1 + n), 8) AS score FROM cr JOIN z x ON x.community = ca JOIN z y ON y.community = cb")
+# edges between parts of near numbers, and blocks of fifty parts as their communities
+_BLOCKS = f"{GRAPH}, near AS (SELECT src, dst, src // 50 AS x, dst // 50 AS y FROM edges WHERE dst - src <= 5), ends AS (SELECT x AS c, x = y AS inside FROM near UNION ALL SELECT y, x = y FROM near), k AS (SELECT c, count(*) FILTER (inside) // 2 AS internal, count(*) FILTER (NOT inside) AS external FROM ends GROUP BY 1), prof AS (SELECT z.c, z.size, least(1, coalesce(internal, 0) / z.size::DOUBLE) AS coh, greatest(0, 1 - coalesce(external, 0) / z.size::DOUBLE) AS iso FROM (SELECT p_partkey // 50 AS c, count(*) AS size FROM part GROUP BY 1) z LEFT JOIN k ON k.c = z.c), best AS (SELECT * FROM prof WHERE coh * iso > 0 ORDER BY round(coh * iso, 9) DESC, c LIMIT 512), cr AS (SELECT least(x, y) AS ca, greatest(x, y) AS cb, count(*) AS n FROM near WHERE x <> y GROUP BY 1, 2)"
+
+
+@query(
+    "GRA-5",
+    f"""WITH {_BLOCKS}, s AS (SELECT a.c AS ca, b.c AS cb, coalesce(n, 0) AS n, least(1, coalesce(n, 0) / least(a.size, b.size)::DOUBLE) AS overlap, least(a.coh, b.coh) * (least(a.size, b.size) / greatest(a.size, b.size)::DOUBLE) * (1 - least(1, coalesce(n, 0) / least(a.size, b.size)::DOUBLE)) * least(a.iso, b.iso) AS score FROM best a JOIN best b ON a.c < b.c LEFT JOIN cr ON cr.ca = a.c AND cr.cb = b.c)
+        SELECT ca, cb, n, round(score, 8) AS score FROM s WHERE overlap <= 0.25 AND score > 0""",
+)
 def gra_5(spark: SparkSession, d: str) -> DataFrame:
-    labels = _labels(spark, d)
-    size = labels.groupBy("community").agg(N().alias("size"))
-    c = graph.crossing(tables.edges(spark, d), labels)
-    c = c.join(size.select(F.col("community").alias("ca"), F.col("size").alias("sa")), "ca").join(size.select(F.col("community").alias("cb"), F.col("size").alias("sb")), "cb")
-    return c.select("ca", "cb", "n", F.round(weights.bridge_score(F.lit(1.0), F.col("sa"), F.col("sb"), F.lit(0.0), F.col("n")), 8).alias("score"))
+    """Pairs of communities for bridges: coherent, of like size, hardly joined and cut off from the rest."""
+    labels = table(spark, d, "part").select(F.col("p_partkey").alias("node"), F.expr("p_partkey div 50").alias("community"))
+    near = staging.stage(tables.edges(spark, d).filter("dst - src <= 5").select("src", "dst"), "near")
+    return graph.bridge_pairs(graph.community_profile(near, labels), graph.crossing(near, labels)).select("ca", "cb", "n", F.round("score", 8).alias("score"))
 
 
 @query("GRA-6", "SELECT p_partkey AS id FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)")

@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import dates, redaction, text, weights
-from palimpsest.operators import bitemporal, graph, retrieval, scheduling, staging
+from palimpsest.operators import bitemporal, graph, queues, retrieval, scheduling, staging, upkeep
 from palimpsest.plans.aggregate import KNN, N, knn, r6
 from palimpsest.plans.registry import query
 from palimpsest.plans.scalar import _in_re2
+from palimpsest.plans.stateful import JOBS, job_log
 from palimpsest.sources import tables
 from palimpsest.sources.tables import BOTH, CLAIMS, GRAPH, MENTIONS, RESTATED, table
 
@@ -29,9 +30,10 @@ def op_2(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").join(done, "o_orderkey", "left_anti").select(F.col("o_orderkey").alias("id"), F.lit("reflect").alias("job"))
 
 
-@query("OP-3", "SELECT user_id AS job, count(*) AS attempts FROM events WHERE event_type = 'error' GROUP BY 1 HAVING count(*) >= 5")
+@query("OP-3", f"WITH {JOBS} SELECT job, attempts FROM jobs WHERE state = 'dead'")
 def op_3(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").filter("event_type = 'error'").groupBy(F.col("user_id").alias("job")).agg(N().alias("attempts")).filter("attempts >= 5")
+    """Dead letters: jobs that failed as often as they may."""
+    return queues.leases(job_log(spark, d), F.to_timestamp(F.lit("2024-01-30 12:00:00"))).filter("state = 'dead'").select("job", "attempts")
 
 
 @query("OP-4", f"SELECT DISTINCT doc_id FROM ({' UNION ALL '.join(_in_re2(*r) for r in redaction.RULES)})")
@@ -59,12 +61,22 @@ def op_7(spark: SparkSession, d: str) -> DataFrame:
     return tables.edges(spark, d).filter("strength <= 0.4 and (src + dst) % 90 >= 14 and type in ('CO_OCCURS', 'SIMILAR')").select("src", "dst")
 
 
-@query("OP-8", f"WITH {MENTIONS}, m AS (SELECT entity, count(*) AS k FROM mentions GROUP BY 1) SELECT p_partkey AS id FROM part LEFT JOIN m ON entity = p_partkey WHERE coalesce(k, 0) <= 20 AND regexp_matches(md5(p_name), '[a-f]') AND p_size >= 25")
+@query(
+    "OP-8",
+    f"""WITH {CLAIMS}, n AS (SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN substr(md5(c_custkey::VARCHAR), 1, 12) WHEN 1 THEN 'agent-' || lpad(c_custkey::VARCHAR, 9, '0') WHEN 2 THEN '/var/' || lower(c_mktsegment) ELSE c_name END AS name FROM customer),
+        s AS (SELECT id, CASE WHEN regexp_matches(name, '^[0-9a-f]{{7,64}}$') AND regexp_matches(name, '[0-9]') AND regexp_matches(name, '[a-f]') THEN 'sha' WHEN starts_with(name, 'agent-') THEN 'agent' WHEN starts_with(name, '/') THEN 'path' END AS shape FROM n),
+        m AS (SELECT o_custkey AS id, count(*) AS k, max(o_orderdate) AS last FROM orders GROUP BY 1), p AS (SELECT subject AS id FROM claims WHERE superseded_by IS NOT NULL UNION SELECT min(c_custkey) FROM customer GROUP BY c_nationkey, c_mktsegment)
+        SELECT s.id, shape, k FROM s JOIN m ON m.id = s.id WHERE shape IS NOT NULL AND k <= 5 AND last <= TIMESTAMP '2001-06-01' - INTERVAL 7 DAY AND NOT EXISTS (SELECT 1 FROM p WHERE p.id = s.id)""",
+)
 def op_8(spark: SparkSession, d: str) -> DataFrame:
-    """Identifier decay: names shaped like hashes (here: the name's MD5), few mentions, idle."""
-    m = tables.mentions(spark, d).groupBy(F.col("entity").alias("p_partkey")).agg(N().alias("k"))
-    p = table(spark, d, "part").filter("p_size >= 25").withColumn("shape", text.identifier_shape(F.md5(F.col("p_name").cast("binary"))))
-    return p.filter("shape = 'sha'").join(m, "p_partkey", "left").filter("coalesce(k, 0) <= 20").select(F.col("p_partkey").alias("id"))
+    """Identifier decay over customers under planted names; superseded claims are typed edges, a segment's first one is canonical."""
+    c = table(spark, d, "customer")
+    i = F.col("c_custkey")
+    name = F.when(i % 4 == 0, F.substring(F.md5(i.cast("string").cast("binary")), 1, 12)).when(i % 4 == 1, F.concat(F.lit("agent-"), F.lpad(i.cast("string"), 9, "0"))).when(i % 4 == 2, F.concat(F.lit("/var/"), F.lower("c_mktsegment"))).otherwise(F.col("c_name"))
+    mentions = table(spark, d, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderdate").alias("at"))
+    typed = tables.claims(spark, d).filter("superseded_by is not null").select(F.col("subject").alias("id"))
+    protected = typed.union(c.groupBy("c_nationkey", "c_mktsegment").agg(F.min("c_custkey").alias("id")).select("id"))
+    return upkeep.identifier_decay(c.select(i.alias("id"), name.alias("name")), mentions, protected, F.to_timestamp(F.lit("2001-06-01")))
 
 
 @query("OP-9", "SELECT o_orderkey AS id FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS back FROM orders) WHERE back > 1")
@@ -87,11 +99,12 @@ def op_11(spark: SparkSession, d: str) -> DataFrame:
     return tables.claims(spark, d).filter("valid_until is null").join(used, "id", "left_semi").orderBy("valid_from", "id").limit(20).select("id")
 
 
-@query("OP-12", f"WITH {MENTIONS} SELECT entity, count(*) AS k FROM mentions GROUP BY 1 HAVING count(*) - max(entity % 20) >= 15")
+@query("OP-12", "WITH m AS (SELECT l_partkey AS id, l_orderkey, min(l_shipdate) AS seen FROM lineitem GROUP BY 1, 2) SELECT id, count(*) AS k, count(*) FILTER (seen < TIMESTAMP '2000-01-01') AS baseline FROM m GROUP BY 1 HAVING count(*) FILTER (seen >= TIMESTAMP '2000-01-01') >= 5")
 def op_12(spark: SparkSession, d: str) -> DataFrame:
-    """Descriptions behind the growth of mentions since their baseline (here: id mod 20)."""
-    m = tables.mentions(spark, d).groupBy("entity").agg(N().alias("k"))
-    return m.filter(F.col("k") - F.col("entity") % 20 >= 15)
+    """Descriptions behind the growth of mentions since they were made, here at the start of 2000."""
+    m = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("id"), "l_orderkey").agg(F.min("l_shipdate").alias("at"))
+    baselines = m.filter("at < timestamp'2000-01-01'").groupBy("id").agg(N().alias("baseline"))
+    return upkeep.outgrown(m, baselines)
 
 
 @query("OP-13", f"WITH {CLAIMS} SELECT id FROM claims WHERE valid_until IS NULL AND valid_horizon < TIMESTAMP '1999-01-01'")
@@ -153,12 +166,20 @@ def op_21(spark: SparkSession, d: str) -> DataFrame:
     return graph.crossing(tables.edges(spark, d), labels).orderBy("n", "ca", "cb").limit(10).select("ca", "cb")
 
 
-@query("OP-22", f"WITH {KNN} SELECT ask AS src, k.id AS dst FROM knn k JOIN embeddings a ON a.vec_id = ask JOIN embeddings b ON b.vec_id = k.id WHERE rank <= 5 AND score >= 0.1 AND a.label = b.label")
+@query(
+    "OP-22",
+    f"""WITH {KNN}, {GRAPH}, {BOTH}, k AS (SELECT ask AS a, id AS b FROM knn WHERE rank <= 5 AND score >= 0.1),
+        s AS (SELECT a, b, 'name_overlap' AS sign FROM k JOIN part p ON p.p_partkey = a JOIN part q ON q.p_partkey = b WHERE translate(lower(p.p_name), '-_./ ', '') = translate(lower(q.p_name), '-_./ ', '')
+              UNION SELECT a, b, 'shared_episode' FROM k JOIN mentions x ON x.entity = a JOIN mentions y ON y.entity = b AND y.episode = x.episode
+              UNION SELECT a, b, 'shared_neighbor' FROM k JOIN both_ways x ON x.node = a AND x.n >= 2 JOIN both_ways y ON y.node = b AND y.other = x.other AND y.n >= 2)
+        SELECT a AS src, b AS dst, string_agg(sign, ',' ORDER BY sign) AS seconds FROM s GROUP BY 1, 2""",
+)
 def op_22(spark: SparkSession, d: str) -> DataFrame:
-    """Neighbours with a second signal (the same label)."""
-    v = tables.vectors(spark, d).select("id", "label")
-    k = knn(spark, d, 5, 0.1).join(v, "id").join(v.select(F.col("id").alias("ask"), F.col("label").alias("l")), "ask").filter("label = l")
-    return k.select(F.col("ask").alias("src"), F.col("id").alias("dst"))
+    """Neighbours by vector that share an episode, a neighbour (over edges of two episodes or more) or a name."""
+    near = knn(spark, d, 5, 0.1).select(F.col("ask").alias("a"), F.col("id").alias("b"))
+    both = tables.both_ways(tables.edges(spark, d).filter("n >= 2")).select("node", "other")
+    names = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    return upkeep.second_signals(staging.stage(near, "near"), tables.mentions(spark, d), both, names).select(F.col("a").alias("src"), F.col("b").alias("dst"), "seconds")
 
 
 @query("OP-23", "SELECT lower(p_name) AS name, min(p_partkey) AS canonical, count(*) - 1 AS merged FROM part GROUP BY 1 HAVING count(*) > 1")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import hashing, text
-from palimpsest.operators import bitemporal
+from palimpsest.operators import bitemporal, upkeep
 from palimpsest.operators.bitemporal import ReadMode
 from palimpsest.plans.registry import query
 from palimpsest.sources import intake, tables
@@ -208,11 +208,17 @@ def flt_7(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").filter(F.arrays_overlap(labels, wanted)).select("p_partkey", F.filter(labels, lambda x: F.array_contains(wanted, x))[0].alias("first_label"))
 
 
-@query("FLT-8", "SELECT d.doc_id, e.vec_id IS NULL AS missing FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id WHERE d.text IS NOT NULL AND (e.vec_id IS NULL OR d.doc_id % 7 = 0)")
+@query(
+    "FLT-8",
+    """WITH made AS (SELECT vec_id AS id, md5(regexp_replace(text, '[0-9]', '', 'g')) AS h FROM embeddings JOIN documents ON doc_id = vec_id)
+       SELECT d.doc_id, m.id IS NULL AS missing FROM documents d LEFT JOIN made m ON m.id = d.doc_id WHERE trim(d.text) <> '' AND m.h IS DISTINCT FROM md5(d.text)""",
+)
 def flt_8(spark: SparkSession, d: str) -> DataFrame:
-    vecs = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.lit(True).alias("has"))
-    docs = table(spark, d, "documents").filter("text is not null").select("doc_id").join(vecs, "doc_id", "left")
-    return docs.filter("has is null or doc_id % 7 = 0").select("doc_id", F.col("has").isNull().alias("missing"))
+    """Texts without a vector of their present state; vectors are planted as made before digits came into the texts."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    made = docs.withColumn("text_hash", F.md5(F.regexp_replace("text", "[0-9]", "").cast("binary")))
+    made = table(spark, d, "embeddings").select(F.col("vec_id").alias("id")).join(made.select("id", "text_hash"), "id")
+    return upkeep.pending_vectors(docs, made).withColumnRenamed("id", "doc_id")
 
 
 @query("FLT-9", f"WITH {CLAIMS} SELECT count(*) FILTER (valid_until = valid_horizon) AS at_horizon, count(*) FILTER (valid_until > valid_horizon) AS after_horizon, count(*) AS n FROM claims")
@@ -245,11 +251,13 @@ def flt_11(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "FLT-12",
-    """WITH routes AS (SELECT l_partkey AS id, l_orderkey % 10 = 3 AS own FROM lineitem UNION ALL SELECT l_suppkey, l_orderkey % 10 = 3 FROM lineitem UNION ALL SELECT o_custkey, o_orderkey % 10 = 3 FROM orders)
-       SELECT id, CASE WHEN bool_or(own) AND bool_and(own) THEN 'own' WHEN bool_or(own) THEN 'both' ELSE 'other' END AS origin FROM routes GROUP BY id""",
+    """WITH routes AS (SELECT 'entity' AS kind, l_partkey AS id, o_custkey AS session FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey UNION ALL SELECT 'source', l_suppkey, o_custkey FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey UNION ALL SELECT 'claim', o_orderkey, o_custkey FROM orders)
+       SELECT kind, id, bool_or(session IS NOT DISTINCT FROM 7) AS own, bool_or(session IS DISTINCT FROM 7) AS other FROM routes GROUP BY 1, 2""",
 )
 def flt_12(spark: SparkSession, d: str) -> DataFrame:
-    lines, orders = table(spark, d, "lineitem"), table(spark, d, "orders")
-    own = F.col("l_orderkey") % 10 == 3
-    routes = lines.select(F.col("l_partkey").alias("id"), own.alias("own")).unionAll(lines.select("l_suppkey", own)).unionAll(orders.select("o_custkey", F.col("o_orderkey") % 10 == 3))
-    return routes.groupBy("id").agg(F.when(F.bool_and("own"), "own").when(F.bool_or("own"), "both").otherwise("other").alias("origin"))
+    """Items of the asking session (customer 7) and of others: by mentions, by sources and by an item's own session."""
+    orders = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("session"))
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey", "l_suppkey").join(orders, "o_orderkey", "left")
+    items = F.inline(F.array(F.struct(F.lit("entity").alias("kind"), F.col("l_partkey").alias("id")), F.struct(F.lit("source").alias("kind"), F.col("l_suppkey").alias("id"))))
+    claims = orders.select(F.lit("claim").alias("kind"), F.col("o_orderkey").alias("id"), "session")
+    return upkeep.origins(lines.select(items, "session").unionByName(claims), ["kind", "id"], 7)

@@ -305,10 +305,10 @@ def math_9(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.normalise_to_best(s, ["user_id"]).select("user_id", "event_id", r6(F.col("score")).alias("share"))
 
 
-@query("MATH-10", "SELECT n_nationkey, round(0.8 * least(n_nationkey + 1, n_regionkey + 3) / greatest(n_nationkey + 1, n_regionkey + 3)::DOUBLE * (1 - n_regionkey / 10.0) * (1 / (1 + n_nationkey % 4)::DOUBLE), 6) AS score FROM nation")
+@query("MATH-10", "SELECT n_nationkey, round(0.8 * (least(n_nationkey + 1, n_regionkey + 3) / greatest(n_nationkey + 1, n_regionkey + 3)::DOUBLE) * (1 - least(1, (n_nationkey % 4) / least(n_nationkey + 1, n_regionkey + 3)::DOUBLE)) * (1 - n_regionkey / 10.0), 6) AS score FROM nation")
 def math_10(spark: SparkSession, d: str) -> DataFrame:
     k, r = F.col("n_nationkey"), F.col("n_regionkey")
-    return table(spark, d, "nation").select("n_nationkey", r6(weights.bridge_score(F.lit(0.8), k + 1, r + 3, r / 10, k % 4)).alias("score"))
+    return table(spark, d, "nation").select("n_nationkey", r6(weights.bridge_score(F.lit(0.8), k + 1, r + 3, k % 4, 1 - r / 10)).alias("score"))
 
 
 @query("MATH-11", "SELECT o_orderkey, round(o_totalprice / (1 + log10(greatest(o_totalprice, 1))), 4) AS urgency FROM orders")

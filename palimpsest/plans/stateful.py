@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.operators import queues
+from palimpsest.operators import queues, upkeep
 from palimpsest.plans.aggregate import N, r6
 from palimpsest.plans.registry import query
 from palimpsest.sources import schemas
@@ -35,10 +35,17 @@ def str_s2_window(spark: SparkSession, d: str) -> DataFrame:
     return w.groupBy("user_id").agg(F.sum("n").alias("n"))
 
 
-@query("STR-S3", "WITH l AS (SELECT conv_id, count(*) AS uncovered, max(turn) AS last FROM conversations GROUP BY 1) SELECT conv_id, uncovered, uncovered >= 5 OR last % 4 = 3 AS boundary FROM l")
+@query(
+    "STR-S3",
+    """WITH r AS (SELECT user_id, event_type, epoch_us(ts) - lag(epoch_us(ts)) OVER w AS gap, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS back FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+            s AS (SELECT user_id AS session, count(*) FILTER (event_type = 'error') AS uncovered, max(gap) FILTER (back = 1) AS gap FROM r GROUP BY 1)
+       SELECT session, uncovered, uncovered >= 12 OR (uncovered > 0 AND coalesce(gap, 0) >= 600000000) AS boundary FROM s""",
+)
 def str_s3(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "conversations").groupBy("conv_id").agg(N().alias("uncovered"), F.max("turn").alias("last"))
-    return t.select("conv_id", "uncovered", ((F.col("uncovered") >= 5) | (F.col("last") % 4 == 3)).alias("boundary"))
+    """Boundaries inside a session; the standing narrative is taken to hold all but its errors."""
+    e = table(spark, d, "events").select(F.col("user_id").alias("session"), F.col("ts").alias("at"), F.col("event_id").alias("seq"), "event_type")
+    covered = e.filter("event_type <> 'error'").groupBy("session").agg(N().alias("covered"))
+    return upkeep.mid_session(e, covered)
 
 
 @query("STR-S4", "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
@@ -68,11 +75,22 @@ def str_s7(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").groupBy("conv_id").agg(F.max("turn").alias("covered"), N().alias("turns"))
 
 
-@query("STR-S8", "WITH l AS (SELECT user_id AS job, CASE event_type WHEN 'signup' THEN 'enqueue' WHEN 'view' THEN 'claim' WHEN 'error' THEN 'release' ELSE 'done' END AS event, ts, event_id FROM events) SELECT job, arg_max(event, (ts, event_id)) AS event, count(*) FILTER (event = 'release') AS attempts FROM l GROUP BY 1")
+#: Events as a queue's log (a job is a user's week): the state of each job at noon of 30 January.
+JOBS = """log AS (SELECT user_id * 10 + (day(ts) - 1) // 7 AS job, CASE event_type WHEN 'signup' THEN 'enqueue' WHEN 'view' THEN 'claim' WHEN 'error' THEN 'release' WHEN 'purchase' THEN 'done' ELSE 'claim' END AS event, ts, event_id FROM events WHERE ts <= TIMESTAMP '2024-01-30 12:00:00'),
+    last AS (SELECT job, arg_max(event, (ts, event_id)) AS event, max(ts) AS seen, count(*) FILTER (event = 'release') AS attempts FROM log GROUP BY 1),
+    jobs AS (SELECT job, CASE WHEN event = 'claim' AND seen >= TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 5 MINUTE THEN 'held' WHEN attempts >= 5 THEN 'dead' ELSE 'waiting' END AS state, attempts FROM last WHERE event <> 'done')"""
+
+
+def job_log(spark: SparkSession, d: str) -> DataFrame:
+    e = F.when(F.col("event_type") == "signup", "enqueue").when(F.col("event_type") == "error", "release").when(F.col("event_type") == "purchase", "done").otherwise("claim")
+    job = F.col("user_id") * 10 + F.floor((F.dayofmonth("ts") - 1) / 7)
+    return table(spark, d, "events").filter("ts <= timestamp'2024-01-30 12:00:00'").select(job.alias("job"), e.alias("event"), F.col("ts").alias("at"), F.col("event_id").alias("seq"))
+
+
+@query("STR-S8", f"WITH {JOBS} SELECT job, state, attempts FROM jobs")
 def str_s8(spark: SparkSession, d: str) -> DataFrame:
-    e = F.when(F.col("event_type") == "signup", "enqueue").when(F.col("event_type") == "view", "claim").when(F.col("event_type") == "error", "release").otherwise("done")
-    log = table(spark, d, "events").select(F.col("user_id").alias("job"), e.alias("event"), F.col("ts").alias("at"), F.col("event_id").alias("seq"))
-    return queues.state(log).select("job", "event", "attempts")
+    """Leases: stale claims return to the pool, jobs that failed too often are dead, completed ones are gone."""
+    return queues.leases(job_log(spark, d), F.to_timestamp(F.lit("2024-01-30 12:00:00")))
 
 
 @query("STR-S9", "SELECT event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS back FROM events) WHERE back <= 100")

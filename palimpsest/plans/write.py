@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import hashing, text
-from palimpsest.operators import bitemporal, entities, retrieval
-from palimpsest.plans.aggregate import KNN, N, knn, r6
+from palimpsest.operators import bitemporal, entities, graph, retrieval, upkeep
+from palimpsest.plans.aggregate import N, r6
 from palimpsest.plans.registry import query
 from palimpsest.sources import tables
 from palimpsest.sources.tables import CLAIMS, GRAPH, MENTIONS, RESTATED, table
@@ -90,13 +90,22 @@ def _entities(spark: SparkSession, d: str) -> DataFrame:
     return p.join(k, "id", "left").na.fill(0, ["k"])
 
 
-@query("WR-11", f"WITH {KNN}, n AS (SELECT least(ask, id) AS a, greatest(ask, id) AS b, 'vector' AS how FROM knn WHERE score >= 0.1 AND rank <= 8 UNION SELECT v, v + 100, 'episodes' FROM (SELECT vec_id AS v FROM embeddings WHERE vec_id % 100 = 0 AND vec_id + 100 IN (SELECT vec_id FROM embeddings))) SELECT a, b, string_agg(how, ',' ORDER BY how) AS how FROM n GROUP BY 1, 2")
+@query(
+    "WR-11",
+    f"""WITH {RESTATED}, m AS (SELECT l_partkey AS item, l_orderkey AS member FROM lineitem UNION SELECT l_partkey + 10000000, l_orderkey FROM lineitem WHERE l_partkey % 10 = 3 AND l_orderkey % 2 = 0), s AS (SELECT item, count(*) AS k FROM m GROUP BY 1),
+        j AS (SELECT a.item AS a, b.item AS b, count(*) AS inter FROM m a JOIN m b ON a.member = b.member AND a.item < b.item GROUP BY 1, 2),
+        n AS (SELECT least(ask, id) AS a, greatest(ask, id) AS b, 'vector' AS how FROM restated WHERE score >= 0.53 AND rank <= 8 UNION SELECT a, b, 'episodes' FROM j JOIN s x ON x.item = a JOIN s y ON y.item = b WHERE inter / (x.k + y.k - inter)::DOUBLE >= 0.4)
+        SELECT a, b, string_agg(how, ',' ORDER BY how) AS how FROM n GROUP BY 1, 2""",
+)
 def wr_11(spark: SparkSession, d: str) -> DataFrame:
-    """Nominations from two sources, each pair once."""
-    v = knn(spark, d, 8, 0.1).select(F.least("ask", "id").alias("a"), F.greatest("ask", "id").alias("b"), F.lit("vector").alias("how"))
-    ids = tables.vectors(spark, d).select("id")
-    e = ids.filter("id % 100 = 0").select((F.col("id") + 100).alias("id")).join(ids, "id", "left_semi").select((F.col("id") - 100).alias("a"), F.col("id").alias("b"), F.lit("episodes").alias("how"))
-    return v.union(e).groupBy("a", "b").agg(F.array_join(F.sort_array(F.collect_set("how")), ",").alias("how"))
+    """Nominations by vector and by shared episodes, each pair once; new names are planted, with half of the old one's episodes."""
+    v = tables.vectors(spark, d)
+    near = retrieval.knn(tables.restated(v), v, 8, 0.53)
+    near = near.select(F.least("ask", "id").alias("a"), F.greatest("ask", "id").alias("b"), F.lit("vector").alias("how"))
+    lines = table(spark, d, "lineitem").select(F.col("l_partkey").alias("item"), F.col("l_orderkey").alias("member"))
+    new = lines.filter("item % 10 = 3 and member % 2 = 0").withColumn("item", F.col("item") + 10_000_000)
+    shared = graph.jaccard(lines.union(new).distinct(), 0.4).select("a", "b", F.lit("episodes").alias("how"))
+    return near.union(shared).groupBy("a", "b").agg(F.array_join(F.sort_array(F.collect_set("how")), ",").alias("how"))
 
 
 _REDIR = f"{GRAPH.replace(MENTIONS + ', ', '')}, moved AS (SELECT type, x.canonical AS a, y.canonical AS b, strength, n FROM edges JOIN canon x ON x.id = src JOIN canon y ON y.id = dst WHERE x.canonical <> y.canonical)"
@@ -150,16 +159,39 @@ def wr_17(spark: SparkSession, d: str) -> DataFrame:
     return entities.bounded_steps(p, ["src", "dst"], ["episode"]).select("src", "dst", r6("strength").alias("strength"), "n")
 
 
-@query("WR-18", "SELECT conv_id, turn FROM conversations WHERE contains(text, substr(text, 5, 12)) AND role IN ('user', 'assistant') AND length(text) >= 20")
+@query(
+    "WR-18",
+    """WITH p AS (SELECT conv_id, turn, text, conv_id AS source, turn + 1 AS target, upper(trim(CASE turn % 3 WHEN 0 THEN ' causes ' WHEN 1 THEN 'ENABLES' ELSE 'likes' END)) AS type, trim(substr(lead(text) OVER (PARTITION BY conv_id ORDER BY turn), 2, 3)) AS quote FROM conversations)
+       SELECT conv_id, turn, type, source, target, min(quote) AS quote FROM p WHERE type IN ('CAUSES', 'ENABLES', 'PRECEDES', 'CONTRADICTS', 'SIMILAR', 'RELATED_TO', 'ANALOGOUS_TO') AND source <> target AND quote <> '' AND contains(text, quote)
+         AND source IN (SELECT c_custkey FROM customer) AND target IN (SELECT c_custkey FROM customer) GROUP BY 1, 2, 3, 4, 5""",
+)
 def wr_18(spark: SparkSession, d: str) -> DataFrame:
-    """Proposed relations are kept if their type is known and the quote stands in the text."""
-    t = table(spark, d, "conversations").withColumn("quote", F.substring("text", 5, 12))
-    return t.filter(F.col("text").contains(F.col("quote")) & F.col("role").isin("user", "assistant") & (F.length("text") >= 20)).select("conv_id", "turn")
-
-
-@query("WR-19", "SELECT json_extract_string(props, '$.k')::INT AS k, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
+    """Proposals with a quote from the next turn, which this turn's text may or may not hold."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    kind = F.when(F.col("turn") % 3 == 0, " causes ").when(F.col("turn") % 3 == 1, "ENABLES").otherwise("likes")
+    t = table(spark, d, "conversations").withColumn("quote", F.substring(F.lead("text").over(w), 2, 3))
+    p = t.select(F.struct("conv_id", "turn").alias("episode"), "text", kind.alias("type"), F.col("conv_id").alias("source"), (F.col("turn") + 1).alias("target"), "quote")
+    kept = upkeep.checked_relations(p, table(spark, d, "customer").select(F.col("c_custkey").alias("id")))
+    return kept.select("episode.conv_id", "episode.turn", "type", "source", "target", "quote")
+
+
+@query(
+    "WR-19",
+    """WITH e AS (SELECT l_orderkey AS id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS place, lower(p_name) AS name_norm, CASE WHEN l_linenumber % 2 = 0 THEN upper(p_name) ELSE p_name END AS name, CASE p_size % 3 WHEN 0 THEN 'person' WHEN 1 THEN 'tool' ELSE 'topic' END AS type, lower(p_brand) AS alias, l_returnflag = 'R' AS sp FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_orderkey % 50 <> 0),
+            g AS (SELECT id, name_norm, min(place) AS place, arg_min(name, place) AS name, string_agg(DISTINCT type, ',' ORDER BY type) AS types, list_sort(list(DISTINCT alias))[:8] AS aliases, bool_or(sp) AS is_speaker FROM e GROUP BY 1, 2)
+       SELECT id, name_norm, name, types, array_to_string(aliases, ',') AS aliases, is_speaker FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY place) AS r FROM g) WHERE r <= 3""",
+)
 def wr_19(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").select(F.from_json("props", "k int")["k"].alias("k"), "user_id").groupBy("k").agg(F.count_distinct("user_id").alias("users"))
+    """Entities of extraction payloads planted from each order's lines, every fiftieth of them cut off; three a payload."""
+    part = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_brand", "p_size")
+    kind = F.when(F.col("p_size") % 3 == 0, "person").when(F.col("p_size") % 3 == 1, "tool").otherwise("unheard of")
+    name = F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("  "), F.regexp_replace(F.upper("p_name"), " ", "  "))).otherwise(F.col("p_name"))
+    e = F.struct("l_linenumber", "l_partkey", "l_suppkey", F.struct(name.alias("name"), kind.alias("type"), F.array("p_brand").alias("aliases"), (F.col("l_returnflag") == "R").alias("is_speaker")).alias("e"))
+    lines = table(spark, d, "lineitem").join(part, "l_partkey").groupBy(F.col("l_orderkey").alias("id")).agg(F.sort_array(F.collect_list(e)).alias("lines"))
+    payload = F.to_json(F.struct(F.transform("lines", lambda x: x["e"]).alias("entities")))
+    payloads = lines.select("id", F.when(F.col("id") % 50 == 0, F.substring(payload, 1, 20)).otherwise(payload).alias("payload"))
+    found = upkeep.extracted_entities(payloads, ("person", "tool", "topic"), most=3)
+    return found.select("id", "name_norm", "name", F.array_join("types", ",").alias("types"), F.array_join("aliases", ",").alias("aliases"), "is_speaker")
 
 
 @query("WR-20", f"WITH {MENTIONS} SELECT episode, entity, n FROM mentions")
@@ -180,12 +212,23 @@ def wr_21(spark: SparkSession, d: str) -> DataFrame:
     return holders.select("episode", "named", F.when(F.col("episode") % 5 == 0, F.lit(-1).cast("long")).when(F.col("id") == F.col("other"), F.col("id")).alias("subject"))
 
 
-@query("WR-22", f"WITH {_G0} SELECT c_custkey, coalesce(CASE WHEN c_custkey % 10 = 0 THEN -1 END, (SELECT min(id) FROM g WHERE g.id = c_custkey), c_custkey + 1000000000) AS entity FROM customer")
+@query(
+    "WR-22",
+    """WITH names AS (SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'i' WHEN 1 THEN lower(n_name) WHEN 2 THEN 'land ' || n_nationkey WHEN 3 THEN 'realm ' || n_regionkey ELSE lower(c_name) END AS name, c_custkey % 5 = 0 AS sp FROM customer JOIN nation ON n_nationkey = c_nationkey),
+            ids AS (SELECT lower(n_name) AS name, n_nationkey::VARCHAR AS id, n_regionkey FROM nation), al AS (SELECT alias, min(id) AS id FROM (SELECT 'land ' || n_nationkey AS alias, n_nationkey::VARCHAR AS id FROM nation UNION SELECT 'realm ' || n_regionkey, n_nationkey::VARCHAR FROM nation) GROUP BY 1 HAVING count(DISTINCT id) = 1)
+       SELECT c_custkey, CASE WHEN sp THEN 'speaker' WHEN i.n_regionkey = 0 THEN 'structural' WHEN i.id IS NOT NULL THEN 'name' WHEN al.id IS NOT NULL THEN 'alias' ELSE 'new' END AS tier, coalesce(CASE WHEN sp THEN 'me' END, i.id, al.id, sha256('entity' || chr(0) || names.name)) AS entity FROM names LEFT JOIN ids i ON i.name = names.name LEFT JOIN al ON alias = names.name""",
+)
 def wr_22(spark: SparkSession, d: str) -> DataFrame:
-    """Routing at write: the speaker, a known entity, else a new identity."""
-    known = table(spark, d, "part").select(F.col("p_partkey").alias("c_custkey"), F.col("p_partkey").alias("known"))
-    c = table(spark, d, "customer").select("c_custkey").join(known, "c_custkey", "left")
-    return c.select("c_custkey", F.coalesce(F.when(F.col("c_custkey") % 10 == 0, F.lit(-1).cast("long")), "known", F.col("c_custkey") + 1_000_000_000).alias("entity"))
+    """Names at write: of speakers, of nations (those of the first region are structural), of their aliases, and new ones."""
+    nation = table(spark, d, "nation")
+    land, realm = F.concat(F.lit("land "), F.col("n_nationkey").cast("string")), F.concat(F.lit("realm "), F.col("n_regionkey").cast("string"))
+    i = F.col("c_custkey") % 5
+    name = F.when(i == 0, "i").when(i == 1, F.lower("n_name")).when(i == 2, land).when(i == 3, realm).otherwise(F.lower("c_name"))
+    c = table(spark, d, "customer").withColumnRenamed("c_nationkey", "n_nationkey").join(nation, "n_nationkey")
+    ids = nation.select(F.lower("n_name").alias("name_norm"), F.col("n_nationkey").cast("string").alias("id"), "n_regionkey", F.explode(F.array(land, realm)).alias("alias"))
+    aliases = ids.select("alias", F.col("id").alias("holder"))
+    routed = upkeep.route(c.select("c_custkey", name.alias("name_norm"), (i == 0).alias("is_speaker")), ids.filter("n_regionkey = 0").select("name_norm", "id"), ids.select("name_norm", "id"), aliases, "me")
+    return routed.select("c_custkey", "tier", "entity")
 
 
 @query("WR-23", "SELECT o_orderkey AS proposal FROM orders WHERE o_orderstatus = 'O' AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
@@ -210,12 +253,13 @@ def wr_25(spark: SparkSession, d: str) -> DataFrame:
     return m.withColumnRenamed("entity", "src").join(m.withColumnRenamed("entity", "dst"), "episode").filter("src < dst").groupBy("src", "dst").agg(N().alias("n"))
 
 
-@query("WR-26", "SELECT p_partkey AS id, vec_id IS NOT NULL AND p_partkey % 3 <> 0 AS fresh FROM part LEFT JOIN embeddings ON vec_id = p_partkey")
+@query("WR-26", "WITH t AS (SELECT l_partkey AS id, max(l_shipdate) AS last FROM lineitem GROUP BY 1), v AS (SELECT vec_id AS id, TIMESTAMP '2001-01-01' + to_days((vec_id % 200)::INT) AS made FROM embeddings) SELECT p_partkey AS id, CASE WHEN made IS NULL THEN 'missing' WHEN last > made THEN 'stale' ELSE 'fresh' END AS state FROM part LEFT JOIN v ON v.id = p_partkey LEFT JOIN t ON t.id = p_partkey")
 def wr_26(spark: SparkSession, d: str) -> DataFrame:
-    """Vectors attached to their nodes; those of touched nodes (here: every third) are stale."""
-    v = tables.vectors(spark, d).select("id", F.lit(True).alias("has"))
-    p = table(spark, d, "part").select(F.col("p_partkey").alias("id")).join(v, "id", "left")
-    return p.select("id", (F.col("has").isNotNull() & (F.col("id") % 3 != 0)).alias("fresh"))
+    """Context vectors and their age; a shipment of a part touches it."""
+    made = F.to_timestamp(F.lit("2001-01-01")) + F.make_dt_interval((F.col("id") % 200).cast("int"))
+    v = tables.vectors(spark, d).select("id", made.alias("made"))
+    touches = table(spark, d, "lineitem").select(F.col("l_partkey").alias("id"), F.col("l_shipdate").alias("at"))
+    return upkeep.vector_age(table(spark, d, "part").select(F.col("p_partkey").alias("id")), v, touches)
 
 
 @query("WR-27", "WITH t AS (SELECT conv_id, string_agg(text, ' / ' ORDER BY turn) AS body, count(*) AS turns FROM conversations GROUP BY 1) SELECT conv_id, body, turns, sha256(conv_id::VARCHAR || chr(0) || body) AS id FROM t")
@@ -241,7 +285,16 @@ def wr_30(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").filter("event_type = 'signup'").select(hashing.derived_id(F.lit("merge"), F.col("event_id")).alias("id"), F.lit("lifecycle").alias("kind"))
 
 
-@query("WR-31", "SELECT conv_id, turn, try_cast(CASE WHEN turn % 2 = 0 THEN '2024-01-0' || (turn % 9 + 1) ELSE 'soon' END AS DATE) IS NOT NULL AS has_trigger FROM conversations")
+@query("WR-31", "SELECT conv_id, turn, epoch_us(try_cast(nullif(trim(CASE turn % 4 WHEN 0 THEN ' 2024-01-0' || (conv_id % 9 + 1) WHEN 1 THEN '2024-02-30' WHEN 2 THEN '  ' ELSE text END), '') AS TIMESTAMP)) AS trigger_after FROM conversations")
 def wr_31(spark: SparkSession, d: str) -> DataFrame:
-    t = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("2024-01-0"), (F.col("turn") % 9 + 1).cast("string"))).otherwise("soon")
-    return table(spark, d, "conversations").select("conv_id", "turn", F.try_to_timestamp(t).isNotNull().alias("has_trigger"))
+    """Triggers narrowed to dates: dates with blanks, days that don't exist, blanks and prose."""
+    said = F.when(F.col("turn") % 4 == 0, F.concat(F.lit(" 2024-01-0"), (F.col("conv_id") % 9 + 1).cast("string"))).when(F.col("turn") % 4 == 1, "2024-02-30").when(F.col("turn") % 4 == 2, "  ").otherwise(F.col("text"))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.unix_micros(upkeep.trigger_after(said)).alias("trigger_after"))
+
+
+@query("WR-31_restated", "WITH a AS (SELECT conv_id, turn, CASE WHEN length(text) % 3 = 0 THEN 'unusable' WHEN length(text) % 7 = 0 THEN 'failed' ELSE 'answered' END AS status, length(text) % 2 = 0 AS restated FROM conversations WHERE turn < 2), e AS (SELECT f.conv_id AS id, CASE WHEN f.status = 'unusable' AND s.conv_id IS NOT NULL THEN s.status ELSE f.status END AS status, CASE WHEN f.status = 'unusable' AND s.conv_id IS NOT NULL THEN s.restated ELSE f.restated END AS restated FROM a f LEFT JOIN a s ON s.conv_id = f.conv_id AND s.turn = 1 WHERE f.turn = 0) SELECT id, status, CASE WHEN status = 'answered' THEN restated END AS restated FROM e")
+def wr_31_restated(spark: SparkSession, d: str) -> DataFrame:
+    """Restatement checks with one retry; a conversation's first two turns stand for the two answers."""
+    n = F.length("text")
+    status = F.when(n % 3 == 0, "unusable").when(n % 7 == 0, "failed").otherwise("answered")
+    return upkeep.validated(table(spark, d, "conversations").filter("turn < 2").select(F.col("conv_id").alias("id"), F.col("turn").alias("attempt"), status.alias("status"), (n % 2 == 0).alias("restated")))
