@@ -223,18 +223,21 @@ def op_28(spark: SparkSession, d: str) -> DataFrame:
 _HEALTH = f"""WITH {CLAIMS} SELECT (SELECT count(*) FROM claims WHERE valid_until IS NULL AND forgotten_at IS NULL) AS population,
     (SELECT round(count(e.vec_id) / count(*)::DOUBLE, 6) FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id) AS parity,
     (SELECT round(count(*) FILTER (p_partkey NOT IN (SELECT l_partkey FROM lineitem)) / count(*)::DOUBLE, 6) FROM part) AS orphans,
-    (SELECT round(avg((event_type = 'error')::INT), 6) FROM events) AS degraded"""
+    (SELECT round(avg((event_type = 'error')::INT), 6) FROM events) AS degraded, (SELECT count(*) FROM documents) AS expected, (SELECT count(*) FROM part) AS nodes,
+    (SELECT count(*) FROM orders WHERE o_custkey IS NULL OR o_custkey NOT IN (SELECT c_custkey FROM customer)) AS unlinked"""
 
 
 def health(spark: SparkSession, d: str) -> DataFrame:
     """One row of health metrics."""
     pop = tables.claims(spark, d).filter(bitemporal.current()).agg(N().alias("population"))
     vecs = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.lit(1).alias("v"))
-    parity = table(spark, d, "documents").select("doc_id").join(vecs, "doc_id", "left").agg(r6(F.count("v") / F.count(F.lit(1))).alias("parity"))
+    parity = table(spark, d, "documents").select("doc_id").join(vecs, "doc_id", "left").agg(r6(F.count("v") / F.count(F.lit(1))).alias("parity"), N().alias("expected"))
     used = table(spark, d, "lineitem").select("l_partkey").distinct().select(F.col("l_partkey").alias("p_partkey"), F.lit(1).alias("u"))
-    orphans = table(spark, d, "part").select("p_partkey").join(used, "p_partkey", "left").agg(r6(F.count_if(F.col("u").isNull()) / F.count(F.lit(1))).alias("orphans"))
+    orphans = table(spark, d, "part").select("p_partkey").join(used, "p_partkey", "left").agg(r6(F.count_if(F.col("u").isNull()) / F.count(F.lit(1))).alias("orphans"), N().alias("nodes"))
     degraded = table(spark, d, "events").agg(r6(F.avg((F.col("event_type") == "error").cast("int"))).alias("degraded"))
-    return scheduling.side_by_side(pop, parity, orphans, degraded)
+    sessions = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"))
+    unlinked = table(spark, d, "orders").join(sessions, "o_custkey", "left_anti").agg(N().alias("unlinked"))
+    return scheduling.side_by_side(pop, parity, orphans, degraded, unlinked)
 
 
 @query("OP-S_health", _HEALTH)
@@ -242,11 +245,23 @@ def op_s_health(spark: SparkSession, d: str) -> DataFrame:
     return health(spark, d)
 
 
-@query("OP-S", f"WITH h AS ({_HEALTH}), c AS (SELECT * FROM (SELECT 'vector_backfill' AS operation, 1 - parity AS urgency FROM h UNION ALL SELECT 'orphan_cleanup', orphans FROM h UNION ALL SELECT 'dead_letter', degraded * 2 FROM h)) SELECT operation, round(urgency, 6) AS urgency FROM c WHERE urgency > 0 ORDER BY round(urgency, 6) DESC, operation LIMIT 1")
+@query(
+    "OP-S",
+    f"""WITH h AS ({_HEALTH}), st AS (SELECT event_type, count(*) AS runs, count(*) FILTER (value >= 10) / count(*)::DOUBLE AS eff, avg(value) * 100 AS ms, date_diff('day', max(ts)::DATE, DATE '2024-02-05') AS waiting FROM events GROUP BY 1),
+        c AS (SELECT 'vector_backfill' AS operation, 'view' AS kind, 1 - parity AS relevance, expected >= 20 AND parity < 0.8 AS hit FROM h UNION ALL SELECT 'orphan_cleanup', 'click', orphans, nodes >= 20 AND orphans > 0.3 FROM h UNION ALL SELECT 'backbone_repair', 'purchase', least(1, unlinked / 100.0), unlinked > 0 FROM h UNION ALL SELECT 'dead_letter', 'error', degraded, false FROM h),
+        u AS (SELECT c.*, runs, eff, coalesce(waiting, 0) AS waiting, relevance * CASE WHEN eff < 0.5 THEN 0.5 ELSE 1 END * (1 + greatest(0, coalesce(waiting, 0)) / 8.0::DOUBLE) / CASE WHEN ms > 1000 THEN 1 + least(3, log10(ms / 1000)) / 3 ELSE 1 END AS urgency FROM c LEFT JOIN st ON event_type = kind),
+        t AS (SELECT operation, waiting, relevance, urgency, CASE WHEN relevance > 0 AND hit AND (coalesce(runs, 0) < 3 OR eff IS NULL OR eff >= 0.5) THEN 1 WHEN relevance > 0 AND urgency >= 0.2 THEN 2 END AS tier FROM u),
+        b AS (SELECT operation, tier, CASE tier WHEN 1 THEN relevance ELSE urgency END AS urgency FROM t WHERE tier IS NOT NULL ORDER BY tier, 3 DESC, waiting DESC, operation LIMIT 1)
+        SELECT operation, coalesce(tier, 3) AS tier, round(urgency, 6) AS urgency FROM (SELECT 1) LEFT JOIN b ON true""",
+)
 def op_s(spark: SparkSession, d: str) -> DataFrame:
-    """The scheduler's decision: the most urgent operation that has work."""
-    rules = {"vector_backfill": 1 - F.col("parity"), "orphan_cleanup": F.col("orphans"), "dead_letter": F.col("degraded") * 2}
-    return scheduling.decide(health(spark, d), rules)
+    """The scheduler's decision over four operations; the events stand for their runs."""
+    h = staging.stage(health(spark, d), "health")
+    rules = [("vector_backfill", "vector_parity", "view", 1 - F.col("parity")), ("orphan_cleanup", "orphan_share", "click", F.col("orphans")), ("backbone_repair", "missing_backbone_links", "purchase", F.least(F.lit(1.0), F.col("unlinked") / 100.0)), ("dead_letter", "", "error", F.col("degraded"))]
+    work = F.array(*[F.struct(F.lit(o).alias("operation"), F.lit(a).alias("answers"), F.lit(k).alias("event_type"), r.cast("double").alias("relevance")) for o, a, k, r in rules])
+    runs = table(spark, d, "events").groupBy("event_type").agg(N().alias("runs"), (F.count_if(F.col("value") >= 10) / N()).alias("effectiveness"), (F.avg("value") * 100).alias("mean_ms"), F.date_diff(F.lit("2024-02-05").cast("date"), F.to_date(F.max("ts"))).alias("waiting"))
+    c = h.select(F.inline(work)).join(runs, "event_type", "left")
+    return scheduling.decide(scheduling.scored(c), scheduling.critical_conditions(h)).withColumn("urgency", r6("urgency"))
 
 
 @query("OP-S2", "SELECT event_id, CASE WHEN event_type = 'error' THEN 'reject' WHEN value IS NULL OR value < 10 THEN 'reject' WHEN user_id % 2 = 0 THEN 'downgrade' ELSE 'accept' END AS verdict FROM events")
