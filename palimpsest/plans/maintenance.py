@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import functools
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import dates, redaction, text, weights
 from palimpsest.operators import bitemporal, graph, queues, retrieval, scheduling, staging, upkeep
 from palimpsest.plans.aggregate import KNN, N, knn, r6
 from palimpsest.plans.registry import query
-from palimpsest.plans.scalar import _in_re2
+from palimpsest.plans.scalar import RESIDUE
 from palimpsest.plans.stateful import JOBS, job_log
 from palimpsest.sources import tables
 from palimpsest.sources.tables import BOTH, CLAIMS, GRAPH, MENTIONS, RESTATED, table
@@ -36,11 +34,17 @@ def op_3(spark: SparkSession, d: str) -> DataFrame:
     return queues.leases(job_log(spark, d), F.to_timestamp(F.lit("2024-01-30 12:00:00"))).filter("state = 'dead'").select("job", "attempts")
 
 
-@query("OP-4", f"SELECT DISTINCT doc_id FROM ({' UNION ALL '.join(_in_re2(*r) for r in redaction.RULES)})")
+_ASSIGNED = r"""(?i)((?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\s*[:=]\s*[\"'']?)([^\s\"''`.,;:<>(){}\[\]\\]{8,})"""
+
+
+@query("OP-4", f"""WITH r AS (SELECT DISTINCT doc_id, text FROM ({RESIDUE})),
+    h AS (SELECT doc_id, text, unnest(list_distinct(regexp_extract_all(text, '\bAKIA[A-Z0-9]{{16}}\b') || regexp_extract_all(text, '{_ASSIGNED}', 2))) AS secret FROM r),
+    f AS (SELECT doc_id, any_value(text) AS text, list(DISTINCT secret ORDER BY length(secret) DESC, secret) AS found FROM h GROUP BY 1)
+    SELECT doc_id, list_reduce([text] || found, lambda t, x: replace(t, x, '⟨secret:' || CASE WHEN regexp_full_match(x, 'AKIA[A-Z0-9]{{16}}') THEN 'aws-access-key:' ELSE 'generic-secret-assignment:' END || substr(sha256(x), 1, 6) || '⟩')) AS text FROM f""")
 def op_4(spark: SparkSession, d: str) -> DataFrame:
-    """Documents whose stored text the residue scan marks for a redacted version."""
-    hit = functools.reduce(Column.__or__, [h for _, h in redaction.residue(F.col("text"))])
-    return table(spark, d, "documents").filter(hit).select("doc_id")
+    """Documents in which the residue scan finds something, each with the redacted version that supersedes its text."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return docs.filter(F.size(redaction.residue("text")) > 0).select("doc_id", redaction.redact("text").alias("text"))
 
 
 @query("OP-5", f"WITH {GRAPH} SELECT src, dst, round(greatest(0.1, least(1.0, strength + 0.1 * least(1.0, n * 0.5) * (1 - strength))), 6) AS strength FROM edges")
