@@ -9,17 +9,19 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm import common
+from palimpsest.llm import common, exact_dedup
 
 #: Least similarity, 1 - edits / words of the item.
 SIMILARITY = 0.8
 #: Random walks, tables of each walk, sampled places of each table.
 WALKS, TABLES, PLACES = 4, 16, 5
-#: Items of fewer words are evidence only where they are the whole document.
+#: Items of fewer words are looked up as they are, as no edit is allowed in them; as part of a text they are no leak.
 LEAST_WORDS = 5
+#: Words of a text that an item is aligned with at a time, about.
+STRETCH = 1 << 14
 #: Words above which an item is looked for by its pieces: embeddings stay near only while edits are few.
 PIECE_WORDS = 96
 #: Bytes of items that are looked for in one pass over the documents; more are taken in blocks.
@@ -96,13 +98,14 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]], similarity: float, walks: int, tables: int, places: int, least_words: int, seed: int = 17):
         self.similarity, self.vocab, self.items = similarity, {}, []
-        self.short: dict[tuple[str, ...], list[int]] = defaultdict(list)
+        # by first word: items whose words must follow each other as they are
+        self.short: dict[str, list[tuple[list[str], int]]] = defaultdict(list)
         for item_id, text in sorted(items, key=lambda x: (x[0], x[1] or "")):
             w = words(text)
-            if len(w) >= least_words:
+            if len(w) >= least_words or self.allowed(len(w)):
                 self.items.append((item_id, np.array([self.vocab.setdefault(x, len(self.vocab) + 1) for x in w], np.int32)))
             elif w:
-                self.short[tuple(w)].append(item_id)
+                self.short[w[0]].append((w, item_id))
         holders = np.bincount(np.concatenate([np.unique(w) for _, w in self.items]), minlength=len(self.vocab) + 1) if self.items else np.zeros(1, int)
         common_word = holders > max(1, COMMON_SHARE * len(self.items))
         rng = np.random.default_rng(seed)
@@ -168,14 +171,21 @@ class Index:
                 at += (mix * np.uint64(2 * _step_number(seed, j) + 1) >> np.uint64(63)).astype(np.int64)
             yield from keys
 
-    def search(self, texts: list[str]) -> list[tuple[int, int, int, int, int, int]]:
-        """(text number, item_id, edits, words of the item, first word, word after the last), the best place of each pair."""
+    def search(self, texts: list[str]) -> list[tuple[int, int, int, int, int, int, int]]:
+        """(text number, item_id, edits, words of the item, first word, word after the last, words of the text), the best
+        place of each pair."""
         get, pad = self.vocab.get, 1
-        lines, owner, offset, at, equal = [], [], [], 0, []
+        lines, owner, offset, at, equal, total = [], [], [], 0, [], []
         for i, t in enumerate(texts):
             w = words(t)
-            if w and self.short:
-                equal += [(i, item, 0, len(w), 0, len(w)) for item in self.short.get(tuple(w), [])]
+            total.append(len(w))
+            if self.short:
+                seen = set()
+                for k, x in enumerate(w):
+                    for own, item in self.short.get(x, ()):
+                        if item not in seen and w[k : k + len(own)] == own:
+                            seen.add(item)
+                            equal.append((i, item, 0, len(own), k, k + len(own), len(w)))
             if len(w) >= 1 and self.items:
                 lines.append(np.fromiter((get(x, 0) for x in w), np.int32, len(w)))
                 lines.append(np.full(pad, -1, np.int32))
@@ -193,11 +203,13 @@ class Index:
                 lo, hi = max(bounds[d], a[0] - spare), min(bounds[d + 1] - pad, a[1] + len(w) + spare)
                 if hi <= lo:
                     continue
-                edits, s, e = alignment(w, line[lo:hi])
-                if edits <= spare:
-                    key, row = (owner[d], item), (edits, int(lo + s - bounds[d]), int(lo + e - bounds[d]))
-                    best[key] = min(best.get(key, row), row)
-        return equal + [(i, self.items[item][0], edits, len(self.items[item][1]), s, e) for (i, item), (edits, s, e) in sorted(best.items())]
+                for lo_ in range(lo, hi, STRETCH):
+                    # stretches overlap by the longest place
+                    edits, s, e = alignment(w, line[lo_ : min(hi, lo_ + STRETCH + len(w) + spare)])
+                    if edits <= spare:
+                        key, row = (owner[d], item), (edits, int(lo_ + s - bounds[d]), int(lo_ + e - bounds[d]))
+                        best[key] = min(best.get(key, row), row)
+        return equal + [(i, self.items[item][0], edits, len(self.items[item][1]), s, e, total[i]) for (i, item), (edits, s, e) in sorted(best.items())]
 
     def _pairs(self, c: SizeClass, line: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, tuple[int, int], int]]:
         """(text, (first, last) start, item) of neighbouring places of a text where the item would start, as windows that share
@@ -244,24 +256,34 @@ def _blocks(items: DataFrame, block_bytes: int) -> list[list[int]]:
     return blocks
 
 
-def find(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, walks: int = WALKS, tables: int = TABLES, places: int = PLACES, least_words: int = LEAST_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+FOUND = {"item_id": pa.int64(), "edits": pa.int32(), "item_words": pa.int32(), "start_word": pa.int32(), "end_word": pa.int32(), "doc_words": pa.int32(), "similarity": pa.float64()}
+
+
+def find(docs: DataFrame, benchmark: DataFrame, **params) -> DataFrame:
     """Benchmark items that occur in documents with similarity or more, at any place of the whole text.
 
     Output: doc_id, item_id, edits, item_words, start_word, end_word (of the nearest place, words as words() counts
-    them), similarity. A window can hold an item only where enough of the item's words, and of its rarer words, are
-    near each other; that test loses nothing. Longer items than PIECE_WORDS are looked for by pieces and then aligned whole. The windows left are embedded by random walks and looked up in LSH
-    tables, and the pairs found are aligned exactly. The benchmark is a stated query set: its items go to every task,
-    in blocks of bounded size, each of which is one pass over the documents; documents are never shuffled.
-
-    Nulls and texts without words match nothing. An item of fewer than least_words words is found where its words are
-    all of a document's: as a part of a text it is no evidence. Repeated rows give repeated results; a null doc_id
-    stays null. Empty tables give an empty result.
+    them), doc_words, similarity. A window can hold an item only where enough of the item's words, and of its rarer words,
+    are near each other; that test loses nothing. Longer items than PIECE_WORDS are looked for by pieces and then aligned
+    whole. The windows left are embedded by random walks and looked up in LSH tables, and the pairs found are aligned
+    exactly, a stretch of the text at a time. Items so short that no word may differ are looked up as they are. The
+    benchmark is a stated query set: its items go to every task, in blocks of bounded size, each of which is one pass over
+    the documents; documents are never shuffled.
+
+    Nulls and texts without words match nothing. Repeated rows give repeated results; a null doc_id stays null. Very long
+    texts are searched whole, in memory of some times their words. Other columns are ignored. Empty tables give an empty
+    result. params: similarity, walks, tables, places, least_words, block_bytes.
     """
-    spark = docs.sparkSession
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return _found(docs, benchmark, {"doc_id": F.col("doc_id").cast("long")}, **params)
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, own: dict[str, Column], similarity: float = SIMILARITY, walks: int = WALKS, tables: int = TABLES, places: int = PLACES, least_words: int = LEAST_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """find(), with columns of type long that name the documents."""
+    spark, names = docs.sparkSession, list(own)
+    source = docs.select(*[c.alias(n) for n, c in own.items()], "text")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id is not null and text is not null")
     items = items.withColumn("part", F.pmod(F.xxhash64("item_id"), F.lit(GROUPS)))
-    schema = "doc_id long, item_id long, edits int, item_words int, start_word int, end_word int, similarity double"
+    schema = ", ".join([*(f"{n} long" for n in names), "item_id long, edits int, item_words int, start_word int, end_word int, doc_words int, similarity double"])
     out = None
     for parts in _blocks(items, block_bytes):
         rows = [tuple(r) for r in items.filter(F.col("part").isin(parts)).select("item_id", "text").collect()]
@@ -271,11 +293,12 @@ def find(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
             index = Index(sent.value, similarity, walks, tables, places, least_words)
             for whole in batches:
                 for b in common.pieces(whole, 256):
-                    ids = b.column("doc_id").to_pylist()
-                    found = [(ids[i], *rest, 1 - rest[1] / rest[2]) for i, *rest in index.search(common.strings(b))] if index.items or index.short else []
+                    found = index.search(common.strings(b)) if index.items or index.short else []
+                    at = pa.array([r[0] for r in found], pa.int64())
+                    rest = [(*r[1:], 1 - r[2] / r[3]) for r in found]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([r[k] for r in found], t) for k, t in enumerate([pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.float64()])],
-                        names=["doc_id", "item_id", "edits", "item_words", "start_word", "end_word", "similarity"],
+                        [*(b.column(n).take(at) for n in names), *(pa.array([r[k] for r in rest], t) for k, t in enumerate(FOUND.values()))],
+                        names=[*names, *FOUND],
                     )
 
         part = source.mapInArrow(run, schema)
@@ -283,7 +306,12 @@ def find(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **params) -> DataFrame:
-    """docs without those in which an item occurs; rows without a doc_id stay."""
-    hit = common.stage(find(docs, benchmark, **params).filter("doc_id is not null").select("doc_id").distinct(), "leaks")
-    return common.drop_ids(docs, hit)
+def clean(docs: DataFrame, benchmark: DataFrame, least_words: int = LEAST_WORDS, **params) -> DataFrame:
+    """docs without those in which an item occurs; one of fewer than least_words words must be the whole document.
+
+    Rows are named by doc_id and text together, so rows that share a doc_id are judged each by its own text, and a leak
+    without a doc_id goes too. Other columns stay as they are.
+    """
+    ident = exact_dedup.identity(F.col("doc_id"), F.col("text"))
+    hit = common.stage(_found(docs, benchmark, {"a": ident["a"], "b": ident["b"]}, **params).filter((F.col("item_words") >= least_words) | (F.col("item_words") == F.col("doc_words"))).select("a", "b").distinct(), "leaks")
+    return exact_dedup.without_copies(docs, hit.withColumns({"n": F.lit(1), "kept": F.lit(False)}))

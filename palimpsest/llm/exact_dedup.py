@@ -33,7 +33,7 @@ def refine(docs: DataFrame, every_digest: bool = True) -> DataFrame:
     return _refined(docs, every_digest).drop("ident")
 
 
-def _identity(doc_id: Column, text: Column) -> Column:
+def identity(doc_id: Column, text: Column) -> Column:
     """A row's doc_id and text as 128 bits; nulls differ from everything else."""
     null = F.concat_ws(",", doc_id.isNull().cast("string"), text.isNull().cast("string"))
     return F.struct(F.xxhash64(doc_id, text, null).alias("a"), F.xxhash64(F.lit(1), text, null, doc_id).alias("b"))
@@ -42,7 +42,7 @@ def _identity(doc_id: Column, text: Column) -> Column:
 def _refined(docs: DataFrame, every_digest: bool) -> DataFrame:
     base = docs.select(F.col("doc_id"), F.col("text")).select(
         "doc_id", F.length(F.coalesce("text", F.lit(""))).alias("points"), normalised(F.col("text")).alias("norm"), F.monotonically_increasing_id().alias("row_no"),
-        _identity(F.col("doc_id"), F.col("text")).alias("ident"),
+        identity(F.col("doc_id"), F.col("text")).alias("ident"),
     )
     keyed = base.withColumns({"norm_len": F.length("norm"), "prefix": F.xxhash64(F.substring("norm", 1, PREFIX))})
     # length first: a length that occurs once ends the matter; the prefix hash refines the rest
@@ -85,9 +85,17 @@ def keep_one(docs: DataFrame) -> DataFrame:
     found = _refined(docs, every_digest=False).filter("group_size > 1")
     counted = found.groupBy("ident").agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("kept"))
     named = common.stage(counted.select(F.col("ident.a").alias("a"), F.col("ident.b").alias("b"), "n", "kept"), "dedup-idents")
+    return without_copies(docs, named)
+
+
+def without_copies(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """docs without the rows that named gives as not kept, and with one of those that are kept.
+
+    named, staged: a, b (a row's identity), n (rows of that identity), kept.
+    """
     gone, repeats = named.filter("not kept").select("a", "b"), named.filter("kept and n > 1").select("a", "b")
     n_gone, n_repeats = gone.count(), repeats.count()
-    ident = _identity(F.col("doc_id"), F.col("text"))
+    ident = identity(F.col("doc_id"), F.col("text"))
     out = _without(docs, ident, gone, n_gone)
     if n_repeats:
         given = out.columns

@@ -562,6 +562,59 @@ def test_near_copies_with_repeated_lines(spark):
     assert {r["doc_id"]: r["component_id"] for r in got.collect()} == want
 
 
+def test_rows_that_share_a_doc_id_are_judged_by_their_own_texts(spark):
+    """An unrelated text under the id of a copy or a leak stays; copies under one id, and leaks without one, go."""
+    rnd = random.Random(11)
+    a, c, leak = ([f"w{rnd.randrange(10**6)}" for _ in range(60)] for _ in range(3))
+    b = [*a[:30], "edited", *a[31:]]
+    a, b, c, leak = (" ".join(x) for x in (a, b, c, leak))
+    schema = "doc_id long, text string, tag int"
+    rows = [(1, a, 0), (5, b, 1), (5, c, 2), (7, c + " more", 3), (7, c + " more still", 4), (None, a + " end", 5), (None, "none like it at all", 6), (8, "", 7), (8, None, 8), (9, a, 9), (9, a, 10)]
+    kept = sorted(r["tag"] for r in near_copies.keep_one(spark.createDataFrame(rows, schema).repartition(3)).collect())
+    assert kept == [0, 2, 6, 7] or kept == [0, 2, 6, 8]
+    rows = [(5, f"x y z {leak} u v", 0), (5, c, 1), (None, leak, 2), (None, a, 3), (6, b, 4)]
+    bench = spark.createDataFrame([(1, leak)], "item_id long, text string")
+    assert sorted(r["tag"] for r in decontaminate.clean(spark.createDataFrame(rows, schema), bench).collect()) == [1, 3, 4]
+
+
+def test_similar_sets(spark):
+    rnd = np.random.default_rng(5)
+    for n in (0, 1, 60):
+        sets = [np.unique(rnd.integers(0, 40, rnd.integers(0, 30))).astype(np.uint64) for _ in range(n)]
+        jac = lambda x, y: len(np.intersect1d(x, y)) / max(1, len(np.union1d(x, y))) if len(x) + len(y) else 1.0
+        pairs = [(i, j) for i in range(n) for j in range(i) if jac(sets[i], sets[j]) >= 0.5]
+        want = bktree.Union(n)
+        for i, j in pairs:
+            want.join(np.array([i]), np.array([j]))
+        assert (near_copies.similar(sets, 0.5).label == want.label).all()
+        # those that are known to be of one class, and those of the largest class, needn't ask
+        assert (near_copies.similar(sets, 0.5, want.label).label == want.label).all()
+        if n:
+            asked = want.label != np.argmax(np.bincount(want.label))
+            assert (near_copies.similar(sets, 0.5, np.where(asked, -1 - np.arange(n), 0), asked).label == want.label).all()
+
+
+def test_a_large_class_of_near_copies_costs_work_in_proportion(spark):
+    """Twice the copies in a shard, about twice the comparisons: sets of one class aren't compared with each other."""
+    import time
+
+    rnd = np.random.default_rng(1)
+    base = rnd.integers(0, 1 << 62, 300)
+
+    def took(n):
+        sets = []
+        for _ in range(n):
+            x = base.copy()
+            x[rnd.integers(0, 300, 12)] = rnd.integers(0, 1 << 62, 12)
+            sets.append(np.unique(x).astype(np.uint64))
+        began = time.process_time()
+        assert (near_copies.similar(sets, 0.8).label == 0).all()
+        return time.process_time() - began
+
+    took(100)
+    assert took(4000) < 12 * max(took(1000), 0.05)
+
+
 def test_near_copies_odd(odd, empty):
     kept = near_copies.keep_one(odd)
     assert kept.columns == odd.columns
@@ -934,12 +987,15 @@ def test_decontaminate_recall_under_edits(spark, texts):
 def test_decontaminate_odd(spark, odd, empty):
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "same text here"), (5, "Text here"), (4, " ".join(f"w{i}" for i in range(20, 60))), (None, "x y z")], "item_id long, text string")
     got = sorted((r["doc_id"], r["item_id"], r["edits"]) for r in decontaminate.find(odd.filter("doc_id is not null"), bench).collect())
-    # a short item counts where it is the whole document
-    assert got == [(4, 3, 0), (5, 3, 0), (5, 3, 0), (7, 4, 0), (8, 4, 0)]
+    # short items are found anywhere in a text, as they are
+    assert got == [(4, 3, 0), (4, 5, 0), (5, 3, 0), (5, 3, 0), (5, 5, 0), (5, 5, 0), (7, 4, 0), (8, 4, 0)]
     assert decontaminate.find(empty, bench).collect() == []
     assert decontaminate.find(odd, bench.filter("false")).collect() == []
     kept = decontaminate.clean(odd, bench)
-    assert kept.columns == odd.columns and kept.count() == len(ODD) - 5
+    # a leak without a doc_id goes like others; a short item within a longer text is no leak unless it is asked for
+    assert kept.columns == odd.columns and kept.count() == len(ODD) - 6
+    part = spark.createDataFrame([(1, "well, text here it is")], "doc_id long, text string")
+    assert decontaminate.clean(part, bench).count() == 1 and decontaminate.clean(part, bench, least_words=2).count() == 0
 
 
 def test_decontaminate_scripts_without_blanks_and_long_items(spark):
