@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Iterator
-from dataclasses import dataclass
-from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
@@ -16,14 +14,13 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import vectors, weights
 from palimpsest.operators import staging
+from palimpsest.operators.activation import MOST_BROADCAST, TYPED, Budget, edge_weight, prepared, spread  # noqa: F401  (part of this module)
 from palimpsest.operators.components import components
 
 #: Vectors asked about in one pass: bounds what is broadcast.
 ASK_BLOCK = 1 << 15
 #: Phrases that are sought in one pass over the documents.
 PHRASES = 64
-#: Rows of a counted side that are broadcast at most.
-MOST_BROADCAST = 1 << 18
 
 
 def asked_pairs(asks: DataFrame, corpus: DataFrame, skip_self: bool = True) -> list[DataFrame]:
@@ -168,117 +165,15 @@ def adjacency(edges: DataFrame, frontier: DataFrame, top: int = 64, least: float
     return near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top).join(degree, "other")
 
 
-def edge_weight(type_: Column, strength: Column, confidence: Column) -> Column:
-    """Type weight times strength, times confidence for inferred types (MATH-3)."""
-    w = F.when(type_ == "SUPERSEDES", 1.0).when(type_ == "MENTIONS", 0.9).when(type_ == "CO_OCCURS", 0.8).when(type_ == "SIMILAR", 0.6).otherwise(0.5)
-    return w * strength * F.when(type_.isin("SIMILAR", "RELATED_TO"), confidence).otherwise(F.lit(1.0))
-
-
-@dataclass(frozen=True)
-class Budget:
-    """What stops an activation: rounds, expanded nodes, hops, and the scores and strengths that count at all."""
-
-    rounds: int = 100
-    visited: int = 500
-    hops: int = 3
-    least: float = 0.1
-    strength: float = 0.1
-    neighbours: int = 64
-    decay: float = weights.ACTIVATION_DECAY
-
-
-#: Edges whose own contribution is kept as evidence: fixed values of relationship types.
-TYPED = ("CONTRADICTS", "SUPERSEDES", "CAUSES")
-_STATE = "node long, score double, hops int, path string, strongest double, typed_edge string, typed_gain double, seed boolean, visited boolean"
-
-
 def activate(seeds: DataFrame, edges: DataFrame, superseded: DataFrame | None = None, budget: Budget = Budget(), typed: tuple[str, ...] = TYPED) -> tuple[DataFrame, str]:
-    """Spreading activation: (node, score, hops, path, typed_edge, typed_gain, superseded), and why it ended (RET-10, RET-11).
+    """activation.spread() of one ask: (node, score, hops, path, typed_edge, typed_gain, superseded), and why it ended.
 
     seeds: node, score. edges: node, other, type, strength, confidence, both ways. superseded: node.
-
-    Each round expands all nodes reached but not yet expanded whose score is at least least and whose hops are fewer than
-    hops, best first, no more than visited in all. A node passes score x edge weight x decay x hub inhibition on (half of
-    it to superseded nodes) along its strongest edges to nodes that no earlier round has expanded; contributions add up.
-    Within a round nodes count as expanded one after another: an edge between two of them fires once, from the better to
-    the worse, before the worse one passes on its score. That order matters only among a round's own nodes, of which the
-    budget allows few hundred, so it is worked out on the driver; the spread to all others is a join. A node's hops and path
-    are those of the strongest single contribution; a seed's stay. Evidence is the strongest contribution by an edge of a
-    typed kind. Ends with frontier_exhausted, below_min_activation, hop_limit, node_budget or max_iterations.
     """
-    spark = seeds.sparkSession
-    degree = staging.stage(edges.groupBy(F.col("node").alias("other")).agg(F.count(F.lit(1)).alias("degree")), "degree")
-    old = superseded.select(F.col("node").alias("other")).distinct() if superseded is not None else spark.createDataFrame([], "other long")
-    first = seeds.groupBy("node").agg(F.max("score").cast("double").alias("score"))
-    state = first.select("node", "score", F.lit(0).alias("hops"), F.col("node").cast("string").alias("path"), F.lit(0.0).alias("strongest"), F.lit(None).cast("string").alias("typed_edge"), F.lit(None).cast("double").alias("typed_gain"), F.lit(True).alias("seed"), F.lit(False).alias("visited"))
-    state = staging.stage(state, "active")
-    spent, rounds, why = 0, 0, ""
-    while not why:
-        if rounds >= budget.rounds:
-            why = "max_iterations"
-            break
-        if spent >= budget.visited:
-            why = "node_budget"
-            break
-        waiting = F.col("visited") == F.lit(False)
-        n = state.agg(F.count_if(waiting).alias("any"), F.count_if(waiting & (F.col("score") >= budget.least)).alias("strong"), F.count_if(waiting & (F.col("score") >= budget.least) & (F.col("hops") < budget.hops)).alias("near")).first()
-        if not n["near"]:
-            why = "frontier_exhausted" if not n["any"] else "below_min_activation" if not n["strong"] else "hop_limit"
-            break
-        rounds += 1
-        front = state.filter(waiting & (F.col("score") >= budget.least) & (F.col("hops") < budget.hops)).orderBy(F.desc("score"), "node").limit(budget.visited - spent).toPandas()
-        spent += len(front)
-        place = spark.createDataFrame([(int(x), i) for i, x in enumerate(front.node)], "node long, place int")
-        w = Window.partitionBy("node").orderBy(F.desc("strength"), "other", "type")
-        near = edges.filter(F.col("strength") >= budget.strength).join(F.broadcast(place), "node")
-        gone = state.filter("visited").select(F.col("node").alias("other"))  # no more than the budget allows
-        near = near.join(F.broadcast(gone), "other", "left_anti").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= budget.neighbours)
-        near = near.join(degree, "other").join(old.withColumn("old", F.lit(True)), "other", "left")
-        share = edge_weight(F.col("type"), F.col("strength"), F.col("confidence")) * budget.decay * weights.hub_inhibition(F.col("degree")) * F.when(F.col("old"), weights.SUPERSEDED_FACTOR).otherwise(F.lit(1.0))
-        near = near.join(F.broadcast(place.select(F.col("node").alias("other"), F.col("place").alias("other_place"))), "other", "left")
-        step = staging.stage(near.select("node", "place", "rank", "other", "other_place", "type", share.alias("share")), "steps")
-        own = _within_round(front, step.filter("other_place > place").orderBy("place", "rank").toPandas(), typed)
-        place = spark.createDataFrame(own, _STATE)
-        gain = F.col("share") * F.col("score")
-        reached = step.filter("other_place is null").join(F.broadcast(place.select("node", "score", "hops", "path")), "node").withColumn("gain", gain).filter("gain > 0")
-        # of equal contributions the first counts: that of the better source, then of its stronger edge
-        order = F.struct("gain", (-F.col("place")).alias("p"), (-F.col("rank")).alias("r"))
-        got = reached.groupBy(F.col("other").alias("node")).agg(
-            F.sum("gain").alias("gain"), F.max("gain").alias("top"), F.max_by(F.struct((F.col("hops") + 1).alias("hops"), F.concat("path", F.lit(" -["), "type", F.lit("]-> "), F.col("other").cast("string")).alias("path")), order).alias("way"),
-            F.max_by("type", F.when(F.col("type").isin(*typed), order)).alias("edge"), F.max(F.when(F.col("type").isin(*typed), F.col("gain"))).alias("edge_gain"),
-        )
-        others = state.join(F.broadcast(place.select("node")), "node", "left_anti").join(got, "node", "full")
-        better = ~F.coalesce("seed", F.lit(False)) & (F.col("top") > F.coalesce("strongest", F.lit(0.0)))
-        evidence = F.col("edge_gain") > F.coalesce("typed_gain", F.lit(0.0))
-        others = others.select(
-            "node", (F.coalesce("score", F.lit(0.0)) + F.coalesce("gain", F.lit(0.0))).alias("score"), F.when(better, F.col("way.hops")).otherwise(F.col("hops")).alias("hops"), F.when(better, F.col("way.path")).otherwise(F.col("path")).alias("path"),
-            F.when(better, F.col("top")).otherwise(F.col("strongest")).alias("strongest"), F.when(evidence, F.col("edge")).otherwise(F.col("typed_edge")).alias("typed_edge"), F.when(evidence, F.col("edge_gain")).otherwise(F.col("typed_gain")).alias("typed_gain"),
-            F.coalesce("seed", F.lit(False)).alias("seed"), F.coalesce("visited", F.lit(False)).alias("visited"),
-        )
-        state = staging.stage(others.unionByName(place), "active")
-    found = state.filter(F.col("score") >= budget.least).join(old.select(F.col("other").alias("node"), F.lit(True).alias("superseded")), "node", "left")
-    return found.select("node", "score", "hops", "path", "typed_edge", "typed_gain", F.coalesce("superseded", F.lit(False)).alias("superseded")), why
-
-
-def _within_round(front: pd.DataFrame, inner: pd.DataFrame, typed: tuple[str, ...]) -> list[tuple]:
-    """The rows of a round's nodes after the edges between them have fired in order, all of them marked as visited."""
-    rows = {r.node: r for r in (_plain_row(r) for r in front.itertuples(index=False))}
-    for e in inner.itertuples(index=False):
-        a, b = rows[e.node], rows[e.other]
-        gain = a.score * e.share
-        if gain <= 0:
-            continue
-        b.score += gain
-        if e.type in typed and gain > (b.typed_gain or 0.0):
-            b.typed_edge, b.typed_gain = e.type, gain
-        if not b.seed and gain > b.strongest:
-            b.strongest, b.hops, b.path = gain, a.hops + 1, f"{a.path} -[{e.type}]-> {b.node}"
-    return [(r.node, r.score, r.hops, r.path, r.strongest, r.typed_edge, r.typed_gain, r.seed, True) for r in rows.values()]
-
-
-def _plain_row(r) -> SimpleNamespace:
-    none = lambda x: None if pd.isna(x) else x
-    return SimpleNamespace(node=int(r.node), score=float(r.score), hops=int(r.hops), path=r.path, strongest=float(r.strongest), typed_edge=none(r.typed_edge), typed_gain=none(r.typed_gain), seed=bool(r.seed))
+    found, ended = spread(seeds.withColumn("ask", F.lit(0).cast("long")), prepared(edges, superseded, budget), budget, typed)
+    first = ended.first()
+    old = (superseded if superseded is not None else found.filter("false")).select("node").distinct().withColumn("superseded", F.lit(True))
+    return found.drop("ask").join(old, "node", "left").withColumn("superseded", F.coalesce("superseded", F.lit(False))), first["ended"] if first else "frontier_exhausted"
 
 
 def fuse(lists: DataFrame, k: int = weights.RRF_K, factors: DataFrame | None = None) -> DataFrame:
@@ -292,13 +187,13 @@ def fuse(lists: DataFrame, k: int = weights.RRF_K, factors: DataFrame | None = N
     return lists.groupBy("id").agg(F.sum(F.col("weight") / (F.lit(k) + F.col("rank") + 1)).alias("score"))
 
 
-def admit(evidence: DataFrame, vector_floor: float = 0.35, corroboration: float = 0.33, typed: float = 0.14) -> DataFrame:
+def admit(evidence: DataFrame, vector_floor: float = 0.35, corroboration: float = 0.33, typed: float = 0.14, by: tuple[str, ...] | list[str] = ("id",)) -> DataFrame:
     """The first rule that lets an item in: vector_floor, exact_match, corroborated, bm25_any, typed_admission or none (RET-15).
 
-    evidence: id, method, cue, relevance, exact, contribution.
+    evidence: by, method, cue, relevance, exact, contribution.
     """
     strong = F.when(F.col("relevance") >= corroboration, F.struct("method", "cue"))
-    m = evidence.groupBy("id").agg(
+    m = evidence.groupBy(*by).agg(
         F.max(F.when(F.col("method") == "vector", F.col("relevance"))).alias("cos"),
         F.max(F.col("exact").cast("int")).alias("exact"),
         F.count_distinct(strong).alias("kinds"),
@@ -313,7 +208,7 @@ def admit(evidence: DataFrame, vector_floor: float = 0.35, corroboration: float
         .when((F.col("contribution") >= typed) & (F.col("cos") >= corroboration), "typed_admission")
         .otherwise("none")
     )
-    return m.select("id", rule.alias("rule"))
+    return m.select(*by, rule.alias("rule"))
 
 
 def admission_report(rules: DataFrame, measured: DataFrame, names: DataFrame, cap: int = 2, prefix: int = 16) -> DataFrame:

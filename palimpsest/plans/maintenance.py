@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import dates, redaction, text, weights
-from palimpsest.operators import bitemporal, graph, queues, retrieval, scheduling, staging, upkeep
+from palimpsest.operators import bitemporal, graph, names, queues, retrieval, scheduling, staging, upkeep
 from palimpsest.plans.aggregate import KNN, N, knn, r6
 from palimpsest.plans.registry import query
+from palimpsest.plans.retrieval import _LONG, _OVERLAP, _SHAPE, _recall
 from palimpsest.plans.scalar import RESIDUE
 from palimpsest.plans.stateful import JOBS, job_log
 from palimpsest.sources import tables
@@ -204,12 +205,17 @@ def op_25(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("id")).distinct().join(decided, "id", "left_anti")
 
 
-@query("OP-26", f"WITH {KNN} SELECT count(DISTINCT ask) AS probes, count(DISTINCT CASE WHEN a.label = b.label THEN ask END) AS hits FROM knn k JOIN embeddings a ON a.vec_id = ask JOIN embeddings b ON b.vec_id = k.id")
+@query("OP-26")
 def op_26(spark: SparkSession, d: str) -> DataFrame:
-    """Recall probe: asked vectors with a neighbour of their label among ten."""
-    v = tables.vectors(spark, d).select("id", "label")
-    k = knn(spark, d).join(v, "id").join(v.select(F.col("id").alias("ask"), F.col("label").alias("l")), "ask")
-    return k.agg(F.count_distinct("ask").alias("probes"), F.count_distinct(F.when(F.col("label") == F.col("l"), F.col("ask"))).alias("hits"))
+    """Recall probe: asks answered by the whole recall; a hit has the item that was asked about in its pack, a served
+    reference one that shares an episode of mentions with it."""
+    asks = table(spark, d, "documents").filter("doc_id % 100 = 0").select(F.col("doc_id").alias("ask"))
+    got = staging.stage(_recall(spark, d).select("ask", "id"), "probe")
+    e = tables.pairs(spark, d).select(F.col("src").alias("ask"), F.col("dst").alias("id"))
+    known = e.unionByName(e.select(F.col("id").alias("ask"), F.col("ask").alias("id"))).filter("ask % 100 = 0")
+    per = got.join(known.withColumn("served", F.lit(1)), ["ask", "id"], "left").groupBy("ask").agg(F.max((F.col("ask") == F.col("id")).cast("int")).alias("hit"), F.coalesce(F.max("served"), F.lit(0)).alias("served"))
+    per = asks.join(per, "ask", "left").fillna(0, ["hit", "served"])
+    return per.agg(N().alias("probes"), F.sum("hit").alias("hits"), F.sum("served").alias("served"), r6(F.avg("hit")).alias("hit_rate"), r6(F.avg("served")).alias("served_rate"))
 
 
 @query("OP-27", f"WITH {CLAIMS} SELECT id, CASE WHEN forgotten_at IS NOT NULL THEN 'stale' WHEN valid_until IS NOT NULL THEN 'closed' ELSE 'open' END AS resolution FROM claims")
@@ -285,7 +291,17 @@ def op_s4(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy("user_id").agg(N().alias("runs"), r6(F.when(tried > 0, good / tried)).alias("rate"))
 
 
-@query("OP-S5", "SELECT count(*) FILTER (p_type LIKE '%STEEL%') AS auto_merges FROM part")
+@query(
+    "OP-S5",
+    f"""WITH n AS (SELECT DISTINCT lower(CASE p_partkey % 7 WHEN 0 THEN p_name || 's' WHEN 1 THEN replace(p_name, ' ', '-') WHEN 2 THEN p_name || ' ' || p_partkey % 3 ELSE p_name END) AS f FROM part),
+        s AS ({_SHAPE} n), p AS (SELECT x.f AS a, y.f AS b, CASE WHEN x.s = y.s THEN 'squash' WHEN {_LONG} AND {_OVERLAP} >= 0.85 THEN 'bigram' END AS relation FROM s x JOIN s y ON x.f < y.f)
+        SELECT a, b, relation, CASE WHEN relation = 'squash' THEN 'auto_merge' ELSE 'propose' END AS state, (count(*) FILTER (relation = 'squash') OVER ())::BIGINT AS auto_merges FROM p WHERE relation IS NOT NULL""",
+)
 def op_s5(spark: SparkSession, d: str) -> DataFrame:
-    provenance = F.split("p_type", " ")
-    return table(spark, d, "part").agg(F.count_if(F.array_contains(provenance, "STEEL")).alias("auto_merges"))
+    """The merge shadow: pairs of names that the cascade would merge, those of one squashed form by itself, and how many."""
+    k, n = F.col("p_partkey") % 7, F.col("p_name")
+    said = F.when(k == 0, F.concat(n, F.lit("s"))).when(k == 1, F.replace(n, F.lit(" "), F.lit("-"))).when(k == 2, F.concat(n, F.lit(" "), (F.col("p_partkey") % 3).cast("string"))).otherwise(n)
+    pairs = staging.stage(names.merge_pairs(table(spark, d, "part").select(said.alias("name"))), "merge-shadow")
+    auto = pairs.filter("relation = 'squash'").count()
+    return pairs.select("a", "b", "relation", F.when(F.col("relation") == "squash", "auto_merge").otherwise("propose").alias("state"), F.lit(auto).cast("long").alias("auto_merges"))
+

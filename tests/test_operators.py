@@ -156,6 +156,36 @@ def test_activation_is_the_plain_one(spark, seed, more):
         assert (r["typed_edge"], r["typed_gain"]) == (proof[x][0], pytest.approx(proof[x][1])) if x in proof else r["typed_edge"] is None
 
 
+def test_many_asks_spread_as_each_does_alone(spark):
+    """Asks share rounds, but each has its own frontier, budget, order and end."""
+    from palimpsest.operators import activation
+
+    rnd = random.Random(5)
+    edges = []
+    for _ in range(120):
+        a, b = rnd.sample(range(40), 2)
+        t, s, c = rnd.choice(["CO_OCCURS", "SIMILAR", "CONTRADICTS"]), rnd.choice([0.05, 0.6, 1.0]), rnd.choice([0.5, 1.0])
+        edges += [(a, b, t, s, c), (b, a, t, s, c)]
+    edges = list(dict.fromkeys(edges))
+    asks = {k: {x: rnd.choice([0.05, 0.7, 1.0]) for x in rnd.sample(range(45), rnd.randrange(1, 5))} for k in range(12)}
+    old, budget = {3, 9, 11}, retrieval.Budget(visited=14, neighbours=3)
+    ready = activation.prepared(spark.createDataFrame(edges, "node long, other long, type string, strength double, confidence double"), spark.createDataFrame([(x,) for x in old], "node long"), budget)
+    rows = [(k, x, s) for k, own in asks.items() for x, s in own.items()] + [(None, 1, 1.0), (3, None, 1.0)]
+    found, ended = activation.spread(spark.createDataFrame(rows, "ask long, node long, score double"), ready, budget)
+    got, why = {(r["ask"], r["node"]): r for r in found.collect()}, dict(map(tuple, ended.collect()))
+    want = {}
+    for k, own in asks.items():
+        score, hops, path, proof, end = plain_activation(own, edges, old, budget, retrieval.TYPED)
+        assert why[k] == end
+        want |= {(k, x): (score[x], hops[x], path[x], proof.get(x)) for x in score if score[x] >= budget.least}
+    assert got.keys() == want.keys() and len(set(why.values())) > 1
+    for k, (score, hops, path, proof) in want.items():
+        r = got[k]
+        assert r["score"] == pytest.approx(score) and (r["hops"], r["path"]) == (hops, path) and (r["typed_edge"] == proof[0] if proof else r["typed_edge"] is None)
+    none, over = activation.spread(spark.createDataFrame([], "ask long, node long, score double"), ready)
+    assert none.collect() == [] and over.collect() == []
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_quantiles_are_exact(spark, seed):
     import numpy as np
