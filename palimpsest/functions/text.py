@@ -98,11 +98,17 @@ def cluster_key(c: Column) -> Column:
 
 
 def identifier_shape(c: Column) -> Column:
-    """sha, uuid, agent, path or null (FLT-11)."""
-    x = F.lower(F.trim(c))
+    """sha, uuid, agent_id, path or null (FLT-11), by the whole trimmed name in any case.
+
+    Decay by shape is for good, so only whole digests count (40 or 64 hex digits), and a path has two separators at least
+    and no white space. The agents' prefix is a fixed value.
+    """
+    x = F.regexp_replace(c, r"^\s+|\s+$", "")
+    low = F.lower(x)
+    separators = F.length(x) - F.length(F.translate(x, "/\\", ""))
     return (
-        F.when(x.rlike(r"^[0-9a-f]{7,64}$") & x.rlike(r"[0-9]") & x.rlike(r"[a-f]"), F.lit("sha"))
-        .when(x.rlike(r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"), F.lit("uuid"))
-        .when(x.rlike(r"^(agent|task|run|session)[-_#][0-9a-z]{4,}$"), F.lit("agent"))
-        .when(x.rlike(r"^(/|\./|~/|[a-z]:\\)\S+$"), F.lit("path"))
+        F.when(low.rlike(r"^[0-9a-f]+$") & F.length(low).isin(40, 64), F.lit("sha"))
+        .when(low.rlike(r"^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"), F.lit("uuid"))
+        .when(F.startswith(low, F.lit("code-na")) & F.substring(low, 8, 1 << 20).rlike(r"^[0-9a-f]{6,}$"), F.lit("agent_id"))
+        .when((separators >= 2) & ~x.rlike(r"\s"), F.lit("path"))
     )

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.operators import retrieval
+
 
 def canonical(entities: DataFrame, key: str) -> DataFrame:
     """(id, canonical): of entities with the same key the most mentioned, then least id (WR-10). entities: id, key, k.
@@ -49,3 +51,24 @@ def verdict_precedence(rows: DataFrame) -> DataFrame:
 def latest_versions(rows: DataFrame, key: str) -> DataFrame:
     """The newest version of each key and whether a row is stale (WIN-9)."""
     return rows.withColumn("stale", F.col("version") < F.max("version").over(Window.partitionBy(key)))
+
+
+def contradiction_candidates(claims: DataFrame, new: Column, asks: DataFrame, held: DataFrame, each: int = 3, floor: float = 0.75) -> DataFrame:
+    """(id, other, tier): the best claims that each new one may contradict (WR-15). claims: id, subject, aspect, at; new: which
+    of them are new; asks, held: id, vec of new claims and of those that are sought.
+
+    Tier 1 is the claim before it of the same subject and aspect, tier 2 the subject's each last ones before it, tier 3 the
+    nearest by vector at floor or above. The first two are taken from the rows before a claim in order of time, so that a
+    subject of many claims is one sorted pass and no join with itself. A pair counts by its best tier.
+    """
+    order = [F.col("at"), F.col("id")]
+    by_key, by_subject = Window.partitionBy("subject", "aspect").orderBy(*order), Window.partitionBy("subject").orderBy(*order)
+    rows = claims.select("id", F.lag("id").over(by_key).alias("keyed"), *[F.lag("id", k).over(by_subject).alias(f"s{k}") for k in range(1, each + 1)]).filter(new)
+    none = F.lit(None).cast("double")
+    keyed = rows.select("id", F.col("keyed").alias("other"), F.lit(1).alias("tier"), none.alias("score"))
+    own = rows.select("id", F.explode(F.array(*[f"s{k}" for k in range(1, each + 1)])).alias("other"), F.lit(2).alias("tier"), none.alias("score"))
+    # one place more than are wanted, for the claim itself
+    near = retrieval.knn(asks, held, 2 * each + 1, floor).select(F.col("ask").alias("id"), F.col("id").alias("other"), F.lit(3).alias("tier"), "score")
+    best = keyed.unionByName(own).unionByName(near).filter("other is not null").groupBy("id", "other").agg(F.min("tier").alias("tier"), F.max("score").alias("score"))
+    w = Window.partitionBy("id").orderBy("tier", F.desc_nulls_last("score"), F.desc("other"))
+    return best.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= each).drop("r", "score")

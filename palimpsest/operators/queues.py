@@ -28,7 +28,7 @@ def state(events: DataFrame) -> DataFrame:
     return events.groupBy("job").agg(last, F.count_if(F.col("event") == "release").alias("attempts")).select("job", F.col("l.event").alias("event"), F.col("l.at").alias("at"), "attempts")
 
 
-def leases(events: DataFrame, now: Column, stale_minutes: int = 5, most_attempts: int = 5) -> DataFrame:
+def leases(events: DataFrame, now: Column, stale_minutes: int = 10, most_attempts: int = 5) -> DataFrame:
     """Jobs that aren't done: job, state (held, waiting, dead), attempts (STR-S8). events: as in state().
 
     A claim older than stale_minutes returns to the pool without counting as an attempt, each release counts as one,

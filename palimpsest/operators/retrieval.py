@@ -17,8 +17,8 @@ from palimpsest.operators import staging
 from palimpsest.operators.activation import MOST_BROADCAST, TYPED, Budget, edge_weight, prepared, spread  # noqa: F401  (part of this module)
 from palimpsest.operators.components import components
 
-#: Vectors asked about in one pass: bounds what is broadcast.
-ASK_BLOCK = 1 << 15
+#: Bytes of asked vectors in one pass, about: bounds what is broadcast.
+ASK_BYTES = 32 << 20
 #: Phrases that are sought in one pass over the documents.
 PHRASES = 64
 
@@ -26,10 +26,11 @@ PHRASES = 64
 def asked_pairs(asks: DataFrame, corpus: DataFrame, skip_self: bool = True) -> list[DataFrame]:
     """Cosines of a stated set of vectors with the whole corpus, in blocks: ask, id, score and the corpus's other columns.
 
-    Asked vectors are broadcast, at most about ASK_BLOCK of them at a time, so a task holds a bounded block whatever
+    Asked vectors are broadcast, at most about ASK_BYTES of them at a time, so a task holds a bounded block whatever
     their number; the corpus is never shuffled. asks and corpus: id, vec.
     """
-    blocks = max(1, -(-asks.count() // ASK_BLOCK))
+    size = asks.agg(F.sum(16 + 8 * F.coalesce(F.size("vec"), F.lit(0)))).first()[0] or 0
+    blocks = max(1, -(-size // ASK_BYTES))
     rest = [c for c in corpus.columns if c not in ("id", "vec")]
     corpus = corpus.withColumn("nv", vectors.norm(F.col("vec")))
     asked = asks.select(F.col("id").alias("ask"), F.col("vec").alias("ask_vec"), vectors.norm(F.col("vec")).alias("na"))
@@ -57,17 +58,20 @@ def _matrix(column: pa.Array, size: int) -> np.ndarray:
 def knn(asks: DataFrame, corpus: DataFrame, k: int, floor: float = -1.0, skip_self: bool = True) -> DataFrame:
     """The k nearest corpus vectors of each asked vector by cosine at or above floor: ask, id, score, rank (JOIN-8, SORT-2).
 
-    Asked vectors go to the tasks as matrices of ASK_BLOCK rows at most, one pass over the corpus for each. A task
+    Asked vectors go to the tasks as matrices of ASK_BYTES at most, those of one size together, one pass over the corpus for
+    each. A task
     multiplies a stretch of its rows with them and sends on only what reaches the k-th best so far, so the shuffle holds
     little more than k rows of each task and ask, and the corpus itself is never shuffled. Ties go to the smaller id; the
     cosine of null vectors and those of another size is 0. asks and corpus: id (long), vec.
     """
     spark = asks.sparkSession
-    blocks = max(1, -(-asks.count() // ASK_BLOCK))
+    length = F.coalesce(F.size("vec"), F.lit(0))
+    kinds = asks.groupBy(length.alias("size")).agg(F.count(F.lit(1)).alias("n")).orderBy("size").collect()
     w, out = Window.partitionBy("ask").orderBy(F.desc("score"), "id"), []
-    for b in range(blocks):
-        held = asks.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).select("id", "vec").toArrow()
-        size = max([len(x) for x in held.column("vec").to_pylist() if x is not None], default=1)
+    passes = [(r["size"], max(1, -(-r["n"] * max(1, r["size"]) * 8 // ASK_BYTES)), b) for r in kinds for b in range(max(1, -(-r["n"] * max(1, r["size"]) * 8 // ASK_BYTES)))]
+    for size, blocks, b in passes or [(0, 1, 0)]:
+        held = asks.filter((length == size) & (F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)).select("id", "vec").toArrow()
+        size = max(1, size)
         sent = spark.sparkContext.broadcast((held.column("id").to_numpy(), _matrix(held.column("vec"), size), size))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import vectors
@@ -10,6 +10,7 @@ from palimpsest.operators import graph, retrieval, staging
 from palimpsest.operators.components import components, named_by_least
 from palimpsest.plans.aggregate import _COS, N, r6
 from palimpsest.plans.registry import query
+from palimpsest.plans.retrieval import ORPHANS, orphans
 from palimpsest.sources import tables
 from palimpsest.sources.tables import BOTH, GRAPH, MENTIONS, table
 
@@ -53,19 +54,27 @@ def gra_3(spark: SparkSession, d: str) -> DataFrame:
     return near.select(F.least("ask", "id").alias("src"), F.greatest("ask", "id").alias("dst"), F.round("score", 5).alias("score")).distinct()
 
 
+#: Nominated pairs: asked entities with their strongest five neighbours.
+_NOMINATED = "nom AS (SELECT DISTINCT least(node, other) AS a, greatest(node, other) AS b FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY strength DESC, other, type) AS r FROM both_ways WHERE node % 100 = 0) WHERE r <= 5)"
+
+
 @query(
     "GRA-4",
-    f"""WITH {GRAPH}, {BOTH}, deg AS (SELECT node, count(*) AS k FROM both_ways GROUP BY 1), c AS (SELECT x.node AS a, y.node AS b, count(*) AS shared FROM both_ways x JOIN both_ways y ON x.other = y.other AND x.node < y.node WHERE x.node % 100 = 0 AND y.node % 100 = 0 GROUP BY 1, 2)
-        SELECT a, b, shared, round(shared / (p.k + q.k - shared)::DOUBLE, 6) AS overlap FROM c JOIN deg p ON p.node = a JOIN deg q ON q.node = b""",
+    f"""WITH {GRAPH}, {BOTH}, {_NOMINATED}, n AS (SELECT DISTINCT node, other FROM both_ways), k AS (SELECT node, count(*) AS k FROM n GROUP BY 1), e AS (SELECT entity, count(*) AS k, min(o_orderdate) AS first, max(o_orderdate) AS last FROM mentions JOIN orders ON o_orderkey = episode GROUP BY 1),
+        sh AS (SELECT a, b, count(*) AS shared FROM nom JOIN mentions x ON x.entity = a JOIN mentions y ON y.entity = b AND y.episode = x.episode GROUP BY 1, 2), ov AS (SELECT a, b, count(*) AS overlap FROM nom JOIN n x ON x.node = a JOIN n y ON y.node = b AND y.other = x.other GROUP BY 1, 2)
+        SELECT nom.a, nom.b, coalesce(shared, 0) AS shared, round(coalesce(shared, 0) / (p.k + q.k - coalesce(shared, 0))::DOUBLE, 6) AS jaccard, coalesce(overlap, 0) AS neighbours, round(coalesce(overlap, 0) / (u.k + w.k - coalesce(overlap, 0))::DOUBLE, 6) AS neighbour_jaccard,
+               round(greatest(0, epoch_us(greatest(p.first, q.first)) - epoch_us(least(p.last, q.last))) / 86400000000.0, 6) AS gap_days, p.k AS episodes_a, q.k AS episodes_b
+        FROM nom JOIN e p ON p.entity = nom.a JOIN e q ON q.entity = nom.b JOIN k u ON u.node = nom.a JOIN k w ON w.node = nom.b LEFT JOIN sh ON sh.a = nom.a AND sh.b = nom.b LEFT JOIN ov ON ov.a = nom.a AND ov.b = nom.b""",
 )
 def gra_4(spark: SparkSession, d: str) -> DataFrame:
-    """Pair signals: shared neighbours of asked entities."""
-    e = tables.both_ways(tables.edges(spark, d))
-    deg = e.groupBy("node").agg(N().alias("k"))
-    x = e.filter("node % 100 = 0").select("node", "other")
-    c = x.withColumnRenamed("node", "a").join(x.withColumnRenamed("node", "b"), "other").filter("a < b").groupBy("a", "b").agg(N().alias("shared"))
-    c = c.join(deg.select(F.col("node").alias("a"), F.col("k").alias("ka")), "a").join(deg.select(F.col("node").alias("b"), F.col("k").alias("kb")), "b")
-    return c.select("a", "b", "shared", r6(F.col("shared") / (F.col("ka") + F.col("kb") - F.col("shared"))).alias("overlap"))
+    """The evidence for nominated pairs, from all episodes and all edges."""
+    e = staging.stage(tables.both_ways(tables.edges(spark, d)), "both-ways")
+    w = Window.partitionBy("node").orderBy(F.desc("strength"), "other", "type")
+    best = e.filter("node % 100 = 0").withColumn("r", F.row_number().over(w)).filter("r <= 5")
+    pairs = best.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    dated = table(spark, d, "orders").select(F.col("o_orderkey").alias("episode"), F.col("o_orderdate").alias("at"))
+    s = graph.pair_signals(pairs, tables.mentions(spark, d).join(dated, "episode").select("episode", "entity", "at"), e.select("node", "other"))
+    return s.select("a", "b", "shared", r6("jaccard").alias("jaccard"), "neighbours", r6("neighbour_jaccard").alias("neighbour_jaccard"), r6("gap_days").alias("gap_days"), "episodes_a", "episodes_b")
 
 
 _CROSS = "cr AS (SELECT least(x.community, y.community) AS ca, greatest(x.community, y.community) AS cb, count(*) AS n FROM edges e JOIN lab x ON x.node = e.src JOIN lab y ON y.node = e.dst WHERE x.community <> y.community GROUP BY 1, 2)"
@@ -87,9 +96,10 @@ def gra_5(spark: SparkSession, d: str) -> DataFrame:
     return graph.bridge_pairs(graph.community_profile(near, labels), graph.crossing(near, labels)).select("ca", "cb", "n", F.round("score", 8).alias("score"))
 
 
-@query("GRA-6", "SELECT p_partkey AS id FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)")
+@query("GRA-6", f"WITH {ORPHANS} SELECT id FROM orphans")
 def gra_6(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").select(F.col("p_partkey").alias("id")).join(table(spark, d, "lineitem").select(F.col("l_partkey").alias("id")), "id", "left_anti")
+    """Orphans: neither structural nor unprocessed, and without an edge beyond the backbone."""
+    return orphans(spark, d)
 
 
 @query("GRA-7", f"WITH {GRAPH}, {BOTH} SELECT b.node, b.other, b.type, round(b.strength, 6) AS strength, p.p_name AS name FROM both_ways b JOIN part p ON p.p_partkey = b.other WHERE b.node % 100 = 0")

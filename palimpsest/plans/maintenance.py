@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from palimpsest.functions import dates, redaction, text, weights
 from palimpsest.operators import bitemporal, graph, names, queues, retrieval, scheduling, staging, upkeep
 from palimpsest.plans.aggregate import KNN, N, knn, r6
+from palimpsest.plans.read import SHAPE
 from palimpsest.plans.registry import query
-from palimpsest.plans.retrieval import _LONG, _OVERLAP, _SHAPE, _recall
+from palimpsest.plans.retrieval import _LONG, _OVERLAP, _SHAPE, ORPHANS, SIBLINGS, _recall, orphans, siblings
 from palimpsest.plans.scalar import RESIDUE
 from palimpsest.plans.stateful import JOBS, job_log
 from palimpsest.sources import tables
@@ -68,8 +69,8 @@ def op_7(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "OP-8",
-    f"""WITH {CLAIMS}, n AS (SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN substr(md5(c_custkey::VARCHAR), 1, 12) WHEN 1 THEN 'agent-' || lpad(c_custkey::VARCHAR, 9, '0') WHEN 2 THEN '/var/' || lower(c_mktsegment) ELSE c_name END AS name FROM customer),
-        s AS (SELECT id, CASE WHEN regexp_matches(name, '^[0-9a-f]{{7,64}}$') AND regexp_matches(name, '[0-9]') AND regexp_matches(name, '[a-f]') THEN 'sha' WHEN starts_with(name, 'agent-') THEN 'agent' WHEN starts_with(name, '/') THEN 'path' END AS shape FROM n),
+    f"""WITH {CLAIMS}, n AS (SELECT c_custkey AS id, CASE c_custkey % 5 WHEN 0 THEN substr(sha256(c_custkey::VARCHAR), 1, 40) WHEN 1 THEN 'code-Na' || lpad(c_custkey::VARCHAR, 9, '0') WHEN 2 THEN '/var/' || lower(c_mktsegment) WHEN 3 THEN substr(md5(c_custkey::VARCHAR), 1, 12) ELSE c_name END AS name FROM customer),
+        s AS (SELECT id, {SHAPE} AS shape FROM n),
         m AS (SELECT o_custkey AS id, count(*) AS k, max(o_orderdate) AS last FROM orders GROUP BY 1), p AS (SELECT subject AS id FROM claims WHERE superseded_by IS NOT NULL UNION SELECT min(c_custkey) FROM customer GROUP BY c_nationkey, c_mktsegment)
         SELECT s.id, shape, k FROM s JOIN m ON m.id = s.id WHERE shape IS NOT NULL AND k <= 5 AND last <= TIMESTAMP '2001-06-01' - INTERVAL 7 DAY AND NOT EXISTS (SELECT 1 FROM p WHERE p.id = s.id)""",
 )
@@ -77,7 +78,8 @@ def op_8(spark: SparkSession, d: str) -> DataFrame:
     """Identifier decay over customers under planted names; superseded claims are typed edges, a segment's first one is canonical."""
     c = table(spark, d, "customer")
     i = F.col("c_custkey")
-    name = F.when(i % 4 == 0, F.substring(F.md5(i.cast("string").cast("binary")), 1, 12)).when(i % 4 == 1, F.concat(F.lit("agent-"), F.lpad(i.cast("string"), 9, "0"))).when(i % 4 == 2, F.concat(F.lit("/var/"), F.lower("c_mktsegment"))).otherwise(F.col("c_name"))
+    key = i.cast("string").cast("binary")
+    name = F.element_at(F.array(F.substring(F.sha2(key, 256), 1, 40), F.concat(F.lit("code-Na"), F.lpad(i.cast("string"), 9, "0")), F.concat(F.lit("/var/"), F.lower("c_mktsegment")), F.substring(F.md5(key), 1, 12), F.col("c_name")), (i % 5 + 1).cast("int"))
     mentions = table(spark, d, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderdate").alias("at"))
     typed = tables.claims(spark, d).filter("superseded_by is not null").select(F.col("subject").alias("id"))
     protected = typed.union(c.groupBy("c_nationkey", "c_mktsegment").agg(F.min("c_custkey").alias("id")).select("id"))
@@ -153,10 +155,13 @@ def op_18(spark: SparkSession, d: str) -> DataFrame:
     return tables.pairs(spark, d).filter("n >= 2").select("src", "dst").join(have, ["src", "dst"], "left_anti")
 
 
-@query("OP-19", "SELECT p_partkey AS id, p_size > 25 AS forget FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)")
+@query("OP-19", f"WITH {ORPHANS}, {SIBLINGS} SELECT o.id, CASE WHEN s.sibling IS NOT NULL THEN 'relink' WHEN p_size > 40 THEN 'forget' ELSE 'keep' END AS action, s.sibling FROM orphans o LEFT JOIN siblings s USING (id) JOIN part ON p_partkey = o.id")
 def op_19(spark: SparkSession, d: str) -> DataFrame:
-    used = table(spark, d, "lineitem").select(F.col("l_partkey").alias("p_partkey"))
-    return table(spark, d, "part").join(used, "p_partkey", "left_anti").select(F.col("p_partkey").alias("id"), (F.col("p_size") > 25).alias("forget"))
+    """Orphan cleanup: orphans are relinked to a sibling of their container; of the rest large ones are forgotten."""
+    o = staging.stage(orphans(spark, d), "orphans")
+    found = o.join(siblings(spark, d, o), "id", "left").join(table(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_size"), "id")
+    action = F.when(F.col("sibling").isNotNull(), "relink").when(F.col("p_size") > 40, "forget").otherwise("keep")
+    return found.select("id", action.alias("action"), "sibling")
 
 
 @query("OP-20")

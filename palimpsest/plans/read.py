@@ -185,9 +185,16 @@ def flt_3(spark: SparkSession, d: str) -> DataFrame:
     return c.select("id", "superseded_by").join(known, "superseded_by", "left").groupBy("id").agg(F.min("head").alias("superseded_by"))
 
 
-@query("FLT-4", "SELECT * FROM (VALUES ('default', false), ('as_of', true), ('knew_at', true), ('both', true)) t(mode, time_travel)")
+_BY_MODE = ["default", "as_of", "knew_at", "both"]
+
+
+@query("FLT-4", "SELECT l_orderkey AS recall, l_partkey AS id, count(*) AS accesses FROM lineitem WHERE l_orderkey % 4 = 0 GROUP BY 1, 2")
 def flt_4(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(k, m.time_travel) for k, (m, _, _) in _MODES.items()], "mode string, time_travel boolean")
+    """The writes after recalls: orders as recalls in one mode or another, lines as what they served. Recalls of another time
+    leave no access behind."""
+    writes = F.array(*[F.lit(not _MODES[m][0].time_travel) for m in _BY_MODE])
+    served = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("recall"), F.col("l_partkey").alias("id"))
+    return served.filter(F.element_at(writes, (F.col("recall") % 4 + 1).cast("int"))).groupBy("recall", "id").agg(F.count(F.lit(1)).alias("accesses"))
 
 
 @query("FLT-5", f"WITH {CLAIMS} SELECT id, subject FROM claims WHERE valid_until IS NULL AND forgotten_at IS NULL")
@@ -231,21 +238,27 @@ def flt_10(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").filter((F.trim(F.coalesce("text", F.lit(""))) != "") & (F.col("role") != "system")).select("conv_id", "turn")
 
 
+#: SQL for a name's shape.
+SHAPE = r"""CASE WHEN regexp_full_match(lower(name), '[0-9a-f]{40}|[0-9a-f]{64}') THEN 'sha' WHEN regexp_full_match(lower(name), '[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}') THEN 'uuid'
+            WHEN regexp_full_match(lower(name), 'code-na[0-9a-f]{6,}') THEN 'agent_id' WHEN len(regexp_extract_all(name, '[/\\]')) >= 2 AND NOT regexp_matches(name, '\s') THEN 'path' END"""
+
+
 @query(
     "FLT-11",
-    r"""WITH n AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN substr(md5(event_id::VARCHAR), 1, 12) WHEN 1 THEN 'agent-' || lpad(event_id::VARCHAR, 6, '0')
-            WHEN 2 THEN '/var/log/' || event_type WHEN 3 THEN event_type ELSE '123e4567-e89b-12d3-a456-42661417' || lpad((event_id % 10000)::VARCHAR, 4, '0') END AS name FROM events)
-        SELECT event_id, name, CASE WHEN regexp_matches(name, '^[0-9a-f]{7,64}$') AND regexp_matches(name, '[0-9]') AND regexp_matches(name, '[a-f]') THEN 'sha'
-            WHEN regexp_matches(name, '^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$') THEN 'uuid' WHEN starts_with(name, 'agent-') THEN 'agent'
-            WHEN starts_with(name, '/') THEN 'path' END AS shape FROM n""",
+    f"""WITH n AS (SELECT event_id, CASE event_id % 9 WHEN 0 THEN upper(substr(sha256(event_id::VARCHAR), 1, 40)) WHEN 1 THEN 'code-Na' || lpad(event_id::VARCHAR, 6, '0') WHEN 2 THEN '/var/' || event_type WHEN 3 THEN event_type
+            WHEN 4 THEN sha256(event_id::VARCHAR) WHEN 5 THEN substr(md5(event_id::VARCHAR), 1, 12) WHEN 6 THEN event_type || '/or' WHEN 7 THEN 'a/b, c/' || event_type || ' d' ELSE '123e4567-e89b-12d3-a456-42661417' || lpad((event_id % 10000)::VARCHAR, 4, '0') END AS name FROM events)
+        SELECT event_id, name, {SHAPE} AS shape FROM n""",
 )
 def flt_11(spark: SparkSession, d: str) -> DataFrame:
-    i = F.col("event_id")
-    name = (
-        F.when(i % 5 == 0, F.substring(F.md5(i.cast("string").cast("binary")), 1, 12)).when(i % 5 == 1, F.concat(F.lit("agent-"), F.lpad(i.cast("string"), 6, "0")))
-        .when(i % 5 == 2, F.concat(F.lit("/var/log/"), "event_type")).when(i % 5 == 3, F.col("event_type"))
-        .otherwise(F.concat(F.lit("123e4567-e89b-12d3-a456-42661417"), F.lpad((i % 10000).cast("string"), 4, "0")))
-    )
+    """Names of every shape, and some that only look like one: a short digest, one separator, prose with slashes."""
+    i, kind = F.col("event_id"), F.col("event_type")
+    key = i.cast("string").cast("binary")
+    named = [
+        F.upper(F.substring(F.sha2(key, 256), 1, 40)), F.concat(F.lit("code-Na"), F.lpad(i.cast("string"), 6, "0")), F.concat(F.lit("/var/"), kind), kind,
+        F.sha2(key, 256), F.substring(F.md5(key), 1, 12), F.concat(kind, F.lit("/or")), F.concat(F.lit("a/b, c/"), kind, F.lit(" d")),
+        F.concat(F.lit("123e4567-e89b-12d3-a456-42661417"), F.lpad((i % 10000).cast("string"), 4, "0")),
+    ]
+    name = F.element_at(F.array(*named), (i % 9 + 1).cast("int"))
     return table(spark, d, "events").select("event_id", name.alias("name")).withColumn("shape", text.identifier_shape(F.col("name")))
 
 

@@ -97,11 +97,12 @@ def join_10(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").groupBy(key.alias("squash")).agg(N().alias("n"), F.min("p_partkey").alias("canonical")).filter("n > 1")
 
 
-@query("JOIN-11", "WITH a AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS alias FROM part), u AS (SELECT alias, min(p_partkey) AS holder FROM a GROUP BY 1 HAVING count(DISTINCT p_partkey) = 1) SELECT alias, holder FROM u")
+@query("JOIN-11", "WITH a AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) || '-' || p_partkey % 811 AS alias FROM part), u AS (SELECT alias, min(p_partkey) AS holder FROM a GROUP BY 1 HAVING count(DISTINCT p_partkey) = 1) SELECT alias, holder FROM u")
 def join_11(spark: SparkSession, d: str) -> DataFrame:
-    """Aliases that exactly one entity holds."""
-    a = table(spark, d, "part").select("p_partkey", F.explode(F.split("p_name", " ")).alias("alias"))
-    return a.groupBy("alias").agg(F.min("p_partkey").alias("holder"), F.max("p_partkey").alias("other")).filter("holder = other").select("alias", "holder")
+    """Aliases (words of names with a number) that exactly one entity holds."""
+    number = F.concat(F.lit("-"), (F.col("p_partkey") % 811).cast("string"))
+    a = table(spark, d, "part").select(F.col("p_partkey").alias("holder"), F.explode(F.split("p_name", " ")).alias("alias"), number.alias("number"))
+    return entities.unique_alias_holders(a.select("holder", F.concat("alias", "number").alias("alias"))).select("alias", "holder")
 
 
 @query(
@@ -129,17 +130,35 @@ def join_13(spark: SparkSession, d: str) -> DataFrame:
     return graph.lineage_head(c, 8)
 
 
-@query(
-    "JOIN-14",
-    f"""WITH {MENTIONS}, o AS (SELECT p_partkey AS id, p_brand FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)), s AS (SELECT p_brand, min(p_partkey) AS sibling FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem) GROUP BY 1)
-        SELECT id, sibling FROM o JOIN s USING (p_brand)""",
-)
+#: Parts whose lines are backbone edges, but for large shipments by air; promotional ones are structural, very large ones
+#: aren't processed yet. Orphans are current parts of the others without another edge.
+_LINKED = "l_quantity >= 49 AND l_returnflag = 'R'"
+ORPHANS = f"orphans AS (SELECT p_partkey AS id FROM part WHERE NOT starts_with(p_type, 'PROMO') AND p_size <= 45 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE {_LINKED}))"
+#: Containers of an orphan are its orders by rising key; a sibling is the first linked part of the first that has one.
+SIBLINGS = f"""siblings AS (SELECT id, arg_min(sibling, (container, sibling)) AS sibling FROM (SELECT o.id, a.l_orderkey AS container, b.l_partkey AS sibling FROM orphans o JOIN lineitem a ON a.l_partkey = o.id JOIN lineitem b ON b.l_orderkey = a.l_orderkey AND b.l_partkey <> o.id
+    WHERE b.l_partkey IN (SELECT l_partkey FROM lineitem WHERE {_LINKED})) GROUP BY 1)"""
+
+
+def orphans(spark: SparkSession, d: str) -> DataFrame:
+    """Parts without an edge beyond the backbone (GRA-6)."""
+    linked = table(spark, d, "lineitem").filter(_LINKED).select(F.col("l_partkey").alias("id"))
+    open_ = table(spark, d, "part").filter("not startswith(p_type, 'PROMO') and p_size <= 45").select(F.col("p_partkey").alias("id"))
+    return open_.join(linked, "id", "left_anti")
+
+
+def siblings(spark: SparkSession, d: str, lost: DataFrame) -> DataFrame:
+    """(id, sibling): over an orphan's containers to a linked part, the first of each. lost: id."""
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("container"), F.col("l_partkey").alias("id"))
+    linked = table(spark, d, "lineitem").filter(_LINKED).select(F.col("l_partkey").alias("id")).distinct()
+    held = lines.join(lost.select("id"), "id", "left_semi").distinct()
+    others = lines.join(linked, "id", "left_semi").select("container", F.col("id").alias("sibling")).distinct()
+    return held.join(others, "container").filter("id <> sibling").groupBy("id").agg(F.min_by("sibling", F.struct("container", "sibling")).alias("sibling"))
+
+
+@query("JOIN-14", f"WITH {ORPHANS}, {SIBLINGS} SELECT id, sibling FROM siblings")
 def join_14(spark: SparkSession, d: str) -> DataFrame:
     """Orphans relinked over their container to a sibling: the first of each container."""
-    used = table(spark, d, "lineitem").select(F.col("l_partkey").alias("p_partkey")).distinct()
-    p = table(spark, d, "part").select("p_partkey", "p_brand")
-    s = p.join(used, "p_partkey", "left_semi").groupBy("p_brand").agg(F.min("p_partkey").alias("sibling"))
-    return p.join(used, "p_partkey", "left_anti").join(s, "p_brand").select(F.col("p_partkey").alias("id"), "sibling")
+    return siblings(spark, d, orphans(spark, d))
 
 
 @query("JOIN-15", "SELECT o_orderkey AS id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 1) AND o_orderkey NOT IN (SELECT event_id FROM events)")
@@ -150,9 +169,10 @@ def join_15(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("id")).join(ledger, "id", "left_anti").join(queue, "id", "left_anti")
 
 
-@query("JOIN-16", "SELECT event_id FROM events WHERE event_type = 'error' AND NOT EXISTS (SELECT 1 FROM orders WHERE 'done:' || o_orderkey = 'done:' || event_id)")
+@query("JOIN-16", "SELECT event_id FROM events WHERE event_type = 'error' AND NOT EXISTS (SELECT 1 FROM orders WHERE o_orderstatus = 'F' AND 'done:' || o_orderkey = 'done:' || event_id)")
 def join_16(spark: SparkSession, d: str) -> DataFrame:
-    done = table(spark, d, "orders").select(F.concat(F.lit("done:"), F.col("o_orderkey").cast("string")).alias("key"))
+    """Failures without a mark of completion: filled orders are the marks."""
+    done = table(spark, d, "orders").filter("o_orderstatus = 'F'").select(F.concat(F.lit("done:"), F.col("o_orderkey").cast("string")).alias("key"))
     e = table(spark, d, "events").filter("event_type = 'error'").withColumn("key", F.concat(F.lit("done:"), F.col("event_id").cast("string")))
     return e.join(done, "key", "left_anti").select("event_id")
 

@@ -30,9 +30,8 @@ _FOLD = r"trim(regexp_replace(lower(name), '\s+', ' ', 'g'))"
 
 @query("STR-1")
 def str_1(spark: SparkSession, d: str) -> DataFrame:
-    """Folding of text beyond ASCII: first words of documents."""
-    word = F.split(F.coalesce("text", F.lit("")), r"\s+")[0]
-    return table(spark, d, "documents").select("doc_id", word.alias("word")).withColumn("folded", text.fold_for_identity("word"))
+    """Folding of whole texts beyond ASCII."""
+    return table(spark, d, "documents").select("doc_id", "text").withColumn("folded", text.fold_for_identity("text")).drop("text")
 
 
 @query("STR-2", f"WITH {_NAMES} SELECT p_partkey, {_FOLD} AS folded FROM names")
@@ -81,10 +80,9 @@ def str_6(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", text.name_relation(n, other).alias("relation"))
 
 
-@query("STR-7", r"SELECT doc_id, CASE WHEN length(f) BETWEEN 1 AND 64 THEN f END AS aspect FROM (SELECT doc_id, trim(regexp_replace(lower(substr(text, 1, 40 + doc_id % 60)), '[ \t\n\r\v\f]+', ' ', 'g')) AS f FROM documents WHERE lang = 'en')")
+@query("STR-7", r"SELECT conv_id, turn, CASE WHEN length(f) BETWEEN 1 AND 64 THEN f END AS aspect FROM (SELECT conv_id, turn, trim(regexp_replace(lower(text), '[ \t\n\r\v\f]+', ' ', 'g')) AS f FROM conversations)")
 def str_7(spark: SparkSession, d: str) -> DataFrame:
-    t = F.expr("substr(text, 1, cast(40 + doc_id % 60 as int))")
-    return table(spark, d, "documents").filter("lang = 'en'").select("doc_id", text.aspect(t).alias("aspect"))
+    return table(spark, d, "conversations").select("conv_id", "turn", text.aspect(F.col("text")).alias("aspect"))
 
 
 @query("STR-8", r"SELECT conv_id, turn, regexp_replace(trim(regexp_replace(lower(text), '[ \t\n\r\v\f]+', ' ', 'g')), '[.!?;, \t\n\r]+$', '') AS norm FROM conversations")
@@ -108,9 +106,9 @@ def str_11(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", text.token_estimate(F.col("text")).alias("tokens"))
 
 
-@query("STR-12", "SELECT sha256(substr(lower(trim(text)), 1, 16)) AS cluster, count(*) AS n FROM documents WHERE lang = 'en' GROUP BY 1")
+@query("STR-12", "SELECT sha256(substr(lower(trim(text)), 1, 16)) AS cluster, count(*) AS n FROM documents GROUP BY 1")
 def str_12(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").filter("lang = 'en'").groupBy(text.cluster_key(F.col("text")).alias("cluster")).agg(F.count(F.lit(1)).alias("n"))
+    return table(spark, d, "documents").groupBy(text.cluster_key(F.col("text")).alias("cluster")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("STR-13", "SELECT c_custkey, '- ' || c_name || ' (' || c_mktsegment || ')' AS line FROM customer")

@@ -28,11 +28,11 @@ def str_s2(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy("user_id", "session").agg(N().alias("n"), F.unix_micros(F.min("ts")).alias("first"), F.unix_micros(F.max("ts")).alias("last"))
 
 
-@query("STR-S2_window", "SELECT user_id, count(*) AS n FROM events GROUP BY 1")
+@query("STR-S2_window", "WITH g AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w > 1800000000 OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM g) SELECT user_id, epoch_us(min(ts)) AS first, epoch_us(max(ts)) + 1800000000 AS closes, count(*) AS n FROM s GROUP BY user_id, session")
 def str_s2_window(spark: SparkSession, d: str) -> DataFrame:
-    """The same events through session_window, which merges gaps of exactly 30 minutes; counts by user agree."""
-    w = table(spark, d, "events").groupBy("user_id", F.session_window("ts", "30 minutes")).agg(N().alias("n"))
-    return w.groupBy("user_id").agg(F.sum("n").alias("n"))
+    """The same events through session_window, which merges gaps of exactly 30 minutes."""
+    w = table(spark, d, "events").groupBy("user_id", F.session_window("ts", "30 minutes").alias("s")).agg(N().alias("n"))
+    return w.select("user_id", F.unix_micros("s.start").alias("first"), F.unix_micros("s.end").alias("closes"), "n")
 
 
 @query(
@@ -56,11 +56,12 @@ def str_s4(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
-@query("STR-S5", "SELECT event_id FROM events WHERE event_id NOT IN (SELECT o_orderkey FROM orders)")
+@query("STR-S5", "WITH ledger AS (SELECT o_orderkey AS id, o_orderkey % 3 AS version FROM orders WHERE o_orderstatus = 'F') SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS place FROM events WHERE event_id NOT IN (SELECT id FROM ledger WHERE version >= 2)")
 def str_s5(spark: SparkSession, d: str) -> DataFrame:
-    """Replay of what the ledger doesn't hold, keyed by id."""
-    ledger = table(spark, d, "orders").select(F.col("o_orderkey").alias("event_id"))
-    return table(spark, d, "events").select("event_id").join(ledger, "event_id", "left_anti")
+    """Replay of what the ledger doesn't hold at this version of the pipeline, in order of occurrence and id by user."""
+    ledger = table(spark, d, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 3).alias("version"))
+    e = table(spark, d, "events").select(F.col("event_id").alias("id"), "user_id", F.col("ts").alias("at"))
+    return sessions.to_replay(e, ledger, 2, "user_id").select(F.col("id").alias("event_id"), "user_id", "place")
 
 
 @query("STR-S6", "WITH e AS (SELECT user_id, list(CASE WHEN event_type IN ('click', 'purchase') THEN 1.0 WHEN event_type = 'error' THEN 2.0 ELSE 0.0 END::DOUBLE ORDER BY ts, event_id) AS steps, count(*) FILTER (event_type = 'view') AS accesses FROM events GROUP BY 1) SELECT user_id, round(list_reduce(list_concat([0.5::DOUBLE], steps), lambda w, x: CASE WHEN x = 1.0 THEN w + 0.1 * (1 - w) WHEN x = 2.0 THEN greatest(0.1, w * 0.95) ELSE w END), 6) AS weight, accesses FROM e")
@@ -78,7 +79,7 @@ def str_s7(spark: SparkSession, d: str) -> DataFrame:
 #: Events as a queue's log (a job is a user's week): the state of each job at noon of 30 January.
 JOBS = """log AS (SELECT user_id * 10 + (day(ts) - 1) // 7 AS job, CASE event_type WHEN 'signup' THEN 'enqueue' WHEN 'view' THEN 'claim' WHEN 'error' THEN 'release' WHEN 'purchase' THEN 'done' ELSE 'claim' END AS event, ts, event_id FROM events WHERE ts <= TIMESTAMP '2024-01-30 12:00:00'),
     last AS (SELECT job, arg_max(event, (ts, event_id)) AS event, max(ts) AS seen, count(*) FILTER (event = 'release') AS attempts FROM log GROUP BY 1),
-    jobs AS (SELECT job, CASE WHEN event = 'claim' AND seen >= TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 5 MINUTE THEN 'held' WHEN attempts >= 5 THEN 'dead' ELSE 'waiting' END AS state, attempts FROM last WHERE event <> 'done')"""
+    jobs AS (SELECT job, CASE WHEN event = 'claim' AND seen >= TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 10 MINUTE THEN 'held' WHEN attempts >= 5 THEN 'dead' ELSE 'waiting' END AS state, attempts FROM last WHERE event <> 'done')"""
 
 
 def job_log(spark: SparkSession, d: str) -> DataFrame:

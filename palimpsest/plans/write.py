@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import hashing, text
-from palimpsest.operators import bitemporal, entities, graph, retrieval, upkeep
+from palimpsest.operators import bitemporal, entities, graph, retrieval, staging, upkeep
 from palimpsest.plans.aggregate import N, r6
 from palimpsest.plans.registry import query
 from palimpsest.sources import tables
@@ -34,10 +34,10 @@ def wr_3(spark: SparkSession, d: str) -> DataFrame:
     return bitemporal.close(nodes, closures).select("id", F.unix_micros("valid_until").alias("valid_until"))
 
 
-@query("WR-4", f"WITH {MENTIONS}, closed AS (SELECT o_orderkey AS episode FROM orders WHERE o_orderstatus = 'F') SELECT DISTINCT entity FROM mentions WHERE episode IN (SELECT episode FROM closed) AND entity NOT IN (SELECT entity FROM mentions WHERE episode NOT IN (SELECT episode FROM closed))")
+@query("WR-4", "WITH m AS (SELECT DISTINCT l_orderkey AS episode, l_partkey AS entity FROM lineitem WHERE l_quantity >= 49), closed AS (SELECT o_orderkey AS episode FROM orders WHERE o_orderstatus = 'F') SELECT DISTINCT entity FROM m WHERE episode IN (SELECT episode FROM closed) AND entity NOT IN (SELECT entity FROM m WHERE episode NOT IN (SELECT episode FROM closed))")
 def wr_4(spark: SparkSession, d: str) -> DataFrame:
-    """Nodes whose only sources are closed episodes."""
-    m = tables.mentions(spark, d).select("episode", "entity")
+    """Nodes whose only sources are closed episodes; large lines are the sources."""
+    m = table(spark, d, "lineitem").filter("l_quantity >= 49").select(F.col("l_orderkey").alias("episode"), F.col("l_partkey").alias("entity")).distinct()
     closed = table(spark, d, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("episode"))
     gone = m.join(closed, "episode", "left_semi").select("entity").distinct()
     return gone.join(m.join(closed, "episode", "left_anti").select("entity"), "entity", "left_anti")
@@ -94,7 +94,7 @@ def _entities(spark: SparkSession, d: str) -> DataFrame:
     "WR-11",
     f"""WITH {RESTATED}, m AS (SELECT l_partkey AS item, l_orderkey AS member FROM lineitem UNION SELECT l_partkey + 10000000, l_orderkey FROM lineitem WHERE l_partkey % 10 = 3 AND l_orderkey % 2 = 0), s AS (SELECT item, count(*) AS k FROM m GROUP BY 1),
         j AS (SELECT a.item AS a, b.item AS b, count(*) AS inter FROM m a JOIN m b ON a.member = b.member AND a.item < b.item GROUP BY 1, 2),
-        n AS (SELECT least(ask, id) AS a, greatest(ask, id) AS b, 'vector' AS how FROM restated WHERE score >= 0.53 AND rank <= 8 UNION SELECT a, b, 'episodes' FROM j JOIN s x ON x.item = a JOIN s y ON y.item = b WHERE inter / (x.k + y.k - inter)::DOUBLE >= 0.4)
+        n AS (SELECT least(ask, id) AS a, greatest(ask, id) AS b, 'vector' AS how FROM restated WHERE score >= 0.53 AND rank <= 8 UNION SELECT a, b, 'episodes' FROM j JOIN s x ON x.item = a JOIN s y ON y.item = b WHERE inter / (x.k + y.k - inter)::DOUBLE >= 0.1)
         SELECT a, b, string_agg(how, ',' ORDER BY how) AS how FROM n GROUP BY 1, 2""",
 )
 def wr_11(spark: SparkSession, d: str) -> DataFrame:
@@ -104,7 +104,7 @@ def wr_11(spark: SparkSession, d: str) -> DataFrame:
     near = near.select(F.least("ask", "id").alias("a"), F.greatest("ask", "id").alias("b"), F.lit("vector").alias("how"))
     lines = table(spark, d, "lineitem").select(F.col("l_partkey").alias("item"), F.col("l_orderkey").alias("member"))
     new = lines.filter("item % 10 = 3 and member % 2 = 0").withColumn("item", F.col("item") + 10_000_000)
-    shared = graph.jaccard(lines.union(new).distinct(), 0.4).select("a", "b", F.lit("episodes").alias("how"))
+    shared = graph.jaccard(lines.union(new).distinct(), 0.1).select("a", "b", F.lit("episodes").alias("how"))
     return near.union(shared).groupBy("a", "b").agg(F.array_join(F.sort_array(F.collect_set("how")), ",").alias("how"))
 
 
@@ -132,15 +132,25 @@ def wr_14(spark: SparkSession, d: str) -> DataFrame:
     return lines.join(canon, "id").filter("id <> canonical").select("l_orderkey", "l_linenumber", F.col("canonical").alias("subject"))
 
 
-@query("WR-15", "WITH c AS (SELECT a.o_orderkey AS id, b.o_orderkey AS other, CASE WHEN a.o_orderpriority = b.o_orderpriority THEN 1 WHEN a.o_orderstatus = b.o_orderstatus THEN 2 ELSE 3 END AS tier FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND b.o_orderdate < a.o_orderdate) SELECT id, other, tier FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY tier, other DESC) AS r FROM c) WHERE r <= 3")
+@query(
+    "WR-15",
+    f"""WITH {CLAIMS}, v AS (SELECT id, subject, aspect, valid_from, id % (SELECT count(*) FROM embeddings) AS vec FROM claims), new AS (SELECT * FROM v WHERE id % 100 = 0),
+        k AS (SELECT n.id, arg_max(o.id, (o.valid_from, o.id)) AS other, 1 AS tier, NULL::DOUBLE AS score FROM new n JOIN v o ON o.subject = n.subject AND o.aspect = n.aspect AND (o.valid_from, o.id) < (n.valid_from, n.id) GROUP BY 1),
+        s AS (SELECT n.id, o.id AS other, 2 AS tier, NULL::DOUBLE AS score FROM new n JOIN v o ON o.subject = n.subject AND (o.valid_from, o.id) < (n.valid_from, n.id) QUALIFY row_number() OVER (PARTITION BY n.id ORDER BY o.valid_from DESC, o.id DESC) <= 3),
+        c AS (SELECT n.id, o.id AS other, 3 AS tier, list_dot_product(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) / sqrt(list_dot_product(x.embedding::DOUBLE[], x.embedding::DOUBLE[]) * list_dot_product(y.embedding::DOUBLE[], y.embedding::DOUBLE[])) AS score
+            FROM new n JOIN embeddings x ON x.vec_id = n.vec JOIN embeddings y ON true JOIN v o ON o.id = y.vec_id WHERE o.id <> n.id),
+        a AS (SELECT * FROM k UNION ALL SELECT * FROM s UNION ALL SELECT * FROM c WHERE score >= 0.75), f AS (SELECT id, other, min(tier) AS tier, max(score) AS score FROM a GROUP BY 1, 2)
+        SELECT id, other, tier FROM f QUALIFY row_number() OVER (PARTITION BY id ORDER BY tier, score DESC NULLS LAST, other DESC) <= 3""",
+)
 def wr_15(spark: SparkSession, d: str) -> DataFrame:
-    """Candidates for contradiction in tiers, the best three of each new claim."""
-    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus", "o_orderdate")
-    b = o.select(*[F.col(c).alias(f"b_{c}") for c in o.columns])
-    c = o.join(b, (F.col("o_custkey") == F.col("b_o_custkey")) & (F.col("b_o_orderdate") < F.col("o_orderdate")))
-    tier = F.when(F.col("o_orderpriority") == F.col("b_o_orderpriority"), 1).when(F.col("o_orderstatus") == F.col("b_o_orderstatus"), 2).otherwise(3)
-    w = Window.partitionBy("id").orderBy("tier", F.desc("other"))
-    return c.select(F.col("o_orderkey").alias("id"), F.col("b_o_orderkey").alias("other"), tier.alias("tier")).withColumn("r", F.row_number().over(w)).filter("r <= 3").drop("r")
+    """Candidates for contradiction of every claim whose id is divisible by 100, among all claims: the keyed predecessor, the
+    subject's latest ones, and those whose vector is near. A claim's vector is that of its id by the number of vectors."""
+    v = staging.stage(tables.vectors(spark, d).select("id", "vec"), "vectors")
+    n = v.count()
+    c = tables.claims(spark, d).select("id", "subject", "aspect", F.col("valid_from").alias("at"))
+    new = c.filter("id % 100 = 0").select("id", (F.col("id") % n).alias("v")).join(v.withColumnRenamed("id", "v"), "v").select("id", "vec")
+    held = v.join(c.select("id"), "id", "left_semi")
+    return entities.contradiction_candidates(c, F.col("id") % 100 == 0, new, held).select("id", "other", "tier")
 
 
 @query("WR-16", "WITH p AS (SELECT user_id AS pair, event_type, ts, event_id FROM events) SELECT pair, CASE arg_max(event_type, (ts, event_id)) WHEN 'purchase' THEN 'applied' WHEN 'error' THEN 'dismissed' ELSE 'open' END AS state FROM p GROUP BY 1")

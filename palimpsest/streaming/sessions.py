@@ -128,3 +128,14 @@ def replay(events: DataFrame, start: float = 0.5) -> DataFrame:
 
 def _rows(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=names)
+
+
+def to_replay(episodes: DataFrame, ledger: DataFrame, version: int, by: str) -> DataFrame:
+    """Episodes that a replay at a version of the pipeline goes through, with their place (STR-S5). episodes: id, at, by;
+    ledger: id, version.
+
+    The ledger's key is an id with the version that processed it: what an older version did is replayed, so that a second
+    run of the same version does nothing. Places are by occurrence, then id, within each group.
+    """
+    done = ledger.filter(F.col("version") >= version).select("id")
+    return episodes.join(done, "id", "left_anti").withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy("at", "id")))

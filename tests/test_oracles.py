@@ -39,8 +39,8 @@ def test_query(spark, duck, sf_dir, name):
     df = registry.QUERIES[name](spark, sf_dir)
     cols = sorted(df.columns)
     got = sorted(repr([norm(r[c]) for c in cols]) for r in df.collect())
+    assert got, "no rows prove nothing"
     if name not in registry.ORACLES:
-        assert got
         return
     r = duck.execute(registry.ORACLES[name])
     names = [x[0] for x in r.description]
