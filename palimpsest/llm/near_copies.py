@@ -222,8 +222,8 @@ def _parts(rows: DataFrame, tree: int, set_bytes: int) -> DataFrame:
     return small.unionByName(both.select(*small.columns))
 
 
-def _leaders(rows: DataFrame, tree: int, leaders: int) -> DataFrame:
-    """Of shards of more than tree documents parts of about tree, each with the shard's leaders, which ask."""
+def _leaders(rows: DataFrame, tree: int, leaders: int) -> DataFrame | None:
+    """Of shards of more than tree documents parts of about tree, each with the shard's leaders, which ask; None without such."""
     sizes = rows.groupBy("shard").agg(F.count(F.lit(1)).alias("m"), *[F.sum(F.shiftrightunsigned("fp", i).bitwiseAND(1)).alias(f"b{i}") for i in range(64)]).filter(F.col("m") > tree)
     bits = [F.when(F.col(f"b{i}") * 2 > F.col("m"), F.lit(1 << i if i < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")) for i in range(64)]
     middle = bits[0]
@@ -232,7 +232,7 @@ def _leaders(rows: DataFrame, tree: int, leaders: int) -> DataFrame:
     large = common.stage(sizes.select("shard", F.ceil(F.col("m") / tree).cast("int").alias("cuts"), middle.alias("middle")), "near-large")
     n = large.count()
     if not n:
-        return rows.sparkSession.createDataFrame([], "shard long, part int, asks boolean, node long, fp long, root long")
+        return None
     mine = rows.join(common.small_side(large, n, 32), "shard").withColumn("away", F.bit_count(F.col("fp").bitwiseXOR(F.col("middle"))))
     # the nearest of each of some salts, then of all
     order = Window.partitionBy("shard", F.pmod(F.xxhash64("node", F.lit(3)), F.lit(common.SALTS))).orderBy("away", "node")
@@ -297,6 +297,20 @@ def _rooted(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
     return rows.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
+def _joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, root) after more links; only what joins different roots is worked on."""
+    links = common.stage(links, "near-links")
+    if roots is None:
+        return common.stage(components(links), "near-roots")
+    ends = _rooted(links.select(F.col("u").alias("node"), "v"), roots).select(F.col("root").alias("u"), F.col("v").alias("node"))
+    ends = common.stage(_rooted(ends, roots).filter("u <> root").select("u", F.col("root").alias("v")).distinct(), "near-root-links")
+    if ends.isEmpty():
+        return roots
+    over = common.stage(components(ends), "near-root-roots")
+    known = roots.unionByName(over.select("node", F.col("node").alias("root")).join(roots.select("node").hint("merge"), "node", "left_anti"))
+    return common.stage(known.join(over.select(F.col("node").alias("root"), F.col("root").alias("top")).hint("merge"), "root", "left").select("node", F.coalesce("top", "root").alias("root")), "near-roots")
+
+
 def _classes(docs: DataFrame, words: int, similarity: float, shards: int, radius: int, tree: int, set_bytes: int) -> tuple[DataFrame, DataFrame]:
     """The sketches of all rows, and (node, root) of the sets of shingles that are linked to another."""
     for seed in itertools.count():
@@ -310,18 +324,11 @@ def _classes(docs: DataFrame, words: int, similarity: float, shards: int, radius
     several = named.groupBy("shard").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("shard")
     named = common.stage(named.join(several.hint("merge"), "shard"), "near-shards")
     finder = _Finder(docs, sets, words, similarity, radius)
-    links: DataFrame | None = None
-    roots: DataFrame | None = None
-
-    def add(more: DataFrame) -> None:
-        nonlocal links, roots
-        more = common.stage(more, "near-links")
-        links = more if links is None else links.unionByName(more)
-        roots = common.stage(components(links), "near-roots")
-
-    add(finder.links(_leaders(_rooted(named, None), tree, LEADERS)))
+    roots = None
+    if (first := _leaders(_rooted(named, None), tree, LEADERS)) is not None:
+        roots = _joined(roots, finder.links(first))
     for passed in (F.col("i") < FIRST, F.col("i") >= FIRST):
-        add(finder.links(_parts(_rooted(named.filter(passed), roots), tree, set_bytes)))
+        roots = _joined(roots, finder.links(_parts(_rooted(named.filter(passed), roots), tree, set_bytes)))
     return rows, roots  # type: ignore[return-value]
 
 
