@@ -76,16 +76,25 @@ def pieces(batch: pa.RecordBatch, rows: int = 512, text: str = "text") -> Iterat
         at = stop
 
 
-def parts(text: str, longest: int) -> Iterator[str]:
-    """A text in stretches of about so many code points, cut before white space where the next stretch has some."""
-    at = 0
+def stretches(text: str, longest: int, lead: int, inside: Callable[[str], bool], white: re.Pattern[str] = _BLANK) -> Iterator[tuple[str, int, bool]]:
+    """A text in stretches of twice so many code points at most, as (stretch, before, goes_on).
+
+    It is cut before white space where there is some, else anywhere. Where a cut parts a run of code points that are
+    inside one, goes_on is true and the next stretch has up to lead of the run's last ones in front, before of them, as
+    context.
+    """
+    at = before = 0
     while len(text) - at > longest:
-        blank = _BLANK.search(text, at + longest)
-        if not blank:
+        blank = white.search(text, at + longest, at + 2 * longest)
+        end = blank.start() if blank else min(len(text), at + 2 * longest)
+        if end == len(text):
             break
-        yield text[at : blank.start()]
-        at = blank.start()
-    yield text[at:]
+        goes_on = blank is None and inside(text[end - 1]) and inside(text[end])
+        yield text[at - before : end], before, goes_on
+        at, before = end, 0
+        while goes_on and before < lead and at - before > 0 and inside(text[at - before - 1]):
+            before += 1
+    yield text[at - before :], before, False
 
 
 def strings(batch: pa.RecordBatch, name: str = "text") -> list[str]:

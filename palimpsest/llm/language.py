@@ -127,6 +127,46 @@ def scored(model: Model, w: Words) -> np.ndarray:
     return emit
 
 
+def _is_letter(c: str) -> bool:
+    return c.isalpha()
+
+
+def _row(model: Model, own: np.ndarray, script: int) -> np.ndarray:
+    """scored() of one word whose log probabilities under all languages are known."""
+    able = np.flatnonzero(model.scripts[script])
+    row = np.zeros((1, len(own)))
+    if len(able):
+        row[:] = own[able].min() - OTHER_SCRIPT
+        row[0, able] = own[able]
+    return row
+
+
+def long_scores(model: Model, text: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(scores, letters) of the words of a long text, a stretch at a time. A word that a cut parts is summed up over its
+    stretches, so words of any length are held as their sums only."""
+    own, letters, script = np.zeros(len(model.languages)), 0, 0
+    for piece, before, goes_on in common.stretches(text.lower(), STRETCH, 2, _is_letter):
+        w = code([piece])
+        n = len(w.begins)
+        after = np.r_[w.begins[1:], len(w.grams)]
+        first, last = 0, n
+        if before:
+            first = 1
+            alone = goes_on and n == 1
+            own = own + model.scores[w.grams[before : after[0] - alone]].sum(0, dtype=np.float64)
+            letters += int(w.letters[0]) - before
+            if alone:
+                continue
+            yield _row(model, own, script), np.array([letters], np.int64)
+        if goes_on:
+            last = n - 1
+            own = model.scores[w.grams[w.begins[last] : after[last] - 1]].sum(0, dtype=np.float64)
+            letters, script = int(w.letters[last]), int(w.script[last])
+        if last > first:
+            a, z = w.begins[first], after[last - 1]
+            yield scored(model, Words(w.grams[a:z], w.begins[first:last] - a, w.letters[first:last], w.script[first:last], w.owner[first:last])), w.letters[first:last]
+
+
 class Path:
     """Viterbi over stretches of one text: fed with the scores of word after word, it gives the most likely languages."""
 
@@ -190,7 +230,8 @@ def path_labels(stretches: Callable[[], Iterator[np.ndarray]], k: int, switch: f
 def label(model: Model, texts: list[str], switch: float = SWITCH) -> list[tuple[np.ndarray, np.ndarray] | None]:
     """Of each text (language number of each word, letters of each word); None without letters.
 
-    Texts longer than STRETCH are scored a stretch at a time, so that memory holds a word's label and letters only.
+    Texts longer than STRETCH are scored a stretch at a time, so that memory holds a word's label and letters, and where a
+    text mixes languages its way back under each of them.
     """
     out: list = [None] * len(texts)
     short = [i for i, t in enumerate(texts) if len(t) <= STRETCH]
@@ -202,10 +243,9 @@ def label(model: Model, texts: list[str], switch: float = SWITCH) -> list[tuple[
             out[short[w.owner[a]]] = (path_labels(lambda a=a, z=z: iter([emit[a:z]]), k, switch), w.letters[a:z])
     for i, t in enumerate(texts):
         if len(t) > STRETCH:
-            words = lambda t=t: (x for p in common.parts(t, STRETCH) if len((x := code([p])).begins))
-            letters = [x.letters.astype(np.int32) for x in words()]
+            letters = [n.astype(np.int64) for _, n in long_scores(model, t)]
             if letters:
-                out[i] = (path_labels(lambda words=words: (scored(model, x) for x in words()), k, switch), np.concatenate(letters))
+                out[i] = (path_labels(lambda t=t: (emit for emit, _ in long_scores(model, t)), k, switch), np.concatenate(letters))
     return out
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,20 +24,24 @@ ROWS_A_TASK, SAMPLE = 4096, 16
 BLOCK_BYTES = 16 << 20
 #: Bytes of the longest context, and code points that a piece of a very long text repeats of the one before.
 ORDER, LEAD = 4, 8
+_WHITE = re.compile("[\x20\x09-\x0d]")
 
 
 def blocks(docs: DataFrame, held_out: Column, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, row, held_out, text, lead, first, last, block), written to the shared folder: pieces of texts, in blocks of
     neighbouring rows that hold about block_bytes at most, however long the texts are.
 
-    Most texts are one piece. A longer one than block_bytes is cut before white space: every piece but the first holds
-    in its front some bytes of the one before (lead tells how many), as context of what follows. row names the text.
+    Most texts are one piece. A longer one than block_bytes is cut before white space, or within a word of a quarter of
+    that at least: every piece but the first holds in its front some bytes of the one before (lead tells how many), as
+    context of what follows. Words that a cut parts (inside: the piece begins in one; goes_on: it ends in one) are counted
+    where they end, by a digest of the whole (giant), as are all words of that length. row names the text.
     """
+    giant_size = max(1, block_bytes // 4)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId() << 33
         row, block, held, extra = task, task, 0, 0
-        names = ["doc_id", "row", "held_out", "text", "lead", "first", "last", "block"]
+        names = ["doc_id", "row", "held_out", "text", "lead", "first", "last", "block", "inside", "goes_on", "giant"]
         for whole in batches:
             for b in common.pieces(whole):
                 size = pc.binary_length(b.column("text")).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -48,33 +54,66 @@ def blocks(docs: DataFrame, held_out: Column, block_bytes: int = BLOCK_BYTES) ->
                 for i, z in zip([0, *[k + 1 for k in long]], [*long, b.num_rows], strict=True):
                     n = z - i
                     if n:
-                        fixed = [np.zeros(n, np.int32), np.ones(n, bool), np.ones(n, bool), at[i:z]]
+                        fixed = [np.zeros(n, np.int32), np.ones(n, bool), np.ones(n, bool), at[i:z], np.zeros(n, bool), np.zeros(n, bool), pa.nulls(n, pa.string())]
                         some = b.slice(i, n)
-                        yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(row + np.arange(i, z)), some.column("held_out"), some.column("text"), *map(pa.array, fixed)], names=names)
+                        yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(row + np.arange(i, z)), some.column("held_out"), some.column("text"), *(x if isinstance(x, pa.Array) else pa.array(x) for x in fixed)], names=names)
                 for k in long:
                     one, front = b.slice(k, 1), ""
-                    pieces = list(common.parts(one.column("text")[0].as_py(), max(1, block_bytes // 4)))
-                    for i, t in enumerate(pieces):
+                    text, inside, word = one.column("text")[0].as_py(), False, None
+                    pieces = common.stretches(text, giant_size, 0, lambda c: not _WHITE.match(c), _WHITE)
+                    done, i = 0, 0
+                    for t, _, goes_on in pieces:
+                        done += len(t)
                         # a block of its own for each piece; the text's own number is the first one's
                         where = int(at[k]) if i == 0 else task + (1 << 32) + extra
                         extra += i > 0
-                        rest = [pa.array([len(front.encode("utf-8", "surrogatepass"))], pa.int32()), pa.array([i == 0]), pa.array([i == len(pieces) - 1]), pa.array([where])]
+                        giant = None
+                        if inside:
+                            blank = _WHITE.search(t)
+                            word.update(_lowered(t[: blank.start()] if blank else t))
+                            if blank or not goes_on:
+                                giant = f"\x00{word.hexdigest()}"
+                        if goes_on and (not inside or giant):
+                            word = hashlib.sha256(_lowered(_last_word(t)))
+                        rest = [pa.array([len(front.encode("utf-8", "surrogatepass"))], pa.int32()), pa.array([i == 0]), pa.array([done == len(text)]), pa.array([where]), pa.array([inside]), pa.array([goes_on]), pa.array([giant], pa.string())]
                         yield pa.RecordBatch.from_arrays([one.column("doc_id"), pa.array([row + k]), one.column("held_out"), pa.array([front + t]), *rest], names=names)
-                        front = (front + t)[-LEAD:]
+                        front, inside, i = (front + t)[-LEAD:], goes_on, i + 1
                 row += b.num_rows
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), held_out.alias("held_out"))
-    return common.stage(source.mapInArrow(run, "doc_id long, row long, held_out boolean, text string, lead int, first boolean, last boolean, block long"), "lm-blocks")
+    return common.stage(source.mapInArrow(run, "doc_id long, row long, held_out boolean, text string, lead int, first boolean, last boolean, block long, inside boolean, goes_on boolean, giant string"), "lm-blocks")
 
 
-def _own_text(b: pa.RecordBatch | pa.Table) -> pa.Array:
-    """The pieces without what they repeat of the piece before."""
+def _lowered(text: str) -> bytes:
+    return text.encode("utf-8", "surrogatepass").lower()  # of bytes only A-Z
+
+
+def _last_word(text: str) -> str:
+    """What follows the last blank."""
+    return text[max(text.rfind(c) for c in " \t\n\x0b\x0c\r") + 1 :]
+
+
+def _own_text(b: pa.RecordBatch | pa.Table, giant_size: int) -> pa.Array:
+    """The texts of the pieces as far as their words are counted here: without what they repeat of the piece before, without
+    parts of words that are cut, words of giant_size code points or more as digests."""
     text = b.column("text")
     text = text.combine_chunks() if isinstance(text, pa.ChunkedArray) else text
-    lead = np.asarray(b.column("lead").to_numpy())
-    if not lead.any():
+    lead, inside, goes_on = (np.asarray(b.column(c).to_numpy(zero_copy_only=False) if isinstance(b, pa.RecordBatch) else b.column(c).to_numpy()) for c in ("lead", "inside", "goes_on"))
+    long = pc.fill_null(pc.greater_equal(pc.binary_length(text), giant_size), False).to_numpy(zero_copy_only=False)
+    odd = np.flatnonzero((lead > 0) | inside.astype(bool) | goes_on.astype(bool) | long)
+    if not len(odd):
         return text
-    return pa.array([t.encode("utf-8", "surrogatepass")[k:].decode("utf-8", "surrogatepass") for t, k in zip(text.to_pylist(), lead.tolist(), strict=True)], pa.string())
+    giants, out, word = b.column("giant").to_pylist(), text.to_pylist(), re.compile("[^\x20\x09-\x0d]{%d,}" % giant_size)
+    for i in odd.tolist():
+        t = out[i].encode("utf-8", "surrogatepass")[lead[i] :].decode("utf-8", "surrogatepass")
+        if inside[i]:
+            blank = _WHITE.search(t)
+            t = t[blank.start() :] if blank else ""
+        if goes_on[i]:
+            t = t[: len(t) - len(_last_word(t))]
+        t = word.sub(lambda m: "\x00" + hashlib.sha256(_lowered(m[0])).hexdigest(), t)
+        out[i] = f"{giants[i]} {t}" if giants[i] else t
+    return pa.array(out, pa.string())
 
 
 def _piece_grams(b: pa.RecordBatch | pa.Table, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -254,7 +293,7 @@ def score(docs: DataFrame, held_out: Column, block_bytes: int = BLOCK_BYTES, ord
     are an end alone; null doc_ids and repeated rows stay; an empty table gives no rows. Without training rows
     every count is zero and every byte equally likely.
     """
-    rows = blocks(docs, held_out, block_bytes)
+    rows, giant_size = blocks(docs, held_out, block_bytes), max(1, block_bytes // 4)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: list[pa.Array] = []
@@ -277,13 +316,13 @@ def score(docs: DataFrame, held_out: Column, block_bytes: int = BLOCK_BYTES, ord
                 yield from close()
                 block = at
             for b in common.pieces(run, 2048):
-                w, place, ends = coded_words(_own_text(b))
+                w, place, ends = coded_words(_own_text(b, giant_size))
                 learn = ~np.asarray(b.column("held_out").to_numpy(zero_copy_only=False), bool)
                 words.append(w), counts.append(np.bincount(place[np.repeat(learn, np.diff(np.r_[0, ends]))], minlength=len(w)))
         yield from close()
 
     # a block's rows may be read by several tasks, so a word may have more than one row for a block
-    counted = rows.select("text", "held_out", "block", "lead").mapInArrow(count, "block long, word string, own long")
+    counted = rows.select("text", "held_out", "block", "lead", "inside", "goes_on", "giant").mapInArrow(count, "block long, word string, own long")
     replies, n, v = word_sums(counted, rows.select("block").distinct().count())
     ends = rows.filter("not held_out and last").count()
     train, kinds = n + ends, v + (ends > 0)
@@ -300,7 +339,7 @@ def score(docs: DataFrame, held_out: Column, block_bytes: int = BLOCK_BYTES, ord
         keys, first = np.unique(grams.column("n").to_numpy(), return_index=True)
         priced, cost = pd.Index(keys), grams.column("cost").to_numpy()[first]
         del grams
-        column = _own_text(texts)
+        column = _own_text(texts, giant_size)
         learn = ~np.asarray(texts.column("held_out").combine_chunks().to_numpy(zero_copy_only=False), bool)
         words, place, after = coded_words(column)
         sizes = np.diff(np.r_[0, after])
@@ -321,7 +360,7 @@ def score(docs: DataFrame, held_out: Column, block_bytes: int = BLOCK_BYTES, ord
         base += np.log10(ends + ADD) * last - floor * (sizes + last)
         del words, place
         whole = np.zeros(len(sizes))
-        for i in range(0, len(column), 256):
+        for i in range(0, texts.num_rows, 256):
             g, begins = _piece_grams(texts.slice(i, 256), order)
             found = priced.get_indexer(g)
             if (found < 0).any():

@@ -147,27 +147,56 @@ class Model:
         return _BUILT[self.name]
 
 
+def _inside(c: str) -> bool:
+    return c.isalnum()
+
+
+def long_expressions(table: np.ndarray, text: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(log ratio, symbols) of the expressions of a long text, a stretch at a time; one that a cut parts is summed up."""
+    held, size = 0.0, 0
+    for piece, before, goes_on in common.stretches(text.lower(), STRETCH, ORDER - 1, _inside):
+        c = code([piece])
+        if not len(c.ends):
+            continue
+        each = table[c.grams].astype(np.float64)
+        begins = np.r_[0, c.ends[:-1]]
+        sums, sizes = np.add.reduceat(each, begins), c.ends - begins
+        if before:  # context, and a beginning that is none
+            sums[0] += held - each[:before].sum()
+            sizes[0] += size - before
+        if goes_on:  # an end that is none
+            held, size = float(sums[-1] - each[-1]), int(sizes[-1] - 1)
+            sums, sizes = sums[:-1], sizes[:-1]
+        real = sizes > 1
+        yield sums[real], sizes[real]
+
+
+def long_grams(text: str) -> Iterator[np.ndarray]:
+    """The n-grams of a text, a stretch at a time."""
+    for piece, before, goes_on in common.stretches(text.lower(), STRETCH, ORDER - 1, _inside):
+        g = code([piece]).grams
+        yield g[before : len(g) - goes_on]
+
+
 def comparisons(table: np.ndarray, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Of each text: its log ratio and its symbols; of its most and second most toxic expression, the log ratio over the
     expression's length (the first for the second where there is one only); and its count of expressions."""
     n = len(texts)
     total, top, count = np.zeros((n, 2)), np.full((n, 2), -np.inf), np.zeros(n, np.int64)
-    short = [i for i, t in enumerate(texts) if len(t) <= STRETCH]
-    work = [(np.array(short, np.int64), [texts[i] for i in short])] if short else []
-    # a longer text a stretch at a time: sums add up, and of two stretches' best two the best two stay
-    longer = ((np.array([i]), [p]) for i, t in enumerate(texts) if len(t) > STRETCH for p in common.parts(t, STRETCH))
-    for at, some in itertools.chain(work, longer):
-        c = code(some)
-        if not len(c.ends):
-            continue
-        each = table[c.grams].astype(np.float64)
+    short = np.array([i for i, t in enumerate(texts) if len(t) <= STRETCH], np.int64)
+    c = code([texts[i] for i in short])
+    work = []
+    if len(c.ends):
         begins = np.r_[0, c.ends[:-1]]
-        sums, sizes = np.add.reduceat(each, begins), c.ends - begins
+        sums, sizes = np.add.reduceat(table[c.grams].astype(np.float64), begins), c.ends - begins
         real = sizes > 1
-        sums, sizes, owner = sums[real], sizes[real], c.owner[real]
+        work.append((short, sums[real], sizes[real], c.owner[real]))
+    # a longer text a stretch at a time: sums add up, and of two stretches' best two the best two stay
+    longer = ((np.array([i]), sums, sizes, np.zeros(len(sums), np.int64)) for i, t in enumerate(texts) if len(t) > STRETCH for sums, sizes in long_expressions(table, t))
+    for at, sums, sizes, owner in itertools.chain(work, longer):
         if not len(sums):
             continue
-        m = len(some)
+        m = len(at)
         k = np.bincount(owner, minlength=m)
         total[at] += np.stack([np.bincount(owner, sums, m), np.bincount(owner, sizes, m)], 1)
         ratio = sums / sizes
@@ -232,8 +261,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS,
             for b in common.pieces(whole, 2048):
                 texts, mark = common.strings(b), np.array(b.column("label").to_pylist())
                 for v in (0, 1):
-                    some = [p for t, m in zip(texts, mark, strict=True) if m == v for p in common.parts(t, STRETCH)]
-                    found = [np.unique(code(some[i : i + 512]).grams, return_counts=True) for i in range(0, len(some), 512)]
+                    some = [t for t, m in zip(texts, mark, strict=True) if m == v]
+                    short = [t for t in some if len(t) <= STRETCH]
+                    grams = itertools.chain((code(short[i : i + 512]).grams for i in range(0, len(short), 512)), (g for t in some if len(t) > STRETCH for g in long_grams(t)))
+                    found = [np.unique(g, return_counts=True) for g in grams]
                     g, at = np.unique(np.concatenate([x for x, _ in found]) if found else np.empty(0, np.int32), return_inverse=True)
                     k = np.bincount(at, np.concatenate([y for _, y in found]), len(g)).astype(np.int64) if found else np.empty(0, np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(g.astype(np.int32)), pa.array(k * v), pa.array(k * (1 - v))], names=["gram", "toxic", "ordinary"])

@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -376,6 +377,44 @@ def test_toxic_probabilities_are_kneser_neys_and_add_up():
     assert table[(contexts[0] << 5) | 1] == pytest.approx(np.log(rows[0][0, 1] / rows[1][0, 1]), abs=2e-2)
 
 
+def blankless(rnd, n):
+    """Texts with hardly a blank: letters, digits and marks of several scripts."""
+    return ["".join(rnd.choice("abcdeéßΣσς漢字0123.,-İ") for _ in range(rnd.randrange(n, 4 * n))) + rnd.choice(["", " end", ". "]) + "".join(rnd.choice("xyzабв") for _ in range(rnd.randrange(n))) for _ in range(20)]
+
+
+def test_texts_without_blanks_score_as_whole_ones(spark, texts, docs, monkeypatch):
+    """A word that no stretch holds is summed up over its stretches: labels, letters and ratios are those of the whole text."""
+    rnd = random.Random(6)
+    some = [*blankless(rnd, 400), "a" * 3000, "а" * 1500 + "b" * 1500, "..." * 900, "x"]
+    model = language.fit(docs)
+    table = np.random.default_rng(3).normal(size=toxicity.SYMBOLS**toxicity.ORDER).astype(np.float16)
+    want, ratios = language.label(model, some), toxicity.comparisons(table, some)
+    grams = [np.sort(toxicity.code([t]).grams) for t in some]
+    for longest in (7, 64, 333):
+        monkeypatch.setattr(language, "STRETCH", longest)
+        monkeypatch.setattr(toxicity, "STRETCH", longest)
+        for x, y in zip(want, language.label(model, some), strict=True):
+            assert (x is None) == (y is None)
+            if x is not None:
+                assert (x[0] == y[0]).all() and (x[1] == y[1]).all()
+        got = toxicity.comparisons(table, some)
+        assert np.allclose(got[0], ratios[0]) and (got[1] == ratios[1]).all()
+        for t, g in zip(some, grams, strict=True):
+            own = np.sort(np.concatenate(list(toxicity.long_grams(t))))
+            assert (own[own > 0] == g[g > 0]).all()
+
+
+def test_a_long_text_without_blanks_takes_bounded_memory(spark, docs):
+    import tracemalloc
+
+    model, table, text = language.fit(docs), np.zeros(toxicity.SYMBOLS**toxicity.ORDER, np.float16), "ab" * (1 << 22)
+    for work in (lambda: language.label(model, [text]), lambda: toxicity.comparisons(table, [text])):
+        tracemalloc.start()
+        work()
+        assert tracemalloc.get_traced_memory()[1] < 100 << 20
+        tracemalloc.stop()
+
+
 def test_toxicity_of_long_texts_by_stretches(texts, monkeypatch):
     rng = np.random.default_rng(1)
     table = rng.normal(0, 1, 32**5).astype(np.float16)
@@ -854,6 +893,29 @@ def test_lm_blocks_are_bounded_and_long_texts_are_cut(spark, monkeypatch):
     assert all(salted[i] == pytest.approx(whole[i]) for i in texts)
 
 
+def test_lm_words_that_no_piece_holds(spark):
+    """Words longer than a piece are one token each, the same one wherever they are cut, and pieces stay bounded."""
+    rnd = random.Random(4)
+    giant, other = "".join(rnd.choice("abÉ漢") for _ in range(3000)), "Q" * 1700
+    texts = [(1, giant), (2, f"one {giant} two {giant.upper() if giant.isascii() else giant}"), (3, f"{other} {other.lower()}x {other}"), (4, "one two"), (5, other), (6, giant[:-1] + "!"), (7, "a\u00a0b " * 900), (8, f" {giant}\n"), (9, "")]
+    df, held = spark.createDataFrame(texts, "doc_id long, text string").repartition(2), F.col("doc_id") % 2 == 0
+    lower = lambda t: "".join(c.lower() if c.isascii() else c for c in t)
+    tokens = {i: re.findall(r"[^\x20\x09-\x0D]+", lower(t)) for i, t in texts}
+    count = collections.Counter(w for i, _ in texts if i % 2 for w in tokens[i])
+    ends = sum(i % 2 for i, _ in texts)
+    n, v = sum(count.values()) + ends, len(count) + 1
+    whole = {r["doc_id"]: r["score"] for r in lm_scoring.score(df, held).collect()}
+    for block in (400, 1000, 1 << 24):
+        got = {r["doc_id"]: r for r in lm_scoring.score(df, held, block_bytes=block).collect()}
+        for i, w in tokens.items():
+            base = sum(math.log10(count[x] + 0.1) for x in w) + math.log10(ends + 0.1) - (len(w) + 1) * math.log10(n + 0.1 * (v + 1))
+            r = got[i]
+            assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(w) + 1, sum(count[x] > 0 for x in w) + 1, n)
+            assert r["base_score"] == pytest.approx(base) and r["score"] == pytest.approx(whole[i])
+        size = lm_scoring.blocks(df, held, block).agg(F.max(F.length("text"))).first()[0]
+        assert size <= max(block // 2, 1) + lm_scoring.LEAD or block > 10_000
+
+
 def test_lm_odd(odd, empty):
     held = common.text_bucket("doc_id", 10) == 0
     got = lm_scoring.score(odd, held).collect()
