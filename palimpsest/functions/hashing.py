@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -42,3 +43,43 @@ def derived_id(*parts: Column) -> Column:
 def coverage_key(ids: Column) -> Column:
     """A key of a set of ids that doesn't depend on their order (JSON-7)."""
     return F.sha2(F.concat_ws(",", F.sort_array(F.array_distinct(ids)).cast("array<string>")).cast("binary"), 256)
+
+
+_MARKS = re.compile(r'[{}\[\]]|"(?:[^"\\]++|\\(?:.|\Z))*+(?:"|\Z)', re.S)
+
+
+def json_spans(text: str) -> list[str]:
+    """The outermost runs of braces or brackets in a text, in order (JSON-8).
+
+    Strings are passed over whole, with their escapes, so what stands in them neither opens nor closes; a string that
+    isn't closed reaches to the end. A closing mark without an opening one is ordinary text, one run closes what any
+    mark has opened, and a run that stays open is none.
+    """
+    found, depth, start = [], 0, 0
+    for m in _MARKS.finditer(text):
+        c = text[m.start()]
+        if c in "{[":
+            if not depth:
+                start = m.start()
+            depth += 1
+        elif c in "}]" and depth:
+            depth -= 1
+            if not depth:
+                found.append(text[start : m.end()])
+    return found
+
+
+@F.pandas_udf(T.StringType())
+def last_json(s: pd.Series) -> pd.Series:
+    """The last run of a text that is a whole JSON value (JSON-8); null if none is."""
+
+    def one(x: str | None) -> str | None:
+        for span in reversed(json_spans(x or "")):
+            try:
+                json.loads(span)
+            except ValueError:
+                continue
+            return span
+        return None
+
+    return s.map(one)

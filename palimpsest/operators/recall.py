@@ -42,7 +42,7 @@ def legs(asks: DataFrame, memory: DataFrame, limits: Limits = Limits()) -> DataF
     near = retrieval.knn(asks.filter("vec is not null").select(F.col("ask").alias("id"), "vec"), memory.select("id", "vec"), limits.leg, limits.vector_least, skip_self=False)
     vector = near.select("ask", "id", F.lit("vector").alias("leg"), "score", F.col("score").alias("relevance"), F.lit(False).alias("exact"))
     words = F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda x: x != "")
-    hits = retrieval.bm25(memory.select(F.col("id").alias("doc_id"), words.alias("words")), asks.select("ask", F.explode(words).alias("term")))
+    hits = retrieval.bm25(memory.select(F.col("id").alias("doc_id"), "text"), asks.select("ask", F.explode(words).alias("term")))
     hits = retrieval.normalise_to_best(top(hits.withColumnRenamed("doc_id", "id")), ["ask"])
     phrase = names.contained(memory.select("id", "text"), asks.select(F.col("ask").alias("subject"), F.col("text").alias("name"))).select(F.col("subject").alias("ask"), "id", F.lit(True).alias("exact"))
     bm25 = hits.join(phrase, ["ask", "id"], "left").select("ask", "id", F.lit("bm25").alias("leg"), "score", F.col("score").alias("relevance"), F.coalesce("exact", F.lit(False)).alias("exact"))
@@ -69,8 +69,9 @@ def seeds(found: DataFrame, limits: Limits = Limits()) -> DataFrame:
     return found.groupBy("ask").applyInPandas(choose, "ask long, node long, score double")
 
 
-def clusters(rows: pd.DataFrame, vecs: list, limits: Limits) -> list[int]:
-    """Places of an ask's ranked items after each cluster of near duplicates has kept its best ones (RET-17).
+def clusters(rows: pd.DataFrame, vecs: list, limits: Limits) -> tuple[list[int], list[int]]:
+    """Places of an ask's ranked items after each cluster of near duplicates has kept its best ones (RET-17), and their ranks
+    in their clusters.
 
     Items of a bucket are alike if the first characters of their texts are equal, or by a cosine over limits.alike.
     """
@@ -92,19 +93,34 @@ def clusters(rows: pd.DataFrame, vecs: list, limits: Limits) -> list[int]:
                 a, b = root(i), root(j)
                 label[max(a, b)] = min(a, b)
     held: dict[int, int] = {}
-    kept = []
+    kept, rank = [], []
     for i in range(len(rows)):
         r = root(i)
         held[r] = held.get(r, 0) + 1
         if held[r] <= limits.per_cluster:
             kept.append(i)
-    return kept
+            rank.append(held[r])
+    return kept, rank
+
+
+def capped(rows: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """(ask, id, rank): the best of each cluster of near duplicates within each ask's list (RET-17).
+
+    rows: ask, id, score, bucket, head, vec; a list is of bounded length.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["score", "id"], ascending=[False, True]).reset_index(drop=True)
+        kept, rank = clusters(pdf, pdf.vec.to_list(), limits)
+        return pd.DataFrame({"ask": pdf.ask.iloc[kept], "id": pdf.id.iloc[kept], "rank": rank})
+
+    return rows.groupBy("ask").applyInPandas(run, "ask long, id long, rank int")
 
 
 def packed(rows: pd.DataFrame, limits: Limits) -> pd.DataFrame:
     """One ask's pack: clusters are capped, the rest is put in order of marginal relevance and packed greedily (RET-18, RET-24)."""
     rows = rows.sort_values(["score", "id"], ascending=[False, True]).reset_index(drop=True)
-    rows = rows.iloc[clusters(rows, rows.vec.to_list(), limits)].reset_index(drop=True)
+    rows = rows.iloc[clusters(rows, rows.vec.to_list(), limits)[0]].reset_index(drop=True)
     size = max((len(v) for v in rows.vec if v is not None), default=1)
     order = retrieval.mmr(rows, np.array([v if v is not None and len(v) == size else np.zeros(size) for v in rows.vec], float).reshape(len(rows), -1), limits.trade)
     left, used, seen, kept = limits.tokens, dict.fromkeys(limits.caps, 0), set(), []

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import functools
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,8 +21,6 @@ from palimpsest.operators.components import components
 
 #: Bytes of asked vectors in one pass, about: bounds what is broadcast.
 ASK_BYTES = 32 << 20
-#: Phrases that are sought in one pass over the documents.
-PHRASES = 64
 
 
 def asked_pairs(asks: DataFrame, corpus: DataFrame, skip_self: bool = True) -> list[DataFrame]:
@@ -97,39 +97,60 @@ def knn(asks: DataFrame, corpus: DataFrame, k: int, floor: float = -1.0, skip_se
     return functools.reduce(DataFrame.unionByName, out)
 
 
-def bm25(docs: DataFrame, asked: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """BM25 of documents for asked terms: ask, doc_id, score (RET-4). docs: doc_id, words; asked: ask, term (a stated set).
+#: Asked terms that go to the tasks as one set; more are asked for in several passes.
+TERMS = 1 << 18
+
 
-    A row's length is the size of its words; only words that are asked for leave a row, so nothing but hits is shuffled.
-    Asked terms are broadcast if their counted size allows, else joined.
+def term_hits(docs: DataFrame, terms: list[str]) -> DataFrame:
+    """(doc_id, term, tf, dl) of the asked terms in each document, and rows without a doc_id that sum up lengths: tf holds
+    the documents with words of a batch, dl their words. docs: doc_id, text.
+
+    Words are runs of a-z and 0-9 of the lower-case text, split where the text is read; only words that are asked for
+    leave a task, counted.
     """
-    asked = staging.stage(asked.distinct(), "asked-terms")
-    sizes = docs.filter(F.size("words") > 0).agg(F.count(F.lit(1)).alias("docs"), F.avg(F.size("words")).alias("avgdl")).first()
-    n = asked.count()
-    terms = asked.select("term").distinct()
-    hits = docs.select("doc_id", F.size("words").alias("dl"), F.explode("words").alias("term")).join(F.broadcast(terms) if n <= MOST_BROADCAST else terms, "term", "left_semi")
-    tf = staging.stage(hits.groupBy("doc_id", "term", "dl").agg(F.count(F.lit(1)).alias("tf")), "hits")
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weighed = asked.join(df, "term")
-    scored = tf.join(F.broadcast(weighed) if n <= MOST_BROADCAST else weighed, "term")
-    idf = F.log(1 + (F.lit(sizes["docs"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(sizes["avgdl"] or 1.0)))
-    return scored.groupBy("ask", "doc_id").agg(F.sum(part).alias("score"))
+    sent = docs.sparkSession.sparkContext.broadcast(frozenset(terms))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, split = sent.value, re.compile("[a-z0-9]+").findall
+        for batch in batches:
+            ids, found, tf, dl, held, size = [], [], [], [], 0, 0
+            for id_, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                words = split(text) if text else ()
+                if not words:
+                    continue
+                held, size = held + 1, size + len(words)
+                for term, n in Counter(filter(asked.__contains__, words)).items():
+                    ids.append(id_), found.append(term), tf.append(n), dl.append(len(words))
+            ids.append(None), found.append(None), tf.append(held), dl.append(size)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.string()), pa.array(tf, pa.int64()), pa.array(dl, pa.int64())], names=["doc_id", "term", "tf", "dl"])
+
+    return docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text")).mapInArrow(run, "doc_id long, term string, tf long, dl long")
 
-def phrase_hits(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """(ask, doc_id) of documents that hold an asked phrase, in any case. docs: doc_id, text; asked: ask, phrase.
 
-    Phrases are a stated query set, sought in blocks of PHRASES within the scan; documents aren't shuffled.
+def bm25(docs: DataFrame, asked: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """BM25 of documents for asked terms: ask, doc_id, score (RET-4). docs: doc_id, text; asked: ask, term (a stated set).
+
+    One pass over the texts for each TERMS of the asked terms; nothing but counted hits is shuffled. Documents without
+    words count neither for the mean length nor for their number.
     """
-    rows, out = asked.collect(), []
-    for i in range(0, max(1, len(rows)), PHRASES):
-        some = rows[i : i + PHRASES]
-        low = F.lower("text")
-        holds = [F.when(low.contains(r["phrase"]), F.lit(r["ask"]).cast("long")) for r in some]
-        found = F.array_compact(F.array(*holds)) if holds else F.array().cast("array<long>")
-        out.append(docs.select("doc_id", F.explode(found).alias("ask")).select("ask", "doc_id"))
-    return functools.reduce(DataFrame.unionByName, out)
+    asked = staging.stage(asked.distinct(), "asked-terms")
+    terms = staging.stage(asked.select("term").filter("term is not null").distinct(), "terms")
+    blocks = max(1, -(-terms.count() // TERMS))
+    found = None
+    for i in range(blocks):
+        some = terms.filter(F.pmod(F.xxhash64("term"), F.lit(blocks)) == i) if blocks > 1 else terms
+        hits = staging.stage(term_hits(docs, [r[0] for r in some.collect()]), "hits")
+        found = hits if found is None else found.unionByName(hits.filter("doc_id is not null"))
+    sizes = found.filter("doc_id is null").agg(F.sum("tf").alias("docs"), F.sum("dl").alias("words")).first()
+    n, mean = sizes["docs"] or 0, (sizes["words"] or 0) / (sizes["docs"] or 1) or 1.0
+    hits = found.filter("doc_id is not null")
+    df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    rows = asked.count()
+    weighed = asked.join(df, "term")
+    scored = hits.join(F.broadcast(weighed) if rows <= MOST_BROADCAST else weighed, "term")
+    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(mean)))
+    return scored.groupBy("ask", "doc_id").agg(F.sum(part).alias("score"))
 
 
 def normalise_to_best(scores: DataFrame, by: list[str]) -> DataFrame:

@@ -220,8 +220,8 @@ def ret_4(spark: SparkSession, d: str) -> DataFrame:
     words = lambda c: F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda x: x != "")
     docs = table(spark, d, "documents").select("doc_id", "text")
     asked = table(spark, d, "benchmark").filter("item_id % 100 = 0").select(F.col("item_id").alias("ask"), "text")
-    hits = staging.stage(retrieval.bm25(docs.select("doc_id", words("text").alias("words")), asked.select("ask", F.explode(words("text")).alias("term"))), "bm25")
-    phrases = retrieval.phrase_hits(docs, asked.select("ask", F.lower(F.trim("text")).alias("phrase")))
+    hits = staging.stage(retrieval.bm25(docs, asked.select("ask", F.explode(words("text")).alias("term"))), "bm25")
+    phrases = names.contained(docs.withColumnRenamed("doc_id", "id"), asked.select(F.col("ask").alias("subject"), F.col("text").alias("name"))).select(F.col("subject").alias("ask"), F.col("id").alias("doc_id"))
     best = hits.groupBy("ask").agg(F.max("score").alias("best"))
     found = hits.join(best, "ask").join(phrases.withColumn("exact", F.lit(True)), ["ask", "doc_id"], "left")
     return found.select("ask", "doc_id", r6(F.col("score") / F.col("best")).alias("relevance"), F.coalesce("exact", F.lit(False)).alias("exact"))
@@ -413,11 +413,30 @@ def ret_16(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.admission_report(retrieval.admit(e), measured, names)
 
 
-@query("RET-17", "WITH k AS (SELECT doc_id, sha256(substr(lower(trim(text)), 1, 16)) AS h, n_chars FROM documents), r AS (SELECT doc_id, row_number() OVER (PARTITION BY h ORDER BY n_chars DESC, doc_id) AS rank FROM k) SELECT doc_id FROM r WHERE rank <= 2")
+_NEAR_LIST = "list_concat([0, 0, 0, 0]::DOUBLE[], embedding[5:]::DOUBLE[])"
+_COS2 = "list_dot_product(x.vec, y.vec) / sqrt(list_dot_product(x.vec, x.vec) * list_dot_product(y.vec, y.vec))"
+
+
+@query(
+    "RET-17",
+    f"""WITH RECURSIVE items AS (SELECT vec_id AS id, embedding::DOUBLE[] AS vec, vec_id AS doc, label % 3 AS bucket FROM embeddings UNION ALL SELECT vec_id + 10000000, {_NEAR_LIST}, vec_id + 1, label % 3 FROM embeddings WHERE vec_id % 5 <> 0),
+        l AS (SELECT x.id AS ask, y.id, y.bucket, y.vec, y.doc, {_COS2} AS score FROM items x JOIN items y ON true WHERE x.id % 100 = 0 AND x.id < 10000000 QUALIFY row_number() OVER (PARTITION BY ask ORDER BY score DESC, y.id) <= 64),
+        t AS (SELECT l.*, substr(lower(trim(text)), 1, 16) AS head FROM l LEFT JOIN documents ON doc_id = doc),
+        e AS (SELECT x.ask, x.id AS u, y.id AS v FROM t x JOIN t y ON x.ask = y.ask AND x.bucket = y.bucket AND x.id <> y.id WHERE (x.head <> '' AND x.head = y.head) OR {_COS2} > 0.95),
+        r(ask, id, root) AS (SELECT ask, id, id FROM t UNION SELECT r.ask, e.v, r.root FROM r JOIN e ON e.ask = r.ask AND e.u = r.id),
+        c AS (SELECT ask, id, min(root) AS cluster FROM r GROUP BY 1, 2)
+        SELECT ask, id, rank::INT AS rank FROM (SELECT ask, id, row_number() OVER (PARTITION BY ask, cluster ORDER BY score DESC, id) AS rank FROM c JOIN t USING (ask, id)) WHERE rank <= 2""",
+)
 def ret_17(spark: SparkSession, d: str) -> DataFrame:
-    """At most two of each near-duplicate class by prefix; cluster_cap does it for classes of linked items."""
-    k = table(spark, d, "documents").select(F.col("doc_id").alias("id"), text.cluster_key(F.col("text")).alias("h"), F.col("n_chars").alias("score"))
-    return retrieval.cap_by_key(k, "h", 2).select(F.col("id").alias("doc_id"))
+    """Near duplicates in each ask's list of 64: alike by the first characters or by vector within a bucket, two of each stay.
+    Restatements with another text are planted."""
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"), F.col("vec_id").alias("doc"), (F.col("label") % 3).alias("bucket"))
+    more = v.filter("id % 5 <> 0").select((F.col("id") + 10_000_000).alias("id"), F.concat(F.array_repeat(F.lit(0.0), 4), F.slice("vec", 5, 4096)).alias("vec"), (F.col("doc") + 1).alias("doc"), "bucket")
+    items = staging.stage(v.unionByName(more), "items")
+    near = retrieval.knn(items.filter("id % 100 = 0 and id < 10000000").select("id", "vec"), items.select("id", "vec"), 64, skip_self=False).drop("rank")
+    head = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.lower(F.substring(F.trim("text"), 1, 16)).alias("head"))
+    rows = near.join(items, "id").join(head, "doc", "left").select("ask", "id", "score", "bucket", "head", "vec")
+    return recall.capped(rows, recall.Limits())
 
 
 @query("RET-18")

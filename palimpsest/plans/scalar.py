@@ -159,9 +159,18 @@ def json_7(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").groupBy("l_orderkey").agg(hashing.coverage_key(F.collect_set(F.col("l_partkey").cast("string"))).alias("coverage"))
 
 
-@query("JSON-8", r"SELECT event_id, regexp_extract('note ' || props || ' end', '(\{.*\})', 1) AS span FROM events")
+#: What a model may put around its answer: prose, fences, an earlier value, marks within strings and after the value.
+_SAID = r"""{"s": "} { \" [\"} "}"""
+_AROUND = [("note ", " end"), ('first {"x": [1, {}]} then ', ""), ('a "quoted } mark" and ', " ]}"), ("```json\n", "\n```"), (_SAID + " ", " {broken: 1}"), ("]", "[open")]
+_WRAPPED = "CASE event_id % 6 " + " ".join(f"WHEN {i} THEN '{a}' || props || '{z}'" for i, (a, z) in enumerate(_AROUND)) + " END"
+
+
+@query("JSON-8", f"""SELECT event_id, {_WRAPPED} AS said, CASE WHEN event_id % 7 <> 0 THEN props WHEN event_id % 6 = 1 THEN '{{"x": [1, {{}}]}}' WHEN event_id % 6 = 4 THEN '{_SAID}' END AS span FROM (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN '' ELSE props END AS props FROM events)""")
 def json_8(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").select("event_id", F.regexp_extract(F.concat(F.lit("note "), "props", F.lit(" end")), r"(\{.*\})", 1).alias("span"))
+    """The value in a model's answer: the last whole one, whatever stands around it and within its strings."""
+    e = table(spark, d, "events").select("event_id", F.when(F.col("event_id") % 7 == 0, "").otherwise(F.col("props")).alias("props"))
+    said = F.element_at(F.array(*[F.concat(F.lit(a), F.col("props"), F.lit(z)) for a, z in _AROUND]), (F.col("event_id") % 6 + 1).cast("int"))
+    return e.select("event_id", said.alias("said")).withColumn("span", hashing.last_json("said"))
 
 
 def _leaky(spark: SparkSession, d: str) -> DataFrame:

@@ -13,10 +13,18 @@ from palimpsest.sources.tables import table
 from palimpsest.streaming import sessions
 
 
-@query("STR-S1", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 14399999999 PRECEDING AND CURRENT ROW) AS in_session, CASE WHEN count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 14399999999 PRECEDING AND CURRENT ROW) > 1 THEN 'bulk' ELSE 'interactive' END AS lane FROM events")
+@query(
+    "STR-S1",
+    """WITH a AS (SELECT event_id, user_id, epoch_us(ts) // 600 AS us, CASE event_id % 50 WHEN 0 THEN 'bulk' WHEN 1 THEN 'interactive' END AS requested FROM events),
+        c AS (SELECT *, count(*) OVER (PARTITION BY user_id ORDER BY us RANGE BETWEEN 299999999 PRECEDING AND CURRENT ROW) AS in_session, count(*) OVER (ORDER BY us RANGE BETWEEN 299999999 PRECEDING AND CURRENT ROW) AS everywhere FROM a),
+        r AS (SELECT *, CASE WHEN requested = 'bulk' THEN 'requested' WHEN in_session > 10 THEN 'session-rate' WHEN everywhere > 120 AND in_session > 3 THEN 'global-rate' ELSE 'default' END AS reason FROM c)
+       SELECT event_id, in_session, everywhere, CASE WHEN reason = 'default' THEN 'interactive' ELSE 'bulk' END AS lane, reason FROM r""",
+)
 def str_s1(spark: SparkSession, d: str) -> DataFrame:
-    """Lanes by arrival rate; four hours stand for the five minutes, as the test events are sparse."""
-    return sessions.lanes(table(spark, d, "events"), window_us=4 * 3600 * 1_000_000, session_most=1).select("event_id", "in_session", "lane")
+    """Lanes by arrival rate, of the session and of all sessions; a month of events is taken to have come within 72 minutes."""
+    requested = F.when(F.col("event_id") % 50 == 0, "bulk").when(F.col("event_id") % 50 == 1, "interactive")
+    e = table(spark, d, "events").select(F.col("event_id").alias("seq"), F.col("user_id").alias("session"), F.expr("unix_micros(ts) div 600").alias("us"), requested.alias("requested"))
+    return sessions.lanes(e).withColumnRenamed("seq", "event_id")
 
 
 _SESS = "WITH g AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w >= 1800000000 OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM g)"

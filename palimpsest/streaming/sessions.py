@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -23,10 +24,52 @@ def sessionise(events: DataFrame, idle_us: int = IDLE_US) -> DataFrame:
     return events.withColumn("new", F.when(gap.isNull() | (gap >= idle_us), 1).otherwise(0)).withColumn("session", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("new")
 
 
-def lanes(events: DataFrame, window_us: int = 5 * 60 * 1_000_000, session_most: int = 10) -> DataFrame:
-    """bulk where a session had more than so many arrivals within the window, which doesn't hold its lower bound (STR-S1)."""
-    w = Window.partitionBy("user_id").orderBy(F.unix_micros("ts")).rangeBetween(-(window_us - 1), 0)
-    return events.withColumn("in_session", F.count(F.lit(1)).over(w)).withColumn("lane", F.when(F.col("in_session") > session_most, "bulk").otherwise("interactive"))
+@dataclass(frozen=True)
+class Rates:
+    """Arrivals within the window, which doesn't hold its lower bound, from which a session's work goes to the bulk lane: of
+    the session itself, or of all sessions together where the session has some part in it."""
+
+    window_us: int = 5 * 60 * 1_000_000
+    session: int = 10
+    everywhere: int = 120
+    hot_session: int = 3
+
+
+def arrivals(events: DataFrame, window_us: int) -> DataFrame:
+    """(seq, everywhere): events of all sessions within the window up to each event, events of the same instant included.
+
+    events: seq (unique), us. Sums of each second are added up over the whole seconds of the window, in partitions of an
+    hour that hold the window before them; the parts of its two end seconds are counted within those seconds. So no task
+    gets more than an hour's seconds or a second's events.
+    """
+    million, w = 1_000_000, window_us // 1_000_000
+    if window_us % million:
+        raise ValueError("the window is of whole seconds")
+    second = lambda c: F.floor(c / million).cast("long")
+    ends = F.explode(F.array(F.struct(F.col("us").alias("at"), F.lit(1).alias("own")), F.struct((F.col("us") - window_us).alias("at"), F.lit(0).alias("own")))).alias("e")
+    rows = events.select("seq", ends).select("seq", "e.at", "e.own", second(F.col("e.at")).alias("s"))
+    upto = F.sum("own").over(Window.partitionBy("s").orderBy("at").rangeBetween(Window.unboundedPreceding, 0))
+    rows = rows.select("seq", "own", "s", upto.alias("upto"), F.sum("own").over(Window.partitionBy("s")).alias("of"))
+    # in the first second what comes after the bound counts, in the last one what comes up to the event
+    part = rows.groupBy("seq").agg(F.sum(F.when(F.col("own") == 1, F.col("upto")).otherwise(F.col("of") - F.col("upto"))).alias("part"), F.max("s").alias("s"))
+    counts = events.groupBy(second(F.col("us")).alias("s")).agg(F.count(F.lit(1)).alias("n"))
+    hours = F.explode(F.sequence(F.floor(F.col("s") / 3600), F.floor((F.col("s") + w) / 3600))).alias("hour")
+    between = F.sum("n").over(Window.partitionBy("hour").orderBy("s").rangeBetween(-(w - 1), -1))
+    whole = counts.select("s", "n", hours).withColumn("between", F.coalesce(between, F.lit(0))).filter(F.floor(F.col("s") / 3600) == F.col("hour")).select("s", "between")
+    return part.join(whole, "s").select("seq", (F.col("part") + F.col("between")).alias("everywhere"))
+
+
+def lanes(events: DataFrame, rates: Rates = Rates()) -> DataFrame:
+    """(seq, in_session, everywhere, lane, reason) of each arrival (STR-S1). events: seq (unique), session, us, requested.
+
+    bulk where it was asked for, where a session's own rate is too high, or where all sessions' is and the session isn't
+    idle; asking for the interactive lane changes nothing.
+    """
+    w = Window.partitionBy("session").orderBy("us").rangeBetween(-(rates.window_us - 1), 0)
+    rows = events.withColumn("in_session", F.count(F.lit(1)).over(w)).join(arrivals(events, rates.window_us), "seq")
+    reason = F.when(F.col("requested") == "bulk", "requested").when(F.col("in_session") > rates.session, "session-rate")
+    reason = reason.when((F.col("everywhere") > rates.everywhere) & (F.col("in_session") > rates.hot_session), "global-rate").otherwise("default")
+    return rows.select("seq", "in_session", "everywhere", F.when(reason == "default", "interactive").otherwise("bulk").alias("lane"), reason.alias("reason"))
 
 
 def tumbling_days(stream: DataFrame, late: str = "1 day") -> DataFrame:

@@ -148,6 +148,33 @@ def test_residue_is_what_a_redacted_text_no_longer_has(spark):
     assert [r[0] for r in df.select(redaction.residue(redaction.redact("x"))).collect()] == [[]] * 4
 
 
+def plain_spans(text):
+    """One character after another."""
+    out, depth, start, inside, escaped = [], 0, -1, False, False
+    for i, c in enumerate(text):
+        if inside:
+            inside, escaped = (True, False) if escaped else (c != '"', c == "\\")
+        elif c == '"':
+            inside = True
+        elif c in "{[":
+            start, depth = (i, 1) if not depth else (start, depth + 1)
+        elif c in "}]" and depth:
+            depth -= 1
+            if not depth:
+                out.append(text[start : i + 1])
+    return out
+
+
+def test_json_spans():
+    import random
+
+    rnd = random.Random(2)
+    for _ in range(4000):
+        t = "".join(rnd.choice(['{', '}', '[', ']', '"', "\\", "a", " ", "\n"]) for _ in range(rnd.randrange(0, 24)))
+        assert hashing.json_spans(t) == plain_spans(t), t
+    assert hashing.json_spans("[" * 50_000 + "]" * 50_000 + ' {"a": "}"}') == ["[" * 50_000 + "]" * 50_000, '{"a": "}"}']
+
+
 def test_whole_days(spark):
     a, b = dt.datetime(2024, 1, 1, 12), dt.datetime(2024, 1, 3, 11)
     assert one(spark, dates.whole_days(F.lit(a), F.lit(b))) == 1

@@ -186,6 +186,22 @@ def test_many_asks_spread_as_each_does_alone(spark):
     assert none.collect() == [] and over.collect() == []
 
 
+def test_lanes_count_arrivals_of_a_session_and_of_all(spark):
+    rnd = random.Random(3)
+    rates = sessions.Rates(window_us=5_000_000, session=6, everywhere=40, hot_session=2)
+    rows = [(i, rnd.randrange(5), rnd.choice([0, 3_599_000_000, 7_200_000_000]) + rnd.choice([rnd.randrange(30_000_000), 5_000_000, 10_000_000]), rnd.choice(["bulk", "interactive", None, None, None])) for i in range(400)]
+    got = {r["seq"]: tuple(r)[1:] for r in sessions.lanes(spark.createDataFrame(rows, "seq long, session long, us long, requested string").repartition(3), rates).collect()}
+    seen = set()
+    for i, s, us, asked in rows:
+        near = [r for r in rows if us - rates.window_us < r[2] <= us]
+        own = sum(r[1] == s for r in near)
+        why = "requested" if asked == "bulk" else "session-rate" if own > 6 else "global-rate" if len(near) > 40 and own > 2 else "default"
+        assert got[i] == (own, len(near), "interactive" if why == "default" else "bulk", why)
+        seen.add(why)
+    assert len(seen) == 4
+    assert sessions.lanes(spark.createDataFrame([], "seq long, session long, us long, requested string")).collect() == []
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_quantiles_are_exact(spark, seed):
     import numpy as np
