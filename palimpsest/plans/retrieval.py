@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text, vectors, weights
-from palimpsest.operators import bitemporal, entities, graph, names, recall, retrieval, staging
+from palimpsest.operators import bitemporal, entities, graph, names, recall, retrieval, staging, vector_index
 from palimpsest.operators.quantiles import quantiles
 from palimpsest.plans.aggregate import KNN, N, knn, r6
 from palimpsest.plans.registry import query
@@ -586,3 +586,14 @@ def _recall(spark: SparkSession, d: str) -> DataFrame:
 def recall_(spark: SparkSession, d: str) -> DataFrame:
     """The whole recall of all asks, from legs to packs; tests hold it against a plain recall of one ask at a time."""
     return _recall(spark, d).select("ask", "id", "place", "bucket", F.round("score", 8).alias("score"), "rule", "legs", "hops", "path")
+
+
+@query("vector_index", f"WITH {KNN} SELECT ask, id, rank::INT AS rank, round(score, 5) AS score FROM knn WHERE score > 0")
+def vector_index_(spark: SparkSession, d: str) -> DataFrame:
+    """The ten nearest of every asked vector from inverted lists, in the exact mode."""
+    v = tables.vectors(spark, d).select("id", "vec")
+    index = vector_index.build(v, 64, 16)
+    asks = v.filter("id % 100 = 0")
+    found = vector_index.search(index, asks, 11, 4, exact=True).filter("ask <> id and score > 0")  # one more, for the ask itself
+    w = Window.partitionBy("ask").orderBy(F.desc("score"), "id")
+    return found.withColumn("rank", F.row_number().over(w)).filter("rank <= 10").select("ask", "id", "rank", F.round("score", 5).alias("score"))
