@@ -70,3 +70,17 @@ def forget(nodes: DataFrame, events: DataFrame) -> DataFrame:
     """nodes with forgotten_at set by the earliest event (id, at), if there was none (WR-8)."""
     first = events.groupBy("id").agg(F.min("at").alias("gone_at"))
     return nodes.join(first, "id", "left").withColumn("forgotten_at", F.coalesce("forgotten_at", "gone_at")).drop("gone_at")
+
+
+def unsupersede(claims: DataFrame, undone: DataFrame) -> DataFrame:
+    """Superseded claims after their supersession has been taken back (WR-7): id, superseded_by, valid_until, and the lineage
+    edge: lineage, edge_from, edge_until.
+
+    claims: id, superseded_by, valid_until, superseded_at; undone: id, at. The first event at or after the supersession was
+    written takes the stamps off. The edge to the successor stays with the time at which it ceased to be believed, so
+    that a read of an earlier transaction time still finds it.
+    """
+    first = claims.join(undone, "id").filter(F.col("at") >= F.col("superseded_at")).groupBy("id").agg(F.min("at").alias("undone_at"))
+    c = claims.join(first, "id", "left")
+    open_ = F.col("undone_at").isNotNull()
+    return c.select("id", F.when(~open_, F.col("superseded_by")).alias("superseded_by"), F.when(~open_, F.col("valid_until")).alias("valid_until"), F.col("superseded_by").alias("lineage"), F.col("superseded_at").alias("edge_from"), F.col("undone_at").alias("edge_until"))

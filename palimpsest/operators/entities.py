@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.operators import retrieval
+from palimpsest.functions import hashing, text
+from palimpsest.operators import graph, retrieval
 
 
 def canonical(entities: DataFrame, key: str) -> DataFrame:
@@ -72,3 +73,36 @@ def contradiction_candidates(claims: DataFrame, new: Column, asks: DataFrame, he
     best = keyed.unionByName(own).unionByName(near).filter("other is not null").groupBy("id", "other").agg(F.min("tier").alias("tier"), F.max("score").alias("score"))
     w = Window.partitionBy("id").orderBy("tier", F.desc_nulls_last("score"), F.desc("other"))
     return best.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= each).drop("r", "score")
+
+
+def reopened_steps(observations: DataFrame, key: list[str], order: list[str], floor: float = 0.1) -> DataFrame:
+    """bounded_steps() where edges are closed and seen again (WR-2): key, strength, n, closed. observations: key, order, eta,
+    closes.
+
+    A row that closes makes no step. What is seen after it begins anew, at fresh strength; so the steps after the last
+    closing count, or, for an edge that is closed, those between it and the one before. n counts these steps.
+    """
+    at = F.struct(*order)
+    ends = observations.groupBy(*key).agg(F.max(F.when(F.col("closes"), at)).alias("last"), F.max(F.when(~F.col("closes"), at)).alias("seen"))
+    marked = observations.join(ends, key).withColumn("closed", F.coalesce(F.col("last") > F.col("seen"), F.lit(False)))
+    # of a closed edge the closing before the last one
+    before = marked.filter(F.col("closes") & F.col("closed") & (at < F.col("last"))).groupBy(*key).agg(F.max(at).alias("before"))
+    rows = marked.filter(~F.col("closes")).join(before, key, "left")
+    since = F.when(F.col("closed"), F.col("before")).otherwise(F.col("last"))
+    live = rows.filter(since.isNull() | (at > since))
+    return bounded_steps(live, [*key, "closed"], order, floor)
+
+
+def upsert(seen: DataFrame, known: DataFrame, most: int = 8) -> DataFrame:
+    """(name_norm, id, action, n): what each observed name becomes (WR-9). seen: name; known: name_norm, id, merged_into, closed.
+
+    Names are folded and counted once. A known one leads along its merges (most links) to the entity that stands for it,
+    which is reopened if it is closed; an unknown one is created, with an id of its name. Null names are left out.
+    """
+    names = seen.filter("name is not null").groupBy(text.fold_ascii(F.col("name")).alias("name_norm")).agg(F.count(F.lit(1)).alias("n"))
+    heads = graph.lineage_head(known.filter("merged_into is not null").select(F.col("id").alias("node"), F.col("merged_into").alias("next")), most).select(F.col("node").alias("id"), "head")
+    ended = known.select(F.col("id").alias("head"), F.col("closed"))
+    led = known.select("name_norm", "id").join(heads, "id", "left").select("name_norm", F.coalesce("head", "id").alias("head")).join(ended, "head", "left")
+    made = hashing.derived_id(F.lit("entity"), F.col("name_norm"))
+    action = F.when(F.col("head").isNull(), "created").when(F.col("closed"), "reopened").otherwise("found")
+    return names.join(led, "name_norm", "left").select("name_norm", F.coalesce(F.col("head").cast("string"), made).alias("id"), action.alias("action"), "n")

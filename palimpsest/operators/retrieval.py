@@ -320,3 +320,16 @@ def mean_vector(rows: DataFrame, key: str, size: int) -> DataFrame:
     sums = ok.groupBy(key).agg(F.sum("weight").alias("w"), *[F.sum(F.col("weight") * F.col("vec")[i].cast("double")).alias(f"v{i}") for i in range(size)])
     return sums.select(key, F.array(*[F.col(f"v{i}") / F.col("w") for i in range(size)]).alias("vec"))
 
+
+def resonance(first: DataFrame, vectors_: DataFrame, size: int, k: int, floor: float = 0.5) -> DataFrame:
+    """(ask, id, score): the nearest vectors to what each ask's first pass means as a whole, without that pass (RET-21).
+
+    first: ask, id, weight (the activation); vectors_: id, vec. What a pass holds is bounded by its budget, so as many more
+    neighbours are looked for and left out again.
+    """
+    first = staging.stage(first, "resonance-first")
+    most = first.groupBy("ask").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    middle = mean_vector(first.join(vectors_, "id").select("ask", "vec", "weight"), "ask", size)
+    near = knn(middle.select(F.col("ask").alias("id"), "vec"), vectors_, k + most, floor, skip_self=False).join(first.select("ask", "id"), ["ask", "id"], "left_anti")
+    w = Window.partitionBy("ask").orderBy(F.desc("score"), "id")
+    return near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("ask", "id", "score")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions import hashing, text
-from palimpsest.operators import entities
+from palimpsest.operators import entities, queues
 
 #: Kinds of relation that a proposal may have: fixed values.
 RELATIONS = ("CAUSES", "ENABLES", "PRECEDES", "CONTRADICTS", "SIMILAR", "RELATED_TO", "ANALOGOUS_TO")
@@ -167,3 +167,19 @@ def validated(answers: DataFrame) -> DataFrame:
     a = answers.groupBy("id").agg(first, second)
     end = F.when((F.col("first.status") == "unusable") & F.col("second").isNotNull(), F.col("second")).otherwise(F.col("first"))
     return a.select("id", end.alias("end")).select("id", "end.status", F.when(F.col("end.status") == "answered", F.col("end.restated")).alias("restated"))
+
+
+def narratives(turns: DataFrame, most: int) -> DataFrame:
+    """Narratives of conversations by version (WR-27): conv_id, version, chunk, body, first_turn, last_turn, turns, id, superseded.
+
+    turns: conv_id, version, turn, text; a version covers the turns it has. Turns are cut into even chunks of most at most,
+    each becomes the first lines of its turns, which is all it may say, under an id of its content. Only a
+    conversation's newest version isn't superseded.
+    """
+    keyed = turns.withColumn("of", F.struct("conv_id", "version"))
+    cut = queues.balanced_chunks(keyed, "of", "turn", most).select("of.conv_id", "of.version", "turn", "chunk").join(turns, ["conv_id", "version", "turn"])
+    lines = F.sort_array(F.collect_list(F.struct("turn", F.substring_index("text", "\n", 1).alias("line"))))
+    n = cut.groupBy("conv_id", "version", "chunk").agg(F.array_join(F.transform(lines, lambda x: x["line"]), " / ").alias("body"), F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"), F.count(F.lit(1)).alias("turns"))
+    newest = turns.groupBy("conv_id").agg(F.max("version").alias("newest"))
+    n = n.join(newest, "conv_id")
+    return n.select("conv_id", "version", "chunk", "body", "first_turn", "last_turn", "turns", hashing.derived_id(F.col("conv_id"), F.col("version"), F.col("chunk"), F.col("body")).alias("id"), (F.col("newest") > F.col("version")).alias("superseded"))

@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import dates, redaction, text, weights
-from palimpsest.operators import bitemporal, graph, names, queues, retrieval, scheduling, staging, upkeep
+from palimpsest.operators import bitemporal, entities, graph, names, queues, retrieval, scheduling, staging, upkeep
 from palimpsest.plans.aggregate import KNN, N, knn, r6
 from palimpsest.plans.read import SHAPE
 from palimpsest.plans.registry import query
 from palimpsest.plans.retrieval import _LONG, _OVERLAP, _SHAPE, ORPHANS, SIBLINGS, _recall, orphans, siblings
 from palimpsest.plans.scalar import RESIDUE
 from palimpsest.plans.stateful import JOBS, job_log
+from palimpsest.plans.write import _G0, _REDIR, _entities
 from palimpsest.sources import tables
 from palimpsest.sources.tables import BOTH, CLAIMS, GRAPH, MENTIONS, RESTATED, table
 
@@ -192,16 +193,24 @@ def op_22(spark: SparkSession, d: str) -> DataFrame:
     return upkeep.second_signals(staging.stage(near, "near"), tables.mentions(spark, d), both, names).select(F.col("a").alias("src"), F.col("b").alias("dst"), "seconds")
 
 
-@query("OP-23", "SELECT lower(p_name) AS name, min(p_partkey) AS canonical, count(*) - 1 AS merged FROM part GROUP BY 1 HAVING count(*) > 1")
+@query("OP-23", f"WITH {_G0}, {_REDIR}, m AS (SELECT canonical, count(*) FILTER (id <> canonical) AS merged FROM canon GROUP BY 1), e AS (SELECT least(a, b) AS a, greatest(a, b) AS b, type FROM moved GROUP BY ALL), k AS (SELECT x AS canonical, count(*) AS edges FROM (SELECT a AS x FROM e UNION ALL SELECT b FROM e) GROUP BY 1) SELECT m.canonical, merged, coalesce(edges, 0) AS edges FROM m LEFT JOIN k USING (canonical) WHERE merged > 0")
 def op_23(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").groupBy(text.fold_ascii(F.col("p_name")).alias("name")).agg(F.min("p_partkey").alias("canonical"), (N() - 1).alias("merged")).filter("merged > 0")
+    """Automatic merges of equal squashed names into the most mentioned one, with the edges that it has after the cascade."""
+    canon = staging.stage(entities.canonical(_entities(spark, d), "squash"), "canonical")
+    moved = entities.redirect(tables.edges(spark, d), canon)
+    k = moved.select(F.explode(F.array("src", "dst")).alias("canonical")).groupBy("canonical").agg(N().alias("edges"))
+    m = canon.groupBy("canonical").agg(F.count_if(F.col("id") != F.col("canonical")).alias("merged")).filter("merged > 0")
+    return m.join(k, "canonical", "left").na.fill(0, ["edges"])
 
 
-@query("OP-24", f"WITH {RESTATED} SELECT ask AS dropped, id AS kept FROM restated WHERE rank = 1 AND score >= 0.73")
+@query("OP-24", f"WITH {RESTATED}, p AS (SELECT ask, id, (ask % 3)::BIGINT AS ask_at, 1::BIGINT AS id_at FROM restated WHERE rank = 1 AND score >= 0.73) SELECT CASE WHEN (ask_at, ask) < (id_at, id) THEN id ELSE ask END AS dropped, CASE WHEN (ask_at, ask) < (id_at, id) THEN ask ELSE id END AS kept FROM p")
 def op_24(spark: SparkSession, d: str) -> DataFrame:
-    """Claim dedup: a restatement whose nearest neighbour has a cosine of 0.73 or more goes, the older claim survives."""
+    """Claim dedup: of a claim and its nearest neighbour at a cosine of 0.73 or more the later one goes, the older survives.
+    Every third restatement is taken to have been said before."""
     v = tables.vectors(spark, d)
-    return retrieval.knn(tables.restated(v), v, 1, 0.73).select(F.col("ask").alias("dropped"), F.col("id").alias("kept"))
+    near = retrieval.knn(tables.restated(v), v, 1, 0.73).select("ask", "id", (F.col("ask") % 3).alias("ask_at"), F.lit(1).cast("long").alias("id_at"))
+    a, b = F.struct(F.col("ask_at").alias("at"), F.col("ask").alias("id")), F.struct(F.col("id_at").alias("at"), F.col("id").alias("id"))
+    return near.select(F.greatest(a, b)["id"].alias("dropped"), F.least(a, b)["id"].alias("kept"))
 
 
 @query("OP-25", "SELECT DISTINCT l_orderkey AS id FROM lineitem WHERE l_returnflag = 'R' AND l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')")

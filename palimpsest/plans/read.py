@@ -9,6 +9,7 @@ from palimpsest.functions import hashing, text
 from palimpsest.operators import bitemporal, upkeep
 from palimpsest.operators.bitemporal import ReadMode
 from palimpsest.plans.registry import query
+from palimpsest.streaming import sessions
 from palimpsest.sources import intake, tables
 from palimpsest.sources.tables import CLAIMS, MENTIONS, table
 
@@ -133,9 +134,16 @@ def src_17(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select("item_id", intake.hashed_embedding(F.col("text")).alias("vec"))
 
 
-@query("SRC-18", "SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS follows FROM conversations")
+@query(
+    "SRC-18",
+    "WITH g AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w >= 1800000000 OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM g), t AS (SELECT user_id AS member, min(event_id) AS id, arg_min(event_id % 3, (ts, event_id)) AS workspace, min(ts) AS began FROM s GROUP BY user_id, session) SELECT member, workspace, id, lag(id) OVER (PARTITION BY member, workspace ORDER BY began, id) AS follows FROM t",
+)
 def src_18(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "conversations").select("conv_id", "turn", F.lag("turn").over(Window.partitionBy("conv_id").orderBy("turn")).alias("follows"))
+    """Sessions of a member in a workspace, each following the one before it there."""
+    s = sessions.sessionise(table(spark, d, "events"))
+    t = s.groupBy(F.col("user_id").alias("member"), "session").agg(F.min("event_id").alias("id"), F.min_by(F.col("event_id") % 3, F.struct("ts", "event_id")).alias("workspace"), F.min("ts").alias("at"))
+    follows = F.lag("id").over(Window.partitionBy("member", "workspace").orderBy("at", "id"))
+    return t.select("member", "workspace", "id", follows.alias("follows"))
 
 
 @query("SRC-19", "SELECT c.c_custkey AS member, n.n_name AS workspace, r.r_name AS substrate FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text, vectors, weights
-from palimpsest.operators import bitemporal, entities, graph, names, recall, retrieval, staging, vector_index
+from palimpsest.operators import bitemporal, entities, graph, intentions, names, recall, retrieval, staging, vector_index
 from palimpsest.operators.quantiles import quantiles
 from palimpsest.plans.aggregate import KNN, N, knn, r6
 from palimpsest.plans.registry import query
@@ -462,23 +462,39 @@ def ret_20(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "RET-21",
-    """WITH v AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE vec_id < 10), c AS (SELECT list(m ORDER BY i) AS vec FROM (SELECT i, sum(x * (vec_id + 1)) / sum(vec_id + 1) AS m FROM v GROUP BY 1)),
-        s AS (SELECT vec_id AS id, list_dot_product(c.vec, e.embedding::DOUBLE[]) / sqrt(list_dot_product(c.vec, c.vec) * list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) AS score FROM embeddings e, c WHERE vec_id >= 10)
-        SELECT id, round(score, 5) AS score FROM s ORDER BY s.score DESC, id LIMIT 5""",
+    f"""WITH RECURSIVE {_G0}, {_ACT}, first AS (SELECT ask, node, round(score, 6) AS score FROM act WHERE score >= {LEAST}),
+        v AS (SELECT ask, score, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM first JOIN embeddings ON vec_id = node), c AS (SELECT ask, list(m ORDER BY i) AS vec FROM (SELECT ask, i, sum(x * score) / sum(score) AS m FROM v GROUP BY 1, 2) GROUP BY 1),
+        s AS (SELECT ask, vec_id AS id, list_dot_product(c.vec, e.embedding::DOUBLE[]) / sqrt(list_dot_product(c.vec, c.vec) * list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) AS score FROM embeddings e, c WHERE NOT EXISTS (SELECT 1 FROM first f WHERE f.ask = c.ask AND f.node = e.vec_id))
+        SELECT ask, id, round(score, 4) AS score FROM s WHERE s.score >= 0.1 QUALIFY row_number() OVER (PARTITION BY ask ORDER BY s.score DESC, id) <= 5""",
 )
 def ret_21(spark: SparkSession, d: str) -> DataFrame:
-    """Context resonance: the centroid of anchors, then its neighbours without the anchors."""
+    """Context resonance: the centroid of what each ask activates, weighted by activation, and its nearest that weren't in the
+    first pass. The floor is 0.1, as the vectors are random."""
+    first = staging.stage(_spread(spark, d, retrieval.Budget(rounds=2, least=LEAST)).select("ask", F.col("node").alias("id"), F.col("score").alias("weight")), "first-pass")
+    return retrieval.resonance(first, tables.vectors(spark, d).select("id", "vec"), 64, 5, 0.1).select("ask", "id", F.round("score", 4).alias("score"))
+
+
+#: Vectors as intentions: their subject is the part after them, every 41st has a date, and an ask's neighbours are activated.
+_INTENTIONS = "it AS (SELECT vec_id AS id, vec_id + 1 AS subject, CASE WHEN vec_id % 41 = 0 THEN TIMESTAMP '2001-01-01' + INTERVAL (vec_id) DAY END AS after, embedding::DOUBLE[] AS vec FROM embeddings)"
+_TRIGGERS = f"""{GRAPH}, {BOTH}, {_INTENTIONS}, ctx AS (SELECT vec_id AS ask, embedding::DOUBLE[] AS vec FROM embeddings WHERE vec_id % 100 = 0), near AS (SELECT DISTINCT node AS ask, other AS node FROM both_ways WHERE node % 100 = 0 AND n >= 2),
+    c AS (SELECT ctx.ask, it.id, list_dot_product(ctx.vec, it.vec) / sqrt(list_dot_product(ctx.vec, ctx.vec) * list_dot_product(it.vec, it.vec)) AS cos, near.node IS NOT NULL AS on_entity, coalesce(after <= TIMESTAMP '2001-06-01', false) AS due
+        FROM ctx JOIN it ON it.id <> ctx.ask LEFT JOIN near ON near.ask = ctx.ask AND near.node = it.subject),
+    m AS (SELECT ask, id, CASE WHEN on_entity THEN 0 WHEN due THEN 1 WHEN cos >= 0.1 THEN 2 END AS k, CASE WHEN on_entity OR due THEN 1.0 ELSE cos END AS score FROM c)"""
+
+
+def _triggered(spark: SparkSession, d: str) -> DataFrame:
     v = tables.vectors(spark, d).select("id", "vec")
-    c = retrieval.mean_vector(v.filter("id < 10").select(F.lit(0).alias("k"), "vec", (F.col("id") + 1).alias("weight")), "k", 64)
-    near = retrieval.knn(c.select(F.col("k").cast("long").alias("id"), "vec"), v.filter("id >= 10"), 5)
-    return near.select("id", F.round("score", 5).alias("score"))
+    after = F.when(F.col("id") % 41 == 0, F.to_timestamp(F.lit("2001-01-01")) + F.make_dt_interval(F.col("id").cast("int")))
+    asks = v.filter("id % 100 = 0").select(F.col("id").alias("ask"), "vec")
+    near = _both(spark, d).filter("node % 100 = 0 and n >= 2").select(F.col("node").alias("ask"), F.col("other").alias("node")).distinct()
+    near = near.join(asks.select("ask"), "ask", "left_semi")
+    return intentions.triggered(v.select("id", (F.col("id") + 1).alias("subject"), after.alias("after"), "vec"), asks, near, "2001-06-01", 0.1, 5, asks.select("ask", F.col("ask").alias("id")))
 
 
-@query("RET-22", f"WITH {CLAIMS}, t AS (SELECT id, CASE WHEN subject % 10 = 0 THEN 'entity' WHEN valid_horizon < TIMESTAMP '1996-01-01' THEN 'temporal' WHEN value > 400000 THEN 'situation' END AS trigger, value FROM claims) SELECT id, trigger FROM (SELECT *, row_number() OVER (PARTITION BY trigger ORDER BY value DESC, id) AS r FROM t WHERE trigger IS NOT NULL) WHERE r <= 3")
+@query("RET-22", f"WITH {_TRIGGERS} SELECT ask, id, CASE k WHEN 0 THEN 'entity' WHEN 1 THEN 'temporal' ELSE 'situation' END AS kind, round(score, 5) AS score, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY ask ORDER BY k, score DESC, id) AS place FROM m WHERE k IS NOT NULL) WHERE place <= 5")
 def ret_22(spark: SparkSession, d: str) -> DataFrame:
-    kind = F.when(F.col("subject") % 10 == 0, "entity").when(F.col("valid_horizon") < F.to_timestamp(F.lit("1996-01-01")), "temporal").when(F.col("value") > 400000, "situation")
-    w = Window.partitionBy("trigger").orderBy(F.desc("value"), "id")
-    return tables.claims(spark, d).withColumn("trigger", kind).filter("trigger is not null").withColumn("r", F.row_number().over(w)).filter("r <= 3").select("id", "trigger")
+    """Intentions that asks trigger: by an activated subject, a date that has come, or a near situation (0.1: random vectors)."""
+    return _triggered(spark, d).select("ask", "id", "kind", F.round("score", 5).alias("score"), "place")
 
 
 @query(
@@ -523,11 +539,19 @@ def ret_26(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").join(done, "o_orderkey", "left_anti").groupBy("o_custkey").agg(N().alias("pending"))
 
 
-@query("RET-27", f"WITH {CLAIMS} SELECT CASE WHEN forgotten_at IS NOT NULL THEN 'forgotten' WHEN valid_until IS NOT NULL THEN 'closed' WHEN valid_horizon < TIMESTAMP '2000-01-01' THEN 'expired' ELSE 'run' END AS outcome, count(*) AS n FROM claims GROUP BY 1")
+@query(
+    "RET-27",
+    f"""WITH {_TRIGGERS}, ran AS (SELECT ask, k FROM (SELECT *, row_number() OVER (PARTITION BY ask ORDER BY k, score DESC, id) AS place FROM m WHERE k IS NOT NULL) WHERE place <= 5)
+        SELECT ctx.ask, CASE WHEN ctx.ask % 300 = 0 THEN 'time-travel' WHEN count(k) = 0 THEN 'none-triggered' ELSE 'run' END AS outcome, CASE WHEN ctx.ask % 300 = 0 THEN 0 ELSE count(k) END AS n, CASE WHEN ctx.ask % 300 = 0 THEN 0 ELSE count(*) FILTER (k = 0) END AS by_entity FROM ctx LEFT JOIN ran ON ran.ask = ctx.ask GROUP BY 1""",
+)
 def ret_27(spark: SparkSession, d: str) -> DataFrame:
-    """The intention stage: which intentions run and why others are skipped."""
-    why = F.when(F.col("forgotten_at").isNotNull(), "forgotten").when(F.col("valid_until").isNotNull(), "closed").when(F.col("valid_horizon") < F.to_timestamp(F.lit("2000-01-01")), "expired").otherwise("run")
-    return tables.claims(spark, d).groupBy(why.alias("outcome")).agg(N().alias("n"))
+    """The intention stage of each ask: skipped where another time is read (every third ask) or nothing triggers, else run."""
+    asks = tables.vectors(spark, d).filter("id % 100 = 0").select(F.col("id").alias("ask"))
+    per = _triggered(spark, d).groupBy("ask").agg(N().alias("n"), F.count_if(F.col("kind") == "entity").alias("by_entity"))
+    per = asks.join(per, "ask", "left").na.fill(0, ["n", "by_entity"])
+    other = F.col("ask") % 300 == 0
+    why = F.when(other, "time-travel").when(F.col("n") == 0, "none-triggered").otherwise("run")
+    return per.select("ask", why.alias("outcome"), F.when(other, 0).otherwise(F.col("n")).alias("n"), F.when(other, 0).otherwise(F.col("by_entity")).alias("by_entity"))
 
 
 @query("RET-28", f"WITH {_EVID}, {_RULES} SELECT id, rule FROM rules WHERE rule IN ('typed_admission', 'corroborated')")

@@ -20,11 +20,19 @@ def wr_1(spark: SparkSession, d: str) -> DataFrame:
     return bitemporal.latest(e, ["id"], [F.col("tx_from"), F.col("event_id")], ["event_type", "tx_from"])
 
 
-@query("WR-2", "WITH o AS (SELECT l_partkey AS src, l_suppkey AS dst, 0.05 + l_discount AS eta, row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber) AS i FROM lineitem) SELECT src, dst, round(1 - product(CASE WHEN i = 1 THEN 1 - greatest(eta, 0.1) ELSE 1 - eta END), 6) AS strength, count(*) AS n FROM o GROUP BY 1, 2")
+@query(
+    "WR-2",
+    """WITH o AS (SELECT l_partkey AS src, l_suppkey AS dst, 0.05 + l_discount AS eta, l_returnflag = 'R' AND l_quantity >= 45 AS closes, row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber) AS i FROM lineitem),
+            c AS (SELECT src, dst, max(i) FILTER (closes) AS last, max(i) AS i FROM o GROUP BY 1, 2), k AS (SELECT o.*, coalesce(c.last = c.i, false) AS closed, coalesce(c.last, 0) AS last FROM o JOIN c USING (src, dst)),
+            f AS (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY i) AS j FROM k WHERE NOT closes AND (i > last OR closed) AND (NOT closed OR i > coalesce((SELECT max(p.i) FROM o p WHERE p.src = k.src AND p.dst = k.dst AND p.closes AND p.i < k.last), 0)))
+       SELECT src, dst, round(1 - product(CASE WHEN j = 1 THEN 1 - greatest(eta, 0.1) ELSE 1 - eta END), 6) AS strength, count(*) AS n, bool_or(closed) AS closed FROM f GROUP BY 1, 2""",
+)
 def wr_2(spark: SparkSession, d: str) -> DataFrame:
-    """Edge strength by bounded steps, as a product over its observations."""
-    o = table(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"), (F.lit(0.05) + F.col("l_discount")).alias("eta"), "l_shipdate", "l_orderkey", "l_linenumber")
-    return entities.bounded_steps(o, ["src", "dst"], ["l_shipdate", "l_orderkey", "l_linenumber"]).select("src", "dst", r6("strength").alias("strength"), "n")
+    """Edge strength by bounded steps; large returns close an edge, and one that is seen again begins anew."""
+    o = table(spark, d, "lineitem").select(
+        F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"), (F.lit(0.05) + F.col("l_discount")).alias("eta"), ((F.col("l_returnflag") == "R") & (F.col("l_quantity") >= 45)).alias("closes"), "l_shipdate", "l_orderkey", "l_linenumber"
+    )
+    return entities.reopened_steps(o, ["src", "dst"], ["l_shipdate", "l_orderkey", "l_linenumber"]).select("src", "dst", r6("strength").alias("strength"), "n", "closed")
 
 
 @query("WR-3", "SELECT o_orderkey AS id, epoch_us(min(c)) AS valid_until FROM (SELECT o_orderkey, CASE WHEN l_returnflag = 'R' THEN l_shipdate END AS c FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey) GROUP BY 1")
@@ -57,11 +65,18 @@ def wr_6(spark: SparkSession, d: str) -> DataFrame:
     return tables.claims(spark, d).filter("superseded_by is not null").select("id", "superseded_by", F.unix_micros("valid_until").alias("closed_at"))
 
 
-@query("WR-7", "WITH l AS (SELECT user_id, event_type, ts, event_id FROM events WHERE event_type IN ('error', 'purchase')) SELECT user_id AS id, arg_max(event_type, (ts, event_id)) = 'error' AS closed FROM l GROUP BY 1")
+@query(
+    "WR-7",
+    f"""WITH {CLAIMS}, u AS (SELECT l_orderkey AS id, l_shipdate AS undo_at FROM lineitem WHERE l_returnflag = 'A' AND l_linenumber = 1)
+        SELECT c.id, CASE WHEN undone THEN NULL ELSE superseded_by END AS superseded_by, CASE WHEN undone THEN NULL ELSE epoch_us(valid_until) END AS valid_until, superseded_by AS lineage, epoch_us(tx_until) AS edge_from, CASE WHEN undone THEN epoch_us(undo_at) END AS edge_until
+        FROM (SELECT *, undo_at IS NOT NULL AS undone FROM (SELECT claims.*, (SELECT min(undo_at) FROM u WHERE u.id = claims.id AND undo_at >= claims.tx_until) AS undo_at FROM claims)) c WHERE superseded_by IS NOT NULL""",
+)
 def wr_7(spark: SparkSession, d: str) -> DataFrame:
-    """Close and reopen events: the last one tells (errors close, purchases reopen)."""
-    e = table(spark, d, "events").filter(F.col("event_type").isin("error", "purchase")).withColumn("id", F.col("user_id"))
-    return bitemporal.latest(e, ["id"], [F.col("ts"), F.col("event_id")], ["event_type"]).select("id", (F.col("event_type") == "error").alias("closed"))
+    """Unsupersede: events after a supersession was written take the stamps off and close the lineage edge in transaction time."""
+    undo = table(spark, d, "lineitem").filter("l_returnflag = 'A' and l_linenumber = 1").select(F.col("l_orderkey").alias("id"), F.col("l_shipdate").alias("at"))
+    c = tables.claims(spark, d).filter("superseded_by is not null").select("id", "superseded_by", "valid_until", F.col("tx_until").alias("superseded_at"))
+    n = bitemporal.unsupersede(c, undo)
+    return n.select("id", "superseded_by", F.unix_micros("valid_until").alias("valid_until"), "lineage", F.unix_micros("edge_from").alias("edge_from"), F.unix_micros("edge_until").alias("edge_until"))
 
 
 @query("WR-8", f"WITH {CLAIMS}, f AS (SELECT l_orderkey AS id, min(l_shipdate) AS at FROM lineitem WHERE l_returnflag = 'A' AND l_linenumber = 1 GROUP BY 1) SELECT c.id, epoch_us(coalesce(c.forgotten_at, f.at)) AS forgotten_at FROM claims c LEFT JOIN f ON f.id = c.id")
@@ -70,9 +85,24 @@ def wr_8(spark: SparkSession, d: str) -> DataFrame:
     return bitemporal.forget(tables.claims(spark, d).select("id", "forgotten_at"), f).select("id", F.unix_micros("forgotten_at").alias("forgotten_at"))
 
 
-@query("WR-9", "SELECT lower(p_name) AS name_norm, min(p_partkey) AS id, count(*) AS n FROM part GROUP BY 1")
+@query(
+    "WR-9",
+    """WITH RECURSIVE k AS (SELECT lower(p_name) AS name_norm, min(p_partkey) AS id FROM part GROUP BY 1), n AS (SELECT *, row_number() OVER (ORDER BY name_norm) AS i FROM k),
+            e AS (SELECT name_norm, n.id, CASE WHEN i % 3 <> 0 THEN (SELECT id FROM n m WHERE m.i = n.i + 1) END AS merged_into, n.id % 2 = 0 AS closed FROM n),
+            w(start, id, depth) AS (SELECT id, id, 0 FROM e UNION ALL SELECT w.start, e.merged_into, depth + 1 FROM w JOIN e ON e.id = w.id WHERE e.merged_into IS NOT NULL AND depth < 8), h AS (SELECT start, arg_max(id, depth) AS head FROM w GROUP BY 1),
+            o AS (SELECT name_norm, count(*) AS n FROM (SELECT lower(p_name) AS name_norm FROM part UNION ALL SELECT 'new ' || lower(p_brand) FROM part) GROUP BY 1)
+       SELECT o.name_norm, coalesce(h.head::VARCHAR, sha256('entity' || chr(0) || o.name_norm)) AS id, CASE WHEN h.head IS NULL THEN 'created' WHEN t.closed THEN 'reopened' ELSE 'found' END AS action, n FROM o LEFT JOIN e USING (name_norm) LEFT JOIN h ON h.start = e.id LEFT JOIN e t ON t.id = h.head""",
+)
 def wr_9(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").groupBy(text.fold_ascii(F.col("p_name")).alias("name_norm")).agg(F.min("p_partkey").alias("id"), N().alias("n"))
+    """Entity upserts by folded name over planted merges in chains: the head of the chain is found, reopened if it is closed;
+    unknown names are created."""
+    p = table(spark, d, "part")
+    known = staging.stage(p.groupBy(text.fold_ascii(F.col("p_name")).alias("name_norm")).agg(F.min("p_partkey").alias("id")), "entities")
+    w = Window.orderBy("name_norm")  # of the few names of parts
+    e = known.withColumns({"i": F.row_number().over(w), "next": F.lead("id").over(w)})
+    e = e.select("name_norm", "id", F.when(F.col("i") % 3 != 0, F.col("next")).alias("merged_into"), (F.col("id") % 2 == 0).alias("closed"))
+    seen = p.select(F.explode(F.array("p_name", F.concat(F.lit("new "), "p_brand"))).alias("name"))
+    return entities.upsert(seen, staging.stage(e, "merged")).select("name_norm", "id", "action", "n")
 
 
 _G0 = f"{MENTIONS}, ment AS (SELECT entity, count(*) AS k FROM mentions GROUP BY 1), g AS (SELECT p_partkey AS id, translate(lower(p_name), '-_./ ', '') AS squash, coalesce(k, 0) AS k FROM part LEFT JOIN ment ON entity = p_partkey), canon AS (SELECT id, first_value(id) OVER (PARTITION BY squash ORDER BY k DESC, id) AS canonical FROM g)"
@@ -272,12 +302,19 @@ def wr_26(spark: SparkSession, d: str) -> DataFrame:
     return upkeep.vector_age(table(spark, d, "part").select(F.col("p_partkey").alias("id")), v, touches)
 
 
-@query("WR-27", "WITH t AS (SELECT conv_id, string_agg(text, ' / ' ORDER BY turn) AS body, count(*) AS turns FROM conversations GROUP BY 1) SELECT conv_id, body, turns, sha256(conv_id::VARCHAR || chr(0) || body) AS id FROM t")
+@query(
+    "WR-27",
+    """WITH v AS (SELECT conv_id, turn, text, unnest([1, 2]) AS version FROM conversations), t AS (SELECT * FROM v WHERE version = 2 OR turn < 3), k AS (SELECT *, count(*) OVER w AS k, row_number() OVER (PARTITION BY conv_id, version ORDER BY turn) AS r FROM t WINDOW w AS (PARTITION BY conv_id, version)),
+            c AS (SELECT *, ceil(k / 4.0) AS chunks FROM k), s AS (SELECT *, floor(k / chunks) AS small, k % chunks AS wide FROM c),
+            b AS (SELECT conv_id, version, turn, text, (CASE WHEN r <= wide * (small + 1) THEN floor((r - 1) / (small + 1)) + 1 ELSE wide + floor((r - 1 - wide * (small + 1)) / small) + 1 END)::BIGINT AS chunk FROM s),
+            n AS (SELECT conv_id, version, chunk, string_agg(split_part(text, chr(10), 1), ' / ' ORDER BY turn) AS body, min(turn) AS first_turn, max(turn) AS last_turn, count(*) AS turns FROM b GROUP BY 1, 2, 3)
+       SELECT conv_id, version, chunk, body, first_turn, last_turn, turns, sha256(conv_id::VARCHAR || chr(0) || version::VARCHAR || chr(0) || chunk::VARCHAR || chr(0) || body) AS id, max(version) OVER (PARTITION BY conv_id) > version AS superseded FROM n""",
+)
 def wr_27(spark: SparkSession, d: str) -> DataFrame:
-    """Narratives with a deterministic text and a content-addressed id."""
-    lines = F.sort_array(F.collect_list(F.struct("turn", F.col("text").alias("line"))))
-    t = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(lines, lambda x: x["line"]), " / ").alias("body"), N().alias("turns"))
-    return t.withColumn("id", hashing.derived_id(F.col("conv_id"), F.col("body")))
+    """Narratives in two versions, of the first three turns and of all: chunks of even size, the first line of each turn, an
+    id of the content; the later version supersedes."""
+    t = table(spark, d, "conversations").select("conv_id", "turn", "text", F.explode(F.array(F.lit(1), F.lit(2))).alias("version")).filter("version = 2 or turn < 3")
+    return upkeep.narratives(t, 4).select("conv_id", "version", "chunk", "body", "first_turn", "last_turn", "turns", "id", "superseded")
 
 
 @query("WR-28", "SELECT event_id, CASE event_type WHEN 'purchase' THEN 'applied' WHEN 'error' THEN 'dismissed' END AS state FROM events WHERE event_type IN ('purchase', 'error')")
