@@ -28,7 +28,7 @@ def triggered(intentions: DataFrame, contexts: DataFrame, activated: DataFrame,
     # an ask's entities may hold limit of the dates' places too
     due = intentions.filter(F.col("after") <= F.to_timestamp(F.lit(now))).select("id").orderBy("id").limit(most + limit)
     dated = contexts.select("ask").distinct().join(F.broadcast(due)).select("ask", "id", F.lit(1).alias("k"), F.lit(1.0).alias("score"))
-    near = retrieval.knn(contexts.select(F.col("ask").alias("id"), "vec"), intentions.filter("vec is not null").select("id", "vec"), most + 2 * limit, floor, skip_self=False)
+    near = retrieval.knn(contexts.select(F.col("ask").alias("id"), "vec"), intentions.filter("vec is not null").select("id", "vec"), 2 * (most + limit), floor, skip_self=False)
     situation = near.select("ask", "id", F.lit(2).alias("k"), "score")
     best = entity.unionByName(dated).unionByName(situation).join(gone, ["ask", "id"], "left_anti").groupBy("ask", "id").agg(F.min("k").alias("k"), F.max_by("score", -F.col("k")).alias("score"))
     w = Window.partitionBy("ask").orderBy("k", F.desc("score"), "id")

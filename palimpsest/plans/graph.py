@@ -81,13 +81,13 @@ _CROSS = "cr AS (SELECT least(x.community, y.community) AS ca, greatest(x.commun
 
 
 # edges between parts of near numbers, and blocks of fifty parts as their communities
-_BLOCKS = f"{GRAPH}, near AS (SELECT src, dst, src // 50 AS x, dst // 50 AS y FROM edges WHERE dst - src <= 5), ends AS (SELECT x AS c, x = y AS inside FROM near UNION ALL SELECT y, x = y FROM near), k AS (SELECT c, count(*) FILTER (inside) // 2 AS internal, count(*) FILTER (NOT inside) AS external FROM ends GROUP BY 1), prof AS (SELECT z.c, z.size, least(1, coalesce(internal, 0) / z.size::DOUBLE) AS coh, greatest(0, 1 - coalesce(external, 0) / z.size::DOUBLE) AS iso FROM (SELECT p_partkey // 50 AS c, count(*) AS size FROM part GROUP BY 1) z LEFT JOIN k ON k.c = z.c), best AS (SELECT * FROM prof WHERE coh * iso > 0 ORDER BY round(coh * iso, 9) DESC, c LIMIT 512), cr AS (SELECT least(x, y) AS ca, greatest(x, y) AS cb, count(*) AS n FROM near WHERE x <> y GROUP BY 1, 2)"
+_BLOCKS = f"{GRAPH}, near AS (SELECT src, dst, src // 50 AS x, dst // 50 AS y FROM edges WHERE dst - src <= 5), ends AS (SELECT x AS c, x = y AS inside FROM near UNION ALL SELECT y, x = y FROM near), k AS (SELECT c, count(*) FILTER (inside) // 2 AS internal, count(*) FILTER (NOT inside) AS external FROM ends GROUP BY 1), prof AS (SELECT z.c, z.size, least(1, coalesce(internal, 0) / z.size::DOUBLE) AS coh, greatest(0, 1 - coalesce(external, 0) / z.size::DOUBLE) AS iso FROM (SELECT p_partkey // 50 AS c, count(*) AS size FROM part GROUP BY 1) z LEFT JOIN k ON k.c = z.c), best AS (SELECT * FROM prof WHERE coh * iso > 0), cr AS (SELECT least(x, y) AS ca, greatest(x, y) AS cb, count(*) AS n FROM near WHERE x <> y GROUP BY 1, 2)"
 
 
 @query(
     "GRA-5",
     f"""WITH {_BLOCKS}, s AS (SELECT a.c AS ca, b.c AS cb, coalesce(n, 0) AS n, least(1, coalesce(n, 0) / least(a.size, b.size)::DOUBLE) AS overlap, least(a.coh, b.coh) * (least(a.size, b.size) / greatest(a.size, b.size)::DOUBLE) * (1 - least(1, coalesce(n, 0) / least(a.size, b.size)::DOUBLE)) * least(a.iso, b.iso) AS score FROM best a JOIN best b ON a.c < b.c LEFT JOIN cr ON cr.ca = a.c AND cr.cb = b.c)
-        SELECT ca, cb, n, round(score, 8) AS score FROM s WHERE overlap <= 0.25 AND score > 0""",
+        SELECT ca, cb, n, round(score, 8) AS score FROM s WHERE overlap <= 0.25 AND s.score > 0 ORDER BY round(s.score, 9) DESC, ca, cb LIMIT 500""",
 )
 def gra_5(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of communities for bridges: coherent, of like size, hardly joined and cut off from the rest."""

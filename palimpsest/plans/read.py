@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import hashing, text
-from palimpsest.operators import bitemporal, upkeep
+from palimpsest.operators import bitemporal, staging, upkeep
 from palimpsest.operators.bitemporal import ReadMode
 from palimpsest.plans.registry import query
-from palimpsest.streaming import sessions
 from palimpsest.sources import intake, tables
 from palimpsest.sources.tables import CLAIMS, MENTIONS, table
+from palimpsest.streaming import sessions
 
 T1, T2, NOW = "1998-06-01 00:00:00", "1999-01-01 00:00:00", "2001-01-01 00:00:00"
 
@@ -37,13 +37,31 @@ def src_3(spark: SparkSession, d: str) -> DataFrame:
     return tables.vectors(spark, d).join(ids, "id", "left_semi").select("id", "label", F.size("vec").cast("long").alias("dims"), F.round(F.col("vec")[0].cast("double"), 5).alias("first"))
 
 
-@query("SRC-4")
+@query(
+    "SRC-4",
+    """WITH c AS (SELECT conv_id, count(*) AS turns FROM conversations GROUP BY 1), r AS (SELECT *, CASE WHEN conv_id % 7 = 0 THEN 'not-json' WHEN conv_id % 11 = 0 THEN 'no-turns' WHEN conv_id % 13 = 0 THEN 'bad-turn' END AS reason FROM c)
+       SELECT CASE WHEN reason IS NULL THEN 'stored' ELSE 'quarantined' END AS state, reason, count(*) AS n, coalesce(sum(CASE WHEN reason IS NULL THEN turns END), 0)::BIGINT AS turns FROM r GROUP BY 1, 2
+       UNION ALL SELECT 'after repair', NULL, count(*), sum(turns)::BIGINT FROM c""",
+)
 def src_4(spark: SparkSession, d: str) -> DataFrame:
-    """Intake: reflection documents as JSON lines are parsed, redacted and shaped."""
+    """Intake as a stream of JSON lines, some of them planted broken: what is stored, what is in quarantine and why, and what is
+    stored after a second run over all lines repaired."""
     docs = table(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
-    turns = F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text")))
-    raw = docs.select(F.to_json(F.struct(turns.alias("turns"), F.col("conv_id").cast("string").alias("session_id"), F.lit("interactive").alias("lane"))).alias("value"))
-    return intake.shape(intake.parse(raw)).select("session_id", "lane", "n_turns", "content_hash", "text")
+    lines = lambda role: F.to_json(F.struct(F.transform("t", lambda x: F.struct(role(x).alias("role"), F.coalesce(x["text"], F.lit("")).alias("text"))).alias("turns"), F.col("conv_id").cast("string").alias("session_id"), F.lit("interactive").alias("lane")))
+    right, k = lines(lambda x: x["role"]), F.col("conv_id")
+    wrong = F.when(k % 7 == 0, F.substring(right, 1, 30)).when(k % 11 == 0, F.to_json(F.struct(k.cast("string").alias("session_id"), F.array().alias("turns")))).when(k % 13 == 0, lines(lambda x: F.lit(None).cast("string"))).otherwise(right)
+    box, out, done = (staging.new_path(spark, x) for x in ("lines", "intake", "intake-state"))
+    docs = staging.stage(docs, "conversations")
+    for value in (wrong, right):
+        docs.select(value.alias("value")).write.mode("append").text(box)
+        intake.take_in(spark.readStream.text(box), out, done).awaitTermination()
+        if value is wrong:
+            stored, held = (staging.stage(spark.read.parquet(f"{out}/{x}").drop("epoch"), x) for x in ("stored", "quarantine"))
+    none = F.lit(None).cast("string")
+    first = stored.agg(F.count(F.lit(1)).alias("n"), F.sum("n_turns").alias("turns")).select(F.lit("stored").alias("state"), none.alias("reason"), "n", "turns")
+    rest = held.groupBy("reason").agg(F.count(F.lit(1)).alias("n")).select(F.lit("quarantined").alias("state"), "reason", "n", F.lit(0).cast("long").alias("turns"))
+    last = spark.read.parquet(f"{out}/stored").agg(F.count(F.lit(1)).alias("n"), F.sum("n_turns").alias("turns")).select(F.lit("after repair").alias("state"), none.alias("reason"), "n", "turns")
+    return first.unionByName(rest).unionByName(last)
 
 
 @query(

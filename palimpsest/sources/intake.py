@@ -6,8 +6,10 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from palimpsest.functions import hashing, redaction
 from palimpsest.sources import schemas
@@ -19,6 +21,43 @@ def parse(raw: DataFrame, value: str = "value") -> DataFrame:
     return raw.select(doc.alias("d")).select("d.*", F.col("d.turns").isNull().alias("broken"))
 
 
+def sorted_out(raw: DataFrame, value: str = "value") -> DataFrame:
+    """JSON lines as reflection documents with what is wrong with each: value, the document's fields, reason (null: nothing).
+
+    not-json, no-session, no-turns or bad-turn (one without a role or a text), the first that holds.
+    """
+    schema = T.StructType([*schemas.REFLECTION.fields, T.StructField("palimpsest_corrupt", T.StringType())])
+    doc = F.from_json(value, schema, {"columnNameOfCorruptRecord": "palimpsest_corrupt"})
+    rows = raw.select(F.col(value).alias("value"), doc.alias("d")).select("value", "d.*")
+    reason = F.when(F.col("palimpsest_corrupt").isNotNull() | (F.trim("value") == "") | F.col("value").isNull(), "not-json").when(F.col("session_id").isNull(), "no-session")
+    reason = reason.when(F.col("turns").isNull() | (F.size("turns") == 0), "no-turns").when(F.exists("turns", lambda t: t.isNull() | t["role"].isNull() | t["text"].isNull()), "bad-turn")
+    return rows.withColumn("reason", reason).drop("palimpsest_corrupt")
+
+
+def take_in(stream: DataFrame, out: str, checkpoint: str):
+    """Takes in a stream of JSON lines (value): what is right goes to out/stored, shaped and redacted, the rest with its reason
+    to out/quarantine (SRC-4). Returns the running query.
+
+    Each batch writes folders of its own, which a repeated batch overwrites, and stores no content that an earlier one has
+    stored; so neither a restart nor a second run over the same or repaired lines stores anything twice.
+    """
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        rows = sorted_out(batch)
+        fresh = shape(rows.filter("reason is null").withColumn("broken", F.lit(False)).drop("value", "reason")).dropDuplicates(["session_id", "content_hash"])
+        try:
+            stored = spark.read.parquet(f"{out}/stored").filter(F.col("epoch") != epoch)
+            fresh = fresh.join(stored.select("session_id", "content_hash"), ["session_id", "content_hash"], "left_anti")
+        except AnalysisException as e:  # the first batch finds no folder
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+        fresh.write.mode("overwrite").parquet(f"{out}/stored/epoch={epoch}")
+        rows.filter("reason is not null").select("value", "reason").write.mode("overwrite").parquet(f"{out}/quarantine/epoch={epoch}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def shape(docs: DataFrame) -> DataFrame:
     """One row a document with its text after redaction, the number of turns and a content hash (SRC-4)."""
     lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit(": "), F.coalesce(t["text"], F.lit(""))))

@@ -246,8 +246,12 @@ def test_knn_in_blocks(spark, monkeypatch):
     rnd = random.Random(1)
     v = spark.createDataFrame([(i, [rnd.gauss(0, 1) for _ in range(4)]) for i in range(40)], "id long, vec array<double>")
     whole = sorted(tuple(r) for r in retrieval.knn(v.filter("id < 9"), v, 3).collect())
-    monkeypatch.setattr(retrieval, "ASK_BLOCK", 2)
+    monkeypatch.setattr(retrieval, "ASK_BYTES", 64)
     assert sorted(tuple(r) for r in retrieval.knn(v.filter("id < 9"), v, 3).collect()) == whole and len(whole) == 27
+    # an ask scores by its own size, whatever the sizes of the asks beside it
+    mixed = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0, 0.0]), (3, [0.9, 0.1]), (4, [0.9, 0.1, 0.0]), (5, None)], "id long, vec array<double>")
+    got = {(r["ask"], r["id"]) for r in retrieval.knn(mixed, mixed, 1, 0.5).collect()}
+    assert got == {(1, 3), (3, 1), (2, 4), (4, 2)}
 
 
 def test_sessions_split_at_exactly_thirty_minutes(spark):

@@ -34,9 +34,9 @@ def test_intentions_trigger_by_kind_before_score(spark):
                 found.append((1, -1.0, i))
             elif v and cos(v, c) >= 0.5:
                 found.append((2, -cos(v, c), i))
-        want |= {(k, p): (i, intentions.KINDS[kind], round(-s, 9)) for p, (kind, s, i) in enumerate(sorted(found)[:9], 1)}
+        want |= {(k, p): (i, intentions.KINDS[kind], round(-s, 9)) for p, (kind, s, i) in enumerate(sorted(found)[:26], 1)}
     got = intentions.triggered(
-        spark.createDataFrame(some, "id long, subject long, after timestamp, vec array<double>"), spark.createDataFrame(asks, "ask long, vec array<double>"), spark.createDataFrame(active, "ask long, node long"), "2024-06-01", 0.5, 9, spark.createDataFrame(served, "ask long, id long")
+        spark.createDataFrame(some, "id long, subject long, after timestamp, vec array<double>"), spark.createDataFrame(asks, "ask long, vec array<double>"), spark.createDataFrame(active, "ask long, node long"), "2024-06-01", 0.5, 26, spark.createDataFrame(served, "ask long, id long")
     )
     assert {(r["ask"], r["place"]): (r["id"], r["kind"], round(r["score"], 9)) for r in got.collect()} == want
     assert {x[1] for x in want.values()} == set(intentions.KINDS)
@@ -93,3 +93,27 @@ def test_resonance_leaves_the_first_pass_out(spark):
     first = spark.createDataFrame([(1, 2, 1.0), (1, 3, 0.5), (2, 20, 1.0)], "ask long, id long, weight double")
     got = retrieval.resonance(first, v, 2, 2).collect()
     assert sorted((r["ask"], r["id"]) for r in got) == [(1, 1), (1, 4)]
+
+
+def test_intake_parts_good_lines_from_bad_ones(spark, tmp_path):
+    from palimpsest.sources import intake
+
+    def line(session, *turns):
+        import json
+
+        return json.dumps({"session_id": session, "lane": "bulk", "turns": [{"role": r, "text": t} for r, t in turns]})
+
+    good = [line("a", ("user", "hi")), line("b", ("user", "token = abcdefgh1"), ("assistant", "ok")), line("a", ("user", "hi"))]
+    bad = ["{", "", '{"turns": []}', line("c"), line("d", ("user", None)), "[1]"]
+    box, out, state = (str(tmp_path / x) for x in ("box", "out", "state"))
+
+    def run(lines):
+        spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.mode("append").text(box)
+        intake.take_in(spark.readStream.text(box), out, state).awaitTermination()
+        return [sorted(r[0] for r in spark.read.parquet(f"{out}/{x}").select(c).collect()) for x, c in (("stored", "session_id"), ("quarantine", "reason"))]
+
+    stored, held = run(good + bad)
+    assert stored == ["a", "b"] and held == ["bad-turn", "no-session", "no-turns", "not-json", "not-json", "not-json"]
+    assert "abcdefgh1" not in str(spark.read.parquet(f"{out}/stored").collect())
+    assert run(good)[0] == ["a", "b"], "a replay stores nothing"
+    assert run([line("c", ("user", "now right"))])[0] == ["a", "b", "c"]

@@ -129,6 +129,35 @@ def test_bridge_pairs(spark):
     assert got == {(1, 2): round(0.5 * 0.8 * 0.8, 6), (2, 5): round(0.5 * 1.0 * 0.5, 6)}
 
 
+@pytest.mark.parametrize("start", [2, 64])
+def test_the_best_bridges_are_those_of_all_pairs(spark, start):
+    """Three thousand communities, of which a few score best though they aren't first by either bound."""
+    import random
+
+    rnd = random.Random(8)
+    rows = [(i, size, rnd.randrange(size + 3), rnd.randrange(size + 1)) for i in range(400 if start == 2 else 3000) for size in [rnd.randrange(2, 40)]]
+    cross = {tuple(sorted(rnd.sample(range(len(rows)), 2))): rnd.randrange(1, 9) for _ in range(5000)}
+    got = [(r["ca"], r["cb"], r["n"]) for r in graph.bridge_pairs(spark.createDataFrame(rows, "community long, size long, internal long, external long"), spark.createDataFrame([(*k, n) for k, n in cross.items()], "ca long, cb long, n long"), most=25, start=start).collect()]
+    good = sorted(((min(1, k / s) * max(0, 1 - e / s), c, s, min(1, k / s), max(0, 1 - e / s)) for c, s, k, e in rows if k and e < s), reverse=True)
+    found = []
+    for i, (_, c, s, coh, iso) in enumerate(good):
+        for _, c2, s2, coh2, iso2 in good[:i]:
+            n = cross.get((min(c, c2), max(c, c2)), 0)
+            if n <= 0.25 * min(s, s2):
+                found.append((-round(min(coh, coh2) * min(s, s2) / max(s, s2) * (1 - n / min(s, s2)) * min(iso, iso2), 9), min(c, c2), max(c, c2), n))
+    assert got == [(a, b, n) for _, a, b, n in sorted(found)[:25]]
+
+
+@pytest.mark.parametrize("least", [0.1, 0.4, 0.8, 1.0])
+def test_similar_sets_are_all_pairs(spark, least):
+    import random
+
+    rnd = random.Random(4)
+    sets = {i: {0} | {rnd.randrange(30) for _ in range(rnd.randrange(1, 12))} for i in range(60)} | {90: {0}, 91: {0}, 92: {5, 6}}
+    got = {(r["a"], r["b"]): (r["inter"], round(r["score"], 9)) for r in graph.jaccard(spark.createDataFrame([(i, m) for i, s in sets.items() for m in s], "item long, member long"), least).collect()}
+    assert got == {(i, j): (len(s & t), round(len(s & t) / len(s | t), 9)) for i, s in sets.items() for j, t in sets.items() if i < j and s & t and len(s & t) / len(s | t) >= least}
+
+
 def test_under_connected(spark):
     nodes = spark.createDataFrame([(i,) for i in range(5)], "id long")
     both = spark.createDataFrame([(0, 9)] * 3 + [(1, 9)] * 2 + [(2, 9)], "node long, other long")
