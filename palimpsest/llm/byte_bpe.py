@@ -162,7 +162,13 @@ def decode(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
 
 
 def digests(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
-    """docs with n_tokens, ids_sha256 and decoded_sha256, encoded and decoded in one pass."""
+    """docs with n_tokens, ids_sha256 and decoded_sha256, encoded and decoded in one pass; no shuffle.
+
+    ranks: a file of base64 tokens with their ranks, readable on every executor; pattern parts the text. A null or empty
+    text has no ids, and the digests are those of no bytes. Very long texts are encoded whole, a part at a time. Other
+    columns, null keys and repeated rows pass through; input columns of the three names are replaced. An empty table
+    gives an empty result.
+    """
 
     def make():
         use = coder(ranks, pattern)

@@ -26,7 +26,8 @@ def refine(docs: DataFrame, every_digest: bool = True) -> DataFrame:
     their number, and a row that it lets through wrongly is hashed once more than needed and found to be single.
 
     Nulls: a null text is an empty one; a null doc_id sorts last. Repeated rows (doc_id and text alike) are members
-    of one group like others, and exactly one row of a group has kept = true. An empty table gives an empty result.
+    of one group like others, and exactly one row of a group has kept = true. Very long texts are normalised and hashed whole
+    where they are read. An empty table gives an empty result.
     Other columns are ignored. Output: doc_id, keep_id, group_size, kept, text_sha256 (without every_digest null for
     single rows).
     """

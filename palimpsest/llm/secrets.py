@@ -304,7 +304,8 @@ def scan(docs: DataFrame, model: Model, gain: float = GAIN) -> DataFrame:
     """docs with n_assign, n_access, n_hex, base_sha256 and spans; no shuffle.
 
     Spans of the automata are named like_<kind>. Null and empty texts have none, and base_sha256 is then that of the
-    empty string. Other columns, null keys and repeated rows pass through; input columns of the five names are replaced.
+    empty string. Very long texts are scanned whole, in one pass over their tokens. Other columns, null keys and repeated
+    rows pass through; input columns of the five names are replaced. An empty table gives an empty result.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 

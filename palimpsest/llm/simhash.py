@@ -192,7 +192,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -
     """(doc_id, fp, component_id): documents linked by fingerprints within the radius, over any number of links.
 
     component_id is the least doc_id of the class. Nulls: a null text has fingerprint zero like an empty one; a null
-    doc_id is a row of its own that never names a class unless no member has a doc_id. Repeated rows stay repeated.
+    doc_id is a row of its own that never names a class unless no member has a doc_id. Repeated rows stay repeated. Very
+    long texts are hashed whole where they are read. Other columns are ignored. An empty table gives an empty result.
     """
     rows = common.stage(fingerprints(docs, words), "simhash").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(common.SALTS)))
     part = rows.groupBy("fp", "salt").agg(F.min("doc_id").alias("first"))

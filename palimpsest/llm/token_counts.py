@@ -15,8 +15,9 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     """docs with n_bytes (UTF-8), n_tokens and over_limit; one row in, one row out, no shuffle.
 
     path: a tokenizers file whose pre-tokenizer drops white space, readable on every executor. A null or empty text
-    has no bytes and no tokens. Other columns, null keys and repeated rows pass through; input columns of the three
-    names are replaced.
+    has no bytes and no tokens. Very long texts are encoded in overlapping windows, in memory of a window's tokens. Other
+    columns, null keys and repeated rows pass through; input columns of the three names are replaced. An empty table
+    gives an empty result.
     """
 
     def make():

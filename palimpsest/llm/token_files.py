@@ -104,7 +104,8 @@ def write(docs: DataFrame, out: str, tokenizer: str, end_id: int, segment: int =
     of one doc_id go by the hash of their ids, so the order is defined, and one doc_id may fill several shards. A shard
     is a partition. Segments are rows of a Parquet folder, so that any store Spark reaches holds them and a lost task is
     simply run again: (shard, segment, start_in_shard, n_docs, n_ids, blob). Null texts are empty: their only id is
-    end_id. Repeated doc_ids stay, next to each other.
+    end_id. Repeated doc_ids stay, next to each other. A very long text's ids are one document of one segment. Other columns
+    are ignored. An empty table writes no segment.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
