@@ -11,18 +11,19 @@ from palimpsest.plans.aggregate import KNN, N, knn, r6
 from palimpsest.plans.read import SHAPE
 from palimpsest.plans.registry import query
 from palimpsest.plans.retrieval import _LONG, _OVERLAP, _SHAPE, ORPHANS, SIBLINGS, _recall, orphans, siblings
-from palimpsest.plans.scalar import RESIDUE
+from palimpsest.plans.scalar import LEAKY, RESIDUE, leaky
 from palimpsest.plans.stateful import JOBS, job_log
 from palimpsest.plans.write import _G0, _REDIR, _entities
-from palimpsest.sources import tables
+from palimpsest.sources import intake, tables
 from palimpsest.sources.tables import BOTH, CLAIMS, GRAPH, MENTIONS, RESTATED, table
 
 
-@query("OP-1", "SELECT doc_id FROM documents WHERE text IS NOT NULL AND trim(text) <> '' AND doc_id NOT IN (SELECT vec_id FROM embeddings) ORDER BY doc_id LIMIT 200")
+@query("OP-1", "SELECT doc_id, 32 AS dims FROM documents WHERE text IS NOT NULL AND trim(text) <> '' AND doc_id NOT IN (SELECT vec_id FROM embeddings WHERE vec_id % 3 <> 0) ORDER BY doc_id LIMIT 200")
 def op_1(spark: SparkSession, d: str) -> DataFrame:
-    """Backfill: texts without a vector, a batch of 200."""
-    vecs = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"))
-    return table(spark, d, "documents").filter(F.trim("text") != "").select("doc_id").join(vecs, "doc_id", "left_anti").orderBy("doc_id").limit(200)
+    """Backfill: texts without a vector (those of every third one are taken to be missing) get one, a batch of 200."""
+    vecs = table(spark, d, "embeddings").filter("vec_id % 3 <> 0").select(F.col("vec_id").alias("doc_id"))
+    batch = table(spark, d, "documents").filter(F.trim("text") != "").select("doc_id", "text").join(vecs, "doc_id", "left_anti").orderBy("doc_id").limit(200)
+    return batch.select("doc_id", F.size(intake.hashed_embedding(F.col("text"))).alias("dims"))
 
 
 @query("OP-2", "SELECT o_orderkey AS id, 'reflect' AS job FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
@@ -40,14 +41,13 @@ def op_3(spark: SparkSession, d: str) -> DataFrame:
 _ASSIGNED = r"""(?i)((?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\s*[:=]\s*[\"'']?)([^\s\"''`.,;:<>(){}\[\]\\]{8,})"""
 
 
-@query("OP-4", f"""WITH r AS (SELECT DISTINCT doc_id, text FROM ({RESIDUE})),
-    h AS (SELECT doc_id, text, unnest(list_distinct(regexp_extract_all(text, '\bAKIA[A-Z0-9]{{16}}\b') || regexp_extract_all(text, '{_ASSIGNED}', 2))) AS secret FROM r),
+@query("OP-4", f"""WITH {LEAKY}, r AS (SELECT DISTINCT doc_id, text FROM ({RESIDUE})),
+    h AS (SELECT doc_id, text, unnest(list_distinct(regexp_extract_all(text, '\\bAKIA[A-Z0-9]{{16}}\\b') || regexp_extract_all(text, '{_ASSIGNED}', 2))) AS secret FROM r),
     f AS (SELECT doc_id, any_value(text) AS text, list(DISTINCT secret ORDER BY length(secret) DESC, secret) AS found FROM h GROUP BY 1)
     SELECT doc_id, list_reduce([text] || found, lambda t, x: replace(t, x, '⟨secret:' || CASE WHEN regexp_full_match(x, 'AKIA[A-Z0-9]{{16}}') THEN 'aws-access-key:' ELSE 'generic-secret-assignment:' END || substr(sha256(x), 1, 6) || '⟩')) AS text FROM f""")
 def op_4(spark: SparkSession, d: str) -> DataFrame:
     """Documents in which the residue scan finds something, each with the redacted version that supersedes its text."""
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    return docs.filter(F.size(redaction.residue("text")) > 0).select("doc_id", redaction.redact("text").alias("text"))
+    return leaky(spark, d).filter(F.size(redaction.residue("text")) > 0).select("doc_id", redaction.redact("text").alias("text"))
 
 
 @query("OP-5", f"WITH {GRAPH} SELECT src, dst, round(greatest(0.1, least(1.0, strength + 0.1 * least(1.0, n * 0.5) * (1 - strength))), 6) AS strength FROM edges")
@@ -72,7 +72,7 @@ def op_7(spark: SparkSession, d: str) -> DataFrame:
     "OP-8",
     f"""WITH {CLAIMS}, n AS (SELECT c_custkey AS id, CASE c_custkey % 5 WHEN 0 THEN substr(sha256(c_custkey::VARCHAR), 1, 40) WHEN 1 THEN 'code-Na' || lpad(c_custkey::VARCHAR, 9, '0') WHEN 2 THEN '/var/' || lower(c_mktsegment) WHEN 3 THEN substr(md5(c_custkey::VARCHAR), 1, 12) ELSE c_name END AS name FROM customer),
         s AS (SELECT id, {SHAPE} AS shape FROM n),
-        m AS (SELECT o_custkey AS id, count(*) AS k, max(o_orderdate) AS last FROM orders GROUP BY 1), p AS (SELECT subject AS id FROM claims WHERE superseded_by IS NOT NULL UNION SELECT min(c_custkey) FROM customer GROUP BY c_nationkey, c_mktsegment)
+        m AS (SELECT o_custkey AS id, count(*) AS k, max(o_orderdate) AS last FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1), p AS (SELECT subject AS id FROM claims WHERE superseded_by IS NOT NULL AND id % 20 = 0 UNION SELECT min(c_custkey) FROM customer GROUP BY c_nationkey, c_mktsegment)
         SELECT s.id, shape, k FROM s JOIN m ON m.id = s.id WHERE shape IS NOT NULL AND k <= 5 AND last <= TIMESTAMP '2001-06-01' - INTERVAL 7 DAY AND NOT EXISTS (SELECT 1 FROM p WHERE p.id = s.id)""",
 )
 def op_8(spark: SparkSession, d: str) -> DataFrame:
@@ -81,8 +81,8 @@ def op_8(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("c_custkey")
     key = i.cast("string").cast("binary")
     name = F.element_at(F.array(F.substring(F.sha2(key, 256), 1, 40), F.concat(F.lit("code-Na"), F.lpad(i.cast("string"), 9, "0")), F.concat(F.lit("/var/"), F.lower("c_mktsegment")), F.substring(F.md5(key), 1, 12), F.col("c_name")), (i % 5 + 1).cast("int"))
-    mentions = table(spark, d, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderdate").alias("at"))
-    typed = tables.claims(spark, d).filter("superseded_by is not null").select(F.col("subject").alias("id"))
+    mentions = table(spark, d, "orders").filter("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("id"), F.col("o_orderdate").alias("at"))
+    typed = tables.claims(spark, d).filter("superseded_by is not null and id % 20 = 0").select(F.col("subject").alias("id"))
     protected = typed.union(c.groupBy("c_nationkey", "c_mktsegment").agg(F.min("c_custkey").alias("id")).select("id"))
     return upkeep.identifier_decay(c.select(i.alias("id"), name.alias("name")), mentions, protected, F.to_timestamp(F.lit("2001-06-01")))
 

@@ -257,15 +257,25 @@ _RE2 = [
     ("connection-string", r"(?i)\b(postgres|postgresql|mongodb|mysql|redis|amqps?)://[^\s/@:]+:[^\s/@:]+@"),
     ("generic-secret-assignment", r"(?i)(password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\s*[:=]\s*[\"'']?[^\s\"''`.,;:<>(){}\[\]\\]{8,}"),
 ]
+#: Documents, some with a key or a password put after their text.
+LEAKY = "leaky AS (SELECT doc_id, text || CASE doc_id % 20 WHEN 3 THEN ' AKIA' || upper(substr(md5(doc_id::VARCHAR), 1, 16)) WHEN 7 THEN ' passwd: ' || substr(md5(doc_id::VARCHAR), 1, 12) ELSE '' END AS text FROM documents)"
 _CLAIMED = "|".join(f"({p.removeprefix('(?i)')})" for _, p in _RE2)
-RESIDUE = " UNION ALL ".join(f"SELECT '{name}' AS rule, doc_id, text FROM documents WHERE regexp_matches(text, '{p}')" for name, p in _RE2) + f"""
-    UNION ALL SELECT DISTINCT 'high-entropy', doc_id, text FROM (SELECT doc_id, text, unnest(regexp_extract_all(regexp_replace(text, '(?i){_CLAIMED}', ' ', 'g'), '[A-Za-z0-9+/=_-]{{20,}}')) AS tok FROM documents) WHERE {_bits('tok')} >= 4.5"""
+RESIDUE = " UNION ALL ".join(f"SELECT '{name}' AS rule, doc_id, text FROM leaky WHERE regexp_matches(text, '{p}')" for name, p in _RE2) + f"""
+    UNION ALL SELECT DISTINCT 'high-entropy', doc_id, text FROM (SELECT doc_id, text, unnest(regexp_extract_all(regexp_replace(text, '(?i){_CLAIMED}', ' ', 'g'), '[A-Za-z0-9+/=_-]{{20,}}')) AS tok FROM leaky) WHERE {_bits('tok')} >= 4.5"""
 
 
-@query("RED-6", f"SELECT rule, count(DISTINCT doc_id) AS n FROM ({RESIDUE}) GROUP BY 1")
+def leaky(spark: SparkSession, d: str) -> DataFrame:
+    """Documents, some with a key or a password put after their text."""
+    digest = F.md5(F.col("doc_id").cast("string").cast("binary"))
+    k = F.col("doc_id") % 20
+    more = F.when(k == 3, F.concat(F.lit(" AKIA"), F.upper(F.substring(digest, 1, 16)))).when(k == 7, F.concat(F.lit(" passwd: "), F.substring(digest, 1, 12))).otherwise("")
+    return table(spark, d, "documents").select("doc_id", F.concat("text", more).alias("text"))
+
+
+@query("RED-6", f"WITH {LEAKY} SELECT rule, count(DISTINCT doc_id) AS n FROM ({RESIDUE}) GROUP BY 1")
 def red_6(spark: SparkSession, d: str) -> DataFrame:
     """Residue of secrets in stored documents, by rule."""
-    return table(spark, d, "documents").select(F.explode(redaction.residue("text")).alias("rule")).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+    return leaky(spark, d).select(F.explode(redaction.residue("text")).alias("rule")).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
 
 
 _COS = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]) * list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))"

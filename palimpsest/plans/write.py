@@ -25,14 +25,14 @@ def wr_1(spark: SparkSession, d: str) -> DataFrame:
     """WITH o AS (SELECT l_partkey AS src, l_suppkey AS dst, 0.05 + l_discount AS eta, l_returnflag = 'R' AND l_quantity >= 45 AS closes, row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber) AS i FROM lineitem),
             c AS (SELECT src, dst, max(i) FILTER (closes) AS last, max(i) AS i FROM o GROUP BY 1, 2), k AS (SELECT o.*, coalesce(c.last = c.i, false) AS closed, coalesce(c.last, 0) AS last FROM o JOIN c USING (src, dst)),
             f AS (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY i) AS j FROM k WHERE NOT closes AND (i > last OR closed) AND (NOT closed OR i > coalesce((SELECT max(p.i) FROM o p WHERE p.src = k.src AND p.dst = k.dst AND p.closes AND p.i < k.last), 0)))
-       SELECT src, dst, round(1 - product(CASE WHEN j = 1 THEN 1 - greatest(eta, 0.1) ELSE 1 - eta END), 6) AS strength, count(*) AS n, bool_or(closed) AS closed FROM f GROUP BY 1, 2""",
+       SELECT src, dst, round(1 - product(CASE WHEN j = 1 THEN 1 - greatest(eta, 0.1) ELSE 1 - eta END), 10) AS strength, count(*) AS n, bool_or(closed) AS closed FROM f GROUP BY 1, 2""",
 )
 def wr_2(spark: SparkSession, d: str) -> DataFrame:
     """Edge strength by bounded steps; large returns close an edge, and one that is seen again begins anew."""
     o = table(spark, d, "lineitem").select(
         F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"), (F.lit(0.05) + F.col("l_discount")).alias("eta"), ((F.col("l_returnflag") == "R") & (F.col("l_quantity") >= 45)).alias("closes"), "l_shipdate", "l_orderkey", "l_linenumber"
     )
-    return entities.reopened_steps(o, ["src", "dst"], ["l_shipdate", "l_orderkey", "l_linenumber"]).select("src", "dst", r6("strength").alias("strength"), "n", "closed")
+    return entities.reopened_steps(o, ["src", "dst"], ["l_shipdate", "l_orderkey", "l_linenumber"]).select("src", "dst", F.round("strength", 10).alias("strength"), "n", "closed")
 
 
 @query("WR-3", "SELECT o_orderkey AS id, epoch_us(min(c)) AS valid_until FROM (SELECT o_orderkey, CASE WHEN l_returnflag = 'R' THEN l_shipdate END AS c FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey) GROUP BY 1")
