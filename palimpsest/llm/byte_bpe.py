@@ -18,15 +18,12 @@ from palimpsest.llm import common
 
 #: Entries that a memo holds at most; what comes later is encoded without being kept.
 MEMO = 400_000
-_KEPT: dict[tuple[str, str], Bpe] = {}
 _UNTIDY = re.compile(r"\s\s|\A\s|\s\Z")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
 def coder(ranks: str, pattern: str) -> Bpe:
-    if (ranks, pattern) not in _KEPT:
-        _KEPT[ranks, pattern] = Bpe(ranks, pattern)
-    return _KEPT[ranks, pattern]
+    return common.held(("byte-bpe", ranks, pattern), lambda: Bpe(ranks, pattern))
 
 
 class PerfectHash:

@@ -26,6 +26,23 @@ SIEVE_WORDS = 1 << 19
 _BLANK = re.compile(r"\s")
 
 
+_HELD: dict[tuple, object] = {}
+
+
+def held(key: tuple, make: Callable[[], object]) -> object:
+    """What a worker keeps between its tasks: the tables of one operator at a time, so that a worker which serves several, as in
+    a pipeline, never has more than the largest."""
+    if key not in _HELD:
+        let_go()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def let_go() -> None:
+    """Frees what an earlier operator's tasks have kept in this worker."""
+    _HELD.clear()
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

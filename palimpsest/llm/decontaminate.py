@@ -290,6 +290,7 @@ def _found(docs: DataFrame, benchmark: DataFrame, own: dict[str, Column], simila
         sent = spark.sparkContext.broadcast(rows)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            common.let_go()
             index = Index(sent.value, similarity, walks, tables, places, least_words)
             for whole in batches:
                 for b in common.pieces(whole, 256):

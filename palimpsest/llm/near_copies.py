@@ -31,7 +31,7 @@ _MIX = np.random.default_rng(20).integers(0, 1 << 63, 64, np.uint64) * np.uint64
 
 
 #: Bytes of shingle sets that one comparison holds, about, beside a single set of any size.
-SET_BYTES = 64 << 20
+SET_BYTES = 16 << 20
 #: Documents of a large shard, nearest to the majority of its fingerprints, that all its others are compared with first.
 LEADERS = 32
 #: Shards of the first pass; the classes that it finds spare the second the comparisons within them.
@@ -61,6 +61,7 @@ def sketches(docs: DataFrame, words: int, shards: int, seed: int = 0) -> DataFra
     types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.let_go()
         for whole in batches:
             for b in common.pieces(whole):
                 found = [_sketch(t, words, shards, seed) for t in common.strings(b)]
@@ -253,6 +254,7 @@ class _Finder:
         radius, similarity = self.radius, self.similarity
 
         def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            common.let_go()
             for b in _slabs(batches):
                 group = np.cumsum(np.r_[True, _edges(b)])
                 fp = b.column("fp").to_numpy().view(np.uint64)
@@ -270,6 +272,7 @@ class _Finder:
                     yield b.filter(pa.array(has[node])).select(["shard", "part", "asks", "node", "root"])
 
         def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            common.let_go()
             for b in _groups(batches):
                 asks, root, node = (b.column(c).to_numpy(zero_copy_only=False) for c in ("asks", "root", "node"))
                 found = similar([np.frombuffer(x.as_py(), np.uint64) for x in b.column("shingles")], similarity, root, None if asks.all() else asks)

@@ -27,7 +27,6 @@ STRETCH = 1 << 18
 FEATURES = 3
 
 _TABLE: np.ndarray | None = None
-_BUILT: dict[str, np.ndarray] = {}
 
 
 def symbol_table() -> np.ndarray:
@@ -141,10 +140,7 @@ class Model:
 
     def table(self) -> np.ndarray:
         """The process's table of log ratios: built once by each worker, from the counts."""
-        if self.name not in _BUILT:
-            _BUILT.clear()
-            _BUILT[self.name] = ratios(self.grams, self.toxic, self.ordinary)
-        return _BUILT[self.name]
+        return common.held(("toxicity", self.name), lambda: ratios(self.grams, self.toxic, self.ordinary))
 
 
 def _inside(c: str) -> bool:
