@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from palimpsest.functions import vectors
 from palimpsest.operators import graph, retrieval, staging
 from palimpsest.operators.components import components, named_by_least
-from palimpsest.plans.aggregate import _COS, N, r6
+from palimpsest.plans.aggregate import _COS, r6
 from palimpsest.plans.registry import query
 from palimpsest.plans.retrieval import ORPHANS, orphans
 from palimpsest.sources import tables
-from palimpsest.sources.tables import BOTH, GRAPH, MENTIONS, table
+from palimpsest.sources.tables import BOTH, GRAPH, table
 
 # a community of a part is its brand where a query needs fixed communities
 _LAB = "lab AS (SELECT p_partkey AS node, p_brand AS community FROM part)"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.functions import dates, redaction, text, weights
+from palimpsest.functions import dates, redaction, weights
 from palimpsest.operators import bitemporal, entities, graph, names, queues, retrieval, scheduling, staging, upkeep
 from palimpsest.plans.aggregate import KNN, N, knn, r6
 from palimpsest.plans.read import SHAPE

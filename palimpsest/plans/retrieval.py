@@ -7,8 +7,8 @@ import functools
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.functions import text, vectors, weights
-from palimpsest.operators import bitemporal, entities, graph, intentions, names, recall, retrieval, staging, vector_index
+from palimpsest.functions import vectors, weights
+from palimpsest.operators import entities, graph, intentions, names, recall, retrieval, staging, vector_index
 from palimpsest.operators.quantiles import quantiles
 from palimpsest.plans.aggregate import KNN, N, knn, r6
 from palimpsest.plans.registry import query
