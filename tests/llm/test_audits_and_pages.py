@@ -213,3 +213,17 @@ def test_pages_query(spark, sf_dir):
         blocks = [" ".join(unescape(re.sub(r"<[^>]*>", "", x.replace("<br>", " "))).split()) for x in re.split(r"</?(?:p|h1)>", inner)]
         want[r["page_id"]] = "\n".join(b for b in blocks if b)
     assert {r["page_id"]: r["text"] for r in queries.op13_html_text(spark, sf_dir).collect()} == want
+
+
+def test_a_worker_keeps_one_operators_tables():
+    from palimpsest.llm import common
+
+    made = []
+    make = lambda k: lambda: made.append(k) or [k]
+    a = common.held(("a",), make("a"))
+    assert common.held(("a",), make("a")) is a and made == ["a"]
+    common.held(("b",), make("b"))
+    assert common.held(("a",), make("a")) is not a and made == ["a", "b", "a"]
+    common.let_go()
+    common.held(("a",), make("a"))
+    assert made == ["a", "b", "a", "a"]
