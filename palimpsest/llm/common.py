@@ -77,9 +77,10 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator
     return df.mapInArrow(fn, schema)
 
 
-def pieces(batch: pa.RecordBatch, rows: int = 512, text: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batch in slices of so many rows and about PIECE_BYTES of text at most, so that only a slice's texts are Python
-    strings at a time. A longer text is a slice of its own."""
+def pieces(batch: pa.RecordBatch, rows: int = 512, text: str = "text", most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of so many rows and about most bytes (PIECE_BYTES) of text at most, so that only a slice's texts
+    are Python strings at a time. A longer text is a slice of its own."""
+    most = most or PIECE_BYTES
     if text not in batch.schema.names:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
@@ -88,7 +89,7 @@ def pieces(batch: pa.RecordBatch, rows: int = 512, text: str = "text") -> Iterat
     at = 0
     while at < batch.num_rows:
         before = int(size[at - 1]) if at else 0
-        stop = min(at + rows, max(at + 1, int(np.searchsorted(size, before + PIECE_BYTES, "right"))))
+        stop = min(at + rows, max(at + 1, int(np.searchsorted(size, before + most, "right"))))
         yield batch.slice(at, stop - at)
         at = stop
 

@@ -21,6 +21,8 @@ SEGMENT = 1 << 19
 #: Text bytes of a shard, about, and the most shards that the driver names bounds of.
 SHARD_BYTES, MOST_SHARDS = 16 << 20, 20_000
 _LEAST_ID = -(1 << 63)
+#: Text bytes and rows that are encoded at a time, about: a part is looked up once in each of these stretches.
+PIECE_BYTES, PIECE_ROWS = 8 << 20, 1 << 14
 #: Documents whose boundaries are selected at a time when a segment is read through.
 RUN = 4096
 #: magic, version, bytes an id, leading documents without doc_id, documents, ids, base of doc_ids, bytes of each sequence
@@ -84,7 +86,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, bounds: np.ndarray) ->
         use = encoder(tokenizer)
         last = np.array([end_id], use.kind).tobytes()
         for whole in batches:
-            for b in common.pieces(whole, 2048):
+            for b in common.pieces(whole, PIECE_ROWS, most=PIECE_BYTES):
                 line, sizes = use.ids(b.column("text"))
                 found = [x.astype(use.kind, copy=False).tobytes() + last for x in np.split(line, np.cumsum(sizes)[:-1])]
                 tie = np.array([xxhash.xxh64_intdigest(x) for x in found], np.uint64)
