@@ -12,7 +12,7 @@ from html import unescape
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,6 +26,8 @@ PAGES, CONSTANT = 5, 0.95
 MOST_CONSTANT = 0.3
 #: Share of pages on which a class of tokens may be out of order or torn before it stops being valid.
 TORN = 0.05
+#: How often classes are found: between two times, tokens are told apart by the gaps that they stand in.
+ROUNDS = 2
 #: Share of its text inside links from which a slot is a list of links.
 LINKS = 0.5
 #: Share of a host's text that the chosen container must hold.
@@ -314,116 +316,249 @@ def host(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-_SKELETON = "host string, page long, tokens array<long>, marks array<struct<token: long, n: int, size: long>>, slots array<struct<slot: string, chars: long, linked: long>>"
+_SKELETON = "host string, page long, tokens array<long>, marks array<struct<token: long, n: int, size: long, at: int>>, slots array<string>, blocks array<struct<at: int, slot: int, chars: int, linked: int>>"
+_MARKS = pa.list_(pa.struct([("token", pa.int64()), ("n", pa.int32()), ("size", pa.int64()), ("at", pa.int32())]))
 
 
 def skeletons(pages: DataFrame) -> DataFrame:
-    """(host, page, tokens, marks, slots): a page's tags and text runs as hashes in page order, and the text of its slots.
+    """(host, page, tokens, marks, slots, blocks): a page's tags and text runs as hashes in page order, and its runs of text.
 
-    marks has each different token with its count on the page and its code points (0 for tags); runs that a rule leaves
-    out are in tokens only. page is a hash of them.
+    marks has each different token with its count on the page, its code points (0 for tags) and its first place; runs that
+    a rule leaves out are in tokens only. blocks has the place of each run among the tokens, which of slots (paths of
+    elements) it fills, and its size. page is a hash of the tokens.
     """
-    marks_type = pa.list_(pa.struct([("token", pa.int64()), ("n", pa.int32()), ("size", pa.int64())]))
-    slots_type = pa.list_(pa.struct([("slot", pa.string()), ("chars", pa.int64()), ("linked", pa.int64())]))
+    blocks_type = pa.list_(pa.struct([(n, pa.int32()) for n in ("at", "slot", "chars", "linked")]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in common.pieces(whole, 256, "html"):
-                all_tokens, all_marks, all_slots, ids = [], [], [], []
+                all_tokens, all_marks, all_slots, all_blocks, ids = [], [], [], [], []
                 for html in b.column("html").to_pylist():
                     page = parse(html or "")
-                    slots: dict[str, list[int]] = {}
+                    slots: dict[str, int] = {}
                     sizes: dict[str, int] = {}
-                    for x in page.blocks:
-                        s = slots.setdefault(_slot(x.path), [0, 0])
-                        s[0] += len(x.text)
-                        s[1] += x.linked
-                        sizes[_text_token(x)] = 0 if excluded(x.path, x.heading) else len(x.text)
-                    tokens = _hash(page.tokens)
+                    blocks = []
+                    places = (i for i, t in enumerate(page.tokens) if "\x00" in t)
+                    for x, at in zip(page.blocks, places, strict=True):
+                        blocks.append({"at": at, "slot": slots.setdefault(_slot(x.path), len(slots)), "chars": len(x.text), "linked": x.linked})
+                        sizes[page.tokens[at]] = 0 if excluded(x.path, x.heading) else len(x.text)
                     counts = Counter(page.tokens)
-                    of = dict(zip(page.tokens, tokens.tolist(), strict=True))
+                    first = {t: i for i, t in zip(range(len(page.tokens) - 1, -1, -1), reversed(page.tokens))}
+                    of = dict(zip(counts, _hash(list(counts)).tolist(), strict=True))
+                    tokens = np.array([of[t] for t in page.tokens], np.int64)
                     all_tokens.append(tokens)
                     ids.append(xxhash.xxh64_intdigest(tokens.tobytes()) - (1 << 63))
-                    all_marks.append([{"token": of[t], "n": n, "size": sizes.get(t, 0)} for t, n in counts.items() if sizes.get(t, 1)])
-                    all_slots.append([{"slot": s, "chars": n, "linked": linked} for s, (n, linked) in slots.items()])
-                yield pa.RecordBatch.from_arrays([b.column("host"), pa.array(ids, pa.int64()), pa.array(all_tokens, pa.list_(pa.int64())), pa.array(all_marks, marks_type), pa.array(all_slots, slots_type)], names=["host", "page", "tokens", "marks", "slots"])
+                    all_marks.append([{"token": of[t], "n": n, "size": sizes.get(t, 0), "at": first[t]} for t, n in counts.items() if sizes.get(t, 1)])
+                    all_slots.append(list(slots))
+                    all_blocks.append(blocks)
+                columns = [b.column("host"), pa.array(ids, pa.int64()), pa.array(all_tokens, pa.list_(pa.int64())), pa.array(all_marks, _MARKS), pa.array(all_slots, pa.list_(pa.string())), pa.array(all_blocks, blocks_type)]
+                yield pa.RecordBatch.from_arrays(columns, names=["host", "page", "tokens", "marks", "slots", "blocks"])
 
     return pages.select("host", "html").mapInArrow(run, _SKELETON)
 
 
-def _classes(skeleton: DataFrame) -> DataFrame:
-    """(host, token, class, text, pages, of): the tokens of each host's template with the class of their occurrence vector.
+def _classes(skeleton: DataFrame, hosts: DataFrame) -> DataFrame:
+    """(host, of, template): the frequent tokens of each host with the class of their occurrence vector, by token.
 
     A token's vector has its count on every page of the host. It is summed up as two sums of halves of a hash of page and
     count, so that tokens with the same vector, and by chance no others, get the same class; sums combine before the
-    shuffle. Tokens on less than SUPPORT of the pages (text: CONSTANT) are data.
+    shuffle. Tokens on less than SUPPORT of the pages (text: CONSTANT) are data. place is a token's place in its class by
+    where it stands on all pages: they are the same pages for all of a class. A host has 1 / SUPPORT x a page's tokens at most.
     """
     each = skeleton.select("host", "page", F.explode("marks").alias("c")).select("host", "page", "c.*")
     h = F.xxhash64("page", "n")
-    vectors = each.groupBy("host", "token").agg(F.count(F.lit(1)).alias("pages"), F.sum(h.bitwiseAND(0xFFFFFFFF)).alias("low"), F.sum(F.shiftrightunsigned(h, 32)).alias("high"), F.max("size").alias("size"))
-    hosts = skeleton.groupBy("host").agg(F.count(F.lit(1)).alias("of"))
+    vectors = each.groupBy("host", "token").agg(F.count(F.lit(1)).alias("pages"), F.sum(h.bitwiseAND(0xFFFFFFFF)).alias("low"), F.sum(F.shiftrightunsigned(h, 32)).alias("high"), F.max("size").alias("size"), F.sum("at").alias("at"))
     text = F.col("size") > 0
     share = F.when(text, CONSTANT).otherwise(SUPPORT)
-    return vectors.join(hosts, "host").filter((F.col("of") > 1) & (F.col("pages") >= share * F.col("of"))).select("host", "token", text.alias("text"), F.xxhash64("pages", "low", "high").alias("class"), "of")
+    often = vectors.join(hosts, "host").filter((F.col("of") > 1) & (F.col("pages") >= share * F.col("of"))).select("host", "of", "token", "at", text.alias("text"), F.xxhash64("pages", "low", "high").alias("class"))
+    w = Window.partitionBy("host", "class")
+    placed = often.repartition("host").withColumns({"place": F.row_number().over(w.orderBy("at", "token")) - 1, "members": F.count(F.lit(1)).over(w).cast("int"), "valid": F.lit(True)})
+    return placed.groupBy("host", "of").agg(F.sort_array(F.collect_list(F.struct(*_ENTRY))).alias("template"))
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """(host, container, constant): where a host's template has the article, and the text runs that belong to the template.
+#: A gap of a template: the class whose tokens are around it and the place of the one before it. Outside all classes:
+_OUTSIDE = (0, 0)
 
-    Tokens are tags in their place among other elements, and runs of text in theirs. Those with one occurrence vector are
-    a class. A class is valid if on nearly all pages its tokens come in one order, as often each, and nest with what they
-    enclose; the valid classes are the template, the rest are data. Slots are what the template leaves open.
+
+def walk(classes: list[int | None], places: list[int], members: list[int]) -> tuple[set[int], list[tuple[int, int]], list[tuple[int, int]]]:
+    """Goes over a page's frequent tokens: the classes that aren't valid on it, the gap that each token stands in, and the
+    gap that begins after it.
+
+    A class is valid if its tokens come in one order, each as often, and if it nests: what begins in one of its gaps ends
+    there. Tokens whose class is None are of none.
     """
-    skeleton = common.stage(skeletons(pages), "page-skeletons")
-    tokens = common.stage(_classes(skeleton), "page-tokens")
-    by_host = tokens.groupBy("host").agg(F.collect_list(F.struct("token", "class")).alias("template"))  # at most 1 / SUPPORT x a page's tokens
-    torn = _torn(skeleton, by_host)
-    valid = tokens.join(torn, ["host", "class"], "left").filter(F.coalesce("torn", F.lit(0)) <= TORN * F.col("of"))
-    valid = common.stage(valid.select("host", "token", "text", "of"), "page-template")
-    runs = skeleton.select("host", F.explode("marks").alias("x")).select("host", "x.token", (F.col("x.size") * F.col("x.n")).alias("size")).filter("size > 0")
-    fixed = valid.filter(F.col("text") & (F.col("of") >= PAGES)).select("host", "token")
-    sums = runs.groupBy("host", "token").agg(F.sum("size").alias("size"))
-    share = sums.join(fixed.withColumn("fixed", F.lit(True)), ["host", "token"], "left").groupBy("host").agg(F.sum("size").alias("whole"), F.sum(F.when(F.col("fixed"), F.col("size")).otherwise(0)).alias("part"))
-    frame = share.filter(F.col("part") <= MOST_CONSTANT * F.col("whole")).select("host")
-    constant = fixed.join(frame, "host").groupBy("host").agg(F.collect_list("token").alias("constant"))  # at most a page's runs
-    slots = skeleton.select("host", "page", F.explode("slots").alias("s")).groupBy("host", F.col("s.slot").alias("slot")).agg(F.count(F.lit(1)).alias("pages"), F.sum("s.chars").alias("chars"), F.sum("s.linked").alias("linked"))
-    hosts = skeleton.groupBy("host").agg(F.count(F.lit(1)).alias("of"))
-    # slots of a tenth of the pages: at most ten times a page's slots, however many pages
-    common_slots = slots.join(hosts, "host").filter(F.col("pages") >= 0.1 * F.col("of")).groupBy("host").agg(F.collect_list(F.struct("slot", "chars", "linked")).alias("slots"))
-    pick = F.udf(lambda rows: choose([(r["slot"], r["chars"], r["linked"]) for r in sorted(rows, key=lambda r: r["slot"])]), T.StringType(), useArrow=True)
-    return common_slots.select("host", pick("slots").alias("container")).join(constant, "host", "left")
+    bad, around, after = set(), [], []
+    stack: list[tuple[int, int]] = []
+    for c, k, n in zip(classes, places, members, strict=True):
+        i = len(stack) - 1
+        while c is not None and i >= 0 and stack[i][0] != c:
+            i -= 1
+        if c is None:
+            around.append(stack[-1] if stack else _OUTSIDE)
+        elif k == 0:
+            if i >= 0:
+                bad.add(c)
+                del stack[i]
+            around.append(stack[-1] if stack else _OUTSIDE)
+            if n > 1:
+                stack.append((c, 0))
+        elif i < 0:
+            bad.add(c)
+            around.append(stack[-1] if stack else _OUTSIDE)
+        else:
+            bad.update(s[0] for s in stack[i + 1 :])
+            if stack[i][1] != k - 1:
+                bad.add(c)
+            del stack[i:]
+            around.append(stack[-1] if stack else _OUTSIDE)
+            if k < n - 1:
+                stack.append((c, k))
+        after.append(stack[-1] if stack else _OUTSIDE)
+    return bad | {s[0] for s in stack}, around, after
 
 
 def torn_classes(tokens: list[int], classes: dict[int, int]) -> set[int]:
-    """The classes whose tokens, on one page, don't come round in one order."""
+    """The classes whose tokens, on one page, don't come round in one order, or that don't nest."""
     order: dict[int, list[int]] = {}
-    for t in tokens:
-        if (c := classes.get(t)) is not None:
-            order.setdefault(c, []).append(t)
-    bad = set()
-    for c, seen in order.items():
-        size = len(set(seen))
-        if len(seen) % size or any(seen[i] != seen[i % size] for i in range(size, len(seen))):
-            bad.add(c)
-    return bad
+    for t in dict.fromkeys(t for t in tokens if t in classes):
+        order.setdefault(classes[t], []).append(t)
+    seen = [t for t in tokens if t in classes]
+    return walk([classes[t] for t in seen], [order[classes[t]].index(t) for t in seen], [len(order[classes[t]]) for t in seen])[0]
+
+
+_ENTRY = ("token", "class", "place", "members", "text", "valid")
+
+
+def _matched(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[int], dict[str, list]]]:
+    """(row, tokens, places, entries, template) of each page whose host has a template: where its tokens are of the template, and which."""
+    known: dict[str, tuple[np.ndarray, dict[str, list]]] = {}
+    for i, name in enumerate(b.column("host").to_pylist()):
+        if name not in known:
+            t = b.column("template")[i].values
+            fields = {n: t.field(n) for n in _ENTRY}
+            lists = {n: x.to_pylist() for n, x in fields.items() if n != "token"}
+            lists["class"] = [c if v else None for c, v in zip(lists["class"], lists["valid"], strict=True)]
+            known[name] = fields["token"].to_numpy(), lists
+        have, template = known[name]
+        tokens = b.column("tokens")[i].values.to_numpy()
+        found = np.minimum(np.searchsorted(have, tokens), len(have) - 1)
+        at = np.flatnonzero(have[found] == tokens)
+        yield i, tokens, at, found[at].tolist(), template
 
 
-def _torn(skeleton: DataFrame, by_host: DataFrame) -> DataFrame:
-    """(host, class, torn): pages on which a class is out of order; tags nest by how pages are parsed."""
-    schema = T.StructType([T.StructField("host", T.StringType()), T.StructField("class", T.LongType())])
+def _walk(entries: list[int], template: dict[str, list]) -> tuple[set[int], list[tuple[int, int]], list[tuple[int, int]]]:
+    return walk([template["class"][x] for x in entries], [template["place"][x] for x in entries], [template["members"][x] for x in entries])
+
+
+def _with_template(skeleton: DataFrame, found: DataFrame) -> DataFrame:
+    return skeleton.join(common.small_side(found.select("host", "template"), found.count(), 1 << 13), "host")
+
+
+def _torn(skeleton: DataFrame, found: DataFrame) -> DataFrame:
+    """(host, torn): the classes that are out of order, or don't nest, on more than TORN of a host's pages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hosts, bad = [], []
-            for name, tokens, template in zip(b.column("host").to_pylist(), b.column("tokens").to_pylist(), b.column("template").to_pylist(), strict=True):
-                found = torn_classes(tokens, {t["token"]: t["class"] for t in template})
-                hosts += [name] * len(found)
-                bad += found
+            hosts, bad, names = [], [], b.column("host").to_pylist()
+            for i, _, _, entries, template in _matched(b):
+                torn = _walk(entries, template)[0]
+                hosts += [names[i]] * len(torn)
+                bad += torn
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(bad, pa.int64())], names=["host", "class"])
 
-    n = by_host.count()
-    joined = skeleton.select("host", "tokens").join(common.small_side(by_host, n, 1 << 13), "host")
-    return joined.mapInArrow(run, schema).groupBy("host", "class").agg(F.count(F.lit(1)).alias("torn"))
+    pages = _with_template(skeleton.select("host", "tokens"), found).mapInArrow(run, "host string, class long")
+    counts = pages.groupBy("host", "class").agg(F.count(F.lit(1)).alias("n")).join(found.select("host", "of"), "host")
+    return counts.filter(F.col("n") > TORN * F.col("of")).groupBy("host").agg(F.collect_list("class").alias("torn"))
+
+
+def _gap(gaps: list[tuple[int, int]]) -> np.ndarray:
+    g = np.array(gaps, np.int64).reshape(-1, 2).astype(np.uint64)
+    return (g[:, 0] ^ (g[:, 1] * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def _told_apart(skeleton: DataFrame, found: DataFrame) -> DataFrame:
+    """The skeletons with frequent tags named by the gap of the valid classes that they stand in: tags that are alike but stand in
+    two gaps have two roles. What isn't frequent can't become so; runs of text keep their names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, renamed, marks = [], [], []
+            for i, tokens, at, entries, template in _matched(b):
+                own = tokens[at]
+                text = np.array([template["text"][x] for x in entries], bool)
+                new = np.where(text, own, (own.view(np.uint64) ^ _gap(_walk(entries, template)[1])).view(np.int64))
+                tokens = tokens.copy()
+                tokens[at] = new
+                names, first, n = np.unique(new, return_index=True, return_counts=True)
+                rows.append(i)
+                renamed.append(tokens)
+                marks.append([{"token": t, "n": k, "size": int(text[f]), "at": int(at[f])} for t, f, k in zip(names.tolist(), first.tolist(), n.tolist(), strict=True)])
+            kept = b.take(pa.array(rows, pa.int64()))
+            columns = [kept.column("host"), kept.column("page"), pa.array(renamed, pa.list_(pa.int64())), pa.array(marks, _MARKS), kept.column("slots"), kept.column("blocks")]
+            yield pa.RecordBatch.from_arrays(columns, names=["host", "page", "tokens", "marks", "slots", "blocks"])
+
+    return _with_template(skeleton, found).mapInArrow(run, _SKELETON)
+
+
+def _filled(skeleton: DataFrame, found: DataFrame) -> DataFrame:
+    """(host, page, gap, slot, chars, linked): the text that a page has in each gap of the template, by path. Runs that
+    belong to the template are in none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple] = []
+            names, pages, slots, blocks = (b.column(c).to_pylist() for c in ("host", "page", "slots", "blocks"))
+            for i, _, at, entries, template in _matched(b):
+                gaps = _gap([_OUTSIDE, *_walk(entries, template)[2]]).view(np.int64)
+                text = {p for p, x in zip(at.tolist(), entries, strict=True) if template["text"][x]}
+                sums: dict[tuple[int, int], list[int]] = {}
+                for x, g in zip(blocks[i], gaps[np.searchsorted(at, [x["at"] for x in blocks[i]])].tolist(), strict=True):
+                    if x["at"] not in text:
+                        s = sums.setdefault((g, x["slot"]), [0, 0])
+                        s[0] += x["chars"]
+                        s[1] += x["linked"]
+                out += [(names[i], pages[i], g, slots[i][s], *n) for (g, s), n in sums.items()]
+            columns = list(zip(*out, strict=True)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["host", "page", "gap", "slot", "chars", "linked"])
+
+    return _with_template(skeleton, found).mapInArrow(run, "host string, page long, gap long, slot string, chars long, linked long")
+
+
+def templates(pages: DataFrame) -> DataFrame:
+    """(host, container, constant): where a host's template has the article, and the text runs that belong to the template.
+
+    Tokens are tags in their place among other elements, and runs of text in theirs. Those with one occurrence vector are
+    a class. A class is valid if on nearly all pages its tokens come in one order, as often each, and nest with other
+    classes. Tags are then told apart by the gap of the valid classes that they stand in, and classes are found again; the
+    valid ones are the template, the rest are data. Slots are the gaps that the template leaves open: a list of links is
+    told by what a gap holds on all pages, and the container by what fills the gaps.
+    """
+    skeleton = common.stage(skeletons(pages), "page-skeletons")
+    hosts = common.stage(skeleton.groupBy("host").agg(F.count(F.lit(1)).alias("of")), "page-hosts")
+    told = skeleton
+    for i in range(ROUNDS):
+        found = common.stage(_classes(told, hosts), "page-classes")
+        valid = F.transform("template", lambda x: x.withField("valid", ~F.array_contains(F.coalesce("torn", F.array().cast("array<long>")), x["class"])))
+        found = common.stage(found.join(_torn(told, found), "host", "left").select("host", "of", valid.alias("template")), "page-template")
+        if i < ROUNDS - 1:
+            told = common.stage(_told_apart(told, found), "page-told-apart")
+    runs = skeleton.select("host", F.explode("marks").alias("x")).select("host", "x.token", (F.col("x.size") * F.col("x.n")).alias("size")).filter("size > 0")
+    fixed = found.filter(F.col("of") >= PAGES).select("host", F.explode("template").alias("x")).filter("x.valid and x.text").select("host", "x.token")
+    sums = runs.groupBy("host", "token").agg(F.sum("size").alias("size"))
+    share = sums.join(fixed.withColumn("fixed", F.lit(True)), ["host", "token"], "left").groupBy("host").agg(F.sum("size").alias("whole"), F.sum(F.when(F.col("fixed"), F.col("size")).otherwise(0)).alias("part"))
+    frame = common.stage(share.filter(F.col("part") <= MOST_CONSTANT * F.col("whole")).select("host"), "page-frames")
+    constant = fixed.join(frame, "host").groupBy("host").agg(F.collect_list("token").alias("constant"))  # at most a page's runs
+    # runs are of the template where they are constant; elsewhere they fill its slots
+    framed = F.coalesce("framed", F.lit(False)) & (F.col("of") >= PAGES)
+    marked = found.join(frame.withColumn("framed", F.lit(True)), "host", "left").select("host", F.transform("template", lambda x: x.withField("text", x["text"] & x["valid"] & framed)).alias("template"))
+    filled = _filled(told, common.stage(marked, "page-marked")).groupBy("host", "gap", "slot").agg(F.count(F.lit(1)).alias("pages"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
+    w = Window.partitionBy("host", "gap")
+    listed = F.sum("linked").over(w) >= LINKS * F.sum("chars").over(w)
+    slots = filled.repartition("host").withColumn("linked", F.when(listed, F.col("chars")).otherwise(0))
+    # slots of a tenth of the pages: at most ten times a page's slots, however many pages
+    common_slots = slots.join(hosts, "host").filter(F.col("pages") >= 0.1 * F.col("of")).groupBy("host").agg(F.collect_list(F.struct("slot", "gap", "chars", "linked")).alias("slots"))
+    pick = F.udf(lambda rows: choose([(r["slot"], r["chars"], r["linked"]) for r in sorted(rows, key=lambda r: (r["slot"], r["gap"]))]), T.StringType(), useArrow=True)
+    return common_slots.select("host", pick("slots").alias("container")).join(constant, "host", "full")
 
 
 def extract(pages: DataFrame) -> DataFrame:

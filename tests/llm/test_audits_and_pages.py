@@ -203,6 +203,24 @@ def test_classes_out_of_order():
     assert html_text.torn_classes([1, 1, 2], {1: 0, 2: 0}) == {0}
 
 
+def test_slots_are_what_the_template_leaves_open(spark):
+    """A constant run is template, so the container is told by what fills the slots: the counter outside it isn't the article."""
+    said = "Words that all pages of this host say. " * 8
+    html = "<body><div class=about><p>{c}</p></div><div class=text><h2>Head {i}</h2><p>{a}</p><p>{b}</p></div><div class=seen><p>read {i} times</p></div></body>"
+    more = lambda i, n: " ".join(f"w{i}x{k}" for k in range(n))
+    got = extracted(spark, [(f"http://s.example/{i}", html.format(c=said, i=i, a=more(i, 90), b=more(i + 50, 60))) for i in range(8)])
+    assert got == [f"Head {i}\n{more(i, 90)}\n{more(i + 50, 60)}" for i in range(8)]
+
+
+def test_walk_of_a_template():
+    """Class 1 is around class 2, which comes twice in one of its gaps; tokens of no class stand where they are."""
+    bad, around, after = html_text.walk([1, 2, 2, 2, 2, None, 1, 1], [0, 0, 1, 0, 1, 0, 1, 2], [3, 2, 2, 2, 2, 1, 3, 3])
+    assert bad == set() and around == [(0, 0), (1, 0), (1, 0), (1, 0), (1, 0), (1, 0), (0, 0), (0, 0)]
+    assert after == [(1, 0), (2, 0), (1, 0), (2, 0), (1, 0), (1, 0), (1, 1), (0, 0)]
+    assert html_text.walk([1, 2, 1, 2], [0, 0, 1, 1], [2, 2, 2, 2])[0] == {2}  # ends beyond the gap that it began in
+    assert html_text.walk([1, 1], [1, 0], [2, 2])[0] == {1} and html_text.walk([1, 2], [0, 0], [2, 1])[0] == {1}
+
+
 def test_pages_query(spark, sf_dir):
     """Held against the article elements of the given pages, read plainly."""
     want = {}
