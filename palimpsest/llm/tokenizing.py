@@ -1,21 +1,26 @@
-"""Encoding with a tokenizers file that drops white space: whole texts by memo of blank-delimited parts, huge ones by overlapping windows."""
+"""Encoding with a tokenizers file that drops white space: whole texts by memo of their different words, huge ones by overlapping windows."""
 
 from __future__ import annotations
 
 import os
-from array import array
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Entries that the memos of parts and of words hold at most: bounds a worker's memory. What comes later is encoded
-#: without being kept.
-MEMO, WORDS = 400_000, 700_000
+#: Words that the memo holds, about, and the bytes of the longest one it takes: bounds a worker's memory. What comes later
+#: is encoded without being kept.
+MEMO, LONGEST = 1_000_000, 64
+#: New words that go to the library in one call, and how many of them in one text.
+WORDS, JOINED = 20_000, 100
 #: Texts longer than HUGE code points are encoded in windows that overlap.
 HUGE, WINDOW, OVERLAP = 65_536, 32_768, 512
 
-_TAIL = ".,;:!?|"
+#: Letters up to U+024F but U+0130: lower case is one code point for one, and composed forms are already composed.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
+#: A word and the ASCII marks after it, which the pre-tokenizer parts (but for the apostrophe, which may start an ending).
+_PART = f"^(?P<word>[{_LETTERS}]+)(?P<marks>[!-&(-/:-@\\[-`{{-~]*)$"
+_PLAIN = f"^[{_LETTERS}]+$"
 _KEPT: dict[str, Encoder] = {}
 
 
@@ -26,16 +31,35 @@ def encoder(path: str) -> Encoder:
     return _KEPT[path]
 
 
-def _letters(word: str) -> bool:
-    """Letters up to U+024F only: lower case is one code point for one, and composed forms are already composed."""
-    return word.isalpha() and (word.isascii() or (max(word) < "ɐ" and "İ" not in word))
+class Words:
+    """Different words and their ids, as columns: a million take some 30 MB."""
+
+    def __init__(self, names: pa.Array, ids: np.ndarray, sizes: np.ndarray):
+        self.names, self.ids, self.sizes = names, ids, sizes
+        self.first = np.cumsum(sizes) - sizes
+
+    def __len__(self) -> int:
+        return len(self.names)
+
+    def head(self, n: int) -> Words:
+        return Words(self.names.slice(0, n), self.ids[: self.sizes[:n].sum()], self.sizes[:n])
+
+    def more(self, other: Words) -> Words:
+        return Words(pa.concat_arrays([self.names, other.names]), np.concatenate([self.ids, other.ids]), np.concatenate([self.sizes, other.sizes]))
+
+
+def _strung(ids: np.ndarray, first: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the entries which, one after another, and how many each has."""
+    each = sizes[which]
+    before = np.cumsum(each) - each
+    return ids[np.repeat(first[which] - before, each) + np.arange(each.sum())], each
 
 
 class Encoder:
     """Ids as the tokenizers library gives them, without added special tokens.
 
     The file's normaliser and pre-tokenizer never join characters across white space, so a text's ids are those of
-    its parts between blanks and line feeds, in order. The library encodes each part once; repeats are looked up.
+    its parts between blanks and line feeds, in order. The library encodes each different word once; repeats are looked up.
     """
 
     def __init__(self, path: str):
@@ -44,57 +68,79 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
-        self.code = "H" if self.kind.itemsize == 2 else "I"
-        self.parts: dict[str, bytes] = {"": b""}
-        self.words: dict[str, bytes] = {"": b""}
-
-    def _encoded(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of words; those that the memo lacks come from the library in one call."""
-        new = list(words - self.words.keys())
-        made = {w: array(self.code, e.ids).tobytes() for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True)} if new else {}
-        if len(self.words) < WORDS:
-            self.words.update(made)
-        have = self.words
-        return {w: made[w] if w in made else have[w] for w in words}
-
-    def _learn(self, parts: set[str]) -> dict[str, bytes]:
-        """Ids of parts that the memo lacks. A word with marks after it is looked up as the two."""
-        cut = {}
-        for p in parts:
-            stem = p.rstrip(_TAIL)
-            cut[p] = (stem.lower(), p[len(stem) :]) if _letters(stem) else (p, "")
-        ids = self._encoded({x for two in cut.values() for x in two})
-        made = {p: ids[a] + ids[b] for p, (a, b) in cut.items()}
-        if len(self.parts) < MEMO:
-            self.parts.update(made)
-        return made
-
-    def _parts(self, texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        """Ids of each different part, the part at each place of the texts, and where each text's places start."""
-        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
-        coded = split.flatten().dictionary_encode()
-        every = coded.dictionary.to_pylist()
-        got = list(map(self.parts.get, every))
-        new = {p for p, x in zip(every, got, strict=True) if x is None}
-        if len(self.parts) >= MEMO and len(new) > len(every) * 3 // 4:  # another kind of text than the memo is full of
-            self.parts, self.words, new = {"": b""}, {"": b""}, set(every)
-        if new:
-            made = self._learn(new)
-            got = [made[p] if p in new else x for p, x in zip(every, got, strict=True)]
-        sizes = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
-        return got, coded.indices.to_numpy(zero_copy_only=False), np.cumsum(sizes) - sizes
+        self.parts = self._none()
+        # ids that end a word, if the file marks them
+        suffix = getattr(self.library.model, "end_of_word_suffix", None)
+        vocab = self.library.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for token, i in vocab.items() if suffix and token.endswith(suffix)]] = True
+
+    def _none(self) -> Words:
+        return Words(pa.array([], pa.string()), np.empty(0, self.kind), np.empty(0, np.int64))
+
+    def _called(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [np.array(e.ids, self.kind) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate(found), np.array([len(x) for x in found])
+
+    def _encoded(self, words: list[str], plain: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words from the library. Plain ones (letters only) are encoded many in a text, each one's last id marked as such."""
+        if plain and self.ends.any():
+            ids, _ = self._called([" ".join(words[i : i + JOINED]) for i in range(0, len(words), JOINED)])
+            last = np.flatnonzero(self.ends[ids])
+            if len(last) == len(words) and last[-1] == len(ids) - 1:
+                return ids, np.diff(last, prepend=-1)
+        return self._called(words)
+
+    def _learn(self, words: pa.Array) -> Words:
+        """Ids of words that the memo lacks, those first that it takes."""
+        short, plain = pc.less_equal(pc.binary_length(words), LONGEST), pc.match_substring_regex(words, _PLAIN)
+        names, ids, sizes = [], [], []
+        for s in (True, False):
+            for p in (True, False):
+                group = words.filter(pc.and_(pc.equal(short, s), pc.equal(plain, p)))
+                for i in range(0, len(group), WORDS):
+                    names.append(group.slice(i, WORDS))
+                    found = self._encoded(names[-1].to_pylist(), p)
+                    ids.append(found[0])
+                    sizes.append(found[1])
+        return Words(pa.concat_arrays(names), np.concatenate(ids), np.concatenate(sizes))
+
+    def _found(self, words: pa.Array) -> tuple[Words, np.ndarray]:
+        """The memo and what it lacks of these different words, and where each word is in that."""
+        place = pc.index_in(words, value_set=self.parts.names)
+        if len(self.parts) >= MEMO and place.null_count > len(words) * 3 // 4:  # another kind of text than the memo is full of
+            self.parts = self._none()
+            place = pc.index_in(words, value_set=self.parts.names)
+        if not place.null_count:
+            return self.parts, place.to_numpy(zero_copy_only=False)
+        lacking = pc.is_null(place)
+        made = self._learn(words.filter(lacking))
+        every, old = self.parts.more(made), len(self.parts)
+        at = pc.fill_null(place, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        at[lacking.to_numpy(zero_copy_only=False)] = pc.index_in(words.filter(lacking), value_set=made.names).to_numpy(zero_copy_only=False) + old
+        if old < MEMO:
+            self.parts = every.head(old + pc.sum(pc.less_equal(pc.binary_length(made.names), LONGEST)).as_py())
+        return every, at
 
     def ids(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and how many each text has."""
         column = pa.array(texts, pa.string()) if isinstance(texts, list) else pc.fill_null(texts, "")
         if not len(column):
             return np.empty(0, self.kind), np.empty(0, np.int64)
-        got, place, begins = self._parts(column)
-        sizes = np.fromiter(map(len, got), np.int64, len(got)) // self.kind.itemsize
-        flat, first = np.frombuffer(b"".join(got), self.kind), np.cumsum(sizes) - sizes
-        each = sizes[place]
-        before = np.cumsum(each) - each
-        return flat[np.repeat(first[place] - before, each) + np.arange(each.sum())], np.add.reduceat(each, begins)
+        split = pc.split_pattern(pc.replace_substring(column, "\n", " "), " ")
+        coded = split.flatten().dictionary_encode()
+        cut = pc.extract_regex(coded.dictionary, _PART)
+        # a part that isn't a word with marks after it is looked up whole
+        word = pc.if_else(pc.is_valid(cut), pc.utf8_lower(pc.struct_field(cut, "word")), coded.dictionary)
+        marks = pc.if_else(pc.is_valid(cut), pc.struct_field(cut, "marks"), "")
+        both = pa.concat_arrays([word, marks]).dictionary_encode()
+        known, place = self._found(both.dictionary)
+        two = place[both.indices.to_numpy(zero_copy_only=False)].reshape(2, -1).T.ravel()
+        flat, sizes = _strung(known.ids, known.first, known.sizes, two)
+        sizes = sizes.reshape(-1, 2).sum(axis=1)
+        line, each = _strung(flat, np.cumsum(sizes) - sizes, sizes, coded.indices.to_numpy(zero_copy_only=False))
+        counts = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+        return line, np.add.reduceat(each, np.cumsum(counts) - counts)
 
     def _starts(self, text: str, a: int, b: int) -> np.ndarray:
         """Where the tokens of text[a:b] start, as places in text."""

@@ -8,6 +8,7 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import duckdb
@@ -125,6 +126,31 @@ def test_full_memos_change_nothing(texts, monkeypatch):
     assert len(e.parts) < 2000
 
 
+def test_new_words_share_calls_and_space():
+    """Different words reach the library many in a text and take few bytes; letters, marks and their mixtures give its ids."""
+    e = tokenizing.Encoder(WORD)
+    library, sent = e.library, []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **how):
+            sent.extend(texts)
+            return library.encode_batch_fast(texts, **how)
+
+    e.library = Counted()
+    words = ["".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(20_000)]
+    tracemalloc.start()
+    line, sizes = e.ids([" ".join(words), " ".join(w.capitalize() + "***" for w in words)])
+    kept = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert len(sent) < len(words) // 50 and kept < 100 * len(words)
+    assert line.tolist() == [i for t in ("", "***") for w in words for i in library.encode(w + t, add_special_tokens=False).ids] and sizes.sum() == len(line)
+    odd = [f"{c} a{c}b {c}!! {c}'s x{c}*** {c}\u0301 {c}.\u0338" for c in map(chr, range(0xC0, 0x250))]
+    odd += [f"word{c} word{c}{c} a{c}b {c} {c}a \u00c9{c}'s x'{c}t" for c in map(chr, range(33, 127))] + ["a</w> </w>b", "x<|endoftext|>", "q\u2028r\x85s"]
+    line, sizes = e.ids(odd)
+    want = [library.encode(t, add_special_tokens=False).ids for t in odd]
+    assert sizes.tolist() == list(map(len, want)) and line.tolist() == [i for w in want for i in w]
+
+
 @pytest.mark.parametrize("text", [LONG[:60_000], "x" * 9_000 + " y" * 4_000, "ab cd\n" * 3_000 + "q" * 7_000 + " end"])
 @pytest.mark.parametrize(("window", "overlap"), [(2_000, 16), (5_000, 300)])
 def test_windows_meet_at_stable_boundaries(text, window, overlap):
