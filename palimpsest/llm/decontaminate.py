@@ -6,9 +6,11 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,10 +34,14 @@ GROUPS = 4096
 COMMON_SHARE = 0.05
 #: Starting places that are embedded at once.
 AT_ONCE = 1 << 16
+#: Text bytes and rows that are searched at a time, about: a different part is looked at once in each of these stretches.
+PIECE_BYTES, PIECE_ROWS = 4 << 20, 1 << 13
 
 #: Scripts written without blanks (Thai to Tibetan, Burmese, Khmer, kana, Han): fixed ranges of Unicode blocks.
 _UNBROKEN = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 _WORD = re.compile(f"[{_UNBROKEN}]|[^\\W_{_UNBROKEN}]+")
+#: Parts between blanks that are one word with ASCII marks around it; letters up to U+024F but U+0130, whose lower case is two.
+_PART = "^[!-/:-@\\[-`{-~]*(?P<word>[0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)[!-/:-@\\[-`{-~]*$"
 
 
 def words(text: str | None) -> list[str]:
@@ -70,6 +76,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+@cache
 def _step_number(seed: int, step: int) -> int:
     """63 bits that differ for every seed and step."""
     return int(_mixed(np.array([seed + step * 0x9E3779B97F4A7C15 & (1 << 64) - 1], np.uint64))[0]) >> 1
@@ -99,13 +106,22 @@ class Index:
     def __init__(self, items: list[tuple[int, str]], similarity: float, walks: int, tables: int, places: int, least_words: int, seed: int = 17):
         self.similarity, self.vocab, self.items = similarity, {}, []
         # by first word: items whose words must follow each other as they are
-        self.short: dict[str, list[tuple[list[str], int]]] = defaultdict(list)
+        self.short: dict[int, list[tuple[np.ndarray, int]]] = defaultdict(list)
+        short = []
         for item_id, text in sorted(items, key=lambda x: (x[0], x[1] or "")):
             w = words(text)
             if len(w) >= least_words or self.allowed(len(w)):
                 self.items.append((item_id, np.array([self.vocab.setdefault(x, len(self.vocab) + 1) for x in w], np.int32)))
             elif w:
-                self.short[w[0]].append((w, item_id))
+                short.append((w, item_id))
+        # words of short items alone come after the vocabulary
+        numbers = dict(self.vocab)
+        for w, item_id in short:
+            own = np.array([numbers.setdefault(x, len(numbers) + 1) for x in w], np.int32)
+            self.short[int(own[0])].append((own, item_id))
+        self.numbers, self.names = numbers, pa.array(numbers, pa.string())
+        self.leads = np.zeros(len(numbers) + 1, bool)
+        self.leads[list(self.short)] = True
         holders = np.bincount(np.concatenate([np.unique(w) for _, w in self.items]), minlength=len(self.vocab) + 1) if self.items else np.zeros(1, int)
         common_word = holders > max(1, COMMON_SHARE * len(self.items))
         rng = np.random.default_rng(seed)
@@ -156,14 +172,15 @@ class Index:
         windows with few edits soon walk in step again, so they differ in few places.
         """
         for walk, (seed, places) in enumerate(zip(c.seeds, c.places, strict=True)):
-            at, hashed = starts.copy(), _mixed((line.astype(np.int64) + 2).astype(np.uint64) + np.uint64(seed))
+            # by word, from -1 on
+            at, hashes = starts.copy(), _mixed(np.arange(1, len(self.vocab) + 3).astype(np.uint64) + np.uint64(seed))
             keys = [np.full(len(starts), (walk * 1000 + t + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1, np.uint64) for t in range(len(places))]
             wanted = defaultdict(list)
             for t, p in enumerate(places):
                 for j in p.tolist():
                     wanted[j].append(t)
             for j in range(max(wanted) + 1):
-                mix = hashed[np.minimum(at, len(line) - 1)]
+                mix = hashes[line[np.minimum(at, len(line) - 1)] + 1]
                 if j in wanted:
                     for t in wanted[j]:
                         keys[t] = (keys[t] ^ mix) * np.uint64(0x100000001B3)
@@ -171,30 +188,55 @@ class Index:
                 at += (mix * np.uint64(2 * _step_number(seed, j) + 1) >> np.uint64(63)).astype(np.int64)
             yield from keys
 
-    def search(self, texts: list[str]) -> list[tuple[int, int, int, int, int, int, int]]:
+    def _lines(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of the texts' words (0: none of the items'), one -1 after each text, and where each text starts."""
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = split.flatten().dictionary_encode()
+        cut = pc.extract_regex(coded.dictionary, _PART)
+        number = pc.index_in(pc.utf8_lower(pc.struct_field(cut, "word")), value_set=self.names)
+        number = pc.fill_null(pc.if_else(pc.is_valid(cut), number, None), -1).to_numpy(zero_copy_only=False) + 1
+        # all other parts may hold any number of words
+        other = pc.is_null(cut)
+        found = [words(x) for x in coded.dictionary.filter(other).to_pylist()]
+        sizes, rest = np.ones(len(number), np.int64), other.to_numpy(zero_copy_only=False)
+        sizes[rest] = [len(w) for w in found]
+        flat = np.empty(sizes.sum(), np.int32)
+        whose = np.repeat(rest, sizes)
+        flat[~whose] = number[~rest]
+        flat[whose] = [self.numbers.get(x, 0) for w in found for x in w]
+        place = coded.indices.to_numpy(zero_copy_only=False)
+        each = sizes[place]
+        before, first = np.cumsum(each) - each, np.cumsum(sizes) - sizes
+        inner = flat[np.repeat(first[place] - before, each) + np.arange(each.sum())]
+        counts = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+        total = np.add.reduceat(each, np.cumsum(counts) - counts)
+        line = np.full(len(inner) + len(total), -1, np.int32)
+        line[np.arange(len(inner)) + np.repeat(np.arange(len(total)), total)] = inner
+        return line, np.r_[0, np.cumsum(total + 1)]
+
+    def _equal(self, line: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int, int, int, int, int]]:
+        """The first place of each short item in each text, as search() gives it."""
+        seen = set()
+        for k in np.flatnonzero(self.leads[np.maximum(line, 0)]).tolist():
+            i = int(np.searchsorted(bounds, k, "right")) - 1
+            for own, item in self.short[int(line[k])]:
+                if (i, item) not in seen and np.array_equal(line[k : k + len(own)], own):
+                    seen.add((i, item))
+                    at = k - int(bounds[i])
+                    yield i, item, 0, len(own), at, at + len(own), int(bounds[i + 1] - bounds[i]) - 1
+
+    def search(self, texts: list[str] | pa.Array) -> list[tuple[int, int, int, int, int, int, int]]:
         """(text number, item_id, edits, words of the item, first word, word after the last, words of the text), the best
         place of each pair."""
-        get, pad = self.vocab.get, 1
-        lines, owner, offset, at, equal, total = [], [], [], 0, [], []
-        for i, t in enumerate(texts):
-            w = words(t)
-            total.append(len(w))
-            if self.short:
-                seen = set()
-                for k, x in enumerate(w):
-                    for own, item in self.short.get(x, ()):
-                        if item not in seen and w[k : k + len(own)] == own:
-                            seen.add(item)
-                            equal.append((i, item, 0, len(own), k, k + len(own), len(w)))
-            if len(w) >= 1 and self.items:
-                lines.append(np.fromiter((get(x, 0) for x in w), np.int32, len(w)))
-                lines.append(np.full(pad, -1, np.int32))
-                owner.append(i)
-                offset.append(at)
-                at += len(w) + pad
-        if not lines:
+        column = pa.array(texts, pa.string()) if isinstance(texts, list) else pc.fill_null(texts, "")
+        if not len(column):
+            return []
+        pad = 1
+        line, bounds = self._lines(column)
+        equal = list(self._equal(line, bounds)) if self.short else []
+        if not self.items:
             return equal
-        line, bounds = np.concatenate(lines), np.array([*offset, at])
+        line[line > len(self.vocab)] = 0
         best: dict[tuple[int, int], tuple] = {}
         for c in self.classes:
             for d, a, item in self._pairs(c, line, bounds):
@@ -207,30 +249,36 @@ class Index:
                     # stretches overlap by the longest place
                     edits, s, e = alignment(w, line[lo_ : min(hi, lo_ + STRETCH + len(w) + spare)])
                     if edits <= spare:
-                        key, row = (owner[d], item), (edits, int(lo_ + s - bounds[d]), int(lo_ + e - bounds[d]))
+                        key, row = (d, item), (edits, int(lo_ + s - bounds[d]), int(lo_ + e - bounds[d]))
                         best[key] = min(best.get(key, row), row)
-        return equal + [(i, self.items[item][0], edits, len(self.items[item][1]), s, e, total[i]) for (i, item), (edits, s, e) in sorted(best.items())]
+        return equal + [(i, self.items[item][0], edits, len(self.items[item][1]), s, e, int(bounds[i + 1] - bounds[i]) - pad) for (i, item), (edits, s, e) in sorted(best.items())]
 
     def _pairs(self, c: SizeClass, line: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, tuple[int, int], int]]:
         """(text, (first, last) start, item) of neighbouring places of a text where the item would start, as windows that share
         a key with it or with a piece of it tell."""
         wide = c.most + self.allowed(c.most)
-        known = c.known[np.maximum(line, 0)] & (line > 0)
-        reach = np.minimum(np.arange(len(line)) + wide, len(line))
-        total = np.r_[0, np.cumsum(known)]
-        ok = known & (total[reach] - total[:-1] >= c.need)
+
+        def within(held: np.ndarray) -> np.ndarray:
+            """How many places from each one on, up to wide, are held."""
+            total = np.zeros(len(held) + 1, np.int32)
+            np.cumsum(held, out=total[1:])
+            rest = max(0, len(held) - wide)
+            return np.r_[total[wide : wide + rest], np.full(len(held) - rest, total[-1])] - total[:-1]
+
+        # the place after a text, -1, is looked up as the last word's
+        known = np.r_[c.known, False][line]
+        ok = known & (within(known) >= c.need)
         if c.need_rare > 0:
-            total = np.r_[0, np.cumsum(c.rare[np.maximum(line, 0)] & (line > 0))]
-            ok &= total[reach] - total[:-1] >= c.need_rare
+            ok &= within(np.r_[c.rare, False][line]) >= c.need_rare
         starts = np.flatnonzero(ok)
         hits = set()  # text, item, where the item would start
         for i in range(0, len(starts), AT_ONCE):
             part = starts[i : i + AT_ONCE]
             for keys in self.embed(c, line, part):
-                a, z = np.searchsorted(c.keys, keys, "left"), np.searchsorted(c.keys, keys, "right")
-                for k in np.flatnonzero(z > a):
+                a = np.searchsorted(c.keys, keys, "left")
+                for k in np.flatnonzero(c.keys[np.minimum(a, len(c.keys) - 1)] == keys):
                     d = int(np.searchsorted(bounds, part[k], "right")) - 1
-                    for o in c.owners[a[k] : z[k]].tolist():
+                    for o in c.owners[a[k] : np.searchsorted(c.keys, keys[k], "right")].tolist():
                         item, before, _ = self.pieces[o]
                         hits.add((d, item, int(part[k]) - before))
         run: tuple[int, int, int, int] | None = None
@@ -293,8 +341,8 @@ def _found(docs: DataFrame, benchmark: DataFrame, own: dict[str, Column], simila
             common.let_go()
             index = Index(sent.value, similarity, walks, tables, places, least_words)
             for whole in batches:
-                for b in common.pieces(whole, 256):
-                    found = index.search(common.strings(b)) if index.items or index.short else []
+                for b in common.pieces(whole, PIECE_ROWS, most=PIECE_BYTES):
+                    found = index.search(b.column("text")) if index.items or index.short else []
                     at = pa.array([r[0] for r in found], pa.int64())
                     rest = [(*r[1:], 1 - r[2] / r[3]) for r in found]
                     yield pa.RecordBatch.from_arrays(

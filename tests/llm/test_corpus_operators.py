@@ -14,6 +14,7 @@ import zlib
 import duckdb
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -1100,6 +1101,23 @@ def test_decontaminate_scripts_without_blanks_and_long_items(spark):
     assert got.keys() == {(1, 1), (2, 2), (3, 3)} and got[1, 1] == 1 and got[2, 2] == 0
 
 
+def test_decontaminate_looks_at_different_parts_once(monkeypatch):
+    """Words come from the different parts between blanks, not from each text; their numbers are those of words()."""
+    items = [(1, "the quick brown fox jumps over the lazy dog"), (2, "\u039f\u0394\u039f\u03a3 don't"), (3, "\u00e9")]
+    index = decontaminate.Index(items, 0.8, 4, 16, 5, 5)
+    read, split = [], decontaminate.words
+    text = "said (the) Quick brown fox, jumps over the lazy dog's tail " * 3 + "dog's"
+    with monkeypatch.context() as m:
+        m.setattr(decontaminate, "words", lambda t: read.append(len(t)) or split(t))
+        found = index.search([text] * 300)
+    assert [r[:3] for r in found] == [(i, 1, 0) for i in range(300)] and sum(read) < 2 * len(text)
+    rnd = random.Random(4)
+    odd = ["", " ", "\n", "x", *("".join(rnd.choice("the fox\u00c9\u00e9\u0301\u0130\u00df_'.!\u03a3\u03c3\n\t\u6f22\u00b21") for _ in range(rnd.randint(0, 40))) for _ in range(500)), "\u039f\u0394\u039f\u03a3 don't"]
+    line, bounds = index._lines(pa.array(odd))
+    for i, t in enumerate(odd):
+        assert line[bounds[i] : bounds[i + 1]].tolist() == [*(index.numbers.get(w, 0) for w in decontaminate.words(t)), -1]
+
+
 def test_decontaminate_index_is_no_larger_than_its_items():
     """One item of thousands of words takes no table of coins: the index holds its words and its keys."""
     import tracemalloc
