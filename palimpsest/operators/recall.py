@@ -42,12 +42,12 @@ def legs(asks: DataFrame, memory: DataFrame, limits: Limits = Limits()) -> DataF
     near = retrieval.knn(asks.filter("vec is not null").select(F.col("ask").alias("id"), "vec"), memory.select("id", "vec"), limits.leg, limits.vector_least, skip_self=False)
     vector = near.select("ask", "id", F.lit("vector").alias("leg"), "score", F.col("score").alias("relevance"), F.lit(False).alias("exact"))
     words = F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda x: x != "")
-    hits = retrieval.bm25(memory.select(F.col("id").alias("doc_id"), "text"), asks.select("ask", F.explode(words).alias("term")))
-    hits = retrieval.normalise_to_best(top(hits.withColumnRenamed("doc_id", "id")), ["ask"])
+    hits = retrieval.bm25(memory.select(F.col("id").alias("doc_id"), "text"), asks.select("ask", F.explode(words).alias("term")), best=limits.leg)
+    hits = retrieval.normalise_to_best(staging.stage(hits.withColumnRenamed("doc_id", "id"), "bm25-leg"), ["ask"])
     phrase = names.contained(memory.select("id", "text"), asks.select(F.col("ask").alias("subject"), F.col("text").alias("name"))).select(F.col("subject").alias("ask"), "id", F.lit(True).alias("exact"))
     bm25 = hits.join(phrase, ["ask", "id"], "left").select("ask", "id", F.lit("bm25").alias("leg"), "score", F.col("score").alias("relevance"), F.coalesce("exact", F.lit(False)).alias("exact"))
     same = F.col("relation") == "fold"
-    entity = top(names.related(asks.select("ask", "name"), memory.select("id", "name")).withColumn("score", F.when(same, 1.0).otherwise(F.col("overlap") * weights.ACTIVATION_DECAY)))
+    entity = top(names.related(asks.select("ask", "name"), memory.select("id", "name"), most=limits.leg).withColumn("score", F.when(same, 1.0).otherwise(F.col("overlap") * weights.ACTIVATION_DECAY)))
     entity = entity.select("ask", "id", F.lit("entity").alias("leg"), "score", F.col("score").alias("relevance"), same.alias("exact"))
     latest = memory.select("id", "at").orderBy(F.desc("at"), "id").limit(limits.leg)
     latest = latest.select("id", (1 / F.row_number().over(Window.orderBy(F.desc("at"), "id"))).alias("score"))  # of a leg's rows

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import os
+import time
+
 import numpy as np
+from pyspark.sql import functions as F
 
-from palimpsest.operators import names
+from palimpsest.operators import activation, names, retrieval, staging
 
 
 def ran(df):
@@ -65,3 +69,42 @@ def test_turns_and_claims_of_one_name_make_no_pairs(spark):
                     if r >= 0.1 and (t not in want or (-r, c) < (-want[t][1], want[t][0])):
                         want[t] = (c, r)
         assert got == want
+
+
+def test_best_documents_are_those_of_all(spark, monkeypatch):
+    """Every ask and document share a word, and many documents are equal: pairs are no rows, ties go to the smaller id."""
+    rng = np.random.default_rng(2)
+    words = [f"w{i}" for i in range(30)]
+    docs = spark.createDataFrame([(int(i), None if i % 50 == 0 else "all " + " ".join(rng.choice(words, 6)) if i % 3 else "all w1 w2") for i in rng.permutation(400)], "doc_id long, text string")
+    asked = spark.createDataFrame([(a, t) for a in range(40) for t in ("all", words[a % 30], words[a * 7 % 30], "none", None)], "ask long, term string")
+    every = {}
+    for r in retrieval.bm25(docs, asked).collect():
+        every.setdefault(r["ask"], []).append((-round(r["score"], 9), r["doc_id"]))
+    for scores, postings in ((1 << 22, 1 << 22), (100, 60)):
+        monkeypatch.setattr(retrieval, "SCORES", scores), monkeypatch.setattr(retrieval, "POSTINGS", postings)
+        df = retrieval.bm25(docs, asked, best=7)
+        got = {}
+        for r in df.collect():
+            got.setdefault(r["ask"], []).append((-round(r["score"], 9), r["doc_id"]))
+        assert {a: sorted(x) for a, x in got.items()} == {a: sorted(x)[:7] for a, x in every.items()}
+        assert not [x for x in ran(df) if "Join" in x[0] or "HashAggregate" in x[0]]
+
+
+def test_lists_of_edges_hold_what_can_count(spark):
+    """A hub's list has as many as may be passed over and as many as count; every node is one row."""
+    both = [(0, i) for i in range(1, 200)] + [(i, 0) for i in range(1, 200)]
+    edges = spark.createDataFrame([(a, b, "SIMILAR", 0.5 + max(a, b) / 1000, 1.0) for a, b in both], "node long, other long, type string, strength double, confidence double")
+    got = {r["node"]: r for r in activation.prepared(edges, None, activation.Budget(neighbours=5, visited=9)).collect()}
+    assert len(got) == 200 and got[0]["others"] == list(range(199, 185, -1)) and got[3]["others"] == [0]
+
+
+def test_staged_tables_leave_no_shuffle(spark):
+    before = spark.conf.get(staging.CLEAN_UP)
+    files = lambda: sum(n.startswith("shuffle_") for _, _, names_ in os.walk(spark._jvm.org.apache.spark.util.Utils.getConfiguredLocalDirs(spark.sparkContext._jsc.sc().conf())[0]) for n in names_)
+    was = files()
+    staging.stage(spark.range(10_000).repartition(7, "id").groupBy((F.col("id") % 10).alias("k")).count(), "counts")
+    for _ in range(50):
+        if files() <= was:
+            break
+        time.sleep(0.2)
+    assert files() <= was and spark.conf.get(staging.CLEAN_UP) == before
