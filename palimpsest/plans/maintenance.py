@@ -225,8 +225,8 @@ def op_26(spark: SparkSession, d: str) -> DataFrame:
     reference one that shares an episode of mentions with it."""
     asks = table(spark, d, "documents").filter("doc_id % 100 = 0").select(F.col("doc_id").alias("ask"))
     got = staging.stage(_recall(spark, d).select("ask", "id"), "probe")
-    e = tables.pairs(spark, d).select(F.col("src").alias("ask"), F.col("dst").alias("id"))
-    known = e.unionByName(e.select(F.col("id").alias("ask"), F.col("ask").alias("id"))).filter("ask % 100 = 0")
+    m = table(spark, d, "lineitem").select("l_orderkey", "l_partkey")
+    known = m.filter("l_partkey % 100 = 0").select("l_orderkey", F.col("l_partkey").alias("ask")).join(m.select("l_orderkey", F.col("l_partkey").alias("id")), "l_orderkey").filter("ask <> id").select("ask", "id").distinct()
     per = got.join(known.withColumn("served", F.lit(1)), ["ask", "id"], "left").groupBy("ask").agg(F.max((F.col("ask") == F.col("id")).cast("int")).alias("hit"), F.coalesce(F.max("served"), F.lit(0)).alias("served"))
     per = asks.join(per, "ask", "left").fillna(0, ["hit", "served"])
     return per.agg(N().alias("probes"), F.sum("hit").alias("hits"), F.sum("served").alias("served"), r6(F.avg("hit")).alias("hit_rate"), r6(F.avg("served")).alias("served_rate"))

@@ -9,6 +9,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from palimpsest.operators import activation, names, retrieval, staging
+from palimpsest.plans import registry  # loads the plans in their order
+from palimpsest.plans import maintenance  # isort: skip
+from palimpsest.sources import tables
 
 
 def ran(df):
@@ -108,3 +111,14 @@ def test_staged_tables_leave_no_shuffle(spark):
             break
         time.sleep(0.2)
     assert files() <= was and spark.conf.get(staging.CLEAN_UP) == before
+
+
+def test_probe_counts_served_episodes(spark, tmp_path, monkeypatch):
+    """The pairs of lines that serve asks are joined from the asked parts' lines, not out of all pairs of parts."""
+    lines = [(o, p) for o, parts in enumerate([(100, 7), (100, 100, 8), (200, 100), (5, 6), (300, 9)]) for p in parts]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(i, "") for i in (0, 100, 200, 300, 5)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = spark.createDataFrame([(100, 100), (100, 8), (200, 5), (300, 300)], "ask long, id long")
+    monkeypatch.setattr(maintenance, "_recall", lambda *_: got)
+    monkeypatch.setattr(tables, "pairs", lambda *_: 1 / 0)
+    assert tuple(registry.QUERIES["OP-26"](spark, str(tmp_path)).first()) == (4, 2, 1, 0.5, 0.25)
