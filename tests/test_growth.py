@@ -74,6 +74,18 @@ def test_turns_and_claims_of_one_name_make_no_pairs(spark):
         assert got == want
 
 
+def test_related_names_shuffle_no_pairs(spark):
+    """200 asks and 300 ids of two names each: sets of names are compared, and what they relate is not grouped again."""
+    asks = spark.createDataFrame([(i, "small rings" if i % 2 else "Small-Ring") for i in range(200)], "ask long, name string")
+    known = spark.createDataFrame([(i, n) for i in range(300) for n in ("small ring", f"gear {i % 3}")], "id long, name string")
+    df = names.related(asks, known)
+    got = [tuple(r) for r in df.select("ask", "id", "relation").collect()]
+    assert len(got) == 60_000 and set(got) == {(a, i, "bigram" if a % 2 else "squash") for a in range(200) for i in range(300)}
+    assert not [x for x in ran(df) if "Aggregate" in x[0]]
+    few = names.related(asks, known, most=4).select("ask", "id").collect()
+    assert {(a, i) for a in range(200) for i in range(4)} <= {tuple(r) for r in few} and len(few) < 200 * 20
+
+
 def test_best_documents_are_those_of_all(spark, monkeypatch):
     """Every ask and document share a word, and many documents are equal: pairs are no rows, ties go to the smaller id."""
     rng = np.random.default_rng(2)
@@ -113,6 +125,24 @@ def test_staged_tables_leave_no_shuffle(spark):
     assert files() <= was and spark.conf.get(staging.CLEAN_UP) == before
 
 
+def test_cosines_are_counted_not_paired(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = [(i, None if i % 17 == 0 else rng.normal(size=3 if i % 23 == 0 else 5).tolist() if i % 4 else [1.0, 0.0, 0.0, 0.0, 0.0], None if i % 19 == 0 else i % 3) for i in range(300)]
+    v = spark.createDataFrame(rows, "id long, vec array<double>, label int")
+    for block in (32 << 20, 200):
+        monkeypatch.setattr(retrieval, "ASK_BYTES", block)
+        df = retrieval.cosine_quantiles(v.filter("id % 10 = 0"), v, [0.0, 0.5, 0.95])
+        got = {r["same"]: (r["n"], *(round(r[f"q{i}"], 9) for i in range(3))) for r in df.collect()}
+        assert max(n for name, n in ran(df) if "Map" in name or "Join" in name or "Aggregate" in name) < 3000
+        cos = {}
+        for a, x, la in rows[::10]:
+            for b, y, lb in rows:
+                if a != b:
+                    c = float(np.dot(x, y) / np.linalg.norm(x) / np.linalg.norm(y)) if x and y and len(x) == len(y) else 0.0
+                    cos.setdefault(None if la is None or lb is None else la == lb, []).append(c)
+        assert got == {k: (len(x), *(round(float(np.quantile(x, p)), 9) for p in (0.0, 0.5, 0.95))) for k, x in cos.items()}
+
+
 def test_probe_counts_served_episodes(spark, tmp_path, monkeypatch):
     """The pairs of lines that serve asks are joined from the asked parts' lines, not out of all pairs of parts."""
     lines = [(o, p) for o, parts in enumerate([(100, 7), (100, 100, 8), (200, 100), (5, 6), (300, 9)]) for p in parts]
