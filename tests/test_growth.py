@@ -8,7 +8,7 @@ import time
 import numpy as np
 from pyspark.sql import functions as F
 
-from palimpsest.operators import activation, names, retrieval, staging
+from palimpsest.operators import activation, graph, names, retrieval, staging
 from palimpsest.plans import registry  # loads the plans in their order
 from palimpsest.plans import maintenance  # isort: skip
 from palimpsest.sources import tables
@@ -143,6 +143,16 @@ def test_cosines_are_counted_not_paired(spark, monkeypatch):
         assert got == {k: (len(x), *(round(float(np.quantile(x, p)), 9) for p in (0.0, 0.5, 0.95))) for k, x in cos.items()}
 
 
+def test_similar_sets_are_counted_in_passes(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    sets = {i: {int(m) for m in rng.choice(40, rng.integers(1, 12), replace=False)} for i in range(60)}
+    monkeypatch.setattr(graph, "PASS_PAIRS", 500), monkeypatch.setattr(graph, "PASS_ROWS", 50)
+    df = graph.jaccard(spark.createDataFrame([(i, m) for i, s in sets.items() for m in s], "item long, member long"), 0.1)
+    got = {(r["a"], r["b"]): (r["inter"], round(r["score"], 9)) for r in df.collect()}
+    assert got == {(a, b): (len(sets[a] & sets[b]), round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 9)) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.1 * len(sets[a] | sets[b])}
+    assert not [x for x in ran(df) if "Exchange" in x[0]]
+
+
 def test_probe_counts_served_episodes(spark, tmp_path, monkeypatch):
     """The pairs of lines that serve asks are joined from the asked parts' lines, not out of all pairs of parts."""
     lines = [(o, p) for o, parts in enumerate([(100, 7), (100, 100, 8), (200, 100), (5, 6), (300, 9)]) for p in parts]
