@@ -28,7 +28,7 @@ _ROUND = "l{n} AS (SELECT node, community FROM (SELECT b.node, p.community, row_
 @query("GRA-1", f"WITH {GRAPH}, {BOTH}, l0 AS (SELECT DISTINCT node, node AS community FROM both_ways), {', '.join(_ROUND.format(n=i, p=i - 1) for i in range(1, 4))} SELECT node, community FROM l3")
 def gra_1(spark: SparkSession, d: str) -> DataFrame:
     """Three rounds of label propagation; the operator's default is ten."""
-    return graph.label_propagation(tables.both_ways(tables.edges(spark, d)), 3)
+    return graph.label_propagation(tables.both_ways(staging.stage(tables.pairs(spark, d).select("src", "dst"), "pairs")), 3)
 
 
 @query("GRA-2", "WITH m AS (SELECT DISTINCT l_suppkey AS item, l_partkey AS member FROM lineitem), s AS (SELECT item, count(*) AS k FROM m GROUP BY 1), p AS (SELECT a.item AS a, b.item AS b, count(*) AS inter FROM m a JOIN m b ON a.member = b.member AND a.item <> b.item GROUP BY 1, 2), j AS (SELECT a, b, inter, inter / (x.k + y.k - inter)::DOUBLE AS score FROM p JOIN s x ON x.item = a JOIN s y ON y.item = b), t AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS r FROM j WHERE score >= 0.1) SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b, inter, round(score, 6) AS score FROM t WHERE r <= 10 ORDER BY score DESC, a, b LIMIT 500")

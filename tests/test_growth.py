@@ -153,6 +153,26 @@ def test_similar_sets_are_counted_in_passes(spark, monkeypatch):
     assert not [x for x in ran(df) if "Exchange" in x[0]]
 
 
+def test_labels_move_and_edges_stay(spark, monkeypatch):
+    """Rounds in several passes give what one gives; edges lie bucketed by their far end, once."""
+    rng = np.random.default_rng(6)
+    pairs = {(int(a), int(b)) for a, b in rng.integers(0, 40, (90, 2)) if a != b}
+    both = spark.createDataFrame([x for a, b in pairs for x in ((a, b), (b, a), (a, b))], "node long, other long")
+    near, label = {}, {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b), near.setdefault(b, set()).add(a)
+    label = {a: min(x) for a, x in near.items()}
+    for _ in range(3):
+        votes = {a: [label[b] for b in x] for a, x in near.items()}
+        label = {a: min(set(x), key=lambda c, x=x: (-x.count(c), c)) for a, x in votes.items()}
+    for rows in (1 << 23, 10):
+        monkeypatch.setattr(graph, "PASS_ROWS", rows)
+        assert dict(map(tuple, graph.label_propagation(both, 4).collect())) == label
+    edges = graph.bucketed(both, "other", 10, "edges-of-a-test")
+    df = edges.join(both.select(F.col("other")).distinct().hint("shuffle_hash"), "other")
+    assert edges.count() == 2 * len({frozenset(p) for p in pairs}) and df.count() == edges.count()
+
+
 def test_probe_counts_served_episodes(spark, tmp_path, monkeypatch):
     """The pairs of lines that serve asks are joined from the asked parts' lines, not out of all pairs of parts."""
     lines = [(o, p) for o, parts in enumerate([(100, 7), (100, 100, 8), (200, 100), (5, 6), (300, 9)]) for p in parts]
